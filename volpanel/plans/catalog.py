@@ -1,6 +1,6 @@
 """All registered queries, gathered from the query modules."""
 
-from volpanel.plans import queries_chain, queries_daily, queries_quotes  # noqa: F401
+from volpanel.plans import queries_chain, queries_daily, queries_quotes, queries_surface  # noqa: F401
 from volpanel.plans.registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]

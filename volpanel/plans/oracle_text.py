@@ -61,11 +61,11 @@ def constrained(source: str, keep: str) -> str:
         for i in range(11)
     )
     return f"""
-SELECT {keep}, {', '.join(THETA_COLUMNS)}, rho, lambda,
-       least(exp(eta_raw), {eta_cap(THETA_COLUMNS[-1], 'rho', 'lambda')}) AS eta
+SELECT {keep}, {', '.join(THETA_COLUMNS)}, rho, lam AS "lambda",
+       least(exp(eta_raw), {eta_cap(THETA_COLUMNS[-1], 'rho', 'lam')}) AS eta
 FROM (SELECT {keep}, {thetas}, eta_raw,
              least(greatest(tanh({z[11]}), -0.999999e0), 0.999999e0) AS rho,
-             least(greatest(0.5e0*(1.0e0/(1.0e0+exp(-{z[13]}))), 1.0e-6), 0.499999e0) AS lambda
+             least(greatest(0.5e0*(1.0e0/(1.0e0+exp(-{z[13]}))), 1.0e-6), 0.499999e0) AS lam
       FROM (SELECT *, {steps}, {z[12]} AS eta_raw FROM {source}))"""
 
 
@@ -75,7 +75,7 @@ def total_variance(source: str, keep: str, m: str = "m", tau: str = "tau") -> st
 SELECT {keep}, theta_at, phi, km, radical, 0.5e0*theta_at*(1.0e0+rho*km+radical) AS total_variance
 FROM (SELECT *, sqrt((km+rho)*(km+rho)+1.0e0-rho*rho) AS radical
       FROM (SELECT *, phi*({m}) AS km
-            FROM (SELECT *, greatest(eta, 1.0e-12)*pow(theta_at, -lambda) AS phi
+            FROM (SELECT *, greatest(eta, 1.0e-12)*pow(theta_at, -"lambda") AS phi
                   FROM (SELECT *, greatest({theta_curve(tau)}, 1.0e-12) AS theta_at FROM {source}))))"""
 
 

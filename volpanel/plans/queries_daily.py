@@ -63,8 +63,8 @@ def daily_labelled(spark, sf_dir):
     return calendar.label_splits(daily_features(spark, sf_dir), **SIZES)
 
 
-def daily_chunks(spark, sf_dir, stage="test"):
-    return calendar.walk_forward_buckets(daily_labelled(spark, sf_dir), stage)
+def daily_chunks(spark, sf_dir, stage="test", refit_frequency=21):
+    return calendar.walk_forward_buckets(daily_labelled(spark, sf_dir), stage, refit_frequency)
 
 
 @register(
@@ -250,13 +250,13 @@ def walk_forward_chunks(spark, sf_dir):
 @register(
     "chronology_violations",
     "WIN12",
-    "WITH" + SPLIT_SQL + """
-SELECT option_root, chunk_id, max(target_date) AS train_end FROM chunked WHERE chunk_id >= 0 GROUP BY 1, 2 HAVING count(*) < 21""",
+    "WITH" + SPLIT_SQL.replace("21.0e0", "20.0e0") + """
+SELECT option_root, chunk_id, max(target_date) AS train_end FROM chunked WHERE chunk_id >= 0 GROUP BY 1, 2 HAVING count(*) < 20""",
 )
 def chronology_violations(spark, sf_dir):
     """Chunk windows are clean; a leak put into every partial chunk must be reported."""
-    windows = calendar.chunk_windows(daily_chunks(spark, sf_dir))
-    leaking = F.when(F.col("chunk_rows") < 21, F.col("chunk_end")).otherwise(F.col("train_end"))
+    windows = calendar.chunk_windows(daily_chunks(spark, sf_dir, refit_frequency=20))
+    leaking = F.when(F.col("chunk_rows") < 20, F.col("chunk_end")).otherwise(F.col("train_end"))
     bad = calendar.chronology_violations(windows.withColumn("train_end", leaking))
     return bad.select("option_root", "chunk_id", "train_end")
 
