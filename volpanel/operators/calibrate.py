@@ -19,11 +19,15 @@ from volpanel.functions.mathx import clip, huber
 from volpanel.operators import surface
 from volpanel.operators.keys import STATE_KEY
 from volpanel.operators.score import HUBER_DELTA
+from volpanel.operators.skew import spread_groups
 from volpanel.session import cut_lineage
 
 # Losses closer than this are ties, broken by candidate number.
 LOSS_DIGITS = 13
 
+# A date with more nodes than this is split over several tasks in the lattice search.
+NODES_PER_TASK = 2000
+
 
 @dataclass(frozen=True)
 class Lattice:
@@ -134,6 +138,7 @@ def lattice_fit(
     )
     if checkpoint:
         thetas, valued = cut_lineage(thetas), cut_lineage(valued)
+    valued = spread_groups(valued, key, ("m", "tau"), NODES_PER_TASK)
     best = thetas.select(
         *key,
         F.lit(lattice.rho[0]).alias("c_rho"),
@@ -254,7 +259,8 @@ def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_
     date, and scores the trial step sizes (zero included) with a second aggregation.
     """
     keys = list(key)
-    slim = cut_lineage(nodes.select(*key, "m", "tau", "node_iv", "node_vega"))
+    slim = spread_groups(nodes.select(*key, "m", "tau", "node_iv", "node_vega"), key, ("m", "tau"))
+    slim = cut_lineage(slim)
     state = ssvi.with_latent(start.select(*key, *ssvi.PARAMETER_COLUMNS)).select(*key, *ssvi.LATENT_COLUMNS)
     for _ in range(iterations):
         decoded = ssvi.with_constrained(state)

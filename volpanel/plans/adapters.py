@@ -67,15 +67,15 @@ QUALITY_SQL = """option_type IN ('C','P') AND strike > 0 AND quote_date < expira
 
 CHAIN_SQL = """
 legs AS (
-  SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quote_date, l_returnflag AS root,
-         l_linenumber AS expiry_no, CAST(ceil(l_quantity/5.0e0) AS INT)*100.0e0 AS strike,
+  SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quote_date,
+         CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter_date, l_returnflag AS root, l_linenumber AS expiry_no, CAST(ceil(l_quantity/5.0e0) AS INT)*100.0e0 AS strike,
          CASE WHEN l_linestatus='O' THEN 'C' ELSE 'P' END AS option_type,
          avg(l_tax) AS mean_tax, avg(l_discount) AS mean_discount, sum(l_quantity) AS quantity,
          CAST(count(*) AS BIGINT) AS trade_volume
-  FROM lineitem GROUP BY 1,2,3,4,5),
+  FROM lineitem GROUP BY 1,2,3,4,5,6),
 priced AS (
   SELECT quote_date, root, root AS option_root,
-         CAST(quote_date + to_months(CAST(3*expiry_no AS INT)) AS DATE) AS expiration, strike, option_type,
+         CAST(quarter_date + to_months(CAST(3*expiry_no AS INT)) AS DATE) AS expiration, strike, option_type,
          (CASE WHEN option_type='C' THEN greatest(550.0e0-strike,0.0e0) ELSE greatest(strike-550.0e0,0.0e0) END)
            + 40.0e0 + 100.0e0*mean_tax AS mid_1545,
          0.01e0+mean_discount AS spread_1545, 0.1e0+mean_tax*2.0e0 AS implied_volatility_1545,
@@ -92,11 +92,20 @@ chain AS (
 """
 
 
-def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+def monthly_sql(text: str) -> str:
+    """The same oracle text over monthly instead of quarterly quote dates."""
+    return text.replace(
+        "date_trunc('quarter', l_shipdate) AS DATE) AS quote_date", "date_trunc('month', l_shipdate) AS DATE) AS quote_date"
+    )
+
+
+def chain(spark: SparkSession, sf_dir: str, period: str = "quarter") -> DataFrame:
+    """Option chain per quarter, or per month so that contracts live on past the next quote date."""
     legs = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
-            F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quote_date"),
+            F.to_date(F.date_trunc(period, "l_shipdate")).alias("quote_date"),
+            F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quarter_date"),
             F.col("l_returnflag").alias("root"),
             F.col("l_linenumber").alias("expiry_no"),
             (F.ceil(F.col("l_quantity") / 5.0) * 100.0).alias("strike"),
@@ -115,7 +124,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quote_date",
         "root",
         F.col("root").alias("option_root"),
-        F.add_months("quote_date", F.col("expiry_no") * 3).alias("expiration"),
+        F.add_months("quarter_date", F.col("expiry_no") * 3).alias("expiration"),
         "strike",
         "option_type",
         (intrinsic + 40.0 + 100.0 * F.col("mean_tax")).alias("mid_1545"),

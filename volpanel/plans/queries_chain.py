@@ -17,8 +17,8 @@ def chain_diagnostics(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return parity.forward_diagnostics(chain(spark, sf_dir), **options)
 
 
-def chain_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contracts = chain(spark, sf_dir)
+def chain_contracts(spark: SparkSession, sf_dir: str, period: str = "quarter") -> DataFrame:
+    contracts = chain(spark, sf_dir, period)
     return nodes.contracts_with_forward(contracts, parity.forward_terms(parity.forward_diagnostics(contracts)))
 
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
 from volpanel.functions.mathx import normal_cdf
-from volpanel.operators import calibrate, score, surface
+from volpanel.operators import calibrate, nodes, score, surface
 from volpanel.plans import oracle_text as sql
-from volpanel.plans.adapters import table
+from volpanel.plans.adapters import monthly_sql, table
 from volpanel.plans.queries_chain import chain_contracts, chain_nodes
 from volpanel.plans.queries_surface import CERTIFICATE_SQL, INITIAL_SQL, M_SQL, RESIDUALS, TAU_SQL
 from volpanel.plans.registry import register
 from volpanel.plans.shape import rounded
+from volpanel.session import cut_lineage
 
 KEY = surface.STATE_KEY
 PARAMS = ", ".join(f'"{c}"' for c in ssvi.PARAMETER_COLUMNS)
@@ -37,20 +38,49 @@ forecasts AS (
 """
 
 
-def next_dates(spark, sf_dir):
-    """Next quoted date per root: one row per root and date, windowed per root."""
-    dates = chain_nodes(spark, sf_dir).select(*KEY).distinct()
-    order = Window.partitionBy("option_root").orderBy("quote_date")
-    return dates.withColumn("target_date", F.lead("quote_date").over(order)).where("target_date IS NOT NULL")
+class Panel:
+    """Contracts, nodes and forecasts of one chain, staged once for all their consumers.
 
+    The stages are reliable checkpoints, so the table scan behind them runs a single time.
+    """
 
-def forecasts(spark, sf_dir):
-    """Two persistence forecasts: the starting surface, and the same with all variances two percent up."""
-    start = surface.initial_surface(chain_nodes(spark, sf_dir)).select(*KEY, *ssvi.PARAMETER_COLUMNS)
-    dated = start.join(next_dates(spark, sf_dir), list(KEY)).withColumnRenamed("quote_date", "forecast_origin")
-    last = dated.withColumn("model_name", F.lit("state_last"))
-    up = dated.withColumn("model_name", F.lit("state_up")).withColumns({c: F.col(c) * 1.02 for c in ssvi.THETA_COLUMNS})
-    return last.unionByName(up).select(*score.FORECAST_KEY, *ssvi.PARAMETER_COLUMNS)
+    def __init__(self, spark, sf_dir, period="quarter"):
+        self.contracts = cut_lineage(chain_contracts(spark, sf_dir, period))
+        self.nodes = cut_lineage(nodes.collapse_nodes(self.contracts))
+        self.states = cut_lineage(surface.initial_surface(self.nodes).select(*KEY, *ssvi.PARAMETER_COLUMNS))
+
+    def next_dates(self):
+        """Next quoted date per root: one row per root and date, windowed per root."""
+        order = Window.partitionBy("option_root").orderBy("quote_date")
+        dated = self.states.select(*KEY, F.lead("quote_date").over(order).alias("target_date"))
+        return dated.where("target_date IS NOT NULL")
+
+    def forecasts(self):
+        """Two persistence forecasts: the starting surface, and the same with all variances two percent up."""
+        order = Window.partitionBy("option_root").orderBy("quote_date")
+        dated = self.states.withColumn("target_date", F.lead("quote_date").over(order)).where("target_date IS NOT NULL")
+        models = F.array(
+            F.struct(F.lit("state_last").alias("model_name"), F.lit(1.0).alias("factor")),
+            F.struct(F.lit("state_up").alias("model_name"), F.lit(1.02).alias("factor")),
+        )
+        both = dated.withColumnRenamed("quote_date", "forecast_origin").select("*", F.inline(models))
+        scaled = both.withColumns({c: F.col(c) * F.col("factor") for c in ssvi.THETA_COLUMNS})
+        return scaled.select(*score.FORECAST_KEY, *ssvi.PARAMETER_COLUMNS)
+
+    def predicted_nodes(self):
+        return score.node_forecasts(self.forecasts(), self.nodes)
+
+    def priced_contracts(self):
+        return score.contract_forecasts(self.forecasts(), self.contracts)
+
+    def hedged(self):
+        carried = score.carried_contracts(self.contracts, self.priced_contracts())
+        return score.hedged_utility(carried, score.hedge_buckets(self.contracts))
+
+    def straddles(self):
+        pairs = score.straddle_pairs(self.contracts)
+        carried = score.carried_straddles(pairs, self.contracts, self.next_dates())
+        return score.straddle_returns(carried, self.states, self.forecasts())
 
 
 NODE_FORECAST_SQL = MODELS_SQL + f""",
@@ -67,17 +97,13 @@ loss_panel AS (
 """
 
 
-def predicted_nodes(spark, sf_dir):
-    return score.node_forecasts(forecasts(spark, sf_dir), chain_nodes(spark, sf_dir))
-
-
 @register(
     "node_forecasts",
     "SRF8 JON13 SRF2",
     "WITH" + NODE_FORECAST_SQL + f"SELECT {FORECAST}, root, expiration, strike, round(node_iv, 6) AS node_iv, round(predicted_iv, 6) AS predicted_iv FROM predicted",
 )
 def node_forecasts(spark, sf_dir):
-    rows = predicted_nodes(spark, sf_dir)
+    rows = Panel(spark, sf_dir).predicted_nodes()
     return rounded(
         rows.select(*score.FORECAST_KEY, "root", "expiration", "strike", "node_iv", "predicted_iv"), 6, "node_iv", "predicted_iv"
     )
@@ -89,7 +115,7 @@ def node_forecasts(spark, sf_dir):
     "WITH" + NODE_FORECAST_SQL + f"SELECT {FORECAST}, " + ", ".join(f"round({c}, 6) AS {c}" for c in METRICS) + " FROM loss_panel",
 )
 def loss_panel(spark, sf_dir):
-    return rounded(score.node_losses(predicted_nodes(spark, sf_dir)), 6, *METRICS)
+    return rounded(score.node_losses(Panel(spark, sf_dir).predicted_nodes()), 6, *METRICS)
 
 
 @register(
@@ -99,7 +125,7 @@ def loss_panel(spark, sf_dir):
 )
 def loss_summary(spark, sf_dir):
     columns = ("vega_rmse_iv", "rmse_iv", "mae_iv", "mape_iv_clipped")
-    return rounded(score.summary_table(score.node_losses(predicted_nodes(spark, sf_dir)), columns), 6, *columns)
+    return rounded(score.summary_table(score.node_losses(Panel(spark, sf_dir).predicted_nodes()), columns), 6, *columns)
 
 
 FORECAST_GRID_SQL = MODELS_SQL + f""",
@@ -122,7 +148,7 @@ dense AS (
     "WITH" + FORECAST_GRID_SQL + CERTIFICATE_SQL.replace("SELECT quote_date, option_root,", f"SELECT {FORECAST},").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3, 4"),
 )
 def forecast_certificates(spark, sf_dir):
-    return rounded(score.forecast_certificates(forecasts(spark, sf_dir)), 8, *RESIDUALS)
+    return rounded(score.forecast_certificates(Panel(spark, sf_dir).forecasts()), 8, *RESIDUALS)
 
 
 D1 = "(ln(forward_price/strike)/width + 0.5e0*width)"
@@ -147,10 +173,6 @@ pricing AS (
 """
 
 
-def priced_contracts(spark, sf_dir):
-    return score.contract_forecasts(forecasts(spark, sf_dir), chain_contracts(spark, sf_dir))
-
-
 @register(
     "contract_forecasts",
     "SRF9 SRF10 JON13",
@@ -158,7 +180,7 @@ def priced_contracts(spark, sf_dir):
        round(predicted_price, 4) AS predicted_price FROM priced_contracts""",
 )
 def contract_forecasts(spark, sf_dir):
-    rows = priced_contracts(spark, sf_dir).select(
+    rows = Panel(spark, sf_dir).priced_contracts().select(
         *score.FORECAST_KEY, "root", "expiration", "strike", "option_type", "predicted_iv", "predicted_price"
     )
     return rounded(rounded(rows, 6, "predicted_iv"), 4, "predicted_price")
@@ -170,7 +192,7 @@ def contract_forecasts(spark, sf_dir):
     "WITH" + PRICED_SQL + f"SELECT {FORECAST}, round(price_rmse, 4) AS price_rmse, round(price_mae, 4) AS price_mae, round(inside_spread_rate, 6) AS inside_spread_rate FROM pricing",
 )
 def pricing_utility(spark, sf_dir):
-    rows = score.pricing_utility(priced_contracts(spark, sf_dir))
+    rows = score.pricing_utility(Panel(spark, sf_dir).priced_contracts())
     return rounded(rounded(rows, 4, "price_rmse", "price_mae"), 6, "inside_spread_rate")
 
 
@@ -199,10 +221,10 @@ BUCKET_SQL = ", buckets AS (" + " UNION ALL ".join(
 @register(
     "hedge_buckets",
     "JON12 SRT2 AGG20",
-    "WITH" + sql.NODES_SQL + BUCKET_SQL + " SELECT * FROM buckets",
+    "WITH" + monthly_sql(sql.NODES_SQL) + BUCKET_SQL + " SELECT * FROM buckets",
 )
 def hedge_buckets(spark, sf_dir):
-    return score.hedge_buckets(chain_contracts(spark, sf_dir))
+    return score.hedge_buckets(chain_contracts(spark, sf_dir, "month"))
 
 
 CARRIED_SQL = PRICED_SQL + BUCKET_SQL + f""",
@@ -220,19 +242,14 @@ bucketed AS (
 """
 
 
-def hedged_panel(spark, sf_dir):
-    contracts = chain_contracts(spark, sf_dir)
-    carried = score.carried_contracts(contracts, priced_contracts(spark, sf_dir))
-    return score.hedged_utility(carried, score.hedge_buckets(contracts))
-
-
 @register(
     "carried_contracts",
     "JON4",
-    "WITH" + CARRIED_SQL + f"SELECT {FORECAST}, expiration, strike, option_type, round(mid_1545, 6) AS mid_1545, round(mid_1545_t1, 6) AS mid_1545_t1 FROM carried",
+    "WITH" + monthly_sql(CARRIED_SQL) + f"SELECT {FORECAST}, expiration, strike, option_type, round(mid_1545, 6) AS mid_1545, round(mid_1545_t1, 6) AS mid_1545_t1 FROM carried",
 )
 def carried_contracts(spark, sf_dir):
-    rows = score.carried_contracts(chain_contracts(spark, sf_dir), priced_contracts(spark, sf_dir))
+    panel = Panel(spark, sf_dir, "month")
+    rows = score.carried_contracts(panel.contracts, panel.priced_contracts())
     return rounded(
         rows.select(*score.FORECAST_KEY, "expiration", "strike", "option_type", "mid_1545", "mid_1545_t1"), 6, "mid_1545", "mid_1545_t1"
     )
@@ -241,10 +258,10 @@ def carried_contracts(spark, sf_dir):
 @register(
     "hedged_utility",
     "AGG20 JON4",
-    "WITH" + CARRIED_SQL + f"SELECT {FORECAST}, bucket, round(sqrt(avg(e*e)), 4) AS hedged_pnl_rmse, round(avg(abs(e)), 4) AS hedged_pnl_mae FROM bucketed GROUP BY 1, 2, 3, 4, 5",
+    "WITH" + monthly_sql(CARRIED_SQL) + f"SELECT {FORECAST}, bucket, round(sqrt(avg(e*e)), 4) AS hedged_pnl_rmse, round(avg(abs(e)), 4) AS hedged_pnl_mae FROM bucketed GROUP BY 1, 2, 3, 4, 5",
 )
 def hedged_utility(spark, sf_dir):
-    return rounded(hedged_panel(spark, sf_dir), 4, "hedged_pnl_rmse", "hedged_pnl_mae")
+    return rounded(Panel(spark, sf_dir, "month").hedged(), 4, "hedged_pnl_rmse", "hedged_pnl_mae")
 
 
 STRADDLE_SQL = MODELS_SQL + """,
@@ -276,41 +293,33 @@ returns AS (
 """
 
 
-def straddle_returns_panel(spark, sf_dir):
-    contracts = chain_contracts(spark, sf_dir)
-    pairs = score.straddle_pairs(contracts)
-    carried = score.carried_straddles(pairs, contracts, next_dates(spark, sf_dir))
-    current = surface.initial_surface(chain_nodes(spark, sf_dir))
-    return score.straddle_returns(carried, current, forecasts(spark, sf_dir))
-
-
 @register(
     "straddle_pairs",
     "AGG21 JON12",
-    "WITH" + STRADDLE_SQL + "SELECT option_root, quote_date, CAST(anchor_days AS INT) AS anchor_days, root, expiration, strike, round(gross_premium, 6) AS gross_premium, round(total_spread, 6) AS total_spread FROM straddles",
+    "WITH" + monthly_sql(STRADDLE_SQL) + "SELECT option_root, quote_date, CAST(anchor_days AS INT) AS anchor_days, root, expiration, strike, round(gross_premium, 6) AS gross_premium, round(total_spread, 6) AS total_spread FROM straddles",
 )
 def straddle_pairs(spark, sf_dir):
-    return rounded(score.straddle_pairs(chain_contracts(spark, sf_dir)), 6, "gross_premium", "total_spread")
+    return rounded(score.straddle_pairs(chain_contracts(spark, sf_dir, "month")), 6, "gross_premium", "total_spread")
 
 
 @register(
     "carried_straddles",
     "JON5",
-    "WITH" + STRADDLE_SQL + "SELECT option_root, quote_date, target_date, CAST(anchor_days AS INT) AS anchor_days, expiration, strike, round(next_premium, 6) AS next_premium FROM carried_pairs",
+    "WITH" + monthly_sql(STRADDLE_SQL) + "SELECT option_root, quote_date, target_date, CAST(anchor_days AS INT) AS anchor_days, expiration, strike, round(next_premium, 6) AS next_premium FROM carried_pairs",
 )
 def carried_straddles(spark, sf_dir):
-    contracts = chain_contracts(spark, sf_dir)
-    rows = score.carried_straddles(score.straddle_pairs(contracts), contracts, next_dates(spark, sf_dir))
+    panel = Panel(spark, sf_dir, "month")
+    rows = score.carried_straddles(score.straddle_pairs(panel.contracts), panel.contracts, panel.next_dates())
     return rounded(rows.select(*KEY, "target_date", "anchor_days", "expiration", "strike", "next_premium"), 6, "next_premium")
 
 
 @register(
     "straddle_returns",
     "AGG22",
-    "WITH" + STRADDLE_SQL + f"SELECT {FORECAST}, root, CAST(anchor_days AS INT) AS anchor_days, round(gross_return, 6) AS gross_return, round(gross_return - cost, 6) AS net_return FROM returns",
+    "WITH" + monthly_sql(STRADDLE_SQL) + f"SELECT {FORECAST}, root, CAST(anchor_days AS INT) AS anchor_days, round(gross_return, 6) AS gross_return, round(gross_return - cost, 6) AS net_return FROM returns",
 )
 def straddle_returns(spark, sf_dir):
-    return rounded(straddle_returns_panel(spark, sf_dir), 6, "gross_return", "net_return")
+    return rounded(Panel(spark, sf_dir, "month").straddles(), 6, "gross_return", "net_return")
 
 
 STRADDLE_MEANS = "round(avg(gross_return - cost), 6) AS mean_net_return, round(avg(CASE WHEN gross_return - cost > 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate"
@@ -319,32 +328,32 @@ STRADDLE_MEANS = "round(avg(gross_return - cost), 6) AS mean_net_return, round(a
 @register(
     "straddle_summary",
     "AGG23",
-    "WITH" + STRADDLE_SQL + f"SELECT model_name, CAST(anchor_days AS INT) AS anchor_days, {STRADDLE_MEANS}, round(avg(gross_return - cost)/greatest(stddev_samp(gross_return - cost), 1.0e-12), 5) AS sharpe_ratio FROM returns GROUP BY 1, 2",
+    "WITH" + monthly_sql(STRADDLE_SQL) + f"SELECT model_name, CAST(anchor_days AS INT) AS anchor_days, {STRADDLE_MEANS}, round(avg(gross_return - cost)/greatest(stddev_samp(gross_return - cost), 1.0e-12), 5) AS sharpe_ratio FROM returns GROUP BY 1, 2",
 )
 def straddle_summary(spark, sf_dir):
-    rows = score.straddle_summary(straddle_returns_panel(spark, sf_dir))
+    rows = score.straddle_summary(Panel(spark, sf_dir, "month").straddles())
     return rounded(rounded(rows, 6, "mean_net_return", "hit_rate"), 5, "sharpe_ratio")
 
 
 @register(
     "annualized_straddle",
     "AGG24",
-    "WITH" + STRADDLE_SQL + f"SELECT model_name, CAST(anchor_days AS INT) AS anchor_days, round(avg(gross_return), 6) AS mean_gross_return, {STRADDLE_MEANS}, round(CASE WHEN stddev_samp(gross_return - cost) > 0 THEN sqrt(252.0e0)*avg(gross_return - cost)/stddev_samp(gross_return - cost) ELSE 0.0e0 END, 4) AS sharpe_ratio FROM returns GROUP BY 1, 2",
+    "WITH" + monthly_sql(STRADDLE_SQL) + f"SELECT model_name, CAST(anchor_days AS INT) AS anchor_days, round(avg(gross_return), 6) AS mean_gross_return, {STRADDLE_MEANS}, round(CASE WHEN stddev_samp(gross_return - cost) > 0 THEN sqrt(252.0e0)*avg(gross_return - cost)/stddev_samp(gross_return - cost) ELSE 0.0e0 END, 4) AS sharpe_ratio FROM returns GROUP BY 1, 2",
 )
 def annualized_straddle(spark, sf_dir):
-    rows = score.annualized_straddle(straddle_returns_panel(spark, sf_dir))
+    rows = score.annualized_straddle(Panel(spark, sf_dir, "month").straddles())
     return rounded(rounded(rows, 6, "mean_gross_return", "mean_net_return", "hit_rate"), 4, "sharpe_ratio")
 
 
 @register(
     "hedged_summary",
     "AGG25",
-    "WITH" + CARRIED_SQL + f"""SELECT model_name, bucket, round(avg(rmse), 4) AS hedged_pnl_rmse, round(avg(mae), 4) AS hedged_pnl_mae FROM (
+    "WITH" + monthly_sql(CARRIED_SQL) + f"""SELECT model_name, bucket, round(avg(rmse), 4) AS hedged_pnl_rmse, round(avg(mae), 4) AS hedged_pnl_mae FROM (
   SELECT {FORECAST}, bucket, sqrt(avg(e*e)) AS rmse, avg(abs(e)) AS mae FROM bucketed GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2""",
 )
 def hedged_summary(spark, sf_dir):
     columns = ("hedged_pnl_rmse", "hedged_pnl_mae")
-    return rounded(score.summary_table(hedged_panel(spark, sf_dir), columns, ("model_name", "bucket")), 4, *columns)
+    return rounded(score.summary_table(Panel(spark, sf_dir, "month").hedged(), columns, ("model_name", "bucket")), 4, *columns)
 
 
 # --- calibration ------------------------------------------------------------------------------
