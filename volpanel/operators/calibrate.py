@@ -103,7 +103,7 @@ def lattice_round(nodes: DataFrame, centres: DataFrame, lattice: Lattice, round_
     """
     keys = list(key)
     packed = with_candidates(centres, lattice, round_no).select(*key, "candidates")
-    wide = nodes.join(packed, keys).select(*key, "m", "tau", "node_iv", "node_vega", "_theta", F.inline("candidates"))
+    wide = nodes.join(packed, keys).select(*key, "m", "tau", "node_iv", "node_vega", "_theta", F.inline_outer("candidates"))
     rho, k = F.col("rho"), F.col("_k")
     valued = (
         wide.withColumn("_t", F.col("_theta") * F.col("scale"))
@@ -130,15 +130,16 @@ def lattice_fit(
     nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, lattice: Lattice = Lattice(), checkpoint: bool = True
 ) -> DataFrame:
     """Surface state per date from the refining lattice; columns are the parameters and ``loss``."""
-    thetas = surface.interpolated_thetas(surface.atm_total_variance(nodes, key), key)
-    slim = nodes.select(*key, "m", "tau", "node_iv", "node_vega").join(thetas, list(key))
-    valued = slim.select(
+    keep = nodes.select(*key, "expiration", "strike", "m", "tau", "node_iv", "node_vega")
+    slim = cut_lineage(keep) if checkpoint else keep
+    thetas = surface.interpolated_thetas(surface.atm_total_variance(slim, key), key)
+    thetas = cut_lineage(thetas) if checkpoint else thetas
+    at_nodes = slim.join(thetas, list(key)).select(
         *key, "m", "tau", "node_iv", "node_vega",
         F.greatest(ssvi.theta_curve("tau"), F.lit(ssvi.EPSILON)).alias("_theta"),
     )
-    if checkpoint:
-        thetas, valued = cut_lineage(thetas), cut_lineage(valued)
-    valued = spread_groups(valued, key, ("m", "tau"), NODES_PER_TASK)
+    valued = spread_groups(at_nodes, key, ("m", "tau"), NODES_PER_TASK)
+    valued = cut_lineage(valued) if checkpoint else valued
     best = thetas.select(
         *key,
         F.lit(lattice.rho[0]).alias("c_rho"),

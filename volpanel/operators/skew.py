@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def parallelism(df: DataFrame) -> int:
-    """Partitions for compute-heavy stages: at least the cluster's cores and the shuffle setting."""
+    """Partitions for compute-heavy stages: three per core, and never below the shuffle setting."""
     spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread_groups(
