@@ -7,6 +7,7 @@ from volpanel.plans import (  # noqa: F401
     queries_forecast,
     queries_quotes,
     queries_score,
+    queries_storage,
     queries_surface,
 )
 from volpanel.plans.registry import COVERS, ORACLES, QUERIES
