@@ -19,12 +19,15 @@ TIE_TOLERANCE = 1e-9
 
 # --- loss panels ------------------------------------------------------------------------------
 
-def loss_series(losses: DataFrame, metrics: tuple[str, ...] = ("rmse_iv", "vega_rmse_iv")) -> DataFrame:
-    """Squared metrics of a loss panel as long rows (metric, model, target date, loss)."""
+def loss_series(
+    losses: DataFrame, metrics: tuple[str, ...] = ("rmse_iv", "vega_rmse_iv"), by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Squared metrics of a loss panel as long rows (panel, metric, model, target date, loss)."""
     entries = F.array(
         *[F.struct(F.lit(f"{m}_sq").alias("metric"), (F.col(m) * F.col(m)).alias("loss")) for m in metrics]
     )
-    return losses.select("model_name", "target_date", F.inline(entries)).select("metric", "model_name", "target_date", "loss")
+    long = losses.select(*by, "model_name", "target_date", F.inline(entries))
+    return long.select(*by, "metric", "model_name", "target_date", "loss")
 
 
 def aligned_losses(losses: DataFrame, models: list[str], by: tuple[str, ...] = PANEL) -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries, gathered from the query modules."""
 
 from volpanel.plans import (  # noqa: F401
+    queries_backtest,
     queries_chain,
     queries_compare,
     queries_daily,
