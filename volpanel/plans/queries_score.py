@@ -148,7 +148,7 @@ dense AS (
     "WITH" + FORECAST_GRID_SQL + CERTIFICATE_SQL.replace("SELECT quote_date, option_root,", f"SELECT {FORECAST},").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3, 4"),
 )
 def forecast_certificates(spark, sf_dir):
-    return rounded(score.forecast_certificates(Panel(spark, sf_dir).forecasts()), 8, *RESIDUALS)
+    return rounded(score.forecast_certificates(Panel(spark, sf_dir).forecasts()), 11, *RESIDUALS)
 
 
 D1 = "(ln(forward_price/strike)/width + 0.5e0*width)"

@@ -11,14 +11,14 @@ from volpanel.session import scratch_path
 from volpanel.sources import partitions
 from volpanel.streaming import nodes as stream
 
-MONTH = F.to_date(F.date_trunc("month", "quote_date"))
 MONTH_SQL = "CAST(date_trunc('month', quote_date) AS DATE)"
 
 
 def monthly_dataset(spark, sf_dir):
     """All quotes written by month and read back."""
     path = scratch_path(spark, "quotes")
-    partitions.write_date_partitions(quotes(spark, sf_dir).withColumn("quote_date", MONTH), path)
+    month = F.to_date(F.date_trunc("month", "quote_date"))
+    partitions.write_date_partitions(quotes(spark, sf_dir).withColumn("quote_date", month), path)
     return partitions.read_partitions(spark, path)
 
 

@@ -15,7 +15,7 @@ from volpanel.plans.shape import rounded
 KEEP = "quote_date, option_root"
 KEY = surface.STATE_KEY
 LAM = '"lambda"'
-PARAMS_SQL = ", ".join(f'round("{c}", 8) AS "{c}"' for c in ssvi.PARAMETER_COLUMNS)
+PARAMS_SQL = ", ".join(f'round("{c}", 11) AS "{c}"' for c in ssvi.PARAMETER_COLUMNS)
 M_SQL = "[" + ", ".join(sql.num(v) for v in surface.certification_moneyness()) + "]"
 TAU_SQL = "[" + ", ".join(sql.num(v) for v in surface.certification_taus()) + "]"
 
@@ -52,31 +52,31 @@ def states(spark, sf_dir, eta_raw=-1.0, crossed=False):
 )
 def latent_to_constrained(spark, sf_dir):
     rows = states(spark, sf_dir, 2.0, True).select(*KEY, *ssvi.PARAMETER_COLUMNS)
-    return rounded(rows, 8, *ssvi.PARAMETER_COLUMNS)
+    return rounded(rows, 11, *ssvi.PARAMETER_COLUMNS)
 
 
 @register(
     "constrained_to_latent",
     "PRJ18",
     "WITH" + states_sql() + f"SELECT {KEEP}, "
-    + ", ".join(f"round(ln(greatest({c}, 1.0e-12)), 7) AS {z}" for c, z in zip(ssvi.THETA_COLUMNS, ssvi.LATENT_COLUMNS))
-    + """, round(atanh(least(greatest(rho, -0.999999e0), 0.999999e0)), 7) AS state_z_011,
-  round(ln(greatest(eta, 1.0e-12)), 7) AS state_z_012, round(ln(2.0e0*"lambda"/(1.0e0-2.0e0*"lambda")), 7) AS state_z_013
+    + ", ".join(f"round(ln(greatest({c}, 1.0e-12)), 10) AS {z}" for c, z in zip(ssvi.THETA_COLUMNS, ssvi.LATENT_COLUMNS))
+    + """, round(atanh(least(greatest(rho, -0.999999e0), 0.999999e0)), 10) AS state_z_011,
+  round(ln(greatest(eta, 1.0e-12)), 10) AS state_z_012, round(ln(2.0e0*"lambda"/(1.0e0-2.0e0*"lambda")), 10) AS state_z_013
 FROM states""",
 )
 def constrained_to_latent(spark, sf_dir):
     decoded = states(spark, sf_dir).select(*KEY, *ssvi.PARAMETER_COLUMNS)
-    return rounded(ssvi.with_latent(decoded).select(*KEY, *ssvi.LATENT_COLUMNS), 7, *ssvi.LATENT_COLUMNS)
+    return rounded(ssvi.with_latent(decoded).select(*KEY, *ssvi.LATENT_COLUMNS), 10, *ssvi.LATENT_COLUMNS)
 
 
 @register(
     "eta_cap",
     "PRJ19",
-    "WITH" + states_sql() + f"SELECT {KEEP}, round({sql.eta_cap('theta_d730', 'rho', LAM)}, 7) AS eta_cap FROM states",
+    "WITH" + states_sql() + f"SELECT {KEEP}, round({sql.eta_cap('theta_d730', 'rho', LAM)}, 10) AS eta_cap FROM states",
 )
 def eta_cap(spark, sf_dir):
     cap = ssvi.eta_cap("theta_d730", "rho", "lambda")
-    return rounded(states(spark, sf_dir).select(*KEY, cap.alias("eta_cap")), 7, "eta_cap")
+    return rounded(states(spark, sf_dir).select(*KEY, cap.alias("eta_cap")), 10, "eta_cap")
 
 
 @register(
@@ -100,56 +100,56 @@ def parameter_validity(spark, sf_dir):
     + " UNION ALL ".join(f"SELECT {KEEP}, {d} AS knot_days, exp(state_z_{i:03d}) AS raised FROM latent" for i, d in enumerate(ssvi.KNOT_DAYS))
     + """)
 SELECT quote_date, option_root, CAST(knot_days AS INT) AS knot_days,
-       round(max(raised) OVER (PARTITION BY quote_date, option_root ORDER BY knot_days), 8) AS running_max FROM long""",
+       round(max(raised) OVER (PARTITION BY quote_date, option_root ORDER BY knot_days), 11) AS running_max FROM long""",
 )
 def running_max_knots(spark, sf_dir):
     raised = F.array(*[F.struct(F.lit(d).alias("knot_days"), F.exp(c).alias("raised")) for d, c in zip(ssvi.KNOT_DAYS, ssvi.LATENT_COLUMNS)])
     long = latent_states(spark, sf_dir, -1.0, True).select(*KEY, F.inline(raised))
     out = surface.running_max_long(long, "raised", "knot_days").drop("raised")
-    return rounded(out, 8, "running_max")
+    return rounded(out, 11, "running_max")
 
 
 @register(
     "theta_curve",
     "SRF1",
     "WITH" + states_sql() + f""", taus AS (SELECT unnest({TAU_SQL} || [0.01e0, 3.0e0]) AS tau)
-SELECT {KEEP}, round(tau, 8) AS tau, round({sql.theta_curve()}, 8) AS theta FROM states, taus""",
+SELECT {KEEP}, round(tau, 11) AS tau, round({sql.theta_curve()}, 11) AS theta FROM states, taus""",
 )
 def theta_curve(spark, sf_dir):
     taus = surface.literal_array([*surface.certification_taus(), 0.01, 3.0])
     rows = states(spark, sf_dir).withColumn("tau", F.explode(taus))
-    return rounded(rows.select(*KEY, "tau", ssvi.theta_curve("tau").alias("theta")), 8, "tau", "theta")
+    return rounded(rows.select(*KEY, "tau", ssvi.theta_curve("tau").alias("theta")), 11, "tau", "theta")
 
 
 @register(
     "surface_grid",
     "SRF2 SRF3 JON14",
     "WITH" + grid_sql() + """SELECT quote_date, option_root, CAST(tau_no - 1 AS INT) AS tau_no, CAST(m_no - 1 AS INT) AS m_no,
-       round(total_variance, 8) AS total_variance, round(sqrt(total_variance/greatest(tau, 1.0e-12)), 8) AS implied_vol,
-       round(g, 8) AS butterfly_g FROM dense""",
+       round(total_variance, 11) AS total_variance, round(sqrt(total_variance/greatest(tau, 1.0e-12)), 11) AS implied_vol,
+       round(g, 11) AS butterfly_g FROM dense""",
 )
 def surface_grid(spark, sf_dir):
     grid = surface.on_grid(states(spark, sf_dir), surface.certification_moneyness(), surface.certification_taus())
     valued = ssvi.with_butterfly(ssvi.with_implied_vol(grid, "implied_vol"))
     columns = ("total_variance", "implied_vol", "butterfly_g")
-    return rounded(valued.select(*KEY, "tau_no", "m_no", *columns), 8, *columns)
+    return rounded(valued.select(*KEY, "tau_no", "m_no", *columns), 11, *columns)
 
 
 @register(
     "calendar_residuals",
     "WIN14",
     "WITH" + grid_sql() + """SELECT quote_date, option_root, CAST(tau_no - 1 AS INT) AS tau_no, CAST(m_no - 1 AS INT) AS m_no,
-       round(step, 8) AS calendar_residual FROM dense WHERE step IS NOT NULL""",
+       round(step, 11) AS calendar_residual FROM dense WHERE step IS NOT NULL""",
 )
 def calendar_residuals(spark, sf_dir):
     rows = surface.calendar_residuals(states(spark, sf_dir)).select(*KEY, "tau_no", "m_no", "calendar_residual")
-    return rounded(rows, 8, "calendar_residual")
+    return rounded(rows, 11, "calendar_residual")
 
 
 CERTIFICATE_SQL = """
 SELECT quote_date, option_root,
-       round(CASE WHEN count(*) FILTER (step < -1.0e-8) > 0 THEN min(step) ELSE 0.0e0 END, 8) AS max_negative_calendar_residual,
-       round(CASE WHEN count(*) FILTER (g < -1.0e-8) > 0 THEN min(g) ELSE 0.0e0 END, 8) AS max_negative_butterfly_residual,
+       round(CASE WHEN count(*) FILTER (step < -1.0e-8) > 0 THEN min(step) ELSE 0.0e0 END, 11) AS max_negative_calendar_residual,
+       round(CASE WHEN count(*) FILTER (g < -1.0e-8) > 0 THEN min(g) ELSE 0.0e0 END, 11) AS max_negative_butterfly_residual,
        CAST(count(*) FILTER (step < -1.0e-8) AS BIGINT) AS calendar_violation_count,
        CAST(count(*) FILTER (g < -1.0e-8) AS BIGINT) AS butterfly_violation_count,
        count(*) FILTER (step < -1.0e-8) = 0 AND count(*) FILTER (g < -1.0e-8) = 0 AS passes_static_arb
@@ -159,7 +159,7 @@ RESIDUALS = ("max_negative_calendar_residual", "max_negative_butterfly_residual"
 
 @register("certification", "SRF4 JON14 WIN14", "WITH" + grid_sql() + CERTIFICATE_SQL)
 def certification(spark, sf_dir):
-    return rounded(surface.certify(states(spark, sf_dir)), 8, *RESIDUALS)
+    return rounded(surface.certify(states(spark, sf_dir)), 11, *RESIDUALS)
 
 
 BROKEN_ETA = 8.0
@@ -174,7 +174,7 @@ BROKEN_ETA = 8.0
 def certification_violations(spark, sf_dir):
     """An eta far beyond its cap and a falling last knot must be caught."""
     broken = states(spark, sf_dir).withColumns({"eta": F.lit(BROKEN_ETA), "theta_d730": F.col("theta_d010")})
-    return rounded(surface.certify(broken), 8, *RESIDUALS)
+    return rounded(surface.certify(broken), 11, *RESIDUALS)
 
 
 # --- start values from nodes ------------------------------------------------------------------
@@ -202,7 +202,7 @@ def nearest_nodes(spark, sf_dir):
     "skew_start",
     "AGG28",
     "WITH" + sql.NODES_SQL + """,
-skew AS (SELECT option_root, quote_date, regr_slope(node_iv, m) FILTER (abs(m) <= 0.25e0) AS slope,
+skew AS (SELECT option_root, quote_date, CASE WHEN NOT isnan(regr_slope(node_iv, m) FILTER (abs(m) <= 0.25e0)) THEN regr_slope(node_iv, m) FILTER (abs(m) <= 0.25e0) END AS slope,
                 count(*) FILTER (abs(m) <= 0.25e0) AS n FROM nodes GROUP BY 1, 2)
 SELECT option_root, quote_date, round(slope, 5) AS skew_slope, CAST(n AS BIGINT) AS skew_samples,
        round(CASE WHEN n >= 3 THEN least(greatest(tanh(-8.0e0*slope), -0.8e0), 0.8e0) ELSE -0.4e0 END, 5) AS rho FROM skew""",
