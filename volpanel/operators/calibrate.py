@@ -31,45 +31,52 @@ NODES_PER_TASK = 2000
 
 @dataclass(frozen=True)
 class Lattice:
-    """Centre, half-width and number of steps per searched parameter, and how widths shrink per round."""
+    """Centre and half-width per searched parameter; every round shrinks the widths by ``shrink``.
 
-    rho: tuple[float, float, int] = (-0.2, 0.75, 7)
-    log_eta: tuple[float, float, int] = (-0.2, 1.6, 7)
-    lam: tuple[float, float, int] = (0.25, 0.24, 5)
-    scale: tuple[float, float, int] = (1.0, 0.1, 5)
-    rounds: int = 3
+    ``steps`` gives the points along (rho, log eta, lambda, variance scale) for each round: a wide
+    first search and two finer ones.
+    """
+
+    rho: tuple[float, float] = (-0.2, 0.75)
+    log_eta: tuple[float, float] = (-0.2, 1.6)
+    lam: tuple[float, float] = (0.25, 0.24)
+    scale: tuple[float, float] = (1.0, 0.1)
+    steps: tuple[tuple[int, int, int, int], ...] = ((7, 7, 5, 5), (5, 5, 5, 3), (5, 5, 5, 3))
     shrink: float = 0.4
 
+    def axes(self, round_no: int) -> list[list[float]]:
+        """Offsets from the centre along each parameter."""
+        width = self.shrink**round_no
+        ranges = (self.rho, self.log_eta, self.lam, self.scale)
+        return [
+            [o * half * width for o in offsets(n)] for (_, half), n in zip(ranges, self.steps[round_no])
+        ]
+
 
 def offsets(steps: int) -> list[float]:
     return [-1.0 + 2.0 * i / (steps - 1) for i in range(steps)]
 
 
-def candidate_array(lattice: Lattice, shrink: float) -> Column:
-    """The lattice as a literal array of parameter offsets, a constant of the plan."""
-    axes = [
-        [o * width * shrink for o in offsets(steps)]
-        for _, width, steps in (lattice.rho, lattice.log_eta, lattice.lam, lattice.scale)
-    ]
-
-    def literal(values: list[float]) -> Column:
-        return F.array(*[F.lit(v) for v in values])
-
-    n_eta, n_lam, n_scale = len(axes[1]), len(axes[2]), len(axes[3])
-    total = len(axes[0]) * n_eta * n_lam * n_scale
-    number = F.sequence(F.lit(0), F.lit(total - 1))
+def candidate_array(lattice: Lattice, round_no: int) -> Column:
+    """The lattice of a round as an array of numbered parameter offsets, a constant of the plan."""
+    axes = lattice.axes(round_no)
+    sizes = [len(axis) for axis in axes]
+    total = sizes[0] * sizes[1] * sizes[2] * sizes[3]
+    divisors = (sizes[1] * sizes[2] * sizes[3], sizes[2] * sizes[3], sizes[3], 1)
+    literals = [F.array(*[F.lit(v) for v in axis]) for axis in axes]
 
-    def pick(axis: int, divisor: int, size: int):
-        return lambda i: F.element_at(literal(axes[axis]), (F.floor(i / F.lit(divisor)) % size + 1).cast("int"))
+    def pick(axis: int, i: Column) -> Column:
+        at = F.floor(i / F.lit(divisors[axis])) % F.lit(sizes[axis]) + 1
+        return F.element_at(literals[axis], at.cast("int"))
 
     return F.transform(
-        number,
+        F.sequence(F.lit(0), F.lit(total - 1)),
         lambda i: F.struct(
             i.alias("candidate_id"),
-            pick(0, n_eta * n_lam * n_scale, len(axes[0]))(i).alias("d_rho"),
-            pick(1, n_lam * n_scale, n_eta)(i).alias("d_log_eta"),
-            pick(2, n_scale, n_lam)(i).alias("d_lam"),
-            pick(3, 1, n_scale)(i).alias("d_scale"),
+            pick(0, i).alias("d_rho"),
+            pick(1, i).alias("d_log_eta"),
+            pick(2, i).alias("d_lam"),
+            pick(3, i).alias("d_scale"),
         ),
     )
 
@@ -79,7 +86,7 @@ def with_candidates(centres: DataFrame, lattice: Lattice, round_no: int, out: st
 
     Eta never exceeds its cap, so equal surfaces can occur; ties go to the smaller candidate number.
     """
-    array = candidate_array(lattice, lattice.shrink**round_no)
+    array = candidate_array(lattice, round_no)
 
     def admissible(d: Column) -> Column:
         rho = clip(F.col("c_rho") + d["d_rho"], -0.98, 0.98)
@@ -148,7 +155,7 @@ def lattice_fit(
         F.lit(lattice.scale[0]).alias("c_scale"),
     )
     top = thetas.select(*key, ssvi.THETA_COLUMNS[-1])
-    for round_no in range(lattice.rounds):
+    for round_no in range(len(lattice.steps)):
         best = lattice_round(valued, best.join(top, list(key)), lattice, round_no, key)
         if checkpoint:
             best = cut_lineage(best)

@@ -118,12 +118,13 @@ def deduplicate(df: DataFrame, key: tuple[str, ...] = CONTRACT_KEY, copies: str
     leaves each task as one row. The conflict report groups those rows by key with a plain count.
     """
     rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
-    conflicts = (
-        rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("variants"), F.sum(copies).alias("rows"))
-        .where(F.col("variants") > 1)
-    )
-    return Deduplicated(rows, conflicts)
+    return Deduplicated(rows, conflicting_keys(rows, key, copies))
+
+
+def conflicting_keys(rows: DataFrame, key: tuple[str, ...] = CONTRACT_KEY, copies: str = "copies") -> DataFrame:
+    """Keys that still have several different rows after exact copies were collapsed."""
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("variants"), F.sum(copies).alias("rows"))
+    return counted.where(F.col("variants") > 1)
 
 
 def mixed_date_files(df: DataFrame, file_col: str = "source_file") -> DataFrame:

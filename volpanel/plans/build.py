@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
 from volpanel.operators import calendar, calibrate, clean, features, ledger, nodes, parity, score, surface
-from volpanel.operators.keys import STATE_KEY
+from volpanel.operators.keys import EXPIRY_KEY, STATE_KEY
 from volpanel.session import cut_lineage
 
 PANEL_DATE = ("quote_date", "root")
@@ -37,9 +37,10 @@ class Stages:
     def __init__(self, out: str | None = None):
         self.out, self.tables = out, {}
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, leaf: bool = False) -> DataFrame:
+        """Stage a table; a leaf that no later stage reads stays lazy unless it is to be written."""
         if self.out is None:
-            kept = cut_lineage(df)
+            kept = df if leaf else cut_lineage(df)
         else:
             path = f"{self.out.rstrip('/')}/{name}"
             df.write.mode("overwrite").parquet(path)
@@ -80,8 +81,11 @@ def build_panel(
         contracts = stages.keep("contracts", quotes)
         raw_dates = contracts
     else:
-        cleaned = clean.clean_contracts(quotes, early_closes, settings.rules).require_no_conflicts()
-        contracts = stages.keep("contracts", cleaned.rows.drop("copies"))
+        cleaned = clean.clean_contracts(quotes, early_closes, settings.rules)
+        # Write first, then look for conflicts in the written rows: the raw quotes are read once.
+        distinct = stages.keep("contracts", cleaned.rows)
+        clean.Deduplicated(distinct, clean.conflicting_keys(distinct)).require_no_conflicts()
+        contracts = distinct.drop("copies")
         raw_dates = quotes.withColumn("option_root", F.col("root"))
     raw_counts = stages.keep(
         "raw_counts", raw_dates.groupBy("option_root", "quote_date").agg(F.count(F.lit(1)).alias("subset_rows"))
@@ -94,7 +98,8 @@ def build_panel(
     terms = parity.forward_terms(diagnostics)
     stages.tables["forward_terms"] = terms
 
-    all_nodes = nodes.collapse_nodes(nodes.contracts_with_forward(contracts, terms))
+    # Joined on the expiry key, whose partitioning the collapse per strike can reuse.
+    all_nodes = nodes.collapse_nodes(nodes.contracts_with_forward(contracts, terms, EXPIRY_KEY))
     all_nodes = stages.keep("all_nodes", all_nodes)
     quality = stages.keep(
         "date_quality", nodes.date_quality(all_nodes, settings.min_nodes, settings.min_expiries, PANEL_DATE)
@@ -125,7 +130,7 @@ def build_panel(
     stages.tables["exclusions"] = excluded
 
     daily = daily_diagnostics(raw_counts, contracts, diagnostics, quality)
-    stages.keep("stage_ledger", ledger.stage_ledger(index, daily, kept, excluded, settings.min_nodes, settings.min_expiries))
+    stages.keep("stage_ledger", ledger.stage_ledger(index, daily, kept, excluded, settings.min_nodes, settings.min_expiries), leaf=True)
     return stages
 
 
@@ -175,26 +180,26 @@ def run_experiment(build: Stages, settings: ExperimentSettings, out: str | None
 
     priced_source = nodes.contracts_with_forward(contracts, build.forward_terms)
     priced_source = stages.keep("contracts_with_forward", priced_source)
-    predicted = stages.keep("node_forecasts", score.node_forecasts(forecasts, panel))
+    predicted = stages.keep("node_forecasts", score.node_forecasts(forecasts, panel), leaf=True)
     losses = stages.keep("loss_panel", score.node_losses(predicted))
-    stages.keep("certificates", score.forecast_certificates(forecasts))
-    priced = stages.keep("contract_forecasts", score.contract_forecasts(forecasts, priced_source))
-    stages.keep("pricing_utility", score.pricing_utility(priced))
+    stages.keep("certificates", score.forecast_certificates(forecasts), leaf=True)
+    priced = stages.keep("contract_forecasts", score.contract_forecasts(forecasts, priced_source), leaf=True)
+    stages.keep("pricing_utility", score.pricing_utility(priced), leaf=True)
 
     carried = score.carried_contracts(priced_source, priced)
-    stages.keep("hedged_utility", score.hedged_utility(carried, score.hedge_buckets(priced_source)))
+    stages.keep("hedged_utility", score.hedged_utility(carried, score.hedge_buckets(priced_source)), leaf=True)
     steps = kept.select("option_root", "quote_date", "target_date")
     straddles = score.carried_straddles(score.straddle_pairs(priced_source), priced_source, steps)
-    stages.keep("straddle_returns", score.straddle_returns(straddles, states, forecasts))
+    stages.keep("straddle_returns", score.straddle_returns(straddles, states, forecasts), leaf=True)
 
     by = ("option_root", "metric")
     series = stages.keep("loss_series", compare.loss_series(losses, by=("option_root",)))
     compare.require_comparable(series, by=by)
-    stages.keep("diebold_mariano", compare.diebold_mariano(series, settings.bandwidth, by=by))
+    stages.keep("diebold_mariano", compare.diebold_mariano(series, settings.bandwidth, by=by), leaf=True)
     bootstrap = settings.bootstrap or compare.BootstrapSettings()
     mcs = compare.confidence_set_steps(series, settings.alpha, bootstrap, by)
-    stages.keep("confidence_set_steps", mcs)
-    stages.keep("confidence_set", compare.confidence_set(mcs, series, by))
+    stages.keep("confidence_set_steps", mcs, leaf=True)
+    stages.keep("confidence_set", compare.confidence_set(mcs, series, by), leaf=True)
     stages.tables["loss_summary"] = score.summary_table(losses, ("vega_rmse_iv", "rmse_iv", "mae_iv"))
     stages.tables["straddle_summary"] = score.straddle_summary(stages.straddle_returns)
     return stages

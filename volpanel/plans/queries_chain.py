@@ -23,7 +23,9 @@ def chain_contracts(spark: SparkSession, sf_dir: str, period: str = "quarter") -
 
 
 def chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.collapse_nodes(chain_contracts(spark, sf_dir))
+    contracts = chain(spark, sf_dir)
+    terms = parity.forward_terms(parity.forward_diagnostics(contracts))
+    return nodes.collapse_nodes(nodes.contracts_with_forward(contracts, terms, EXPIRY_KEY))
 
 
 @register(

@@ -358,9 +358,8 @@ def hedged_summary(spark, sf_dir):
 
 # --- calibration ------------------------------------------------------------------------------
 
-def lattice_values(axis: tuple[float, float, int], shrink: float) -> str:
-    values = [o * axis[1] * shrink for o in calibrate.offsets(axis[2])]
-    return ", ".join(f"({i}, {sql.num(v)})" for i, v in enumerate(values))
+def lattice_values(axis: list[float]) -> str:
+    return ", ".join(f"({i}, {sql.num(v)})" for i, v in enumerate(axis))
 
 
 def lattice_sql(lattice: calibrate.Lattice) -> str:
@@ -387,16 +386,16 @@ at_nodes AS MATERIALIZED (SELECT option_root, quote_date, m, tau, node_iv, node_
   FROM nodes JOIN knots USING (option_root, quote_date)),
 best0 AS (SELECT option_root, quote_date, theta_d730, {sql.num(lattice.rho[0])} AS rho, {sql.num(lattice.log_eta[0])} AS log_eta,
                  {sql.num(lattice.lam[0])} AS lam, {sql.num(lattice.scale[0])} AS scale, 0.0e0 AS loss FROM knots)"""
-    for r in range(lattice.rounds):
-        shrink = lattice.shrink**r
+    for r in range(len(lattice.steps)):
+        axes, counts = lattice.axes(r), lattice.steps[r]
         text += f""",
 tried{r} AS (
   SELECT option_root, quote_date, candidate_id, theta_d730, rho, lam, scale, least(exp(log_eta), {sql.eta_cap('theta_d730*scale', 'rho', 'lam')}) AS eta
-  FROM (SELECT b.option_root, b.quote_date, b.theta_d730, ((a.i*{lattice.log_eta[2]} + e.i)*{lattice.lam[2]} + l.i)*{lattice.scale[2]} + s.i AS candidate_id,
+  FROM (SELECT b.option_root, b.quote_date, b.theta_d730, ((a.i*{counts[1]} + e.i)*{counts[2]} + l.i)*{counts[3]} + s.i AS candidate_id,
                least(greatest(b.rho + a.v, -0.98e0), 0.98e0) AS rho, b.log_eta + e.v AS log_eta,
                least(greatest(b.lam + l.v, 1.0e-6), 0.499999e0) AS lam, b.scale + s.v AS scale
-        FROM best{r} b, (VALUES {lattice_values(lattice.rho, shrink)}) a(i, v), (VALUES {lattice_values(lattice.log_eta, shrink)}) e(i, v),
-             (VALUES {lattice_values(lattice.lam, shrink)}) l(i, v), (VALUES {lattice_values(lattice.scale, shrink)}) s(i, v))),
+        FROM best{r} b, (VALUES {lattice_values(axes[0])}) a(i, v), (VALUES {lattice_values(axes[1])}) e(i, v),
+             (VALUES {lattice_values(axes[2])}) l(i, v), (VALUES {lattice_values(axes[3])}) s(i, v))),
 scored{r} AS (
   SELECT option_root, quote_date, candidate_id, sum(node_vega*CASE WHEN abs(err) <= 0.01e0 THEN 0.5e0*err*err ELSE 0.01e0*(abs(err) - 0.005e0) END)/sum(node_vega) AS loss
   FROM (SELECT option_root, quote_date, candidate_id, node_vega,
@@ -410,7 +409,7 @@ best{r + 1} AS MATERIALIZED (
   JOIN tried{r} c USING (option_root, quote_date, candidate_id) WHERE s.r = 1)"""
     return text + f""",
 fitted AS (SELECT option_root, quote_date, {', '.join(f'k.{c}*b.scale AS {c}' for c in thetas)}, b.rho, exp(b.log_eta) AS eta, b.lam AS "lambda", b.loss
-  FROM best{lattice.rounds} b JOIN knots k USING (option_root, quote_date))
+  FROM best{len(lattice.steps)} b JOIN knots k USING (option_root, quote_date))
 """
 
 

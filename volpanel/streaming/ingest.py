@@ -41,10 +41,13 @@ def start_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = vendor.ingest(batch, underlying, option_root)
-        cleaned = clean.clean_contracts(rows.drop("option_root"), rules=rules).require_no_conflicts()
-        kept = cleaned.rows.drop("copies")
-        if not kept.isEmpty():
-            write_date_partitions(kept, out)
+        distinct = clean.clean_contracts(rows.drop("option_root"), rules=rules).rows.persist()
+        try:
+            clean.Deduplicated(distinct, clean.conflicting_keys(distinct)).require_no_conflicts()
+            if not distinct.isEmpty():
+                write_date_partitions(distinct.drop("copies"), out)
+        finally:
+            distinct.unpersist()
 
     return (
         archive_stream(spark, root)
