@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volpanel.operators import parity
 from volpanel.operators.keys import EXPIRY_KEY, NODE_KEY
 
 MIN_NODES = 40
@@ -36,27 +37,57 @@ def require_empty(report: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {shown}")
 
 
-def collapse_nodes(joined: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
-    """Vega-weighted node per strike.
+NODE_COLUMNS = (
+    "option_root", "tau", "m", "node_iv", "node_vega", "active_underlying_price_1545", "trade_volume", "open_interest",
+    "median_rel_spread_1545", "forward_price", "discount_factor", "collapsed_contract_count",
+)
+
+
+def node_aggregates() -> list[Column]:
+    """Vega-weighted summary of the legs of a strike.
 
     The duplicate policy leaves at most one call and one put per strike, so the exact median sees
     a handful of values per group whatever the size of the input.
     """
     iv, vega = F.col("implied_volatility_1545"), F.col("vega_1545")
-    return joined.groupBy(*key).agg(
+    return [
         F.min("option_root").alias("option_root"),
         F.min("tau").alias("tau"),
-        F.min("m").alias("m"),
         F.try_divide(F.sum(iv * vega), F.sum(vega)).alias("node_iv"),
         F.sum(vega).alias("node_vega"),
         F.avg("active_underlying_price_1545").alias("active_underlying_price_1545"),
         F.sum("trade_volume").alias("trade_volume"),
         F.sum("open_interest").alias("open_interest"),
         F.median("rel_spread_1545").alias("median_rel_spread_1545"),
-        F.min("forward_price").alias("forward_price"),
-        F.min("discount_factor").alias("discount_factor"),
         F.count(F.lit(1)).alias("collapsed_contract_count"),
-    )
+    ]
+
+
+def strike_table(contracts: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
+    """Both legs and the node summary of every strike from one pass over the contracts.
+
+    Everything after it works on strikes: the only exchange of contract rows is this one, on the
+    full node key, so a hot date or expiry is spread over its strikes.
+    """
+    return contracts.groupBy(*key).agg(*node_aggregates(), *parity.leg_columns())
+
+
+def nodes_of(strikes: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
+    """Nodes from strike rows that carry a forward; strikes of invalid expiries drop out."""
+    valued = strikes.where(F.col("forward_price").isNotNull()).withColumn("m", F.ln(F.col("strike") / F.col("forward_price")))
+    return valued.select(*key, *NODE_COLUMNS)
+
+
+def surface_nodes(contracts: DataFrame, min_pairs: int = parity.MIN_PAIRS, multiple: float = parity.MAD_MULTIPLE) -> DataFrame:
+    """Contracts to nodes: strike table, forward per expiry, moneyness. Two exchanges, no join."""
+    return nodes_of(parity.with_forward(strike_table(contracts), min_pairs=min_pairs, multiple=multiple))
+
+
+def collapse_nodes(contracts: DataFrame, terms: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
+    """Nodes from contracts and given forward terms: collapsed per strike first, then joined."""
+    summary = contracts.groupBy(*key).agg(*node_aggregates())
+    slim = terms.select(*EXPIRY_KEY, "discount_factor", "forward_price")
+    return nodes_of(summary.join(slim, list(EXPIRY_KEY)), key)
 
 
 def date_quality(

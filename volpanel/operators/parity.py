@@ -18,15 +18,20 @@ def strike_pairs(df: DataFrame, key: tuple[str, ...] = EXPIRY_KEY, strike: str =
     A conditional aggregation replaces the self-join: one shuffle on (key, strike), combined
     before the exchange, so a hot expiry is spread over its strikes.
     """
+    return df.groupBy(*key, strike).agg(*leg_columns())
+
+
+def leg_columns() -> list[Column]:
+    """Aggregates that put the call and the put of a strike side by side."""
     def leg(side: str, value: str) -> Column:
         return F.max(F.when(F.col("option_type") == side, F.col(value)))
 
-    return df.groupBy(*key, strike).agg(
+    return [
         leg("C", "mid_1545").alias("call_mid"),
         leg("P", "mid_1545").alias("put_mid"),
         leg("C", "vega_1545").alias("call_vega"),
         leg("P", "vega_1545").alias("put_vega"),
-    )
+    ]
 
 
 def matched_only(pairs: DataFrame) -> DataFrame:
@@ -90,27 +95,35 @@ def pruned_pairs(pairs: DataFrame, key: tuple[str, ...] = EXPIRY_KEY, multiple:
     return staged.withColumn("is_kept", F.coalesce(keep, F.lit(False))).drop("s", "sx", "sy", "sxx", "sxy", "deviation")
 
 
-def forward_diagnostics(
-    contracts: DataFrame,
+def with_forward(
+    pairs: DataFrame,
     key: tuple[str, ...] = EXPIRY_KEY,
     min_pairs: int = MIN_PAIRS,
     multiple: float = MAD_MULTIPLE,
 ) -> DataFrame:
-    """One row per expiry: pair counts, discount factor, forward and the reason it is invalid."""
-    pruned = pruned_pairs(strike_pairs(contracts, key), key, multiple)
+    """Strike rows with the outcome of their expiry: pair counts, discount factor, forward and reason.
+
+    The refit runs over the window that already holds the first fit, so a strike table becomes
+    forwards, diagnostics or nodes with a single exchange and without joining anything back.
+    """
+    group = Window.partitionBy(*key)
+    pruned = pruned_pairs(pairs, key, multiple)
     x, y, w = [F.when(F.col("is_kept"), F.col(c)) for c in ("strike", "y", "w")]
-    refit = pruned.groupBy(*key).agg(
-        F.max("matched_pairs_before_prune").alias("matched_pairs_before_prune"),
-        F.count(F.when(F.col("is_kept"), 1)).alias("kept_pairs"),
-        *[c.alias(n) for n, c in line_moments(x, y, w).items()],
+    staged = pruned.withColumns(
+        {
+            "kept_pairs": F.count(F.when(F.col("is_kept"), 1)).over(group),
+            **{n: c.over(group) for n, c in line_moments(x, y, w).items()},
+        }
     )
     intercept, slope = line_from_moments()
     enough = F.col("matched_pairs_before_prune") >= min_pairs
-    staged = (
-        refit.withColumn("matched_pairs_after_prune", F.when(enough, F.col("kept_pairs")).otherwise(F.lit(0)))
-        .withColumns({"_alpha": intercept, "_discount": -slope})
-        .withColumn("_forward", F.try_divide(F.col("_alpha"), F.col("_discount")))
-    )
+    staged = staged.withColumns(
+        {
+            "matched_pairs_after_prune": F.when(enough, F.col("kept_pairs")).otherwise(F.lit(0)),
+            "_alpha": intercept,
+            "_discount": -slope,
+        }
+    ).withColumn("_forward", F.try_divide(F.col("_alpha"), F.col("_discount")))
     bad_discount = ~is_finite(F.col("_discount")) | (F.col("_discount") <= 0)
     bad_forward = ~is_finite(F.col("_forward")) | (F.col("_forward") <= 0)
     reason = (
@@ -119,16 +132,42 @@ def forward_diagnostics(
         .when(bad_discount, F.lit("non_positive_discount_factor"))
         .when(bad_forward, F.lit("non_positive_forward_price"))
     )
-    return staged.withColumn("invalid_reason", reason).select(
-        *key,
-        F.when(F.col("invalid_reason").isNull(), F.col("_discount")).alias("discount_factor"),
-        F.when(F.col("invalid_reason").isNull(), F.col("_forward")).alias("forward_price"),
-        "matched_pairs_before_prune",
-        "matched_pairs_after_prune",
-        "invalid_reason",
+    valid = F.col("invalid_reason").isNull()
+    added = ("discount_factor", "forward_price", "matched_pairs_before_prune", "matched_pairs_after_prune", "invalid_reason")
+    return (
+        staged.withColumn("invalid_reason", reason)
+        .withColumns(
+            {
+                "discount_factor": F.when(valid, F.col("_discount")),
+                "forward_price": F.when(valid, F.col("_forward")),
+            }
+        )
+        .select(*pairs.columns, *added)
+    )
+
+
+def diagnostics_of(strikes: DataFrame, key: tuple[str, ...] = EXPIRY_KEY) -> DataFrame:
+    """One row per expiry from the output of ``with_forward``; already partitioned by expiry."""
+    return strikes.groupBy(*key).agg(
+        *[
+            F.max(c).alias(c)
+            for c in (
+                "discount_factor", "forward_price", "matched_pairs_before_prune", "matched_pairs_after_prune", "invalid_reason",
+            )
+        ]
     )
 
 
+def forward_diagnostics(
+    contracts: DataFrame,
+    key: tuple[str, ...] = EXPIRY_KEY,
+    min_pairs: int = MIN_PAIRS,
+    multiple: float = MAD_MULTIPLE,
+) -> DataFrame:
+    """One row per expiry: pair counts, discount factor, forward and the reason it is invalid."""
+    return diagnostics_of(with_forward(strike_pairs(contracts, key), key, min_pairs, multiple), key)
+
+
 def forward_terms(diagnostics: DataFrame, root: str = "root") -> DataFrame:
     """The usable expiries only."""
     valid = diagnostics.where(F.col("invalid_reason").isNull()).drop("invalid_reason")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
 from volpanel.operators import calendar, calibrate, clean, features, ledger, nodes, parity, score, surface
-from volpanel.operators.keys import EXPIRY_KEY, STATE_KEY
+from volpanel.operators.keys import STATE_KEY
 from volpanel.session import cut_lineage
 
 PANEL_DATE = ("quote_date", "root")
@@ -91,16 +91,17 @@ def build_panel(
         "raw_counts", raw_dates.groupBy("option_root", "quote_date").agg(F.count(F.lit(1)).alias("subset_rows"))
     )
 
-    diagnostics = stages.keep(
-        "forward_diagnostics",
-        parity.forward_diagnostics(contracts, min_pairs=settings.min_pairs, multiple=settings.mad_multiple),
+    # One pass over the contracts; forwards, diagnostics and nodes all come from its strikes.
+    strikes = stages.keep(
+        "strikes",
+        parity.with_forward(
+            nodes.strike_table(contracts), min_pairs=settings.min_pairs, multiple=settings.mad_multiple
+        ),
     )
+    diagnostics = stages.keep("forward_diagnostics", parity.diagnostics_of(strikes))
     terms = parity.forward_terms(diagnostics)
     stages.tables["forward_terms"] = terms
-
-    # Joined on the expiry key, whose partitioning the collapse per strike can reuse.
-    all_nodes = nodes.collapse_nodes(nodes.contracts_with_forward(contracts, terms, EXPIRY_KEY))
-    all_nodes = stages.keep("all_nodes", all_nodes)
+    all_nodes = nodes.nodes_of(strikes)
     quality = stages.keep(
         "date_quality", nodes.date_quality(all_nodes, settings.min_nodes, settings.min_expiries, PANEL_DATE)
     )

@@ -22,10 +22,8 @@ def chain_contracts(spark: SparkSession, sf_dir: str, period: str = "quarter") -
     return nodes.contracts_with_forward(contracts, parity.forward_terms(parity.forward_diagnostics(contracts)))
 
 
-def chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contracts = chain(spark, sf_dir)
-    terms = parity.forward_terms(parity.forward_diagnostics(contracts))
-    return nodes.collapse_nodes(nodes.contracts_with_forward(contracts, terms, EXPIRY_KEY))
+def chain_nodes(spark: SparkSession, sf_dir: str, period: str = "quarter") -> DataFrame:
+    return nodes.surface_nodes(chain(spark, sf_dir, period))
 
 
 @register(
@@ -146,6 +144,18 @@ def dates_without_forward(spark, sf_dir):
     return nodes.dates_without_forward(contracts, terms)
 
 
+NODE_ROWS_SQL = """
+SELECT quote_date, root, expiration, strike, round(m, 6) AS m, round(node_iv, 6) AS node_iv, collapsed_contract_count FROM nodes"""
+
+
+@register("collapsed_nodes", "AGG1 JON2", "WITH" + NODES_SQL + NODE_ROWS_SQL)
+def collapsed_nodes(spark, sf_dir):
+    """Nodes by joining given forward terms instead of carrying them along."""
+    contracts = chain(spark, sf_dir)
+    rows = nodes.collapse_nodes(contracts, parity.forward_terms(parity.forward_diagnostics(contracts)))
+    return rounded(rows.select(*EXPIRY_KEY, "strike", "m", "node_iv", "collapsed_contract_count"), 6, "m", "node_iv")
+
+
 @register(
     "surface_nodes",
     "AGG1 PRJ7",

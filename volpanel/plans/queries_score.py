@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
 from volpanel.functions.mathx import normal_cdf
-from volpanel.operators import calibrate, nodes, score, surface
+from volpanel.operators import calibrate, nodes, parity, score, surface
 from volpanel.plans import oracle_text as sql
-from volpanel.plans.adapters import monthly_sql, table
+from volpanel.plans.adapters import chain, monthly_sql, table
 from volpanel.plans.queries_chain import chain_contracts, chain_nodes
 from volpanel.plans.queries_surface import CERTIFICATE_SQL, INITIAL_SQL, M_SQL, RESIDUALS, TAU_SQL
 from volpanel.plans.registry import register
@@ -45,8 +45,11 @@ class Panel:
     """
 
     def __init__(self, spark, sf_dir, period="quarter"):
-        self.contracts = cut_lineage(chain_contracts(spark, sf_dir, period))
-        self.nodes = cut_lineage(nodes.collapse_nodes(self.contracts))
+        raw = cut_lineage(chain(spark, sf_dir, period))
+        strikes = cut_lineage(parity.with_forward(nodes.strike_table(raw)))
+        terms = parity.forward_terms(parity.diagnostics_of(strikes))
+        self.contracts = nodes.contracts_with_forward(raw, terms)
+        self.nodes = nodes.nodes_of(strikes)
         self.states = cut_lineage(surface.initial_surface(self.nodes).select(*KEY, *ssvi.PARAMETER_COLUMNS))
 
     def next_dates(self):
