@@ -297,21 +297,21 @@ def confidence_set_steps(
     if len(models) < 2:
         raise ValueError("a model confidence set needs at least two models")
     means = cut_lineage(bootstrap_means(losses, settings, by, models))
+    key = [*by, "method"]
     methods = F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method")
-    active = means.where("draw = -1").select(*by, "model_name", methods)
-    steps = None
+    entered = means.where("draw = -1").select(*by, "model_name", methods)
+    active, steps = entered, None
     for number in range(1, len(models)):
         step = elimination_step(means, active, by).withColumn("step", F.lit(number))
-        stays = F.col("p_value") > alpha
-        step = cut_lineage(step.withColumn("eliminated_model", F.when(~stays, F.col("eliminated_model"))))
+        stops = F.col("p_value") > alpha
+        step = cut_lineage(step.withColumn("eliminated_model", F.when(~stops, F.col("eliminated_model"))))
         steps = step if steps is None else steps.unionByName(step)
-        gone = step.where("eliminated_model IS NOT NULL").select(*by, "method", "eliminated_model")
-        running = active.join(gone, [*by, "method"])
-        active = running.where(F.col("model_name") != F.col("eliminated_model")).drop("eliminated_model")
-        counted = F.count(F.lit(1)).over(Window.partitionBy(*by, "method"))
-        active = cut_lineage(active.withColumn("_n", counted).where("_n > 1").drop("_n"))
-        if not active.take(1):
+        # A panel goes on when it dropped a model and at least two are left.
+        goes_on = step.where(F.col("eliminated_model").isNotNull() & (F.size("models") > 2)).select(*key)
+        if goes_on.isEmpty():
             break
+        gone = steps.where("eliminated_model IS NOT NULL").select(*key, F.col("eliminated_model").alias("model_name"))
+        active = entered.join(goes_on, key, "left_semi").join(gone, [*key, "model_name"], "left_anti")
     return steps
 
 

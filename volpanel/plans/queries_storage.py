@@ -8,7 +8,7 @@ from volpanel.plans.adapters import QUOTES_SQL, quotes
 from volpanel.plans.registry import register
 from volpanel.plans.shape import rounded
 from volpanel.session import scratch_path
-from volpanel.sources import partitions
+from volpanel.sources import partitions, vendor
 from volpanel.streaming import nodes as stream
 
 MONTH_SQL = "CAST(date_trunc('month', quote_date) AS DATE)"
@@ -123,3 +123,86 @@ FROM unique_quotes GROUP BY 1""",
 )
 def stream_date_quality(spark, sf_dir):
     return stream.node_quality(streamed_nodes(spark, sf_dir))
+
+
+# --- archives ---------------------------------------------------------------------------------
+
+ARCHIVE_COLUMNS = (
+    "underlying_symbol", "quote_date", "root", "expiration", "strike", "option_type", "bid_1545", "ask_1545",
+    "active_underlying_price_1545", "implied_volatility_1545", "delta_1545", "vega_1545", "trade_volume", "open_interest",
+)
+
+
+def _packer():
+    def pack(frames):
+        import hashlib
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            text = frame.to_csv(index=False)
+            blob = io.BytesIO()
+            with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("quotes.csv", text)
+            content = blob.getvalue()
+            digest = hashlib.sha256(content).hexdigest()
+            yield pd.DataFrame(
+                {
+                    "path": [f"mem:/{digest}.zip"],
+                    "trade_date": [frame["quote_date"].iloc[0]],
+                    "length": [len(content)],
+                    "digest": [digest],
+                    "content": [content],
+                }
+            )
+
+    return pack
+
+
+def packed_quotes(spark, sf_dir):
+    """All quotes packed into zipped CSV archives, one per Arrow batch, so no archive is unbounded."""
+    rows = quotes(spark, sf_dir).withColumn("delta_1545", F.when(F.col("option_type") == "C", 0.5).otherwise(-0.5))
+    return rows.select(*ARCHIVE_COLUMNS).mapInPandas(
+        _packer(), "path string, trade_date date, length bigint, digest string, content binary"
+    )
+
+
+@register(
+    "archive_scan",
+    "SRC4 SRC5",
+    "WITH" + QUOTES_SQL + """SELECT quote_date, root, option_type, CAST(count(*) AS BIGINT) AS rows, CAST(sum(trade_volume) AS BIGINT) AS trade_volume,
+       round(sum(bid_1545), 6) AS bid_total, round(sum(vega_1545), 6) AS vega_total, min(expiration) AS first_expiration
+FROM quotes GROUP BY 1, 2, 3""",
+)
+def archive_scan(spark, sf_dir):
+    rows = vendor.scan_archives(packed_quotes(spark, sf_dir), block_bytes=1 << 16)
+    totals = rows.groupBy("quote_date", "root", "option_type").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("trade_volume").alias("trade_volume"),
+        F.sum("bid_1545").alias("bid_total"),
+        F.sum("vega_1545").alias("vega_total"),
+        F.min("expiration").alias("first_expiration"),
+    )
+    return rounded(totals, 6, "bid_total", "vega_total")
+
+
+@register(
+    "archive_inventory",
+    "SRC3",
+    "SELECT 1 AS csv_member_count, 'quotes.csv' AS csv_member_name, true AS readable, true AS hash_matches, true AS size_matches",
+)
+def archive_inventory(spark, sf_dir):
+    """Hash and size found by the inventory against the ones noted when the archives were packed."""
+    packed = packed_quotes(spark, sf_dir)
+    listed = vendor.inventory(packed).join(packed.select(F.col("path").alias("file_path"), "digest", "length"), "file_path")
+    return listed.select(
+        "csv_member_count",
+        "csv_member_name",
+        "readable",
+        (F.col("sha256") == F.col("digest")).alias("hash_matches"),
+        (F.col("file_size") == F.col("length")).alias("size_matches"),
+    ).distinct()

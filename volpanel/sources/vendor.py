@@ -64,34 +64,39 @@ def _member_reader():
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            found = []
+            for content in batch.column("content"):
                 names = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                         names = [i.filename for i in archive.infolist() if i.filename.lower().endswith(".csv")]
                 except zipfile.BadZipFile:
                     names = []
-                rows.append((path, names[0] if len(names) == 1 else "", len(names), len(names) == 1))
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
+                found.append((names[0] if len(names) == 1 else "", len(names), len(names) == 1))
+            kept = [batch.column(c) for c in ("file_path", "trade_date", "file_size", "sha256")]
+            columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
-                 pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.bool_())],
-                names=["path", "csv_member_name", "csv_member_count", "readable"],
+                [*kept, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.bool_())],
+                names=["file_path", "trade_date", "file_size", "sha256", "csv_member_name", "csv_member_count", "readable"],
             )
 
     return members
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Size, SHA-256, CSV member and readability of each archive."""
-    members = files.select("path", "content").mapInArrow(
-        _member_reader(), "path string, csv_member_name string, csv_member_count int, readable boolean"
-    )
+    """Size, SHA-256, CSV member and readability of each archive; every archive is read once."""
     hashed = files.select(
-        "path", "trade_date", F.col("length").alias("file_size"), F.sha2("content", 256).alias("sha256")
+        F.col("path").alias("file_path"),
+        "trade_date",
+        F.col("length").alias("file_size"),
+        F.sha2("content", 256).alias("sha256"),
+        "content",
+    )
+    return hashed.mapInArrow(
+        _member_reader(),
+        "file_path string, trade_date date, file_size bigint, sha256 string, csv_member_name string, "
+        "csv_member_count int, readable boolean",
     )
-    return hashed.join(members, "path").withColumnRenamed("path", "file_path")
 
 
 def unreadable_files(listed: DataFrame) -> DataFrame:
@@ -118,7 +123,8 @@ def _header_reader():
                         paths.append(path)
                         found.append(next(csv.reader(text), []))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["path", "header"]
+                [pa.array(paths, pa.string()), batch.column("trade_date"), pa.array(found, pa.list_(pa.string()))],
+                names=["path", "trade_date", "header"],
             )
 
     return headers
@@ -126,8 +132,9 @@ def _header_reader():
 
 def read_headers(files: DataFrame) -> DataFrame:
     """Header of every archive's CSV; only its first line is decompressed."""
-    headers = files.select("path", "content").mapInArrow(_header_reader(), "path string, header array<string>")
-    return files.select("path", "trade_date").join(headers, "path")
+    return files.select("path", "trade_date", "content").mapInArrow(
+        _header_reader(), "path string, trade_date date, header array<string>"
+    )
 
 
 def _row_reader(schema: T.StructType, required: tuple[str, ...], block_bytes: int, as_text: bool):
