@@ -208,76 +208,100 @@ def bootstrap_means(
 METHODS = ("Tmax", "TR")
 
 
-def elimination_step(means: DataFrame, active: DataFrame, by: tuple[str, ...] = PANEL) -> DataFrame:
-    """One step for every (panel, method): statistic, bootstrap p-value and the model to drop.
+def draw_rows(means: DataFrame, by: tuple[str, ...] = PANEL) -> DataFrame:
+    """One row per (panel, draw) with the models' deviations from the observed means, sorted by name.
 
-    ``means`` are bootstrap means with the observed sample as draw -1; ``active`` lists the models
-    still in each (panel, method).
+    The array holds the compared models, a handful; the observed sample is draw -1 of ``means``.
     """
-    key = [*by, "method"]
-    rows = means.join(active, [*by, "model_name"])
-    observed = rows.where("draw = -1").select(*key, "model_name", F.col("mean_loss").alias("_observed"))
-    drawn = rows.where("draw >= 0").join(observed, [*key, "model_name"]).withColumn(
-        "_gap", F.col("mean_loss") - F.col("_observed")
+    entries = F.array_sort(F.collect_list(F.struct("model_name", "mean_loss")))
+    rows = means.groupBy(*by, "draw").agg(entries.alias("_models"))
+    observed = rows.where("draw = -1").select(*by, F.col("_models").alias("_observed"))
+    paired = F.zip_with(
+        "_models",
+        "_observed",
+        lambda m, o: F.struct(
+            m["model_name"].alias("model_name"),
+            (m["mean_loss"] - o["mean_loss"]).alias("gap"),
+            o["mean_loss"].alias("observed"),
+        ),
     )
-    per_draw = Window.partitionBy(*key, "draw")
-    count = F.count(F.lit(1)).over(per_draw)
+    return rows.where("draw >= 0").join(observed, list(by)).select(*by, "draw", paired.alias("entries"))
 
-    # Tmax: each model against the average of the others.
-    def against_rest(value: str) -> Column:
-        return (count * F.col(value) - F.sum(value).over(per_draw)) / (count - 1)
 
-    single = drawn.where("method = 'Tmax'").withColumns({"_d": against_rest("_gap"), "_o": against_rest("_observed")})
-    spread = single.groupBy(*key, "model_name").agg(
-        F.greatest(F.var_samp("_d"), F.lit(VARIANCE_FLOOR)).alias("_v"), F.min("_o").alias("_o")
-    )
-    t_single = spread.select(*key, "model_name", "_v", (F.col("_o") / F.sqrt("_v")).alias("_t"))
-    boot_single = (
-        single.join(t_single.select(*key, "model_name", "_v"), [*key, "model_name"])
-        .groupBy(*key, "draw")
-        .agg(F.max(F.col("_d") / F.sqrt("_v")).alias("_boot"))
-    )
-    drop_single = t_single.groupBy(*key).agg(
-        F.max("_t").alias("observed_statistic"),
-        F.min_by("model_name", F.struct(-F.col("_t"), F.col("model_name"))).alias("eliminated_model"),
-    )
+def step_items(drawn: DataFrame, active: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per (panel, method, draw) the compared quantities with their observed values, in name order.
 
-    # TR: all ordered pairs of the few active models.
-    pairwise = drawn.where("method = 'TR'").select(*key, "draw", "model_name", "_gap", "_observed")
-    other = pairwise.select(
-        *key, "draw", F.col("model_name").alias("_other"), F.col("_gap").alias("_gap2"), F.col("_observed").alias("_observed2")
-    )
-    pairs = pairwise.join(other, [*key, "draw"]).where(F.col("model_name") != F.col("_other")).select(
-        *key, "draw", "model_name", "_other",
-        (F.col("_gap") - F.col("_gap2")).alias("_d"), (F.col("_observed") - F.col("_observed2")).alias("_o"),
-    )
-    t_pair = pairs.groupBy(*key, "model_name", "_other").agg(
-        F.greatest(F.var_samp("_d"), F.lit(VARIANCE_FLOOR)).alias("_v"), F.min("_o").alias("_o")
-    ).withColumn("_t", F.col("_o") / F.sqrt("_v"))
-    boot_pair = (
-        pairs.join(t_pair.select(*key, "model_name", "_other", "_v"), [*key, "model_name", "_other"])
-        .groupBy(*key, "draw")
-        .agg(F.max(F.abs(F.col("_d")) / F.sqrt("_v")).alias("_boot"))
+    Tmax sets each active model against the average of the others, TR against every other model.
+    """
+    key = [*by, "method"]
+    listed = active.groupBy(*key).agg(F.array_sort(F.collect_set("model_name")).alias("models"))
+    rows = drawn.join(listed, list(by)).withColumn(
+        "_e", F.filter("entries", lambda e: F.array_contains("models", e["model_name"]))
     )
-    # A model's own zero differential takes part in its maximum.
-    worst = t_pair.groupBy(*key, "model_name").agg(
-        F.greatest(F.max("_t"), F.lit(0.0)).alias("_worst"), F.max(F.abs("_t")).alias("_size")
+    count = F.size("models").cast("double")
+
+    def total(field: str) -> Column:
+        return F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e[field])
+
+    rows = rows.withColumns({"_gaps": total("gap"), "_levels": total("observed")})
+    single = F.transform(
+        "_e",
+        lambda e: F.struct(
+            e["model_name"].alias("a"),
+            F.lit("").alias("b"),
+            ((count * e["gap"] - F.col("_gaps")) / (count - 1.0)).alias("d"),
+            ((count * e["observed"] - F.col("_levels")) / (count - 1.0)).alias("o"),
+        ),
     )
-    drop_pair = worst.groupBy(*key).agg(
-        F.max("_size").alias("observed_statistic"),
-        F.min_by("model_name", F.struct(-F.col("_worst"), F.col("model_name"))).alias("eliminated_model"),
+    pairs = F.flatten(
+        F.transform(
+            "_e",
+            lambda e: F.transform(
+                F.filter("_e", lambda f: f["model_name"] != e["model_name"]),
+                lambda f: F.struct(
+                    e["model_name"].alias("a"),
+                    f["model_name"].alias("b"),
+                    (e["gap"] - f["gap"]).alias("d"),
+                    (e["observed"] - f["observed"]).alias("o"),
+                ),
+            ),
+        )
     )
+    items = F.when(F.col("method") == "Tmax", single).otherwise(pairs)
+    return rows.select(*key, "draw", "models", items.alias("items"))
+
+
+def elimination_step(
+    means: DataFrame, active: DataFrame, by: tuple[str, ...] = PANEL, drawn: DataFrame | None = None
+) -> DataFrame:
+    """One step for every (panel, method): statistic, bootstrap p-value and the model to drop.
 
-    dropped = drop_single.unionByName(drop_pair)
-    share = (
-        boot_single.unionByName(boot_pair)
-        .join(dropped.select(*key, "observed_statistic"), key)
-        .groupBy(*key)
-        .agg(F.avg((F.col("_boot") >= F.col("observed_statistic") - TIE_TOLERANCE).cast("double")).alias("p_value"))
+    ``means`` are bootstrap means with the observed sample as draw -1; ``active`` lists the models
+    still in each (panel, method). Both methods share three aggregations whose map sides combine
+    the draws.
+    """
+    key = [*by, "method"]
+    items = step_items(drawn if drawn is not None else draw_rows(means, by), active, by)
+    one_sided = F.col("method") == "Tmax"
+    spread = (
+        items.select(*key, F.inline("items"))
+        .groupBy(*key, "a", "b")
+        .agg(F.sqrt(F.greatest(F.var_samp("d"), F.lit(VARIANCE_FLOOR))).alias("s"), F.min("o").alias("o"))
+        .withColumn("t", F.col("o") / F.col("s"))
     )
-    listed = active.groupBy(*key).agg(F.array_sort(F.collect_set("model_name")).alias("models"))
-    return dropped.join(share, key).join(listed, key).select(
-        *key, "models", "observed_statistic", "p_value", "eliminated_model"
+    summary = spread.groupBy(*key).agg(
+        F.max(F.when(one_sided, F.col("t")).otherwise(F.abs("t"))).alias("observed_statistic"),
+        F.min_by("a", F.struct(-F.col("t"), F.col("a"))).alias("eliminated_model"),
+        F.array_sort(F.collect_list(F.struct("a", "b", "s"))).alias("scales"),
+    )
+    scaled = F.zip_with("items", "scales", lambda i, s: i["d"] / s["s"])
+    boot = F.when(one_sided, F.array_max(scaled)).otherwise(F.array_max(F.transform(scaled, F.abs)))
+    reached = (boot >= F.col("observed_statistic") - TIE_TOLERANCE).cast("double")
+    return items.join(summary, key).groupBy(*key).agg(
+        F.max("models").alias("models"),
+        F.max("observed_statistic").alias("observed_statistic"),
+        F.avg(reached).alias("p_value"),
+        F.max("eliminated_model").alias("eliminated_model"),
     )
 
 
@@ -289,20 +313,21 @@ def confidence_set_steps(
 ) -> DataFrame:
     """All elimination steps of all panels and both methods.
 
-    The loop runs at most (models - 1) times whatever the number of panels; the bootstrap means are
+    The loop runs at most (models - 1) times whatever the number of panels; the draws are
     checkpointed once and every step only re-reads them. ``eliminated_model`` is null where a panel
     stops because its p-value exceeds alpha.
     """
     models = model_names(losses)
     if len(models) < 2:
         raise ValueError("a model confidence set needs at least two models")
-    means = cut_lineage(bootstrap_means(losses, settings, by, models))
+    means = bootstrap_means(losses, settings, by, models)
+    drawn = cut_lineage(draw_rows(means, by))
     key = [*by, "method"]
     methods = F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method")
-    entered = means.where("draw = -1").select(*by, "model_name", methods)
+    entered = losses.select(*by, "model_name").distinct().select(*by, "model_name", methods)
     active, steps = entered, None
     for number in range(1, len(models)):
-        step = elimination_step(means, active, by).withColumn("step", F.lit(number))
+        step = elimination_step(means, active, by, drawn).withColumn("step", F.lit(number))
         stops = F.col("p_value") > alpha
         step = cut_lineage(step.withColumn("eliminated_model", F.when(~stops, F.col("eliminated_model"))))
         steps = step if steps is None else steps.unionByName(step)
