@@ -121,7 +121,7 @@ def test_content_dates_and_types(spark, tmp_path):
     write_archive(tmp_path / archive_name(days[0]), day_quotes(days[0], 0))
     write_archive(tmp_path / archive_name(days[1]), day_quotes(days[0], 1))
     files = vendor.discover(spark, str(tmp_path))
-    report = audit.content_date_report(vendor.scan_archives(files), ("source_file",))
+    report = audit.content_date_report(audit.content_dates(vendor.scan_archives(files), ("source_file", "trade_date")))
     assert {r.trade_date: r.quote_date_match for r in report.collect()} == {days[0]: True, days[1]: False}
     text = vendor.scan_archives(files, as_text=True)
     kinds = audit.type_frequencies(text, ("source_file",), ("strike", "trade_volume", "expiration", "root", "gamma_1545"))
@@ -218,6 +218,13 @@ def test_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(quote_date" in plan
 
 
+def test_yearly_folders(spark, tmp_path):
+    rows = [(date(2019, 12, 31), 1.0), (date(2020, 1, 2), 2.0)]
+    partitions.write_date_partitions(spark.createDataFrame(rows, "quote_date date, v double"), str(tmp_path / "y"), ("year",))
+    assert sorted(p.name for p in (tmp_path / "y").glob("year=*")) == ["year=2019", "year=2020"]
+    assert partitions.scan_parquet(spark, str(tmp_path / "y")).count() == 2
+
+
 def test_result_sink_keeps_schema_without_rows(spark, tmp_path):
     empty = spark.createDataFrame([], "a int, b double")
     partitions.write_result(empty, str(tmp_path / "r"))

@@ -156,15 +156,22 @@ def column_sets(reconciled: DataFrame, header: str = "header") -> DataFrame:
     return stacked.groupBy("kind", "column_name").agg(F.count(F.lit(1)).alias("files"))
 
 
-def content_date_report(contents: DataFrame, file_cols: tuple[str, ...], named: str = "trade_date") -> DataFrame:
-    """Does every row of a file carry exactly the date in the file's name? No nulls allowed."""
-    per_file = contents.groupBy(*file_cols, named).agg(
+def content_dates(contents: DataFrame, file_cols: tuple[str, ...]) -> DataFrame:
+    """First date, last date and null dates of every file's rows, combined before the shuffle."""
+    return contents.groupBy(*file_cols).agg(
         F.min("quote_date").alias("first_date"),
         F.max("quote_date").alias("last_date"),
         F.count_if(F.col("quote_date").isNull()).alias("null_dates"),
     )
+
+
+def content_date_report(dated: DataFrame, named: str = "trade_date") -> DataFrame:
+    """Does every row of a file carry exactly the date in the file's name? No nulls allowed.
+
+    ``dated`` is the output of ``content_dates`` with the name's date next to it.
+    """
     same = (F.col("null_dates") == 0) & (F.col("first_date") == F.col(named)) & (F.col("last_date") == F.col(named))
-    return per_file.withColumn("quote_date_match", F.coalesce(same, F.lit(False)))
+    return dated.withColumn("quote_date_match", F.coalesce(same, F.lit(False)))
 
 
 # --- column statistics ------------------------------------------------------------------------

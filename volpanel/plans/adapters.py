@@ -104,8 +104,8 @@ def chain(spark: SparkSession, sf_dir: str, period: str = "quarter") -> DataFram
     legs = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
-            F.to_date(F.date_trunc(period, "l_shipdate")).alias("quote_date"),
-            F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quarter_date"),
+            F.trunc(F.to_date("l_shipdate"), period).alias("quote_date"),
+            F.trunc(F.to_date("l_shipdate"), "quarter").alias("quarter_date"),
             F.col("l_returnflag").alias("root"),
             F.col("l_linenumber").alias("expiry_no"),
             (F.ceil(F.col("l_quantity") / 5.0) * 100.0).alias("strike"),
@@ -254,7 +254,7 @@ quarter AS (
 def quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quote_date"), F.col("l_returnflag").alias("option_root"))
+        .groupBy(F.trunc(F.to_date("l_shipdate"), "quarter").alias("quote_date"), F.col("l_returnflag").alias("option_root"))
         .agg(F.avg("l_tax").alias("t"), F.avg("l_discount").alias("d"))
     )
 

@@ -17,7 +17,7 @@ MONTH_SQL = "CAST(date_trunc('month', quote_date) AS DATE)"
 def monthly_dataset(spark, sf_dir):
     """All quotes written by month and read back."""
     path = scratch_path(spark, "quotes")
-    month = F.to_date(F.date_trunc("month", "quote_date"))
+    month = F.trunc("quote_date", "month")
     partitions.write_date_partitions(quotes(spark, sf_dir).withColumn("quote_date", month), path)
     return partitions.read_partitions(spark, path)
 
