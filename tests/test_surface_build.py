@@ -134,6 +134,32 @@ def test_forward_terms_match_brute_force(spark, partitions):
     assert pruned > 0
 
 
+def test_split_route_gives_the_same_forwards(spark):
+    frame = spark.createDataFrame(contract_rows(4, 9), SCHEMA)
+    whole = {r.expiration: r for r in parity.forward_diagnostics(frame).collect()}
+    split = {r.expiration: r for r in parity.split_forward_diagnostics(frame).collect()}
+    assert whole.keys() == split.keys()
+    for expiration, row in whole.items():
+        other = split[expiration]
+        assert row.invalid_reason == other.invalid_reason
+        assert (row.matched_pairs_before_prune, row.matched_pairs_after_prune) == (
+            other.matched_pairs_before_prune, other.matched_pairs_after_prune)
+        assert row.forward_price is None or row.forward_price == pytest.approx(other.forward_price, rel=1e-10)
+
+
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_exact_median_of_a_heavy_group(spark, accuracy):
+    rng = np.random.default_rng(2)
+    groups = {
+        "hot": rng.normal(size=30001), "even": np.round(rng.normal(size=4000), 1), "pair": np.array([1.0, 2.0]),
+        "one": np.array([7.0]), "same": np.full(500, 3.0),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r["median"] for r in skew.exact_median(frame, ("k",), "v", accuracy=accuracy).collect()}
+    assert got == {k: pytest.approx(np.median(v), abs=1e-12) for k, v in groups.items()}
+
+
 def test_forward_reasons(spark):
     def chain(expiration, pairs):
         return [(date(2020, 1, 2), "R", expiration, float(k), side, mid, 1.0) for k, c, p in pairs for side, mid in (("C", c), ("P", p))]

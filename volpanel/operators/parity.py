@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from volpanel.functions.mathx import is_finite
 from volpanel.operators.keys import EXPIRY_KEY
+from volpanel.operators.skew import exact_median
 
 MIN_PAIRS = 3
 MAD_MULTIPLE = 5.0
@@ -115,6 +116,14 @@ def with_forward(
             **{n: c.over(group) for n, c in line_moments(x, y, w).items()},
         }
     )
+    added = (
+        "discount_factor", "forward_price", "matched_pairs_before_prune", "matched_pairs_after_prune", "invalid_reason",
+    )
+    return judged(staged, min_pairs).select(*pairs.columns, *added)
+
+
+def judged(staged: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """Discount factor, forward and reason from the refit moments and pair counts of an expiry."""
     intercept, slope = line_from_moments()
     enough = F.col("matched_pairs_before_prune") >= min_pairs
     staged = staged.withColumns(
@@ -133,16 +142,59 @@ def with_forward(
         .when(bad_forward, F.lit("non_positive_forward_price"))
     )
     valid = F.col("invalid_reason").isNull()
-    added = ("discount_factor", "forward_price", "matched_pairs_before_prune", "matched_pairs_after_prune", "invalid_reason")
-    return (
-        staged.withColumn("invalid_reason", reason)
+    return staged.withColumn("invalid_reason", reason).withColumns(
+        {
+            "discount_factor": F.when(valid, F.col("_discount")),
+            "forward_price": F.when(valid, F.col("_forward")),
+        }
+    )
+
+
+def split_forward_diagnostics(
+    contracts: DataFrame,
+    key: tuple[str, ...] = EXPIRY_KEY,
+    min_pairs: int = MIN_PAIRS,
+    multiple: float = MAD_MULTIPLE,
+) -> DataFrame:
+    """``forward_diagnostics`` for expiries with so many strikes that one task should not hold them.
+
+    Both fits are aggregations and both medians come from ``skew.exact_median``; per-expiry results
+    are joined back to the strikes, where adaptive execution can split a heavy expiry.
+    """
+    keys = list(key)
+    pairs = strike_pairs(contracts, key)
+    matched = matched_only(pairs).select(
+        *keys,
+        "strike",
+        (F.col("call_mid") - F.col("put_mid")).alias("y"),
+        F.least("call_vega", "put_vega").alias("w"),
+    )
+    moments = line_moments(F.col("strike"), F.col("y"), F.col("w"))
+    intercept, slope = line_from_moments()
+    first = matched.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.count(F.lit(1)).alias("before"))
+    fitted = first.select(*keys, "before", intercept.alias("_a"), slope.alias("_b"))
+    residual = F.col("y") - (F.col("_a") + F.col("_b") * F.col("strike"))
+    rows = matched.join(fitted, keys).withColumn("residual", residual)
+    centred = rows.join(exact_median(rows, key, "residual", "_centre"), keys, "left").withColumn(
+        "deviation", F.abs(F.col("residual") - F.col("_centre"))
+    )
+    mads = exact_median(centred, key, "deviation", "mad")
+    keep = (F.col("mad") <= 0) | F.col("mad").isNull() | (F.abs("residual") <= multiple * F.col("mad"))
+    kept = rows.join(mads, keys, "left").where(keep)
+    refit = kept.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.count(F.lit(1)).alias("kept_pairs"))
+    counts = (
+        pairs.select(*keys).distinct()
+        .join(first.select(*keys, "before"), keys, "left")
+        .join(refit, keys, "left")
         .withColumns(
             {
-                "discount_factor": F.when(valid, F.col("_discount")),
-                "forward_price": F.when(valid, F.col("_forward")),
+                "matched_pairs_before_prune": F.coalesce("before", F.lit(0)),
+                "kept_pairs": F.coalesce("kept_pairs", F.lit(0)),
             }
         )
-        .select(*pairs.columns, *added)
+    )
+    return judged(counts, min_pairs).select(
+        *keys, "discount_factor", "forward_price", "matched_pairs_before_prune", "matched_pairs_after_prune", "invalid_reason"
     )
 
 

@@ -9,7 +9,7 @@ from volpanel.operators import nodes, parity
 from volpanel.operators.keys import EXPIRY_KEY
 from volpanel.plans.adapters import CHAIN_SQL, chain
 from volpanel.plans.oracle_text import FORWARD_SQL, NODES_SQL
-from volpanel.plans.registry import register
+from volpanel.plans.registry import ORACLES, register
 from volpanel.plans.shape import joined, rounded
 
 
@@ -38,6 +38,13 @@ def forward_terms(spark, sf_dir):
     return rounded(rounded(terms, 6, "discount_factor"), 4, "forward_price")
 
 
+@register("forward_terms_split", "AGG4 AGG5 AGG6 AGG7", ORACLES["forward_terms"])
+def forward_terms_split(spark, sf_dir):
+    """The same forwards by the route that splits heavy expiries over tasks."""
+    terms = parity.forward_terms(parity.split_forward_diagnostics(chain(spark, sf_dir)))
+    return rounded(rounded(terms, 6, "discount_factor"), 4, "forward_price")
+
+
 @register(
     "forward_diagnostics",
     "AGG7",
