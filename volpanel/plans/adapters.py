@@ -35,9 +35,14 @@ quotes AS (
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_columns(table(spark, sf_dir, "lineitem"))
+
+
+def quote_columns(lineitem: DataFrame) -> DataFrame:
+    """Quote view of line items, batch or stream."""
     date = F.to_date("l_shipdate")
     bid = F.col("l_extendedprice") / 1000.0
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         "l_orderkey",
         "l_linenumber",
         date.alias("quote_date"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from volpanel.plans.adapters import QUOTES_SQL, quotes
+from volpanel.plans.adapters import QUALITY_SQL, QUOTES_SQL, quote_columns, quotes
 from volpanel.plans.registry import register
 from volpanel.plans.shape import rounded
 from volpanel.session import scratch_path
 from volpanel.sources import partitions, vendor
+from volpanel.streaming import ingest
 from volpanel.streaming import nodes as stream
 
 MONTH_SQL = "CAST(date_trunc('month', quote_date) AS DATE)"
@@ -125,6 +128,38 @@ def stream_date_quality(spark, sf_dir):
     return stream.node_quality(streamed_nodes(spark, sf_dir))
 
 
+CLOSES = (dt.date(1995, 7, 3), dt.date(1998, 12, 24), dt.date(2001, 12, 24))
+
+
+@register(
+    "stream_ingest",
+    "STR1 SNK1",
+    "WITH" + QUOTES_SQL + f""",
+monthly AS (SELECT * REPLACE ({MONTH_SQL} AS quote_date) FROM quotes),
+kept AS (SELECT DISTINCT l_orderkey, l_linenumber, quote_date, root, expiration, strike, option_type, bid_1545, ask_1545, implied_volatility_1545,
+                vega_1545, active_underlying_price_1545, trade_volume, open_interest, underlying_bid_1545, underlying_ask_1545
+         FROM monthly WHERE {QUALITY_SQL})
+SELECT quote_date, root, CAST(count(*) AS BIGINT) AS rows, CAST(sum(trade_volume) AS BIGINT) AS trade_volume,
+       round(sum(((expiration - quote_date)*86400 + 34200 - 56700)/31536000.0e0), 6) AS tau_total FROM kept GROUP BY 1, 2""",
+)
+def stream_ingest(spark, sf_dir):
+    """The quote file arrives as a stream with every row sent twice and lands clean, by month."""
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    rows = quote_columns(raw).withColumn("quote_date", F.trunc("quote_date", "month"))
+    out = scratch_path(spark, "ingested")
+    ingest.start_clean_sink(
+        rows.union(rows), out, scratch_path(spark, "offsets"), early_closes=list(CLOSES), key=tuple(rows.columns)
+    ).awaitTermination()
+    return rounded(
+        partitions.read_partitions(spark, out).groupBy("quote_date", "root").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("trade_volume").alias("trade_volume"), F.sum("tau").alias("tau_total")
+        ),
+        6,
+        "tau_total",
+    )
+
+
 # --- archives ---------------------------------------------------------------------------------
 
 ARCHIVE_COLUMNS = (

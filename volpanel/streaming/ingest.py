@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from volpanel.operators import audit, clean
+from volpanel.operators.keys import CONTRACT_KEY
 from volpanel.sources import vendor
 from volpanel.sources.partitions import write_date_partitions
 
@@ -24,35 +27,52 @@ def archive_stream(spark: SparkSession, root: str) -> DataFrame:
     return audit.with_file_columns(files).where("file_kind = 'daily_calcs'")
 
 
-def start_ingest(
-    spark: SparkSession,
-    root: str,
+def start_clean_sink(
+    stream: DataFrame,
     out: str,
     checkpoint: str,
-    underlying: str,
-    option_root: str,
+    parse: Callable[[DataFrame], DataFrame] = lambda batch: batch,
     rules: clean.CleanRules = clean.CleanRules(),
+    early_closes: list | None = None,
+    key: tuple[str, ...] = CONTRACT_KEY,
 ) -> StreamingQuery:
-    """Clean every new archive and replace the partitions of its dates.
+    """Clean every micro-batch and replace the partitions of its dates.
 
-    Dynamic partition overwrite makes a replayed batch idempotent. The query stops once all files
-    present at its start are processed; the next start continues from its checkpoint.
+    Dynamic partition overwrite makes a replayed batch idempotent. The query stops once everything
+    present at its start is processed; the next start continues from its checkpoint.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = vendor.ingest(batch, underlying, option_root)
-        distinct = clean.clean_contracts(rows.drop("option_root"), rules=rules).rows.persist()
+        distinct = clean.clean_contracts(parse(batch), early_closes, rules, key=key).rows.persist()
         try:
-            clean.Deduplicated(distinct, clean.conflicting_keys(distinct)).require_no_conflicts()
+            clean.Deduplicated(distinct, clean.conflicting_keys(distinct, key)).require_no_conflicts()
             if not distinct.isEmpty():
                 write_date_partitions(distinct.drop("copies"), out)
         finally:
             distinct.unpersist()
 
     return (
-        archive_stream(spark, root)
-        .writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_ingest(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    checkpoint: str,
+    underlying: str,
+    option_root: str,
+    rules: clean.CleanRules = clean.CleanRules(),
+) -> StreamingQuery:
+    """Ingest newly arrived daily archives of one underlying and root."""
+    return start_clean_sink(
+        archive_stream(spark, root),
+        out,
+        checkpoint,
+        lambda batch: vendor.ingest(batch, underlying, option_root).drop("option_root"),
+        rules,
+    )
