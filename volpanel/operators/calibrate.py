@@ -33,15 +33,14 @@ NODES_PER_TASK = 2000
 class Lattice:
     """Centre and half-width per searched parameter; every round shrinks the widths by ``shrink``.
 
-    ``steps`` gives the points along (rho, log eta, lambda, variance scale) for each round: a wide
-    first search and two finer ones.
+    ``steps`` gives the points along (rho, log eta, lambda, variance scale) for each round.
     """
 
     rho: tuple[float, float] = (-0.2, 0.75)
     log_eta: tuple[float, float] = (-0.2, 1.6)
     lam: tuple[float, float] = (0.25, 0.24)
     scale: tuple[float, float] = (1.0, 0.1)
-    steps: tuple[tuple[int, int, int, int], ...] = ((7, 7, 5, 5), (5, 5, 5, 3), (5, 5, 5, 3))
+    steps: tuple[tuple[int, int, int, int], ...] = ((7, 7, 5, 5), (7, 7, 5, 5), (7, 7, 5, 5))
     shrink: float = 0.4
 
     def axes(self, round_no: int) -> list[list[float]]:
@@ -260,16 +259,46 @@ def _solver():
     return F.pandas_udf(solve, "array<double>")
 
 
+# Starts are moved this far inside the parameter range, where every derivative is alive.
+INNER_RHO = 0.95
+INNER_LAMBDA = (0.05, 0.4)
+
+
+def best_trial(nodes: DataFrame, trials: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The latent trial with the smallest loss per date; ties go to the smaller trial number."""
+    keys = list(key)
+    valued = ssvi.with_implied_vol(nodes.join(ssvi.with_constrained(trials), keys))
+    error = F.col("predicted_iv") - F.col("node_iv")
+    scored = valued.groupBy(*key, "trial").agg(
+        (F.sum(F.col("node_vega") * huber(error, HUBER_DELTA)) / F.sum("node_vega")).alias("loss")
+    )
+    best = scored.groupBy(*key).agg(
+        F.min_by("trial", F.struct("loss", "trial")).alias("trial"), F.min("loss").alias("loss")
+    )
+    return trials.join(best, [*keys, "trial"]).drop("trial")
+
+
 def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_KEY, iterations: int = 4) -> DataFrame:
     """Damped Gauss-Newton from a start state; never worse than the start.
 
     Every iteration forms the normal equations with one aggregation, solves one small system per
-    date, and scores the trial step sizes (zero included) with a second aggregation.
+    date, and scores the trial step sizes (zero included) with a second aggregation. A start on
+    the edge of the parameter range is moved inside first; the untouched start competes at the end.
     """
     keys = list(key)
     slim = spread_groups(nodes.select(*key, "m", "tau", "node_iv", "node_vega"), key, ("m", "tau"))
     slim = cut_lineage(slim)
-    state = ssvi.with_latent(start.select(*key, *ssvi.PARAMETER_COLUMNS)).select(*key, *ssvi.LATENT_COLUMNS)
+    given = cut_lineage(start.select(*key, *ssvi.PARAMETER_COLUMNS))
+    # Eta follows lambda so that the curvature at the middle knot stays what it was.
+    moved_lambda = clip(F.col("lambda"), *INNER_LAMBDA)
+    inside = given.withColumns(
+        {
+            "rho": clip(F.col("rho"), -INNER_RHO, INNER_RHO),
+            "eta": F.col("eta") * F.pow(F.col("theta_d152"), moved_lambda - F.col("lambda")),
+            "lambda": moved_lambda,
+        }
+    )
+    state = ssvi.with_latent(inside).select(*key, *ssvi.LATENT_COLUMNS)
     for _ in range(iterations):
         decoded = ssvi.with_constrained(state)
         equations = normal_equations(slim.join(decoded, keys), key)
@@ -283,14 +312,12 @@ def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_
             *key, "trial",
             *[(F.col(c) + F.col("size") * F.element_at("step", i + 1)).alias(c) for i, c in enumerate(ssvi.LATENT_COLUMNS)],
         )
-        moved = cut_lineage(moved)
-        valued = ssvi.with_implied_vol(slim.join(ssvi.with_constrained(moved), keys))
-        scored = valued.groupBy(*key, "trial").agg(
-            (F.sum(F.col("node_vega") * huber(F.col("predicted_iv") - F.col("node_iv"), HUBER_DELTA)) / F.sum("node_vega")).alias("loss")
-        )
-        best = scored.groupBy(*key).agg(F.min_by("trial", F.struct("loss", F.col("trial"))).alias("trial"), F.min("loss").alias("loss"))
-        state = cut_lineage(moved.join(best, [*keys, "trial"]).drop("trial"))
-    return ssvi.with_constrained(state).select(*key, *ssvi.PARAMETER_COLUMNS, "loss")
+        state = cut_lineage(best_trial(slim, cut_lineage(moved), key)).drop("loss")
+    finalists = ssvi.with_latent(given).select(*key, F.lit(1).alias("trial"), *ssvi.LATENT_COLUMNS).unionByName(
+        state.withColumn("trial", F.lit(0))
+    )
+    chosen = best_trial(slim, finalists, key)
+    return ssvi.with_constrained(chosen).select(*key, *ssvi.PARAMETER_COLUMNS, "loss")
 
 
 def calibrate(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, lattice: Lattice = Lattice(), iterations: int = 4) -> DataFrame:
