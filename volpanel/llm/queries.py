@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import mixing, url_rules
+from volpanel.llm import exact_dedup, language_id, mixing, packing, url_rules, warc
 from volpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,47 @@ FROM drawn WHERE quota_left IS NULL OR used <= quota_left
 @register("op10_temperature_mix", MIX_SQL)
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.temperature_mixture(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op4_exact_dedup",
+    """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(body) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY body)
+""",
+)
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by a hash of their id, are the stored snapshot; the others come in as a batch."""
+    stored = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), stored).drop("was_stored")
+
+
+@register(
+    "op8_warc_revisits",
+    """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, coalesce(html, '') AS body
+  FROM pages),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM r
+""",
+)
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op9_variable_packing")
+def op9_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
