@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import exact_dedup, language_id, mixing, packing, url_rules, warc
+from volpanel.llm import exact_dedup, language_id, mixing, ngram_join, packing, url_rules, warc
 from volpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +198,39 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_variable_packing")
 def op9_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+NGRAM_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+      WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END)
+      AS shingle
+    FROM w)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+  WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a AS doc_id, a AS seen FROM both_ways
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.seen)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+"""
+
+
+@register("op6_ngram_join", NGRAM_SQL)
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"), join=ngram_join.Join(words=3, num=90, den=100))
