@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.llm import fuse_filter
-from volpanel.llm.tables import ascii_lower, stage
+from volpanel.llm.tables import ascii_lower, likely, slot_bitmap, stage
 
 FILTER_SCHEMA = "bucket bigint, seed string, segment int, segments int, prints binary"
 
@@ -131,10 +131,14 @@ def exact_groups(docs: DataFrame, stored: Column, doc_id: str = "doc_id", text:
 
 
 def _compared(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
-    """Byte check: number of distinct texts and rows per digest that several rows share."""
+    """Byte check: number of distinct texts and rows per digest that several rows share.
+
+    A bitmap of the shared digests keeps nearly all other texts out of the shuffle.
+    """
     copied = stage(groups.where("size > 1").select("sha"), "dedup-copied")
     texts = docs.select(normalised(F.col(text)).alias("bytes")).withColumn("sha", F.sha2("bytes", 256))
-    same = texts.join(copied, "sha").groupBy("sha", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    texts = likely(texts, F.col("sha"), slot_bitmap(copied, "sha"))
+    same = texts.groupBy("sha", "bytes").agg(F.count(F.lit(1)).alias("n"))
     return same.groupBy("sha").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"))
 
 

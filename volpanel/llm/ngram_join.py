@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from volpanel.llm.components import connected_components
 from volpanel.llm.shingles import fingerprint, shingle_set
-from volpanel.llm.tables import stage
+from volpanel.llm.tables import likely, slot_bitmap, stage
 
 #: Shingles whose frequency is shared with every task: 16 bytes each.
 HOT = 1 << 18
@@ -162,9 +162,9 @@ class _Run:
         if pairs.isEmpty():
             return
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = stage(self.nodes.join(wanted, "node").select(F.col("doc").alias("_doc")).distinct(), "join-wanted")
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = slot_bitmap(self.nodes.join(ends, "node").select("doc"), "doc")
+        texts = likely(self.docs, F.col("doc_id"), wanted).select("text")
         k = self.join.words
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

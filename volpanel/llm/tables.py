@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,40 @@ def ascii_lower(text: Column) -> Column:
 def tasks(spark: SparkSession) -> int:
     """Partitions for a stage that is dealt by a key: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a shared bitmap of keys: 8 MB at most, whatever the number of keys.
+SLOTS = 1 << 26
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def slot_bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """Bitmap of the hash slots that the keys fall into."""
+    slots = keys.select(_slot(F.col(key)).alias("slot"))
+    chunks = slots.groupBy(F.expr("slot div 32768").alias("chunk")).agg(
+        F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")
+    )
+    bitmap = np.zeros(SLOTS // 8, dtype=np.uint8)
+    for row in chunks.toLocalIterator():
+        bits = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+        bitmap[row["chunk"] * 4096 : row["chunk"] * 4096 + len(bits)] = bits
+    return bitmap
+
+
+def likely(df: DataFrame, key: Column, bitmap: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose key falls into a slot of the bitmap: all that have one of its keys, and few others.
+
+    Spares the shuffle of wide rows that a join would drop. The bitmap's size is fixed, so it may be shared.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(range(batch.num_columns - 1))
+
+    return df.withColumn("_slot", _slot(key)).mapInArrow(screened, df.schema)
