@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import exact_dedup, language_id, mixing, ngram_join, packing, url_rules, warc
+from volpanel.llm import exact_dedup, language_id, mixing, ngram_join, packing, url_rules, vector_graph, warc
 from volpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +234,8 @@ LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
 @register("op6_ngram_join", NGRAM_SQL)
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(table(spark, sf_dir, "documents"), join=ngram_join.Join(words=3, num=90, den=100))
+
+
+@register("op7_vector_graph")
+def op7_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
