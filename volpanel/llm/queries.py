@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import exact_dedup, language_id, mixing, ngram_join, packing, url_rules, vector_graph, warc
+from volpanel.llm import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, url_rules, vector_graph, warc
+from volpanel.llm.license_texts import TEMPLATES
 from volpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,3 +240,9 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_vector_graph")
 def op7_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the names of its license notices in text order, their places and coverage."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
