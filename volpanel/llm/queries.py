@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, url_rules, vector_graph, warc
+from volpanel.llm import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, token_files, url_rules, vector_graph, warc
 from volpanel.llm.license_texts import TEMPLATES
 from volpanel.llm.tables import table
 
@@ -246,3 +247,8 @@ def op7_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the names of its license notices in text order, their places and coverage."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
+@register("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
