@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.llm.tables import stage, word_tokens
@@ -85,7 +85,9 @@ def temperature_weights(
     a = step / STEPS
     norm = shares.agg(F.sum(F.pow("share", F.lit(a)))).first()[0] or 1.0
     weight = F.pow("share", F.lit(a)) / F.lit(norm)
-    planned = shares.withColumn("weight", weight).withColumn("quota", F.floor(F.lit(float(budget)) * F.col("weight")))
+    # The last digits of a sum depend on its order; they must not cost a whole share its last token.
+    quota = F.floor(F.lit(float(budget)) * F.col("weight") * F.lit(1.0 + 1e-12))
+    planned = shares.withColumn("weight", weight).withColumn("quota", quota)
     return a, planned
 
 
@@ -100,8 +102,12 @@ def temperature_mixture(
     budget: int | None = None,
     rows_per_block: int = 1000,
     seed: int = 17,
+    mark: Column | None = None,
 ) -> DataFrame:
-    """One row per drawn document: doc_id, source, n_tokens, epoch, block_rank, slot, exponent."""
+    """One row per drawn document: doc_id, source, n_tokens, epoch, block_rank, slot, exponent.
+
+    A ``mark`` that tells rows of one id apart is carried along as a further column.
+    """
     n = F.col(tokens).cast("bigint") if tokens else word_tokens(F.col(text))
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = stage(
@@ -110,6 +116,7 @@ def temperature_mixture(
             F.col(source).alias("source"),
             n.alias("n_tokens"),
             F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("bigint").alias("spot"),
+            *([] if mark is None else [mark.alias("mark")]),
         ),
         "mix-rows",
     )
@@ -156,6 +163,34 @@ def temperature_mixture(
         .withColumn("used", F.sum("n_tokens").over(upto))
         .where(F.col("left").isNull() | (F.col("used") <= F.col("left")))
         .select(
-            "doc_id", "source", "n_tokens", "epoch", "block_rank", "slot", F.lit(exponent).alias("exponent")
+            "doc_id", "source", "n_tokens", "epoch", "block_rank", "slot", F.lit(exponent).alias("exponent"),
+            *([] if mark is None else ["mark"]),
         )
     )
+
+
+def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **settings) -> DataFrame:
+    """Rows of ``docs`` with all their columns, each as often as the mixture draws it.
+
+    Rows equal in id, source and text are interchangeable: one of them stands for all.
+    """
+    mark = F.xxhash64(text)
+    drawn = temperature_mixture(docs, doc_id, source, text, mark=mark, **settings)
+    times = stage(
+        drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark")).agg(
+            F.count(F.lit(1)).alias("_times"), F.count(F.when(F.col("epoch") == 0, 1)).alias("_rows")
+        ),
+        "mix-times",
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(doc_id).alias("_row_id"), F.col(source).alias("_row_source"), mark.alias("_row_mark"))
+    if not times.where("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_row_id", "_row_source", "_row_mark"])
+    met = rows.join(
+        times,
+        F.col("_row_id").eqNullSafe(F.col("_id"))
+        & F.col("_row_source").eqNullSafe(F.col("_source"))
+        & (F.col("_row_mark") == F.col("_mark")),
+    )
+    repeated = met.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    return repeated.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -125,7 +125,7 @@ tested AS (
 step AS (SELECT greatest((SELECT max(k) FROM tested WHERE flat), (SELECT min(k) FROM tested WHERE fits)) / 10000 AS a),
 norm AS (SELECT sum(share ** a) AS z, any_value(a) AS a FROM shares, step),
 plan AS (
-  SELECT source, tokens, a, CAST(floor(budget * (share ** a / z)) AS BIGINT) AS quota,
+  SELECT source, tokens, a, CAST(floor(budget * (share ** a / z) * (1.0e0 + 1e-12)) AS BIGINT) AS quota,
     least(greatest(0, CAST(ceil(log2(docs / 1000.0e0)) AS INT)), 24) AS bits
   FROM shares, norm),
 placed AS (
