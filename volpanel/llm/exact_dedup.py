@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.llm import fuse_filter
@@ -156,21 +156,25 @@ def deduplicate(docs: DataFrame, stored: Column, doc_id: str = "doc_id", text: s
 
 
 def keep_one(docs: DataFrame, stored: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns. Only rows of texts that recur are shuffled."""
     decided = deduplicate(docs, stored, doc_id, text)
+    copied = decided.where("group_size > 1").groupBy("text_sha256", "doc_id")
     kept = stage(
-        decided.groupBy("text_sha256", "doc_id")
-        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+        copied.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
         .where("kept")
         .select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_keep"), "rows"),
         "dedup-kept",
     )
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
-    chosen = keyed.join(
-        kept.withColumnRenamed("_sha", "_kept_sha"),
-        (keyed["_sha"] == F.col("_kept_sha")) & keyed[doc_id].eqNullSafe(F.col("_keep")),
-        "left_semi",
-    )
-    if kept.where("rows > 1").isEmpty():
-        return chosen.drop("_sha")
-    return chosen.dropDuplicates(["_sha", doc_id]).drop("_sha")
+    bitmap = slot_bitmap(kept, "_sha")
+    sha = F.sha2(normalised(F.col(text)), 256)
+    alone = likely(docs, sha, bitmap, inside=False)
+    # A text in the bitmap by chance has no kept row and stays as it is.
+    near = likely(docs, sha, bitmap)
+    names = [F.col(f"row.`{c}`") for c in docs.columns]
+    packed = near.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_id"), sha.alias("_row_sha"))
+    joined = packed.join(kept, F.col("_row_sha") == F.col("_sha"), "left")
+    stays = joined.where(F.col("_sha").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
+    if not kept.where("rows > 1").isEmpty():
+        same = Window.partitionBy("_row_sha", "_id").orderBy("_sha")
+        stays = stays.withColumn("_n", F.row_number().over(same)).where(F.col("_sha").isNull() | (F.col("_n") == 1))
+    return alone.unionByName(stays.select(*names))

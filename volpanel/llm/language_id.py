@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,6 +223,19 @@ def predict(docs: DataFrame, model: Model, *keep: Column, text: str = "text") ->
     return given.mapInPandas(scored, f"{fields}, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least ``min_score``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.scores(value.as_py()) for value in batch.column(at)]
+            yield batch.filter(pa.array([k != UNDETERMINED and p >= min_score for k, p in found], pa.bool_()))
+
+    return docs.mapInArrow(accepted, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that is never learned from: CRC-32 of the id as text, modulo 3, is 1; a null id counts as empty."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1

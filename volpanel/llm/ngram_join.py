@@ -29,8 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from volpanel.llm.components import connected_components
 from volpanel.llm.shingles import fingerprint, shingle_set
@@ -280,6 +281,11 @@ class _Run:
 
 def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    return _joined(docs, doc_id, text, join).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
+    """The join with the node of every row."""
     run = _Run(docs, doc_id, text, join)
     run.stars()
     postings = run.postings()
@@ -292,4 +298,44 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_node = stage(named.join(smallest, "component").select("node", "component_id"), "join-result")
     rows = run.signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(by_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"), "node")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
+    """Rows of ``docs`` with all their columns: of each component the row with the smallest id.
+
+    Rows without a shingle stay; of rows equal in id and shingles one stays. Only rows with an id of a component
+    of several rows are shuffled.
+    """
+    decided = stage(_joined(docs, doc_id, text, join).where("node IS NOT NULL"), "join-decided")
+    keeps = F.max(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node")))
+    # One set per component: equal ids can come with several.
+    chosen = decided.groupBy("component_id").agg(keeps.alias("keep_node"), F.count(F.lit(1)).alias("rows"))
+    chosen = stage(chosen.where("rows > 1").select(F.col("component_id").alias("_c"), "keep_node"), "join-kept")
+    torn = decided.join(chosen, F.col("component_id").eqNullSafe(F.col("_c")))
+    verdict = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("keep_node"))
+    judged = stage(
+        torn.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.max(verdict).alias("_stays")),
+        "join-judged",
+    )
+    bitmap = slot_bitmap(judged, "_id")
+    alone = likely(docs, F.col(doc_id), bitmap, inside=False)
+    near = likely(docs, F.col(doc_id), bitmap)
+    at, k = docs.columns.index(text), join.words
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(value.as_py(), k) for value in batch.column(at)]
+            nodes = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "_row_node"])
+
+    schema = StructType([*docs.schema.fields, StructField("_row_node", BinaryType())])
+    columns = [F.col(f"row.`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = near.mapInArrow(name, schema).select(row, F.col(doc_id).alias("_row_id"), "_row_node")
+    met = named.join(
+        judged, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_node") == F.col("_node")), "left"
+    ).where(F.col("_stays").isNull() | F.col("_stays"))
+    same = Window.partitionBy("_row_id", "_row_node").orderBy("_stays")
+    one = met.withColumn("_n", F.row_number().over(same)).where(F.col("_stays").isNull() | (F.col("_n") == 1))
+    return alone.unionByName(one.select(*columns))

@@ -66,17 +66,19 @@ def slot_bitmap(keys: DataFrame, key: str) -> np.ndarray:
     return bitmap
 
 
-def likely(df: DataFrame, key: Column, bitmap: np.ndarray) -> DataFrame:
+def likely(df: DataFrame, key: Column, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
     """Rows of ``df`` whose key falls into a slot of the bitmap: all that have one of its keys, and few others.
 
-    Spares the shuffle of wide rows that a join would drop. The bitmap's size is fixed, so it may be shared.
+    With ``inside=False`` all other rows, which surely have none of its keys. Spares the shuffle of wide rows that a join
+    would not change. The bitmap's size is fixed, so it may be shared.
     """
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    names = df.columns
 
     def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = batch.column(batch.num_columns - 1).to_numpy()
             hit = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(range(batch.num_columns - 1))
+            yield batch.filter(pa.array(hit.astype(bool) == inside)).select(range(batch.num_columns - 1))
 
-    return df.withColumn("_slot", _slot(key)).mapInArrow(screened, df.schema)
+    return df.select(*[F.col(f"`{c}`") for c in names], _slot(key).alias("_slot")).mapInArrow(screened, df.schema)
