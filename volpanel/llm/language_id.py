@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.llm.tables import stage
+from volpanel.llm.tables import map_batches, stage
 
 BITS = 15
 #: Bound on the labelled documents that the weights and the temperature are fitted on.
@@ -233,7 +233,7 @@ def accept(docs: DataFrame, model: Model, min_score: float, text: str = "text")
             found = [shared.value.scores(value.as_py()) for value in batch.column(at)]
             yield batch.filter(pa.array([k != UNDETERMINED and p >= min_score for k, p in found], pa.bool_()))
 
-    return docs.mapInArrow(accepted, docs.schema)
+    return map_batches(docs, accepted, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from volpanel.llm.components import connected_components
 from volpanel.llm.shingles import fingerprint, shingle_set
-from volpanel.llm.tables import likely, slot_bitmap, stage
+from volpanel.llm.tables import likely, map_batches, slot_bitmap, stage
 
 #: Shingles whose frequency is shared with every task: 16 bytes each.
 HOT = 1 << 18
@@ -321,18 +321,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join:
     bitmap = slot_bitmap(judged, "_id")
     alone = likely(docs, F.col(doc_id), bitmap, inside=False)
     near = likely(docs, F.col(doc_id), bitmap)
-    at, k = docs.columns.index(text), join.words
+    at, k, names = docs.columns.index(text), join.words, [*docs.columns, "_row_node"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(value.as_py(), k) for value in batch.column(at)]
             nodes = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "_row_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names)
 
     schema = StructType([*docs.schema.fields, StructField("_row_node", BinaryType())])
     columns = [F.col(f"row.`{c}`") for c in docs.columns]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    named = near.mapInArrow(name, schema).select(row, F.col(doc_id).alias("_row_id"), "_row_node")
+    named = map_batches(near, name, schema).select(row, F.col(doc_id).alias("_row_id"), "_row_node")
     met = named.join(
         judged, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_node") == F.col("_node")), "left"
     ).where(F.col("_stays").isNull() | F.col("_stays"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from volpanel.session import scratch_path
 
@@ -81,4 +82,16 @@ def likely(df: DataFrame, key: Column, bitmap: np.ndarray, inside: bool = True)
             hit = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
             yield batch.filter(pa.array(hit.astype(bool) == inside)).select(range(batch.num_columns - 1))
 
-    return df.select(*[F.col(f"`{c}`") for c in names], _slot(key).alias("_slot")).mapInArrow(screened, df.schema)
+    given = df.select(*[F.col(f"`{c}`") for c in names], _slot(key).alias("_slot"))
+    return map_batches(given, screened, df.schema)
+
+
+def map_batches(df: DataFrame, fn, schema: StructType) -> DataFrame:
+    """``mapInArrow`` by position, so that any column names will do, dots and repeats included."""
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in fn(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(batch.num_columns)])
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
