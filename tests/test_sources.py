@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from volpanel.operators import audit, clean
 from volpanel.sources import early_close, partitions, vendor
 from volpanel.sources.schema import DOCUMENTED_COLUMNS
-from volpanel.streaming.ingest import start_ingest
+from volpanel.operators.keys import CONTRACT_KEY
+from volpanel.streaming.ingest import start_clean_sink, start_ingest
 
 WINDOW = (date(2020, 1, 1), date(2020, 12, 31))
 
@@ -253,3 +254,50 @@ def test_streaming_ingest_is_incremental_and_idempotent(spark, tmp_path):
     streamed = spark.read.parquet(out).select("quote_date", "expiration", "strike", "option_type", "mid_1545", "tau")
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
     assert zipfile.is_zipfile(raw / archive_name(days[0]))
+
+
+def streamed(spark, frames, out, offsets, key):
+    """Bring frames as one micro-batch each."""
+    source = offsets + "-in"
+    for i, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_clean_sink(stream, out, offsets, early_closes=[], key=key).awaitTermination()
+
+
+def test_a_date_in_several_batches_keeps_all_rows(spark, tmp_path):
+    day = business_days(1)[0]
+    write_archive(tmp_path / "raw" / archive_name(day), day_quotes(day, 0, ("SPX", "SPXW")))
+    quotes = vendor.scan_archives(vendor.discover(spark, str(tmp_path / "raw"))).drop("source_file", "trade_date").persist()
+    calls, puts = quotes.where("option_type = 'C'"), quotes.where("option_type = 'P'")
+    out = str(tmp_path / "out")
+    streamed(spark, [calls, puts, calls], out, str(tmp_path / "o1"), CONTRACT_KEY)
+    held = spark.read.parquet(out)
+    assert held.count() == quotes.count() == held.select(*CONTRACT_KEY).distinct().count()
+    assert {r["option_root"] for r in held.select("option_root").distinct().collect()} == {"SPX", "SPXW"}
+    # A replay of everything changes nothing; a contradicting row of a later batch is an error.
+    streamed(spark, [quotes], out, str(tmp_path / "o2"), CONTRACT_KEY)
+    assert spark.read.parquet(out).count() == quotes.count()
+    other = quotes.limit(1).withColumn("bid_1545", F.col("bid_1545") * 0.99)
+    with pytest.raises(Exception, match="Conflicting duplicate"):
+        streamed(spark, [other], out, str(tmp_path / "o3"), CONTRACT_KEY)
+    assert spark.read.parquet(out).count() == quotes.count()
+
+
+def test_roots_and_underlyings_share_an_output(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    day = business_days(1)[0]
+    write_archive(raw / archive_name(day), day_quotes(day, 0, ("SPX", "SPXW")))
+    for root in ("SPX", "SPXW"):
+        start_ingest(spark, str(raw), out, str(tmp_path / root), "^SPX", root).awaitTermination()
+    assert {r["option_root"]: r["count"] for r in spark.read.parquet(out).groupBy("option_root").count().collect()} == {"SPX": 110, "SPXW": 110}
+    held = spark.read.parquet(out)
+    partitions.merge_date_partitions(held.withColumn("underlying_symbol", F.lit("^XYZ")), out, lambda rows: rows)
+    assert {r["underlying_symbol"]: r["count"] for r in spark.read.parquet(out).groupBy("underlying_symbol").count().collect()} == {"^SPX": 220, "^XYZ": 220}
+
+
+def test_repeated_dates_are_noticed(spark):
+    rows = spark.createDataFrame([(date(2020, 1, 2), 1), (date(2020, 1, 2), 2), (date(2020, 1, 3), 3)], "quote_date date, row_count int")
+    assert [r["quote_date"] for r in partitions.repeated_partitions(rows).collect()] == [date(2020, 1, 2)]
+    with pytest.raises(ValueError, match="twice"):
+        partitions.load_dates(rows, ["2020-01-02", date(2020, 1, 2)])

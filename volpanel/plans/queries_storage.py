@@ -143,9 +143,14 @@ SELECT quote_date, root, CAST(count(*) AS BIGINT) AS rows, CAST(sum(trade_volume
        round(sum(((expiration - quote_date)*86400 + 34200 - 56700)/31536000.0e0), 6) AS tau_total FROM kept GROUP BY 1, 2""",
 )
 def stream_ingest(spark, sf_dir):
-    """The quote file arrives as a stream with every row sent twice and lands clean, by month."""
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    """The quotes arrive as four files in four micro-batches, with every row sent twice, and land clean, by month.
+
+    Every month arrives in every batch, so each batch must add to what the earlier ones left.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    split = scratch_path(spark, "arrivals")
+    lines.repartition(4, "l_orderkey", "l_linenumber").write.parquet(split)
+    raw = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(split)
     rows = quote_columns(raw).withColumn("quote_date", F.trunc("quote_date", "month"))
     out = scratch_path(spark, "ingested")
     ingest.start_clean_sink(

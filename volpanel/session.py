@@ -59,3 +59,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, on any store that Spark reads."""
+    system, location = _file_system(spark, path)
+    return system.exists(location)
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate folders made by ``scratch_path``; anything else is refused."""
+    base = shared_dir(spark).rstrip("/") + "/"
+    for path in paths:
+        if not path.startswith(base):
+            raise ValueError(f"{path} is no scratch folder")
+        system, location = _file_system(spark, path)
+        system.delete(location, True)

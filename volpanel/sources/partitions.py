@@ -4,28 +4,69 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from volpanel.session import drop_scratch, path_exists, scratch_path
+
 PARTITIONS = ("year", "quote_date")
+#: Further folder levels, for the columns that a dataset has: what one feed delivers never replaces another's.
+FEED_PARTITIONS = ("underlying_symbol", "option_root")
+
 
+def partition_columns(df: DataFrame) -> tuple[str, ...]:
+    """Year, date, and the feed columns present."""
+    return (*PARTITIONS, *[c for c in FEED_PARTITIONS if c in df.columns])
 
-def write_date_partitions(df: DataFrame, path: str, partitions: tuple[str, ...] = PARTITIONS) -> None:
-    """Write by year and date, replacing only the dates present; an empty frame is an error.
+
+def write_date_partitions(df: DataFrame, path: str, partitions: tuple[str, ...] | None = None) -> None:
+    """Write by year, date, underlying and root, replacing only the partitions present; an empty frame is an error.
 
     The rebalance hint lets adaptive execution merge small dates and split a heavy one, so a date
-    holding much of the data is written by several tasks.
+    holding much of the data is written by several tasks. Rows are counted while they are written, so
+    nothing runs twice.
     """
-    if df.isEmpty():
-        raise ValueError("cannot write an empty date partition")
-    dated = df.withColumn("year", F.year("quote_date"))
+    written = Observation()
+    dated = df.withColumn("year", F.year("quote_date")).observe(written, F.count(F.lit(1)).alias("rows"))
     (
         dated.hint("rebalance", "quote_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
+        .partitionBy(*(partitions or partition_columns(df)))
         .parquet(path)
     )
+    if not written.get.get("rows"):
+        raise ValueError("an empty date partition was written")
+
+
+def merge_date_partitions(
+    df: DataFrame, path: str, unite: Callable[[DataFrame], DataFrame], partitions: tuple[str, ...] | None = None
+) -> None:
+    """Bring rows into a dataset that may already hold some of their partitions.
+
+    The partitions that ``df`` touches are read, united with the new rows by ``unite`` (which drops copies and
+    refuses conflicts), written aside, and put back; all others stay. Bringing the same rows again changes nothing.
+    """
+    spark = df.sparkSession
+    keys = partitions or partition_columns(df)
+    fresh_path, merged_path = scratch_path(spark, "fresh"), scratch_path(spark, "merged")
+    df.withColumn("year", F.year("quote_date")).write.parquet(fresh_path)
+    schema = df.withColumn("year", F.year("quote_date")).schema
+    fresh = spark.read.schema(schema).parquet(fresh_path)
+    touched = fresh.select(*keys).distinct()
+    rows = fresh
+    if path_exists(spark, path):
+        # A calendar bounds the dates of a batch; the list prunes folders of the dataset.
+        dates = [r[0] for r in touched.select("quote_date").distinct().collect()]
+        held = spark.read.schema(schema).parquet(path).where(F.col("quote_date").isin(dates))
+        rows = fresh.unionByName(held.join(touched, list(keys), "left_semi").select(*fresh.columns))
+    unite(rows.drop("year")).write.parquet(merged_path)
+    merged = spark.read.schema(df.schema).parquet(merged_path)
+    if not touched.isEmpty():
+        write_date_partitions(merged, path, keys)
+    drop_scratch(spark, fresh_path, merged_path)
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +81,7 @@ def scan_parquet(spark: SparkSession, root: str) -> DataFrame:
 
 def partition_index(dataset: DataFrame, by_file: bool = False) -> DataFrame:
     """Rows and an order-independent content checksum per date (and file)."""
-    columns = [c for c in dataset.columns if c not in PARTITIONS]
+    columns = [c for c in dataset.columns if c not in partition_columns(dataset)]
     file_path = F.col("_metadata.file_path")
     keys = [F.col("quote_date"), *([file_path.alias("file_path")] if by_file else [])]
     hashed = dataset.select(*keys, F.xxhash64(*columns).alias("_h"), file_path.alias("_file"))
@@ -51,6 +92,12 @@ def partition_index(dataset: DataFrame, by_file: bool = False) -> DataFrame:
     ).withColumn("year", F.year("quote_date"))
 
 
+def repeated_partitions(index: DataFrame) -> DataFrame:
+    """Entries of a partition index that name a date (and file, if it has files) more than once."""
+    key = [c for c in ("quote_date", "file_path") if c in index.columns]
+    return index.groupBy(*key).agg(F.count(F.lit(1)).alias("entries")).where("entries > 1")
+
+
 def available_dates(dataset: DataFrame) -> DataFrame:
     return dataset.select("quote_date").distinct()
 
@@ -59,6 +106,8 @@ def load_dates(dataset: DataFrame, dates: list[dt.date | str]) -> DataFrame:
     """Rows of the given dates; asking for nothing or for an absent date is an error."""
     if not dates:
         raise ValueError("no quote dates were requested")
+    if len({str(d) for d in dates}) != len(dates):
+        raise ValueError("a quote date was requested twice")
     wanted = sorted({d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in dates})
     rows = dataset.where(F.col("quote_date").isin(wanted))
     present = {r[0] for r in rows.select("quote_date").distinct().collect()}

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from volpanel.operators import audit, clean
 from volpanel.operators.keys import CONTRACT_KEY
 from volpanel.sources import vendor
-from volpanel.sources.partitions import write_date_partitions
+from volpanel.sources.partitions import merge_date_partitions
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -36,20 +36,22 @@ def start_clean_sink(
     early_closes: list | None = None,
     key: tuple[str, ...] = CONTRACT_KEY,
 ) -> StreamingQuery:
-    """Clean every micro-batch and replace the partitions of its dates.
+    """Clean every micro-batch and merge it into the partitions of its dates, underlyings and roots.
 
-    Dynamic partition overwrite makes a replayed batch idempotent. The query stops once everything
-    present at its start is processed; the next start continues from its checkpoint.
+    A date may arrive in any number of batches: what it already holds is read, united with the new
+    rows and deduplicated, so no row is lost, a replayed batch changes nothing, and rows of
+    different batches that contradict each other stop the stream. The query stops once everything present at its start
+    is processed; the next start continues from its checkpoint.
     """
 
+    def unite(rows: DataFrame) -> DataFrame:
+        merged = clean.deduplicate(rows, key)
+        merged.require_no_conflicts()
+        return merged.rows.drop("copies")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        distinct = clean.clean_contracts(parse(batch), early_closes, rules, key=key).rows.persist()
-        try:
-            clean.Deduplicated(distinct, clean.conflicting_keys(distinct, key)).require_no_conflicts()
-            if not distinct.isEmpty():
-                write_date_partitions(distinct.drop("copies"), out)
-        finally:
-            distinct.unpersist()
+        cleaned = clean.clean_contracts(parse(batch), early_closes, rules, key=key).rows
+        merge_date_partitions(cleaned.drop("copies"), out, unite)
 
     return (
         stream.writeStream.foreachBatch(write)
