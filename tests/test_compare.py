@@ -2,6 +2,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from volpanel.operators import compare
 
@@ -11,6 +12,7 @@ def losses(spark, series, metric="m"):
     return spark.createDataFrame(rows, "metric string, model_name string, target_date date, loss double")
 
 
+# Golden loss series; the expected statistics stand beside their tests.
 DM_A = [0.80, 1.00, 1.10, 0.95, 1.05, 0.90, 1.15, 0.98]
 DM_B = [1.05, 1.10, 1.20, 1.08, 1.16, 1.02, 1.22, 1.09]
 DOMINATED = {
@@ -60,6 +62,23 @@ def test_loss_validation(spark, series, problem):
         compare.require_comparable(losses(spark, series))
 
 
+def test_unaligned_dates_are_refused(spark):
+    early = losses(spark, {"a": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]})
+    late = losses(spark, {"b": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]}).withColumn("target_date", F.date_add("target_date", 3))
+    both = early.unionByName(late)
+    assert [r.problem for r in compare.loss_problems(both).collect()] == ["unaligned_dates"]
+    for call in (compare.diebold_mariano, compare.confidence_set_steps):
+        with pytest.raises(ValueError, match="unaligned_dates"):
+            call(both)
+    with pytest.raises(Exception, match="a model has no loss on some dates"):
+        compare.bootstrap_means(both, compare.BootstrapSettings(5, 2, 1)).collect()
+
+
+def test_a_null_panel_is_checked_too(spark):
+    frame = losses(spark, {"a": [1.0, 2.0, 3.0], "b": [1.0, 2.0]}, None)
+    assert [r.problem for r in compare.loss_problems(frame).collect()] == ["unequal_length"]
+
+
 def chosen(spark, frame, settings):
     steps = compare.confidence_set_steps(frame, settings=settings)
     sets = {r.method: r for r in compare.confidence_set(steps, frame).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ def aligned_losses(losses: DataFrame, models: list[str], by: tuple[str, ...] = P
 def loss_problems(losses: DataFrame, min_rows: int = 3, by: tuple[str, ...] = PANEL) -> DataFrame:
     """Panels that cannot be compared, with the reason; empty when everything is fine.
 
-    Fewer than two models, unequal or short series, repeated dates, or a non-finite loss.
+    Fewer than two models, unequal or short series, repeated dates, dates that not all models have, or a
+    non-finite loss.
     """
+    all_dates = losses.groupBy(*by, "target_date").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("one").alias("all_dates"))
     per_model = losses.groupBy(*by, "model_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("target_date").alias("dates"),
@@ -52,11 +55,14 @@ def loss_problems(losses: DataFrame, min_rows: int = 3, by: tuple[str, ...] = PA
         F.sum("bad").alias("non_finite"),
         F.sum(F.col("n") - F.col("dates")).alias("repeated"),
     )
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    per_panel = per_panel.join(all_dates.withColumnsRenamed({c: f"_{c}" for c in by}), same)
     reason = (
         F.when(F.col("models") < 2, "fewer_than_two_models")
         .when(F.col("non_finite") > 0, "non_finite_loss")
         .when(F.col("shortest") != F.col("longest"), "unequal_length")
         .when(F.col("repeated") > 0, "repeated_dates")
+        .when(F.col("shortest") != F.col("all_dates"), "unaligned_dates")
         .when(F.col("shortest") < min_rows, "too_few_observations")
     )
     return per_panel.withColumn("problem", reason).where(F.col("problem").isNotNull()).select(*by, "problem")
@@ -112,6 +118,7 @@ def diebold_mariano(losses: DataFrame, bandwidth: int = 5, horizon: int = 1, by:
     """Small-sample adjusted statistic and two-sided Student-t p-value per model pair, with Holm adjustment."""
     if bandwidth < 0 or horizon < 1:
         raise ValueError("bandwidth must be non-negative and horizon positive")
+    require_comparable(losses, by=by)
     variance = long_run_variance(model_pairs(losses, by), bandwidth, by)
     n = F.col("n_obs")
     raw = F.col("mean_differential") / F.sqrt(F.col("long_run_variance") / n)
@@ -147,26 +154,41 @@ class BootstrapSettings:
             raise ValueError("draws and block length must be positive")
 
 
+def _random(kind: str, draw: Column, offset: Column, settings: BootstrapSettings) -> Column:
+    """Uniform number of (seed, kind, draw, offset): any task can rebuild any of them."""
+    return hash_uniform(F.lit(settings.seed), F.lit(kind), draw, offset)
+
+
+def _fresh(draw: Column, offset: Column, settings: BootstrapSettings) -> Column:
+    """Whether the path starts anew: at offset 0 and with probability 1 / block length afterwards."""
+    return (offset == 0) | (_random("jump", draw, offset, settings) > 1.0 - 1.0 / settings.block_length)
+
+
+def _start(draw: Column, offset: Column, length: Column, settings: BootstrapSettings) -> Column:
+    return F.floor(_random("start", draw, offset, settings) * length).cast("bigint")
+
+
 def bootstrap_paths(lengths: DataFrame, settings: BootstrapSettings = BootstrapSettings(), by: tuple[str, ...] = PANEL) -> DataFrame:
     """Index paths of the stationary bootstrap: one row per (panel, draw, offset) with a position.
 
-    ``lengths`` gives ``length`` per panel. A new uniform start is drawn at offset 0 and with
-    probability 1 / block length afterwards; in between the path moves on by one, modulo the length.
-    All random numbers are hashes of (seed, draw, offset), so any task can rebuild any of them.
+    ``lengths`` gives ``length`` per panel. A new uniform start is drawn where the path starts anew; in between it
+    moves on by one, modulo the length. A path is an array built inside its (panel, draw) row, so
+    the rows of this report are never shuffled.
     """
     draws = lengths.select(*by, "length", F.explode(F.sequence(F.lit(0), F.lit(settings.draws - 1))).alias("draw"))
-    cells = draws.select("*", F.explode(F.sequence(F.lit(0), (F.col("length") - 1).cast("int"))).alias("offset"))
-    restart = hash_uniform(F.lit(settings.seed), F.lit("jump"), F.col("draw"), F.col("offset"))
-    start = F.floor(
-        hash_uniform(F.lit(settings.seed), F.lit("start"), F.col("draw"), F.col("offset")) * F.col("length")
-    ).cast("bigint")
-    fresh = (F.col("offset") == 0) | (restart > 1.0 - 1.0 / settings.block_length)
-    so_far = Window.partitionBy(*by, "draw").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    # A start is stored minus its offset, so the current position is that base plus the offset.
-    base = F.last(F.when(fresh, start - F.col("offset")), ignorenulls=True).over(so_far)
-    return cells.withColumn("_base", base).select(
-        *by, "draw", "offset", F.pmod(F.col("_base") + F.col("offset"), F.col("length")).alias("position")
+    draw, length = F.col("draw"), F.col("length")
+    offsets = F.sequence(F.lit(0), (length - 1).cast("int"))
+    starts = F.filter(offsets, lambda o: _fresh(draw, o, settings))
+    # Each start carries its block, up to the next start.
+    begun = F.transform(
+        F.arrays_zip(starts.alias("at"), F.array_append(F.slice(starts, F.lit(2), F.size(starts)), length.cast("int")).alias("to")),
+        lambda s: F.transform(
+            F.sequence(s["at"], s["to"] - 1),
+            lambda o: F.pmod(_start(draw, s["at"], length, settings) + o - s["at"], length),
+        ),
     )
+    cells = draws.select(*by, "draw", F.posexplode(F.flatten(begun)).alias("offset", "position"))
+    return cells.select(*by, "draw", "offset", "position")
 
 
 def positioned_losses(losses: DataFrame, models: list[str], by: tuple[str, ...] = PANEL) -> DataFrame:
@@ -188,19 +210,33 @@ def bootstrap_means(
 ) -> DataFrame:
     """Mean loss per (panel, draw, model); draw -1 is the observed sample.
 
-    Paths are first counted per (panel, draw, position); models are columns of one row, so each
-    draw is summed once for all of them and equal series give equal means.
+    The aligned losses of a panel are arrays over its dates, one per model; a draw is one row that walks
+    its path over them and adds up all models in the same order, so equal series give equal means and nothing
+    of size draws x dates is shuffled. A model that lacks some dates of a panel is an error.
     """
     models = models or model_names(losses)
-    wide = positioned_losses(losses, models, by)
-    lengths = wide.groupBy(*by).agg(F.count(F.lit(1)).alias("length"))
-    hits = bootstrap_paths(lengths, settings, by).groupBy(*by, "draw", "position").agg(F.count(F.lit(1)).alias("hits"))
-    observed = wide.select(*by, F.lit(-1).alias("draw"), "position", F.lit(1).cast("bigint").alias("hits"))
-    joined = hits.unionByName(observed).join(wide.drop("target_date"), [*by, "position"])
-    total = F.sum("hits")
-    means = joined.groupBy(*by, "draw").agg(*[(F.sum(F.col("hits") * F.col(m)) / total).alias(m) for m in models])
-    long = means.unpivot([*by, "draw"], list(models), "model_name", "mean_loss")
-    return long.where(F.col("mean_loss").isNotNull())
+    wide = aligned_losses(losses, models, by)
+    dated = wide.select(*by, *models, F.struct("target_date", F.array(*models).alias("values")).alias("entry"))
+    length = F.count(F.lit(1))
+    holes = reduce(lambda x, y: x | y, [F.count(F.col(m)).between(F.lit(1), length - 1) for m in models])
+    # One panel's dates: an array the length of its test window. A panel may be without a model altogether.
+    rows = F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["values"])
+    gap = F.raise_error(F.lit("a model has no loss on some dates of its panel")).cast("array<array<double>>")
+    panel = dated.groupBy(*by).agg(F.when(holes, gap).otherwise(rows).alias("rows"), length.alias("length"))
+    draws = panel.select("*", F.explode(F.sequence(F.lit(-1), F.lit(settings.draws - 1))).alias("draw"))
+    draw, length = F.col("draw"), F.col("length")
+    zero = F.struct(F.lit(0).cast("bigint").alias("base"), F.array_repeat(F.lit(0.0), len(models)).alias("sums"))
+
+    def walk(acc: Column, o: Column) -> Column:
+        base = F.when(_fresh(draw, o, settings), _start(draw, o, length, settings) - o).otherwise(acc["base"])
+        base = F.when(draw < 0, F.lit(0).cast("bigint")).otherwise(base)
+        row = F.element_at("rows", (F.pmod(base + o, length) + 1).cast("int"))
+        return F.struct(base.alias("base"), F.zip_with(acc["sums"], row, lambda x, y: x + y).alias("sums"))
+
+    offsets = F.sequence(F.lit(0), (length - 1).cast("int"))
+    summed = draws.select(*by, "draw", F.aggregate(offsets, zero, walk, lambda acc: F.transform(acc["sums"], lambda x: x / length)).alias("means"))
+    named = F.arrays_zip(F.array(*[F.lit(m) for m in models]).alias("model_name"), F.col("means").alias("mean_loss"))
+    return summed.select(*by, "draw", F.inline(named)).where(F.col("mean_loss").isNotNull())
 
 
 # --- model confidence set ---------------------------------------------------------------------
@@ -320,6 +356,7 @@ def confidence_set_steps(
     models = model_names(losses)
     if len(models) < 2:
         raise ValueError("a model confidence set needs at least two models")
+    require_comparable(losses, by=by)
     means = bootstrap_means(losses, settings, by, models)
     drawn = cut_lineage(draw_rows(means, by))
     key = [*by, "method"]
