@@ -41,6 +41,8 @@ from volpanel.llm.tables import likely, map_batches, slot_bitmap, stage
 HOT = 1 << 18
 #: Prefix shingles of a group that are compared in stars.
 STARS = 4
+#: Bits of a set's parity sketch.
+PARITY_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,19 @@ class Join:
         return (self.num * n + self.den - 1) // self.den
 
 
+def parity_sketch(found: np.ndarray) -> bytes:
+    """Per slot, whether an odd number of shingles fall into it. Sketches differ in no more bits than sets in members."""
+    slots = (found >> np.uint64(64 - 10)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=PARITY_BITS) & 1 == 1).tobytes()
+
+
+def may_link(m: np.ndarray, n: np.ndarray, x: list[bytes], y: list[bytes], join: Join) -> np.ndarray:
+    """Whether sets of sizes ``m`` and ``n`` with these sketches can differ in few enough members. Never false for a link."""
+    left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
+    differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return differ * (join.den + join.num) <= (m + n) * (join.den - join.num)
+
+
 def frequent_shingles(docs: DataFrame, text: str, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, sorted by shingle."""
 
@@ -97,7 +112,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for batch in batches:
-            sizes, nodes, groups, prefixes = [], [], [], []
+            sizes, nodes, groups, prefixes, parities = [], [], [], [], []
             for value in batch.column(1):
                 found = shingle_set(value.as_py(), join.words)
                 n = len(found)
@@ -107,25 +122,27 @@ def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame
                     nodes.append(fingerprint(found))
                     groups.append(fingerprint(np.append(prefix, np.uint64(n))))
                     prefixes.append(prefix.view(np.int64))
+                    parities.append(parity_sketch(found))
                 else:
-                    nodes.append(None)
-                    groups.append(None)
-                    prefixes.append(None)
+                    for column in (nodes, groups, prefixes, parities):
+                        column.append(None)
             schema = schema or pa.schema(
                 [
                     ("doc_id", batch.column(0).type),
                     ("n", pa.int64()),
                     ("node", pa.binary()),
                     ("prefix_name", pa.binary()),
+                    ("parity", pa.binary()),
                     ("prefix", pa.list_(pa.int64())),
                 ]
             )
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.binary())]
+            arrays = [batch.column(0), pa.array(sizes, pa.int64())]
+            arrays += [pa.array(column, pa.binary()) for column in (nodes, groups, parities)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n bigint, node binary, prefix_name binary, prefix array<bigint>"
+        sign, f"doc_id {kind}, n bigint, node binary, prefix_name binary, parity binary, prefix array<bigint>"
     )
 
 
@@ -141,9 +158,9 @@ class _Run:
             F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("pivot")
         )
         self.groups = stage(groups.withColumn("gid", F.monotonically_increasing_id()), "join-groups")
-        nodes = filled.groupBy("node", "prefix_name", "n").agg(F.min("doc_id").alias("doc"))
+        nodes = filled.groupBy("node", "prefix_name", "n", "parity").agg(F.min("doc_id").alias("doc"))
         named = nodes.join(self.groups.select("prefix_name", "gid", "pivot"), "prefix_name")
-        self.nodes = stage(named.select("node", "gid", "pivot", "n", "doc"), "join-nodes")
+        self.nodes = stage(named.select("node", "gid", "pivot", "n", "doc", "parity"), "join-nodes")
         self.components: DataFrame | None = None
         self.tested: DataFrame | None = None
 
@@ -159,7 +176,7 @@ class _Run:
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "join-pairs")
+        pairs = stage(self._likely_pairs(pairs), "join-pairs")
         if pairs.isEmpty():
             return
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
@@ -209,6 +226,21 @@ class _Run:
         new = merged.join(self.components.select("node"), "node", "left_anti")
         self.components = stage(old.unionByName(new), "join-components")
 
+    def _likely_pairs(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches allow a link; nearly all others go without a look at their sets."""
+        join = self.join
+        for end, size, sketch in (("a", "m", "x"), ("b", "n", "y")):
+            known = self.nodes.select(F.col("node").alias(end), F.col("n").alias(size), F.col("parity").alias(sketch))
+            pairs = pairs.join(known, end)
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in batches:
+                if len(p):
+                    p = p[may_link(p["m"].to_numpy(), p["n"].to_numpy(), list(p["x"]), list(p["y"]), join)]
+                yield p[["a", "b"]]
+
+        return pairs.select("a", "b", "m", "n", "x", "y").mapInPandas(compare, "a binary, b binary")
+
     def stars(self) -> None:
         """Every node with the pivot of its group; every group with the smallest one under each early shingle."""
         inside = self.nodes.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))

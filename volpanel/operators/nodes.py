@@ -44,32 +44,40 @@ NODE_COLUMNS = (
 
 
 def node_aggregates() -> list[Column]:
-    """Vega-weighted summary of the legs of a strike.
+    """Vega-weighted summary of the legs of a strike, on primitive buffers.
 
-    The duplicate policy leaves at most one call and one put per strike, so the exact median sees
-    a handful of values per group whatever the size of the input.
+    The duplicate policy leaves at most one call and one put per strike, and the median of two is their
+    mean; ``checked_legs`` refuses a strike with more.
     """
     iv, vega = F.col("implied_volatility_1545"), F.col("vega_1545")
     return [
-        F.min("option_root").alias("option_root"),
         F.min("tau").alias("tau"),
         F.try_divide(F.sum(iv * vega), F.sum(vega)).alias("node_iv"),
         F.sum(vega).alias("node_vega"),
         F.avg("active_underlying_price_1545").alias("active_underlying_price_1545"),
         F.sum("trade_volume").alias("trade_volume"),
         F.sum("open_interest").alias("open_interest"),
-        F.median("rel_spread_1545").alias("median_rel_spread_1545"),
+        F.avg("rel_spread_1545").alias("median_rel_spread_1545"),
         F.count(F.lit(1)).alias("collapsed_contract_count"),
     ]
 
 
+def checked_legs(strikes: DataFrame) -> DataFrame:
+    """The strikes, raising inside the plan where one has more than two legs."""
+    count = F.col("collapsed_contract_count")
+    message = F.concat(F.lit("more than two legs at strike "), F.col("strike").cast("string"), F.lit(" on "), F.col("quote_date").cast("string"))
+    return strikes.withColumn(
+        "collapsed_contract_count", F.when(count > 2, F.raise_error(message).cast("bigint")).otherwise(count)
+    )
+
+
 def strike_table(contracts: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
     """Both legs and the node summary of every strike from one pass over the contracts.
 
     Everything after it works on strikes: the only exchange of contract rows is this one, on the
     full node key, so a hot date or expiry is spread over its strikes.
     """
-    return contracts.groupBy(*key).agg(*node_aggregates(), *parity.leg_columns())
+    return checked_legs(contracts.groupBy(*key, "option_root").agg(*node_aggregates(), *parity.leg_columns()))
 
 
 def nodes_of(strikes: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
@@ -85,7 +93,7 @@ def surface_nodes(contracts: DataFrame, min_pairs: int = parity.MIN_PAIRS, multi
 
 def collapse_nodes(contracts: DataFrame, terms: DataFrame, key: tuple[str, ...] = NODE_KEY) -> DataFrame:
     """Nodes from contracts and given forward terms: collapsed per strike first, then joined."""
-    summary = contracts.groupBy(*key).agg(*node_aggregates())
+    summary = checked_legs(contracts.groupBy(*key, "option_root").agg(*node_aggregates()))
     slim = terms.select(*EXPIRY_KEY, "discount_factor", "forward_price")
     return nodes_of(summary.join(slim, list(EXPIRY_KEY)), key)
 

@@ -108,9 +108,10 @@ def pricing_utility(priced: DataFrame, key: tuple[str, ...] = FORECAST_KEY) -> D
 # --- hedged moves -----------------------------------------------------------------------------
 
 def hedge_buckets(contracts: DataFrame, key: tuple[str, ...] = STATE_KEY) -> DataFrame:
-    """The contract nearest to each bucket's maturity and to the money, per date; one pass."""
+    """The contract nearest to each bucket's maturity and to the money, per date; one pass over the contracts."""
     fields = ("root", "expiration", "strike", "option_type")
-    picked = contracts.groupBy(*key).agg(
+    near = surface.nearest_strikes(contracts, (*key, "root", "expiration", "option_type"), ())
+    picked = near.groupBy(*key).agg(
         *[
             surface.nearest_value(
                 F.struct(*fields), days / ssvi.DAYS_PER_YEAR, ("root", "expiration", "strike"), F.col("option_type") == side
@@ -179,11 +180,13 @@ def straddle_pairs(contracts: DataFrame, key: tuple[str, ...] = STATE_KEY) -> Da
         F.sum("mid_1545").alias("gross_premium"),
         F.sum("spread_1545").alias("total_spread"),
         F.min("tau").alias("tau"),
-        F.avg(F.abs("m")).alias("m"),
+        F.min("m").alias("m"),
         (F.max(F.col("option_type") == "C") & F.max(F.col("option_type") == "P")).alias("complete"),
     )
     fields = ("root", "expiration", "strike", "gross_premium", "total_spread")
-    picked = legs.where("complete").groupBy(*key).agg(
+    values = ("gross_premium", "total_spread")
+    near = surface.nearest_strikes(legs.where("complete"), (*key, "root", "expiration"), values)
+    picked = near.groupBy(*key).agg(
         *[
             surface.nearest_value(F.struct(*fields), d / ssvi.DAYS_PER_YEAR, ("root", "expiration", "strike")).alias(f"a{d}")
             for d in STRADDLE_ANCHORS

@@ -124,10 +124,32 @@ def require_certified(certificates: DataFrame, key: tuple[str, ...] = STATE_KEY)
 
 # --- nearest nodes ----------------------------------------------------------------------------
 
+def nearest_strikes(rows: DataFrame, key: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
+    """One row per expiry group: its strike nearest to the money with tau, m and ``values``; ties to the lower strike.
+
+    Moneyness rises with the strike inside an expiry, so the nearest strike is the last one at or below the
+    forward or the first one at or above it. Both sides are found with primitive buffers: one
+    code-generated hash aggregation, combined before the exchange.
+    """
+    m = F.col("m")
+    below, above = F.when(m <= 0, m), F.when(m >= 0, m)
+    fields = ("strike", *values)
+    sides = rows.groupBy(*key).agg(
+        F.min("tau").alias("tau"),
+        F.max(below).alias("_below"),
+        F.min(above).alias("_above"),
+        *[F.max_by(c, below).alias(f"_b_{c}") for c in fields],
+        *[F.min_by(c, above).alias(f"_a_{c}") for c in fields],
+    ).where(F.col("_below").isNotNull() | F.col("_above").isNotNull())
+    lower = F.col("_above").isNull() | (F.abs("_below") <= F.col("_above"))
+    picked = [F.when(lower, F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")).alias(c) for c in fields]
+    return sides.select(*key, "tau", F.when(lower, F.col("_below")).otherwise(F.col("_above")).alias("m"), *picked)
+
+
 def nearest_value(
     value: str | Column, target_tau: float, ties: tuple[str, ...], where: Column | None = None
 ) -> Column:
-    """Aggregate: the value on the row nearest in maturity, then in moneyness, then by key order."""
+    """Aggregate over rows of ``nearest_strikes``: the value nearest in maturity, then in moneyness, then by key order."""
     distance = F.struct(F.abs(F.col("tau") - target_tau), F.abs(F.col("m")), *[F.col(c) for c in ties])
     ordering = distance if where is None else F.when(where, distance)
     return F.min_by(value, ordering)
@@ -140,11 +162,13 @@ def nearest_nodes(
     ties: tuple[str, ...] = ("expiration", "strike"),
     columns: tuple[str, ...] = ("expiration", "strike", "tau", "m", "node_iv"),
 ) -> DataFrame:
-    """For each target maturity the nearest node, all targets in one aggregation pass.
+    """For each target maturity the nearest node, all targets in one aggregation of the expiries.
 
-    One ``min_by`` per target keeps the row count unchanged: no product of nodes and targets.
+    Expiries are reduced to their nearest strike first; one ``min_by`` per target then keeps the row count
+    unchanged: no product of nodes and targets.
     """
-    picked = nodes.groupBy(*key).agg(
+    near = nearest_strikes(nodes, (*key, "expiration"), _payload(columns, key))
+    picked = near.groupBy(*key).agg(
         *[nearest_value(F.struct(*columns), t, ties).alias(f"n{i}") for i, t in enumerate(taus)]
     )
     targets = F.array(
@@ -156,6 +180,11 @@ def nearest_nodes(
     return picked.select(*key, F.inline(targets)).select(*key, "target_no", "target_tau", "node.*")
 
 
+def _payload(columns: tuple[str, ...], key: tuple[str, ...]) -> tuple[str, ...]:
+    """Columns that the nearest strike has to carry along."""
+    return tuple(c for c in columns if c not in (*key, "expiration", "strike", "tau", "m"))
+
+
 # --- starting surface -------------------------------------------------------------------------
 
 def skew_start(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY) -> DataFrame:
@@ -177,12 +206,12 @@ def skew_aggregates() -> tuple[Column, Column, Column]:
 def initial_surface(
     nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, ties: tuple[str, ...] = ("expiration", "strike")
 ) -> DataFrame:
-    """Starting surface of every date in one aggregation: nearest node per knot, skew and eta below its cap."""
-    _, _, rho = skew_aggregates()
-    picked = nodes.groupBy(*key).agg(
-        *[nearest_value("node_iv", t, ties).alias(f"_iv{i}") for i, t in enumerate(ssvi.KNOT_TAUS)],
-        rho.alias("rho"),
+    """Starting surface of every date: nearest node per knot, skew and eta below its cap."""
+    near = nearest_strikes(nodes, (*key, "expiration"), ("node_iv",))
+    knots = near.groupBy(*key).agg(
+        *[nearest_value("node_iv", t, ties).alias(f"_iv{i}") for i, t in enumerate(ssvi.KNOT_TAUS)]
     )
+    picked = knots.join(skew_start(nodes, key).select(*key, "rho"), list(key))
     guesses = picked.withColumns(
         {
             f"_t{i}": F.greatest(F.lit(t) * F.col(f"_iv{i}") * F.col(f"_iv{i}"), F.lit(MIN_THETA))
@@ -200,12 +229,9 @@ def initial_surface(
 
 def atm_total_variance(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY) -> DataFrame:
     """Total variance of the node nearest to the money in every expiry."""
-    nearest = F.min_by(F.struct("tau", "node_iv"), F.struct(F.abs(F.col("m")), "strike"))
-    return (
-        nodes.groupBy(*key, "expiration")
-        .agg(nearest.alias("n"))
-        .select(*key, "expiration", F.col("n.tau").alias("tau"), (F.col("n.tau") * F.col("n.node_iv") * F.col("n.node_iv")).alias("w"))
-    )
+    near = nearest_strikes(nodes, (*key, "expiration"), ("node_iv",))
+    variance = F.col("tau") * F.col("node_iv") * F.col("node_iv")
+    return near.select(*key, "expiration", "tau", variance.alias("w"))
 
 
 def interpolated_thetas(atm: DataFrame, key: tuple[str, ...] = STATE_KEY) -> DataFrame:
