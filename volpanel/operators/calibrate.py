@@ -1,32 +1,34 @@
 """Surface calibration of all dates at once.
 
-``lattice_fit`` searches a refining lattice with Catalyst expressions only. ``refine_fit`` adds
-damped Gauss-Newton steps whose normal equations are sums over the nodes: tasks only ever emit
-products, Spark adds them up per date, and a date of any size arrives at the solver as one row.
-Dates do not depend on each other, so there is no warm-start chain.
+Nodes are packed once into bounded arrays per (date, salt); a date with many nodes has many packs, spread over
+tasks. A round joins the packs with the few numbers that describe where their date stands, evaluates all
+candidates of a pack at once, and adds up one short vector per pack: the only exchange of a round.
+``lattice_fit`` searches a refining lattice in this way, ``refine_fit`` adds damped Gauss-Newton steps until
+every date has converged. Dates do not depend on each other, so there is no warm-start chain.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
-from volpanel.functions.mathx import clip, huber
+from volpanel.functions.mathx import clip
 from volpanel.operators import surface
 from volpanel.operators.keys import STATE_KEY
 from volpanel.operators.score import HUBER_DELTA
-from volpanel.operators.skew import spread_groups
+from volpanel.operators.skew import parallelism
 from volpanel.session import cut_lineage
 
 # Losses closer than this are ties, broken by candidate number.
 LOSS_DIGITS = 13
 
-# A date with more nodes than this is split over several tasks in the lattice search.
-NODES_PER_TASK = 2000
+# A date with more nodes than this is split over several packs.
+NODES_PER_PACK = 2000
 
 
 @dataclass(frozen=True)
@@ -51,85 +53,113 @@ class Lattice:
             [o * half * width for o in offsets(n)] for (_, half), n in zip(ranges, self.steps[round_no])
         ]
 
+    def candidates(self, round_no: int) -> np.ndarray:
+        """Offsets of every candidate (candidates x 4), the last parameter running fastest."""
+        grid = np.meshgrid(*self.axes(round_no), indexing="ij")
+        return np.stack([g.ravel() for g in grid], axis=1)
+
 
 def offsets(steps: int) -> list[float]:
     return [-1.0 + 2.0 * i / (steps - 1) for i in range(steps)]
 
 
-def candidate_array(lattice: Lattice, round_no: int) -> Column:
-    """The lattice of a round as an array of numbered parameter offsets, a constant of the plan."""
-    axes = lattice.axes(round_no)
-    sizes = [len(axis) for axis in axes]
-    total = sizes[0] * sizes[1] * sizes[2] * sizes[3]
-    divisors = (sizes[1] * sizes[2] * sizes[3], sizes[2] * sizes[3], sizes[3], 1)
-    literals = [F.array(*[F.lit(v) for v in axis]) for axis in axes]
-
-    def pick(axis: int, i: Column) -> Column:
-        at = F.floor(i / F.lit(divisors[axis])) % F.lit(sizes[axis]) + 1
-        return F.element_at(literals[axis], at.cast("int"))
-
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(total - 1)),
-        lambda i: F.struct(
-            i.alias("candidate_id"),
-            pick(0, i).alias("d_rho"),
-            pick(1, i).alias("d_log_eta"),
-            pick(2, i).alias("d_lam"),
-            pick(3, i).alias("d_scale"),
-        ),
-    )
 
+# --- packs ------------------------------------------------------------------------------------
 
-def with_candidates(centres: DataFrame, lattice: Lattice, round_no: int, out: str = "candidates") -> DataFrame:
-    """Admissible parameters of every candidate around the date's centre, as one array per date.
+def pack_nodes(nodes: DataFrame, key: tuple[str, ...], columns: tuple[str, ...], per_pack: int = NODES_PER_PACK) -> DataFrame:
+    """Nodes as arrays, one row per (date, ``_salt``) with about ``per_pack`` nodes at most.
 
-    Eta never exceeds its cap, so equal surfaces can occur; ties go to the smaller candidate number.
+    The repartition by date and salt is what spreads a heavy date; grouping by date alone would undo it.
     """
-    array = candidate_array(lattice, round_no)
-
-    def admissible(d: Column) -> Column:
-        rho = clip(F.col("c_rho") + d["d_rho"], -0.98, 0.98)
-        lam = clip(F.col("c_lam") + d["d_lam"], ssvi.LAMBDA_LOW, ssvi.LAMBDA_HIGH)
-        scale = F.col("c_scale") + d["d_scale"]
-        cap = ssvi.eta_cap(F.col(ssvi.THETA_COLUMNS[-1]) * scale, rho, lam)
-        eta = F.least(F.exp(F.col("c_log_eta") + d["d_log_eta"]), cap)
-        return F.struct(
-            d["candidate_id"].alias("candidate_id"), rho.alias("rho"), eta.alias("eta"), lam.alias("lam"), scale.alias("scale")
-        )
+    sizes = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    salts = F.ceil(F.col("_n") / per_pack).cast("bigint")
+    salted = nodes.join(sizes, list(key)).withColumns({"_packs": salts, "_salt": F.pmod(F.xxhash64("m", "tau"), salts)})
+    dealt = salted.repartition(parallelism(nodes), *key, "_salt")
+    order = ("tau", "m", *[c for c in columns if c not in ("tau", "m")])
+    rows = dealt.groupBy(*key, "_salt", "_packs").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_nodes"))
+    return rows.select(*key, "_salt", "_packs", *[F.col(f"_nodes.{c}").alias(c) for c in columns])
+
+
+def beside(packs: DataFrame, dates: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Packs next to the row of their date. The join is on date and salt, so a heavy date stays spread."""
+    named = packs.select(*key, "_salt").join(dates, list(key))
+    return packs.join(named, [*key, "_salt"])
+
+
+def summed(parts: DataFrame, key: tuple[str, ...], *carried: str) -> DataFrame:
+    """The vectors ``part`` of a date's packs as one array, in pack order; ``carried`` columns are equal in all of them."""
+    packs = F.array_sort(F.collect_list(F.struct("_salt", "part")))
+    firsts = [F.first(c).alias(c) for c in carried]
+    return parts.groupBy(*key).agg(F.transform(packs, lambda p: p["part"]).alias("parts"), *firsts)
+
+
+def _total(parts) -> np.ndarray:
+    return np.stack([np.asarray(p, dtype=float) for p in parts]).sum(axis=0)
+
+
+def _huber(error: np.ndarray) -> np.ndarray:
+    size = np.abs(error)
+    return np.where(size <= HUBER_DELTA, 0.5 * error * error, HUBER_DELTA * (size - 0.5 * HUBER_DELTA))
+
+
+def _eta_cap(top, rho, lam):
+    """As ``ssvi.eta_cap``, on arrays."""
+    top, tilt = np.maximum(top, ssvi.EPSILON), 1.0 + np.abs(rho)
+    slope = 4.0 / np.maximum(tilt * top ** (1.0 - lam), ssvi.EPSILON)
+    curve = np.sqrt(4.0 / np.maximum(tilt * top ** (1.0 - 2.0 * lam), ssvi.EPSILON))
+    return np.maximum(np.minimum(slope, curve) * ssvi.ETA_SAFETY, ssvi.ETA_FLOOR)
 
-    return centres.withColumn(out, F.transform(array, admissible))
 
+# --- lattice search ---------------------------------------------------------------------------
 
-def lattice_round(nodes: DataFrame, centres: DataFrame, lattice: Lattice, round_no: int, key: tuple[str, ...]) -> DataFrame:
-    """Best candidate per date in one round.
+def admissible(offsets_: np.ndarray, centre: np.ndarray, top: float) -> tuple[np.ndarray, ...]:
+    """rho, eta, lambda and variance scale of the candidates around a centre.
 
-    ``nodes`` carry ``_theta``, the interpolated ATM variance at their maturity. The product of a
-    date's nodes and the fixed candidate set lives only on the map side of the aggregation: every
-    task combines it to one row per (date, candidate) before the exchange.
+    Eta never exceeds its cap, so equal surfaces can occur; ties go to the smaller candidate number.
     """
-    keys = list(key)
-    packed = with_candidates(centres, lattice, round_no).select(*key, "candidates")
-    wide = nodes.join(packed, keys).select(*key, "m", "tau", "node_iv", "node_vega", "_theta", F.inline_outer("candidates"))
-    rho, k = F.col("rho"), F.col("_k")
-    valued = (
-        wide.withColumn("_t", F.col("_theta") * F.col("scale"))
-        .withColumn("_k", F.col("eta") * F.pow(F.col("_t"), -F.col("lam")) * F.col("m"))
-        .withColumn("_r", F.sqrt((k + rho) * (k + rho) + 1.0 - rho * rho))
-        .withColumn("_iv", F.sqrt(0.5 * F.col("_t") * (1.0 + rho * k + F.col("_r")) / F.col("tau")))
-        .withColumn("_loss", F.col("node_vega") * huber(F.col("_iv") - F.col("node_iv"), HUBER_DELTA))
-    )
-    scored = valued.groupBy(*key, "candidate_id").agg((F.sum("_loss") / F.sum("node_vega")).alias("loss"))
-    order = F.struct(F.round("loss", LOSS_DIGITS), F.col("candidate_id"))
-    best = scored.groupBy(*key).agg(F.min_by(F.struct("candidate_id", "loss"), order).alias("b"))
-    chosen = best.join(packed, keys).withColumn("c", F.element_at("candidates", F.col("b.candidate_id") + 1))
-    return chosen.select(
-        *key,
-        F.col("b.loss").alias("loss"),
-        F.col("c.rho").alias("c_rho"),
-        F.ln("c.eta").alias("c_log_eta"),
-        F.col("c.lam").alias("c_lam"),
-        F.col("c.scale").alias("c_scale"),
+    rho = np.clip(centre[0] + offsets_[:, 0], -0.98, 0.98)
+    lam = np.clip(centre[2] + offsets_[:, 2], ssvi.LAMBDA_LOW, ssvi.LAMBDA_HIGH)
+    scale = centre[3] + offsets_[:, 3]
+    eta = np.minimum(np.exp(centre[1] + offsets_[:, 1]), _eta_cap(top * scale, rho, lam))
+    return rho, eta, lam, scale
+
+
+def lattice_round(packs: DataFrame, centres: DataFrame, lattice: Lattice, round_no: int, key: tuple[str, ...]) -> DataFrame:
+    """Best candidate per date: ``centre`` (rho, log eta, lambda, scale) and ``loss``.
+
+    ``centres`` has ``centre`` and ``top``, the last knot's variance; packs carry ``theta``, the interpolated ATM
+    variance at their nodes. A pack's part is its loss under every candidate and its weight.
+    """
+    grid = lattice.candidates(round_no)
+
+    def losses(m: pd.Series, tau: pd.Series, iv: pd.Series, vega: pd.Series, theta: pd.Series, centre: pd.Series, top: pd.Series) -> pd.Series:
+        found = []
+        for m_, tau_, iv_, vega_, theta_, centre_, top_ in zip(m, tau, iv, vega, theta, centre, top):
+            rho, eta, lam, scale = (x[:, None] for x in admissible(grid, centre_, top_))
+            t = theta_[None, :] * scale
+            k = eta * t**-lam * m_[None, :]
+            root = np.sqrt((k + rho) * (k + rho) + 1.0 - rho * rho)
+            error = np.sqrt(0.5 * t * (1.0 + rho * k + root) / tau_[None, :]) - iv_[None, :]
+            found.append(np.append((vega_[None, :] * _huber(error)).sum(axis=1), vega_.sum()))
+        return pd.Series(found)
+
+    def best(parts: pd.Series, centre: pd.Series, top: pd.Series) -> pd.DataFrame:
+        rows = []
+        for parts_, centre_, top_ in zip(parts, centre, top):
+            total = _total(parts_)
+            loss = total[:-1] / total[-1]
+            at = int(np.argmin(np.round(loss, LOSS_DIGITS)))
+            rho, eta, lam, scale = (float(x[at]) for x in admissible(grid, centre_, top_))
+            rows.append((float(loss[at]), [rho, float(np.log(eta)), lam, scale]))
+        return pd.DataFrame(rows, columns=["loss", "centre"])
+
+    score = F.pandas_udf(losses, "array<double>")
+    choose = F.pandas_udf(best, "loss double, centre array<double>")
+    parts = beside(packs, centres.select(*key, "centre", "top"), key).select(
+        *key, "_salt", "centre", "top", score("m", "tau", "node_iv", "node_vega", "theta", "centre", "top").alias("part")
     )
+    chosen = summed(parts, key, "centre", "top").select(*key, "top", choose("parts", "centre", "top").alias("b"))
+    return chosen.select(*key, "top", "b.loss", "b.centre")
 
 
 def lattice_fit(
@@ -142,28 +172,24 @@ def lattice_fit(
     thetas = cut_lineage(thetas) if checkpoint else thetas
     at_nodes = slim.join(thetas, list(key)).select(
         *key, "m", "tau", "node_iv", "node_vega",
-        F.greatest(ssvi.theta_curve("tau"), F.lit(ssvi.EPSILON)).alias("_theta"),
+        F.greatest(ssvi.theta_curve("tau"), F.lit(ssvi.EPSILON)).alias("theta"),
     )
-    valued = spread_groups(at_nodes, key, ("m", "tau"), NODES_PER_TASK)
-    valued = cut_lineage(valued) if checkpoint else valued
+    packs = pack_nodes(at_nodes, key, ("m", "tau", "node_iv", "node_vega", "theta"))
+    packs = cut_lineage(packs) if checkpoint else packs
+    start = [lattice.rho[0], lattice.log_eta[0], lattice.lam[0], lattice.scale[0]]
     best = thetas.select(
-        *key,
-        F.lit(lattice.rho[0]).alias("c_rho"),
-        F.lit(lattice.log_eta[0]).alias("c_log_eta"),
-        F.lit(lattice.lam[0]).alias("c_lam"),
-        F.lit(lattice.scale[0]).alias("c_scale"),
+        *key, F.col(ssvi.THETA_COLUMNS[-1]).alias("top"), F.array(*[F.lit(float(x)) for x in start]).alias("centre")
     )
-    top = thetas.select(*key, ssvi.THETA_COLUMNS[-1])
     for round_no in range(len(lattice.steps)):
-        best = lattice_round(valued, best.join(top, list(key)), lattice, round_no, key)
+        best = lattice_round(packs, best, lattice, round_no, key)
         if checkpoint:
             best = cut_lineage(best)
     fitted = best.join(thetas, list(key)).withColumns(
         {
-            **{c: F.col(c) * F.col("c_scale") for c in ssvi.THETA_COLUMNS},
-            "rho": F.col("c_rho"),
-            "eta": F.exp("c_log_eta"),
-            "lambda": F.col("c_lam"),
+            **{c: F.col(c) * F.col("centre")[3] for c in ssvi.THETA_COLUMNS},
+            "rho": F.col("centre")[0],
+            "eta": F.exp(F.col("centre")[1]),
+            "lambda": F.col("centre")[2],
         }
     )
     return fitted.select(*key, *ssvi.PARAMETER_COLUMNS, "loss")
@@ -171,123 +197,109 @@ def lattice_fit(
 
 # --- distributed Gauss-Newton -----------------------------------------------------------------
 
-STEP_SIZES = (1.0, 0.5, 0.2, 0.0)
-DAMPING = 1e-4
-
-
-def node_derivatives(nodes: DataFrame) -> DataFrame:
-    """Residual, robust weight and the five non-zero derivatives of each node's volatility.
-
-    Volatility at a node depends on the two knots around its maturity and on rho, eta and lambda.
-    """
-    last = len(ssvi.KNOT_TAUS) - 1
-    left = F.lit(0)
-    for i in range(1, last):
-        left = F.when(F.col("tau") > ssvi.KNOT_TAUS[i], F.lit(i)).otherwise(left)
-    taus = surface.literal_array(list(ssvi.KNOT_TAUS))
-    thetas = F.array(*[F.col(c) for c in ssvi.THETA_COLUMNS])
-    staged = ssvi.with_total_variance(nodes, "_w", keep_parts=True).withColumn("_i", left)
-    low, high = F.element_at(taus, F.col("_i") + 1), F.element_at(taus, F.col("_i") + 2)
-    share = F.least(F.greatest((F.col("tau") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    rho, theta, km, radical = F.col("rho"), F.col("_theta"), F.col("_km"), F.col("_radical")
-    bend = rho + (km + rho) / radical
-    staged = (
-        staged.withColumn("_share", share)
-        .withColumn("_iv", F.sqrt(F.col("_w") / F.col("tau")))
-        .withColumn("_error", F.col("_iv") - F.col("node_iv"))
-        .withColumn("_bend", bend)
-    )
-    per_variance = 1.0 / (2.0 * F.col("tau") * F.col("_iv"))
-    d_theta = F.col("_w") / theta - 0.5 * F.col("lambda") * km * F.col("_bend")
-    d_rho = 0.5 * theta * km * (1.0 + 1.0 / radical) * (1.0 - rho * rho)
-    d_eta = 0.5 * theta * km * F.col("_bend")
-    d_lambda = -d_eta * F.ln(theta) * F.col("lambda") * (1.0 - 2.0 * F.col("lambda"))
-    left_theta = F.element_at(thetas, F.col("_i") + 1)
-    right_theta = F.element_at(thetas, F.col("_i") + 2)
-    gradient = F.array(
-        F.struct(F.col("_i").alias("p"), (per_variance * d_theta * (1.0 - F.col("_share")) * left_theta).alias("d")),
-        F.struct((F.col("_i") + 1).alias("p"), (per_variance * d_theta * F.col("_share") * right_theta).alias("d")),
-        F.struct(F.lit(last + 1).alias("p"), (per_variance * d_rho).alias("d")),
-        F.struct(F.lit(last + 2).alias("p"), (per_variance * d_eta).alias("d")),
-        F.struct(F.lit(last + 3).alias("p"), (per_variance * d_lambda).alias("d")),
-    )
-    robust = F.when(F.abs("_error") <= HUBER_DELTA, 1.0).otherwise(HUBER_DELTA / F.abs("_error"))
-    return staged.withColumns({"_gradient": gradient, "_weight": F.col("node_vega") * robust})
-
-
-def normal_equations(nodes: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Sums of the weighted products per date, as long rows (row, column, value); column -1 is J'e."""
-    g = F.col("_gradient")
-    products = F.flatten(
-        F.transform(
-            g,
-            lambda a: F.concat(
-                F.transform(
-                    F.filter(g, lambda b: b["p"] >= a["p"]),
-                    lambda b: F.struct(a["p"].alias("i"), b["p"].alias("j"), (F.col("_weight") * a["d"] * b["d"]).alias("v")),
-                ),
-                F.array(F.struct(a["p"].alias("i"), F.lit(-1).alias("j"), (F.col("_weight") * a["d"] * F.col("_error")).alias("v"))),
-            ),
-        )
-    )
-    long = node_derivatives(nodes).select(*key, F.inline(products))
-    return long.groupBy(*key, "i", "j").agg(F.sum("v").alias("v"))
-
-
-def _solver():
-    size = len(ssvi.PARAMETER_COLUMNS)
-    damping = DAMPING
-
-    def solve(entries: pd.Series) -> pd.Series:
-        import numpy as np
-
-        steps = []
-        for rows in entries:
-            matrix, gradient = np.zeros((size, size)), np.zeros(size)
-            for row in rows:
-                i, j, v = row["i"], row["j"], row["v"]
-                if j < 0:
-                    gradient[i] = v
-                else:
-                    matrix[i, j] = matrix[j, i] = v
-            scale = np.maximum(np.diag(matrix), 1e-12 * max(np.diag(matrix).max(), 1e-300))
-            system = matrix + np.diag(damping * scale)
-            step = -np.linalg.lstsq(system, gradient, rcond=1e-12)[0]
-            steps.append(np.clip(step, -1.0, 1.0).tolist())
-        return pd.Series(steps)
-
-    return F.pandas_udf(solve, "array<double>")
-
+STEP_SIZES = (1.0, 0.4, 0.1)
+DAMPING = (1e-4, 1e6)
+# A date has converged when its loss falls by less than this share, or no damping finds a better step.
+LOSS_SHARE = 1e-4
+SIZE = len(ssvi.PARAMETER_COLUMNS)
+KNOTS = len(ssvi.THETA_COLUMNS)
 
 # Starts are moved this far inside the parameter range, where every derivative is alive.
 INNER_RHO = 0.95
 INNER_LAMBDA = (0.05, 0.4)
 
 
-def best_trial(nodes: DataFrame, trials: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """The latent trial with the smallest loss per date; ties go to the smaller trial number."""
-    keys = list(key)
-    valued = ssvi.with_implied_vol(nodes.join(ssvi.with_constrained(trials), keys))
-    error = F.col("predicted_iv") - F.col("node_iv")
-    scored = valued.groupBy(*key, "trial").agg(
-        (F.sum(F.col("node_vega") * huber(error, HUBER_DELTA)) / F.sum("node_vega")).alias("loss")
-    )
-    best = scored.groupBy(*key).agg(
-        F.min_by("trial", F.struct("loss", "trial")).alias("trial"), F.min("loss").alias("loss")
-    )
-    return trials.join(best, [*keys, "trial"]).drop("trial")
+def decode(z: np.ndarray) -> np.ndarray:
+    """Latent state to parameters, as ``ssvi.with_constrained``."""
+    thetas = np.maximum.accumulate(np.exp(z[:KNOTS]))
+    rho = np.clip(np.tanh(z[KNOTS]), -ssvi.RHO_LIMIT, ssvi.RHO_LIMIT)
+    lam = np.clip(0.5 / (1.0 + np.exp(-z[KNOTS + 2])), ssvi.LAMBDA_LOW, ssvi.LAMBDA_HIGH)
+    eta = min(np.exp(z[KNOTS + 1]), _eta_cap(thetas[-1], rho, lam))
+    return np.concatenate([thetas, [rho, eta, lam]])
+
+
+def encode(p: np.ndarray) -> np.ndarray:
+    """Parameters to latent state, as ``ssvi.with_latent``."""
+    rho = np.clip(p[KNOTS], -ssvi.RHO_LIMIT, ssvi.RHO_LIMIT)
+    share = np.clip(2.0 * p[KNOTS + 2], 1e-6, 1.0 - 1e-6)
+    logs = np.log(np.maximum(p[: KNOTS], ssvi.EPSILON))
+    return np.concatenate([logs, [np.arctanh(rho), np.log(max(p[KNOTS + 1], ssvi.EPSILON)), np.log(share / (1.0 - share))]])
 
 
-def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_KEY, iterations: int = 4) -> DataFrame:
-    """Damped Gauss-Newton from a start state; never worse than the start.
+def normal_equations(p: np.ndarray, m: np.ndarray, tau: np.ndarray, iv: np.ndarray, vega: np.ndarray) -> np.ndarray:
+    """Loss, J'WJ and J'We of a pack's nodes at parameters ``p`` (a vector of sums).
 
-    Every iteration forms the normal equations with one aggregation, solves one small system per
-    date, and scores the trial step sizes (zero included) with a second aggregation. A start on
-    the edge of the parameter range is moved inside first; the untouched start competes at the end.
+    Volatility at a node depends on the two knots around its maturity and on rho, eta and lambda.
+    """
+    taus, thetas, (rho, eta, lam) = np.asarray(ssvi.KNOT_TAUS), p[:KNOTS], p[KNOTS:]
+    left = np.clip(np.searchsorted(taus, tau, side="left") - 1, 0, KNOTS - 2)
+    share = np.clip((tau - taus[left]) / (taus[left + 1] - taus[left]), 0.0, 1.0)
+    theta = np.maximum(thetas[left] + (thetas[left + 1] - thetas[left]) * share, ssvi.EPSILON)
+    km = max(eta, ssvi.EPSILON) * theta**-lam * m
+    radical = np.sqrt((km + rho) * (km + rho) + 1.0 - rho * rho)
+    w = 0.5 * theta * (1.0 + rho * km + radical)
+    model = np.sqrt(w / tau)
+    error = model - iv
+    bend = rho + (km + rho) / radical
+    to_iv = 1.0 / (2.0 * tau * model)
+    d_theta = to_iv * (w / theta - 0.5 * lam * km * bend)
+    d_eta = to_iv * 0.5 * theta * km * bend
+    rows = np.arange(len(m))
+    jacobian = np.zeros((len(m), SIZE))
+    jacobian[rows, left] = d_theta * (1.0 - share) * thetas[left]
+    jacobian[rows, left + 1] = d_theta * share * thetas[left + 1]
+    jacobian[:, KNOTS] = to_iv * 0.5 * theta * km * (1.0 + 1.0 / radical) * (1.0 - rho * rho)
+    jacobian[:, KNOTS + 1] = d_eta
+    jacobian[:, KNOTS + 2] = -d_eta * np.log(theta) * lam * (1.0 - 2.0 * lam)
+    size = np.abs(error)
+    weight = vega * np.where(size <= HUBER_DELTA, 1.0, HUBER_DELTA / np.maximum(size, HUBER_DELTA))
+    weighted = jacobian * weight[:, None]
+    return np.concatenate([[(vega * _huber(error)).sum(), vega.sum()], (weighted.T @ jacobian).ravel(), weighted.T @ error])
+
+
+def next_trials(z: np.ndarray, equations: np.ndarray, damping: float) -> list[np.ndarray]:
+    """Latent states along the damped step from ``z``."""
+    matrix, gradient = equations[: SIZE * SIZE].reshape(SIZE, SIZE), equations[SIZE * SIZE :]
+    diagonal = np.diag(matrix)
+    scale = np.maximum(diagonal, 1e-12 * max(diagonal.max(), 1e-300))
+    step = np.clip(-np.linalg.lstsq(matrix + np.diag(damping * scale), gradient, rcond=1e-12)[0], -1.0, 1.0)
+    start = encode(decode(z))
+    return [start + size * step for size in STEP_SIZES]
+
+
+def _advance(parts, trials, z, loss, damping, steps) -> tuple:
+    """One step of a date: take the best trial if it is better, else damp more; propose new trials."""
+    width = 2 + SIZE * SIZE + SIZE
+    sums = _total(parts).reshape(len(trials), width)
+    found = sums[:, 0] / sums[:, 1]
+    at = int(np.argmin(np.where(np.isnan(found), np.inf, found)))
+    better = loss is None or np.isnan(loss) or found[at] < loss
+    fell = np.inf if loss is None or np.isnan(loss) else loss - found[at]
+    if better:
+        z, loss, equations = np.asarray(trials[at], dtype=float), float(found[at]), sums[at, 2:]
+        damping = max(damping / 10.0, 1e-8) if np.isfinite(fell) else damping
+    else:
+        equations, damping = None, damping * 10.0
+    converged = bool((better and fell <= LOSS_SHARE * max(loss, 1e-300)) or damping > DAMPING[1])
+    return z, loss, equations, damping, steps + 1, converged
+
+
+REFINE_SCHEMA = (
+    "z array<double>, loss double, equations array<double>, damping double, steps int, converged boolean, "
+    "trials array<array<double>>"
+)
+
+
+def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_KEY, iterations: int = 60) -> DataFrame:
+    """Damped Gauss-Newton from a start state until the loss stops falling; never worse than the start.
+
+    Every iteration evaluates the trial states of the dates that have not converged, with the normal equations at
+    each, and adds up one vector per pack. Returns the parameters, ``loss``, ``steps`` and ``converged``; a date
+    that is not done after ``iterations`` steps is marked as not converged. A start on the edge of the
+    parameter range is moved inside first; the untouched start competes at the end.
     """
     keys = list(key)
-    slim = spread_groups(nodes.select(*key, "m", "tau", "node_iv", "node_vega"), key, ("m", "tau"))
-    slim = cut_lineage(slim)
+    packs = cut_lineage(pack_nodes(nodes.select(*key, "m", "tau", "node_iv", "node_vega"), key, ("m", "tau", "node_iv", "node_vega")))
     given = cut_lineage(start.select(*key, *ssvi.PARAMETER_COLUMNS))
     # Eta follows lambda so that the curvature at the middle knot stays what it was.
     moved_lambda = clip(F.col("lambda"), *INNER_LAMBDA)
@@ -298,29 +310,90 @@ def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_
             "lambda": moved_lambda,
         }
     )
-    state = ssvi.with_latent(inside).select(*key, *ssvi.LATENT_COLUMNS)
+    first = ssvi.with_latent(inside).select(*key, F.array(*ssvi.LATENT_COLUMNS).alias("z"))
+    state = first.select(
+        *key, "z", F.lit(None).cast("double").alias("loss"), F.array().cast("array<double>").alias("equations"),
+        F.lit(DAMPING[0]).alias("damping"), F.lit(0).alias("steps"), F.lit(False).alias("converged"), F.array("z").alias("trials"),
+    )
+
+    def evaluate(m: pd.Series, tau: pd.Series, iv: pd.Series, vega: pd.Series, trials: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                np.concatenate([normal_equations(decode(np.asarray(t, dtype=float)), *pack) for t in trials_])
+                for *pack, trials_ in zip(m, tau, iv, vega, trials)
+            ]
+        )
+
+    def advance(parts: pd.Series, trials: pd.Series, z: pd.Series, loss: pd.Series, equations: pd.Series, damping: pd.Series, steps: pd.Series) -> pd.DataFrame:
+        rows = []
+        for parts_, trials_, z_, loss_, held, damping_, steps_ in zip(parts, trials, z, loss, equations, damping, steps):
+            z_, loss_, fresh, damping_, steps_, done = _advance(parts_, trials_, np.asarray(z_, dtype=float), loss_, damping_, steps_)
+            held = np.asarray(held, dtype=float) if fresh is None else fresh
+            ahead = [] if done else [t.tolist() for t in next_trials(z_, held, damping_)]
+            rows.append((z_.tolist(), loss_, held.tolist(), damping_, steps_, done, ahead))
+        return pd.DataFrame(rows, columns=["z", "loss", "equations", "damping", "steps", "converged", "trials"])
+
+    def solve(m: pd.Series, tau: pd.Series, iv: pd.Series, vega: pd.Series, z: pd.Series) -> pd.DataFrame:
+        rows = []
+        for *pack, z_ in zip(m, tau, iv, vega, z):
+            z_, trials, held, loss, damping, steps, done = np.asarray(z_, dtype=float), None, None, None, DAMPING[0], 0, False
+            while not done and steps < iterations:
+                trials = [z_] if trials is None else next_trials(z_, held, damping)
+                part = np.concatenate([normal_equations(decode(t), *pack) for t in trials])
+                z_, loss, fresh, damping, steps, done = _advance([part], trials, z_, loss, damping, steps)
+                held = held if fresh is None else fresh
+            rows.append((z_.tolist(), loss, steps, done))
+        return pd.DataFrame(rows, columns=["z", "loss", "steps", "converged"])
+
+    # A date in one pack is solved where it lies; only the others need an exchange per step.
+    solved = F.pandas_udf(solve, "z array<double>, loss double, steps int, converged boolean")
+    alone = packs.where("_packs = 1").join(first, keys)
+    whole = alone.select(*key, solved("m", "tau", "node_iv", "node_vega", "z").alias("s")).select(*key, "s.*")
+    split = packs.where("_packs > 1")
+    state = state.join(split.select(*key).distinct(), keys, "left_semi")
+
+    evaluated = F.pandas_udf(evaluate, "array<double>")
+    advanced = F.pandas_udf(advance, REFINE_SCHEMA)
+    carried = ("trials", "z", "loss", "equations", "damping", "steps")
+    finished, moving = [], cut_lineage(state)
     for _ in range(iterations):
-        decoded = ssvi.with_constrained(state)
-        equations = normal_equations(slim.join(decoded, keys), key)
-        packed = equations.groupBy(*key).agg(F.collect_list(F.struct("i", "j", "v")).alias("e"))
-        steps = packed.select(*key, _solver()(F.col("e")).alias("step"))
-        sizes = F.posexplode(surface.literal_array(list(STEP_SIZES)))
-        # Re-encode the decoded state so that the steps start from the admissible parameters.
-        encoded = ssvi.with_latent(decoded.select(*key, *ssvi.PARAMETER_COLUMNS))
-        trials = encoded.join(steps, keys).select(*key, *ssvi.LATENT_COLUMNS, "step", sizes.alias("trial", "size"))
-        moved = trials.select(
-            *key, "trial",
-            *[(F.col(c) + F.col("size") * F.element_at("step", i + 1)).alias(c) for i, c in enumerate(ssvi.LATENT_COLUMNS)],
+        if moving.isEmpty():
+            break
+        parts = beside(split, moving.select(*key, "trials"), key).select(
+            *key, "_salt", evaluated("m", "tau", "node_iv", "node_vega", "trials").alias("part")
         )
-        state = cut_lineage(best_trial(slim, cut_lineage(moved), key)).drop("loss")
-    finalists = ssvi.with_latent(given).select(*key, F.lit(1).alias("trial"), *ssvi.LATENT_COLUMNS).unionByName(
-        state.withColumn("trial", F.lit(0))
+        stepped = summed(parts, key).join(moving.select(*key, *carried), keys)
+        stepped = cut_lineage(stepped.select(*key, advanced("parts", *carried).alias("s")).select(*key, "s.*"))
+        finished.append(stepped.where("converged"))
+        moving = stepped.where("NOT converged")
+    final = whole
+    for part in [moving, *finished]:
+        final = final.unionByName(part.drop("trials", "equations", "damping"))
+    latent = final.select(*key, "loss", "steps", "converged", *[F.col("z")[i].alias(c) for i, c in enumerate(ssvi.LATENT_COLUMNS)])
+    refined = ssvi.with_constrained(latent).select(*key, *ssvi.PARAMETER_COLUMNS, "loss", "steps", "converged")
+
+    # The untouched start competes on its own parameters.
+    def start_loss(m: pd.Series, tau: pd.Series, iv: pd.Series, vega: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([normal_equations(np.asarray(p_, dtype=float), *pack)[:2] for *pack, p_ in zip(m, tau, iv, vega, p)])
+
+    at_start = given.select(*key, F.array(*ssvi.PARAMETER_COLUMNS).alias("p"))
+    scored = beside(packs, at_start, key).select(
+        *key, "_salt", F.pandas_udf(start_loss, "array<double>")("m", "tau", "node_iv", "node_vega", "p").alias("part")
+    )
+    ratio = F.expr("aggregate(parts, 0D, (s, x) -> s + x[0]) / aggregate(parts, 0D, (s, x) -> s + x[1])")
+    starts = given.join(summed(scored, key).select(*key, ratio.alias("_start")), keys)
+    both = refined.join(starts.withColumnsRenamed({c: f"_{c}" for c in ssvi.PARAMETER_COLUMNS}), keys)
+    keeps = F.col("_start") < F.col("loss")
+    return both.select(
+        *key,
+        *[F.when(keeps, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ssvi.PARAMETER_COLUMNS],
+        F.least("loss", "_start").alias("loss"),
+        "steps",
+        "converged",
     )
-    chosen = best_trial(slim, finalists, key)
-    return ssvi.with_constrained(chosen).select(*key, *ssvi.PARAMETER_COLUMNS, "loss")
 
 
-def calibrate(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, lattice: Lattice = Lattice(), iterations: int = 4) -> DataFrame:
+def calibrate(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, lattice: Lattice = Lattice(), iterations: int = 60) -> DataFrame:
     """Lattice start and Gauss-Newton refinement; adds the latent state columns."""
     fitted = lattice_fit(nodes, key, lattice)
     if iterations:

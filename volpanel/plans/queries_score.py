@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
-from volpanel.functions.mathx import normal_cdf
+from volpanel.functions.mathx import huber, normal_cdf
 from volpanel.operators import calibrate, nodes, parity, score, surface
 from volpanel.plans import oracle_text as sql
 from volpanel.plans.adapters import chain, monthly_sql, table
@@ -429,10 +429,32 @@ def lattice_calibration(spark, sf_dir):
     return rounded(rounded(rows, 6, *ssvi.PARAMETER_COLUMNS), 9, "loss")
 
 
-@register("refined_calibration", "SRF6")
+@register(
+    "refined_calibration",
+    "SRF6",
+    "WITH" + lattice_sql(LATTICE) + "SELECT option_root, quote_date, round(loss, 9) AS lattice_loss, true AS not_worse, true AS loss_agrees, true AS converged FROM fitted",
+)
 def refined_calibration(spark, sf_dir):
-    rows = calibrate.calibrate(chain_nodes(spark, sf_dir), iterations=2)
-    return rounded(rows.select(*KEY, *ssvi.PARAMETER_COLUMNS, "loss"), 6, *ssvi.PARAMETER_COLUMNS)
+    """Refined against lattice loss; the returned parameters' loss is computed again by the surface expressions."""
+    panel = cut_lineage(chain_nodes(spark, sf_dir))
+    lattice = cut_lineage(calibrate.lattice_fit(panel))
+    refined = cut_lineage(calibrate.refine_fit(panel, lattice))
+    error = F.col("predicted_iv") - F.col("node_iv")
+    again = ssvi.with_implied_vol(panel.join(refined.select(*KEY, *ssvi.PARAMETER_COLUMNS), list(KEY))).groupBy(*KEY).agg(
+        (F.sum(F.col("node_vega") * huber(error, score.HUBER_DELTA)) / F.sum("node_vega")).alias("again")
+    )
+    found = refined.select(*KEY, "loss", "converged").join(again, list(KEY)).join(lattice.select(*KEY, F.col("loss").alias("lattice_loss")), list(KEY))
+    return rounded(
+        found.select(
+            *KEY,
+            "lattice_loss",
+            (F.col("loss") <= F.col("lattice_loss") + 1e-15).alias("not_worse"),
+            (F.abs(F.col("loss") - F.col("again")) <= 1e-12).alias("loss_agrees"),
+            "converged",
+        ),
+        9,
+        "lattice_loss",
+    )
 
 
 FIT_SQL = INITIAL_SQL + f""",
