@@ -264,7 +264,7 @@ def test_build_and_experiment_on_synthetic_archives(spark, tmp_path):
 
 
 def test_roots_do_not_influence_each_other(spark):
-    settings = BuildSettings(history_days=2, calibration="initial")
+    settings = BuildSettings(history_days=2)
     both = build_panel(raw_quotes(spark, 4, ("SPX", "SPXW")), settings)
     alone = build_panel(raw_quotes(spark, 4), settings)
     columns = [c for c in alone.states.columns if c != "quote_date"]

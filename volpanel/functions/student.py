@@ -22,7 +22,9 @@ def _two_sided_tail():
             c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
             d = 1.0 / (d if abs(d) > tiny else tiny)
             total = d
-            for k in range(1, 500):
+            k = 0
+            while total == total:
+                k += 1
                 for term in (
                     k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)),
                     -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1)),
@@ -32,7 +34,7 @@ def _two_sided_tail():
                     c = 1.0 + term / c
                     c = c if abs(c) > tiny else tiny
                     total *= c * d
-                if abs(c * d - 1.0) < 1e-16:
+                if abs(c * d - 1.0) < 1e-15:
                     break
             return total
 
@@ -49,7 +51,7 @@ def _two_sided_tail():
             return 1.0 - front * beta_fraction(b, a, 1.0 - x) / b
 
         out = [
-            np.nan if (t is None or n is None or t != t) else regularized_beta(n / 2.0, 0.5, n / (n + t * t))
+            np.nan if (t is None or n is None or t != t or n != n) else regularized_beta(n / 2.0, 0.5, n / (n + t * t))
             for t, n in zip(statistic, degrees)
         ]
         return pd.Series(out, dtype="float64")

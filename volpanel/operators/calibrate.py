@@ -290,7 +290,7 @@ REFINE_SCHEMA = (
 )
 
 
-def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_KEY, iterations: int = 60) -> DataFrame:
+def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_KEY, iterations: int = 500) -> DataFrame:
     """Damped Gauss-Newton from a start state until the loss stops falling; never worse than the start.
 
     Every iteration evaluates the trial states of the dates that have not converged, with the normal equations at
@@ -393,7 +393,7 @@ def refine_fit(nodes: DataFrame, start: DataFrame, key: tuple[str, ...] = STATE_
     )
 
 
-def calibrate(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, lattice: Lattice = Lattice(), iterations: int = 60) -> DataFrame:
+def calibrate(nodes: DataFrame, key: tuple[str, ...] = STATE_KEY, lattice: Lattice = Lattice(), iterations: int = 500) -> DataFrame:
     """Lattice start and Gauss-Newton refinement; adds the latent state columns."""
     fitted = lattice_fit(nodes, key, lattice)
     if iterations:

@@ -26,8 +26,6 @@ class BuildSettings:
     min_expiries: int = nodes.MIN_EXPIRIES
     history_days: int = calendar.HISTORY_DAYS
     lattice: calibrate.Lattice = calibrate.Lattice()
-    refine_iterations: int = 3
-    calibration: str = "full"
     tolerance: float = surface.TOLERANCE
 
 
@@ -55,14 +53,6 @@ class Stages:
             raise AttributeError(name) from None
 
 
-def fit_surfaces(panel: DataFrame, settings: BuildSettings) -> DataFrame:
-    """Surface state per (root, date): full calibration, lattice only, or the starting surface."""
-    if settings.calibration == "initial":
-        return surface.initial_surface(panel)
-    iterations = settings.refine_iterations if settings.calibration == "full" else 0
-    return calibrate.calibrate(panel, lattice=settings.lattice, iterations=iterations)
-
-
 def build_panel(
     quotes: DataFrame,
     settings: BuildSettings = BuildSettings(),
@@ -107,7 +97,8 @@ def build_panel(
     )
     panel = stages.keep("nodes", nodes.valid_nodes(all_nodes, quality, PANEL_DATE))
 
-    fitted = stages.keep("fitted", fit_surfaces(panel, settings).select(*STATE_KEY, *ssvi.PARAMETER_COLUMNS, *ssvi.LATENT_COLUMNS))
+    calibrated = stages.keep("calibration", calibrate.calibrate(panel, lattice=settings.lattice))
+    fitted = stages.tables["fitted"] = calibrated.select(*STATE_KEY, *ssvi.PARAMETER_COLUMNS, *ssvi.LATENT_COLUMNS)
     certificates = surface.require_certified(surface.certify(fitted, tolerance=settings.tolerance))
     stages.keep("certificates", certificates)
     fit = stages.keep("fit_diagnostics", score.fit_diagnostics(calibrate.fitted_nodes(panel, fitted)))

@@ -8,7 +8,7 @@ from volpanel.plans.build import BuildSettings, ExperimentSettings, build_panel,
 from volpanel.plans.registry import register
 from volpanel.plans.shape import joined, rounded
 
-BUILD = BuildSettings(min_nodes=20, min_expiries=4, history_days=6, calibration="initial")
+BUILD = BuildSettings(min_nodes=20, min_expiries=4, history_days=6)
 HISTORY = 4
 
 

@@ -77,9 +77,14 @@ unique_quotes AS (SELECT DISTINCT l_orderkey, l_linenumber, quote_date, root, ex
 
 
 def quote_stream(spark, sf_dir):
-    """The quote file as a stream, every row sent twice."""
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    """The quotes as a stream of one file per year in order of arrival, every row sent twice."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    arrivals = scratch_path(spark, "arrivals")
+    year = F.year("l_shipdate")
+    first, last = lines.select(F.min(year), F.max(year)).first()
+    for y in range(first, last + 1):
+        lines.where(year == y).coalesce(1).write.mode("append").parquet(arrivals)
+    raw = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
     date = F.to_date("l_shipdate")
     rows = raw.select(
         F.timestamp_seconds(F.unix_date(date) * F.lit(86400)).alias("quote_ts"),
@@ -100,10 +105,13 @@ def quote_stream(spark, sf_dir):
 def streamed_nodes(spark, sf_dir):
     source = quote_stream(spark, sf_dir)
     key = tuple(c for c in source.columns if c != "quote_ts")
-    nodes = stream.streaming_nodes(source, "quote_ts", ("quote_ts", *key), "4000 days")
-    out = scratch_path(spark, "nodes")
-    stream.start_node_sink(nodes, out, scratch_path(spark, "offsets")).awaitTermination()
-    return stream.latest_nodes(spark.read.parquet(out))
+    nodes = stream.streaming_nodes(source, "quote_ts", ("quote_ts", *key), "7 days")
+    out, compacted = scratch_path(spark, "nodes"), scratch_path(spark, "compacted")
+    query = stream.start_node_sink(nodes, out, scratch_path(spark, "offsets"))
+    query.awaitTermination()
+    stream.require_no_late_rows(query)
+    stream.compact_versions(spark, out, compacted)
+    return stream.latest_nodes(spark.read.parquet(compacted))
 
 
 @register(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,6 +46,26 @@ def start_node_sink(nodes: DataFrame, out: str, checkpoint: str) -> StreamingQue
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that arrived behind the watermark and were left out, over the recorded progress of a query."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def require_no_late_rows(query: StreamingQuery) -> None:
+    """Raise if a finished query left out late rows; they have to be brought again with a longer delay."""
+    late = late_rows(query)
+    if late:
+        raise ValueError(f"{late} quotes arrived behind the watermark")
+
+
+def compact_versions(spark: SparkSession, out: str, compacted: str, key: tuple[str, ...] = ("quote_date", *NODE_GROUP)) -> None:
+    """Write the newest version of every node once, as batch 0 of a fresh folder."""
+    versions = spark.read.parquet(out)
+    columns = [c for c in versions.columns if c not in (*key, "batch_id")]
+    newest = versions.groupBy(*key).agg(F.max_by(F.struct(*columns), "batch_id").alias("n"))
+    newest.select(*key, "n.*").write.mode("overwrite").parquet(f"{compacted}/batch_id=0")
+
+
 def latest_nodes(versions: DataFrame, key: tuple[str, ...] = ("quote_date", *NODE_GROUP)) -> DataFrame:
     """Newest version of every node, with the weighted volatility."""
     columns = ("iv_vega", "node_vega", "trade_volume", "collapsed_contract_count")
