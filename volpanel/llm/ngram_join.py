@@ -6,7 +6,8 @@ order, the ones that many documents share last; two sets can only link if their
 1. Equal sets are one node. Nodes with equal prefixes and size are one group; joins run over groups.
 2. Stars: every group, and every list of groups under one of the first few prefix shingles, is compared with its
    smallest member. This is linear and joins most near copies into components.
-3. Representatives: under each prefix shingle, one group per component; pairs of different components are compared.
+3. Hubs: under each prefix shingle, every group outside the most frequent component is compared with a few members
+   of it, in rounds, until a round joins little. This is linear too and draws loosely linked clusters together.
 4. The rest: all pairs of groups under a common prefix shingle that pass the size and position filters
    are expanded to their members, and every pair of members from different components is compared.
 
@@ -29,20 +30,28 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from volpanel.llm.components import connected_components
 from volpanel.llm.shingles import fingerprint, shingle_set
-from volpanel.llm.tables import likely, map_batches, slot_bitmap, stage
+from volpanel.llm.tables import in_slots, likely, map_batches, slot_bitmap, slot_of, stage
 
 #: Shingles whose frequency is shared with every task: 16 bytes each.
 HOT = 1 << 18
+#: Shingles that are counted in one go, a bound on a task's memory.
+COUNTED_AT_ONCE = 1 << 21
+#: Rows that a task turns into sets at a time.
+ROWS_AT_ONCE = 500
 #: Prefix shingles of a group that are compared in stars.
 STARS = 4
-#: Bits of a set's parity sketch.
-PARITY_BITS = 1024
+#: Members of the most frequent component that the others are compared with in a round, and rounds at most.
+HUBS, HUB_ROUNDS = 2, 4
+#: Groups of one component under a shingle that make it a hub.
+HUB_GROUPS = 8
+#: Bits of a set's parity sketch, and of the folded one that travels with prefix shingles.
+PARITY_BITS, FOLDED_BITS = 1024, 256
 
 
 @dataclass(frozen=True)
@@ -64,6 +73,12 @@ def parity_sketch(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(slots, minlength=PARITY_BITS) & 1 == 1).tobytes()
 
 
+def folded(sketch: bytes) -> list[int]:
+    """The parity sketch on a quarter of the slots, as whole numbers of 64 bits."""
+    parts = np.frombuffer(sketch, dtype=np.int64).reshape(PARITY_BITS // FOLDED_BITS, -1)
+    return np.bitwise_xor.reduce(parts, axis=0).tolist()
+
+
 def may_link(m: np.ndarray, n: np.ndarray, x: list[bytes], y: list[bytes], join: Join) -> np.ndarray:
     """Whether sets of sizes ``m`` and ``n`` with these sketches can differ in few enough members. Never false for a link."""
     left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
@@ -74,19 +89,27 @@ def may_link(m: np.ndarray, n: np.ndarray, x: list[bytes], y: list[bytes], join:
 def frequent_shingles(docs: DataFrame, text: str, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, sorted by shingle."""
 
+    def counts_of(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        more = counts > 1
+        arrays = [pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, ["shingle", "n"])
+
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {}
+            seen, sets, held = set(), [], 0
             for value in batch.column(0):
                 found = shingle_set(value.as_py(), join.words)
-                if len(found):
-                    sets[fingerprint(found)] = found
+                name = fingerprint(found)
+                if len(found) and name not in seen:
+                    seen.add(name)
+                    sets.append(found)
+                    held += len(found)
+                if held >= COUNTED_AT_ONCE:
+                    yield counts_of(sets)
+                    seen, sets, held = set(), [], 0
             if sets:
-                values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                more = counts > 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["shingle", "n"]
-                )
+                yield counts_of(sets)
 
     counted = docs.select(text).mapInArrow(repeated, "shingle bigint, n bigint")
     top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT).toPandas()
@@ -111,8 +134,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
-        for batch in batches:
-            sizes, nodes, groups, prefixes, parities = [], [], [], [], []
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+            sizes, nodes, groups, prefixes, parities, folds = [], [], [], [], [], []
             for value in batch.column(1):
                 found = shingle_set(value.as_py(), join.words)
                 n = len(found)
@@ -123,8 +146,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame
                     groups.append(fingerprint(np.append(prefix, np.uint64(n))))
                     prefixes.append(prefix.view(np.int64))
                     parities.append(parity_sketch(found))
+                    folds.append(folded(parities[-1]))
                 else:
-                    for column in (nodes, groups, prefixes, parities):
+                    for column in (nodes, groups, prefixes, parities, folds):
                         column.append(None)
             schema = schema or pa.schema(
                 [
@@ -133,16 +157,18 @@ def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame
                     ("node", pa.binary()),
                     ("prefix_name", pa.binary()),
                     ("parity", pa.binary()),
+                    ("fold", pa.list_(pa.int64())),
                     ("prefix", pa.list_(pa.int64())),
                 ]
             )
             arrays = [batch.column(0), pa.array(sizes, pa.int64())]
             arrays += [pa.array(column, pa.binary()) for column in (nodes, groups, parities)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(prefixes, pa.list_(pa.int64()))], schema=schema)
+            arrays += [pa.array(column, pa.list_(pa.int64())) for column in (folds, prefixes)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n bigint, node binary, prefix_name binary, parity binary, prefix array<bigint>"
+        sign, f"doc_id {kind}, n bigint, node binary, prefix_name binary, parity binary, fold array<bigint>, prefix array<bigint>"
     )
 
 
@@ -155,8 +181,8 @@ class _Run:
         self.signed = stage(signatures(docs, doc_id, text, join), "join-signed")
         filled = self.signed.where("n > 0")
         groups = filled.groupBy("prefix_name").agg(
-            F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("pivot")
-        )
+            F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("node", "fold")).alias("top")
+        ).select("prefix_name", "n", "prefix", F.col("top.node").alias("pivot"), F.col("top.fold").alias("fold"))
         self.groups = stage(groups.withColumn("gid", F.monotonically_increasing_id()), "join-groups")
         nodes = filled.groupBy("node", "prefix_name", "n", "parity").agg(F.min("doc_id").alias("doc"))
         named = nodes.join(self.groups.select("prefix_name", "gid", "pivot"), "prefix_name")
@@ -171,27 +197,35 @@ class _Run:
         found = self.components.withColumnRenamed("component", "_c")
         return self.nodes.join(found, "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Compare pairs of nodes (a, b) with a < b that were not compared before, and join those that link."""
+    def verify(self, pairs: DataFrame) -> tuple[int, int]:
+        """Compare pairs of nodes (a, b) with a < b that were not compared before, and join those that link.
+
+        Returns the number of pairs compared, and of links between components that were apart.
+        """
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = stage(self._likely_pairs(pairs), "join-pairs")
-        if pairs.isEmpty():
-            return
+        compared = pairs.count()
+        if not compared:
+            return 0, 0
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = slot_bitmap(self.nodes.join(ends, "node").select("doc"), "doc")
-        texts = likely(self.docs, F.col("doc_id"), wanted).select("text")
+        shared = self.docs.sparkSession.sparkContext.broadcast(wanted)
         k = self.join.words
 
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [shingle_set(value, k) for value in batch["text"]]
-                found = [s for s in found if len(s)]
-                yield pd.DataFrame({"node": [fingerprint(s) for s in found], "shingles": [s.tobytes() for s in found]})
-
-        have = texts.mapInPandas(sets, "node binary, shingles binary")
+                texts = batch.column(0).filter(pa.array(in_slots(batch.column(1), shared.value)))
+                for at in range(0, len(texts), ROWS_AT_ONCE):
+                    found = [shingle_set(value.as_py(), k) for value in texts.slice(at, ROWS_AT_ONCE)]
+                    found = [s for s in found if len(s)]
+                    names = pa.array([fingerprint(s) for s in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([names, pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+
+        # One Python step per task: screen the texts and turn what is left into sets.
+        have = self.docs.select("text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(sets, "node binary, shingles binary")
         have = stage(have.groupBy("node").agg(F.first("shingles").alias("shingles")), "join-sets")
         num, den = self.join.num, self.join.den
 
@@ -213,18 +247,20 @@ class _Run:
                 at = known.select(F.col("node").alias(end), F.col("component").alias("_c"))
                 links = links.join(at, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
         links = stage(links.where("a <> b"), "join-links")
-        if links.isEmpty():
-            return
+        joined = links.count()
+        if not joined:
+            return compared, 0
         merged = connected_components(links)
         if self.components is None:
             self.components = stage(merged, "join-components")
-            return
+            return compared, joined
         moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
         old = self.components.join(moved, "component", "left").select(
             "node", F.coalesce("_to", "component").alias("component")
         )
         new = merged.join(self.components.select("node"), "node", "left_anti")
         self.components = stage(old.unionByName(new), "join-components")
+        return compared, joined
 
     def _likely_pairs(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches allow a link; nearly all others go without a look at their sets."""
@@ -259,49 +295,78 @@ class _Run:
         """Sizes that leave room for the threshold."""
         return F.lit(self.join.den) * F.least(m, n) >= F.lit(self.join.num) * F.greatest(m, n)
 
-    def _reach(self):
+    def _reach(self) -> Column:
         """Size and position filter of a pair of postings: what can still be shared reaches the needed overlap."""
         left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        total = F.col("x.n") + F.col("y.n")
+        num, den = self.join.num, self.join.den
         # |x & y| >= num / (num + den) * (|x| + |y|); what stands before the first common shingle isn't shared.
-        enough = F.lit(self.join.num + self.join.den) * left >= F.lit(self.join.num) * total
+        enough = F.lit(num + den) * left >= F.lit(num) * (F.col("x.n") + F.col("y.n"))
         return self._sizes(F.col("x.n"), F.col("y.n")) & enough
 
+    def _close(self) -> Column:
+        """Whether the folded sketches of two pivots allow a link; groups of several sets are settled member by member."""
+        parts = range(FOLDED_BITS // 64)
+        differ = sum((F.bit_count(F.col("x.fold")[i].bitwiseXOR(F.col("y.fold")[i])) for i in parts), F.lit(0))
+        num, den = self.join.num, self.join.den
+        few = differ * (num + den) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+        return few | (F.col("x.members") > 1) | (F.col("y.members") > 1)
+
+    def _mixed(self, postings: DataFrame) -> DataFrame:
+        """Postings of the shingles that stand under at least two components, with what is known of their groups.
+
+        ``low`` is the smallest component in a group, ``torn`` tells that it has several, ``members`` counts its sets.
+        """
+        spans = self.labelled().groupBy("gid").agg(
+            F.min("component").alias("low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("members")
+        )
+        spans = stage(spans.select("gid", "low", (F.col("low") != F.col("_high")).alias("torn"), "members"), "join-spans")
+        labelled = postings.select("shingle", "gid", "n", "pos").join(spans, "gid")
+        mixed = labelled.groupBy("shingle").agg(
+            F.min("low").alias("_l"), F.max("low").alias("_h"), F.max("torn").alias("_t")
+        )
+        mixed = mixed.where("_t OR _l <> _h").select("shingle")
+        return stage(labelled.join(mixed, "shingle", "left_semi"), "join-mixed")
+
+    def hot(self, postings: DataFrame) -> DataFrame:
+        """Postings of the shingles under which one component has many groups."""
+        crowded = postings.groupBy("shingle", "low").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HUB_GROUPS)
+        return stage(postings.join(crowded.select("shingle").distinct(), "shingle", "left_semi"), "join-hot")
+
     def postings(self) -> DataFrame:
-        """Prefix shingles of groups that stand under at least two components: shingle, pos, gid, n, low, high."""
-        spans = self.labelled().groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        spans = stage(spans, "join-spans")
-        all_ = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-        repeated = all_.groupBy("shingle").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("shingle")
-        shared = stage(all_.join(repeated, "shingle", "left_semi"), "join-postings").join(spans, "gid")
-        mixed = shared.groupBy("shingle").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h")
-        return stage(shared.join(mixed.select("shingle"), "shingle", "left_semi"), "join-mixed")
-
-    def relabelled(self, postings: DataFrame) -> DataFrame:
-        spans = self.labelled().groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        fresh = postings.drop("low", "high").join(spans, "gid")
-        mixed = fresh.groupBy("shingle").agg(F.min("low").alias("_l"), F.max("high").alias("_h")).where("_l <> _h")
-        return stage(fresh.join(mixed.select("shingle"), "shingle", "left_semi"), "join-mixed")
-
-    def representatives(self, postings: DataFrame) -> None:
-        """Under each shingle, one group per component, compared by their pivots."""
-        chosen = postings.groupBy("shingle", "low").agg(F.min(F.struct("gid", "n", "pos")).alias("r"))
-        chosen = stage(chosen.select("shingle", "low", "r.gid", "r.n", "r.pos"), "join-chosen")
-        x, y = chosen.alias("x"), chosen.alias("y")
-        near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") < F.col("y.low"))
-        pairs = x.join(y, near & self._reach()).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
-        pivot = self.groups.select("gid", "pivot")
-        named = pairs.join(pivot.select(F.col("gid").alias("g"), F.col("pivot").alias("p")), "g").join(
-            pivot.select(F.col("gid").alias("h"), F.col("pivot").alias("q")), "h"
+        """Prefix shingles of groups that stand under at least two components."""
+        entries = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
+        repeated = stage(
+            entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("shingle"), "join-repeated"
+        )
+        # Most shingles are unique; a bitmap keeps them out of the join's shuffle.
+        near = likely(entries, F.col("shingle"), slot_bitmap(repeated, "shingle"))
+        return self._mixed(near.join(repeated, "shingle", "left_semi"))
+
+    def hubs(self, postings: DataFrame, number: int) -> bool:
+        """One round against the most frequent component under each shingle; False if it joined little."""
+        sizes = postings.groupBy("shingle", "low").agg(F.count(F.lit(1)).alias("c"))
+        hub = sizes.groupBy("shingle").agg(F.max(F.struct("c", "low")).alias("top")).select("shingle", F.col("top.low").alias("hub"))
+        marked = stage(postings.join(hub, "shingle"), "join-hubs")
+        order = F.xxhash64("gid", F.lit(number))
+        chosen = marked.where("low = hub").groupBy("shingle", F.pmod(order, F.lit(HUBS)).alias("part")).agg(
+            F.min(F.struct(order.alias("o"), "gid", "n", "pos")).alias("r")
         )
-        self.verify(named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+        x = chosen.select("shingle", "r.gid", "r.n", "r.pos").alias("x")
+        y = marked.where("low <> hub").alias("y")
+        met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & self._reach())
+        pairs = met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+        for gid, name in (("g", "p"), ("h", "q")):
+            pairs = pairs.join(self.groups.select(F.col("gid").alias(gid), F.col("pivot").alias(name)), gid)
+        compared, joined = self.verify(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+        return joined > 0.01 * max(compared, 100)
 
     def rest(self, postings: DataFrame) -> None:
         """All pairs of members of different components in groups that pass the filters."""
-        x, y = postings.alias("x"), postings.alias("y")
-        apart = (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
+        sketched = postings.join(self.groups.select("gid", "fold"), "gid")
+        x, y = sketched.alias("x"), sketched.alias("y")
+        apart = F.col("x.torn") | F.col("y.torn") | (F.col("x.low") != F.col("y.low"))
         met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
-        pairs = x.join(y, met & apart & self._reach()).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
+        pairs = x.join(y, met & apart & self._reach() & self._close()).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
         members = stage(self.labelled().select("gid", "node", "component"), "join-members")
         torn = members.groupBy("gid").agg(F.min("component").alias("l"), F.max("component").alias("h_")).where("l <> h_")
         pairs = pairs.distinct().unionByName(torn.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
@@ -321,10 +386,12 @@ def _joined(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
     run = _Run(docs, doc_id, text, join)
     run.stars()
     postings = run.postings()
-    if not postings.isEmpty():
-        run.representatives(postings)
-        postings = run.relabelled(postings)
-    run.rest(postings)
+    hot = run.hot(postings)
+    for number in range(HUB_ROUNDS):
+        if hot.isEmpty() or not run.hubs(hot, number):
+            break
+        hot = run._mixed(hot)
+    run.rest(run._mixed(postings))
     named = run.labelled().select("node", "component", "doc")
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_node = stage(named.join(smallest, "component").select("node", "component_id"), "join-result")
@@ -352,11 +419,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join:
     )
     bitmap = slot_bitmap(judged, "_id")
     alone = likely(docs, F.col(doc_id), bitmap, inside=False)
-    near = likely(docs, F.col(doc_id), bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     at, k, names = docs.columns.index(text), join.words, [*docs.columns, "_row_node"]
+    width = len(docs.columns)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_slots(batch.column(width), shared.value))).select(range(width))
             sets = [shingle_set(value.as_py(), k) for value in batch.column(at)]
             nodes = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names)
@@ -364,7 +433,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join:
     schema = StructType([*docs.schema.fields, StructField("_row_node", BinaryType())])
     columns = [F.col(f"row.`{c}`") for c in docs.columns]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    named = map_batches(near, name, schema).select(row, F.col(doc_id).alias("_row_id"), "_row_node")
+    slotted = docs.select(*[F.col(f"`{c}`") for c in docs.columns], slot_of(F.col(doc_id)).alias("_slot"))
+    named = map_batches(slotted, name, schema).select(row, F.col(doc_id).alias("_row_id"), "_row_node")
     met = named.join(
         judged, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_node") == F.col("_node")), "left"
     ).where(F.col("_stays").isNull() | F.col("_stays"))

@@ -50,13 +50,19 @@ def tasks(spark: SparkSession) -> int:
 SLOTS = 1 << 26
 
 
-def _slot(key: Column) -> Column:
+def slot_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS))
 
 
+def in_slots(slots: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Whether each slot is set in the bitmap."""
+    at = slots.to_numpy()
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def slot_bitmap(keys: DataFrame, key: str) -> np.ndarray:
     """Bitmap of the hash slots that the keys fall into."""
-    slots = keys.select(_slot(F.col(key)).alias("slot"))
+    slots = keys.select(slot_of(F.col(key)).alias("slot"))
     chunks = slots.groupBy(F.expr("slot div 32768").alias("chunk")).agg(
         F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")
     )
@@ -78,11 +84,10 @@ def likely(df: DataFrame, key: Column, bitmap: np.ndarray, inside: bool = True)
 
     def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = batch.column(batch.num_columns - 1).to_numpy()
-            hit = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool) == inside)).select(range(batch.num_columns - 1))
+            hit = in_slots(batch.column(batch.num_columns - 1), shared.value)
+            yield batch.filter(pa.array(hit == inside)).select(range(batch.num_columns - 1))
 
-    given = df.select(*[F.col(f"`{c}`") for c in names], _slot(key).alias("_slot"))
+    given = df.select(*[F.col(f"`{c}`") for c in names], slot_of(key).alias("_slot"))
     return map_batches(given, screened, df.schema)
 
 
