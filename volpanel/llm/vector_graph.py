@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.tables import stage
+from volpanel.llm.tables import stage, tasks
 
 INDEX_SCHEMA = "dim int, shard bigint, vec_id bigint, vector binary, node int, neighbours binary"
 
@@ -174,7 +174,9 @@ def build_index(vectors: DataFrame, settings: Settings = Settings()) -> DataFram
             }
         )
 
-    return stage(dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInPandas(graph, INDEX_SCHEMA), "graph-index")
+    # A stated number of partitions: building a graph is work, whatever the few bytes of its vectors suggest.
+    shards = dealt.select("dim", "shard", "vec_id", "vector").repartition(tasks(rows.sparkSession), "dim", "shard")
+    return stage(shards.groupBy("dim", "shard").applyInPandas(graph, INDEX_SCHEMA), "graph-index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, settings: Settings = Settings()) -> DataFrame:
