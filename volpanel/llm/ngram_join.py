@@ -39,7 +39,7 @@ from volpanel.llm.shingles import fingerprint, shingle_set
 from volpanel.llm.tables import in_slots, likely, map_batches, slot_bitmap, slot_of, stage
 
 #: Shingles whose frequency is shared with every task: 16 bytes each.
-HOT = 1 << 18
+HOT = 1 << 16
 #: Shingles that are counted in one go, a bound on a task's memory.
 COUNTED_AT_ONCE = 1 << 21
 #: Rows that a task turns into sets at a time.
