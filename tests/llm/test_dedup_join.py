@@ -107,6 +107,17 @@ def test_join_keeps_one_row_per_component(spark):
     assert ngram_join.similarity_join(no_docs(spark)).count() == 0
 
 
+def test_join_keeps_components_apart_without_clear_ids(spark):
+    copies = [sentence(80, 50), sentence(80, 49), sentence(81, 50), sentence(82, 50), sentence(83, 50)]
+    texts = [(None, t) for t in (*copies, copies[3])] + [(7, sentence(s, 50)) for s in (90, 91)] + [(8, sentence(90, 49)), (None, "")]
+    docs = spark.createDataFrame(rows([(*t, "en", "a") for t in texts]), DOC_SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()]
+    one = [t for t in got if t[1] in copies[:2]]
+    assert len(one) == 1
+    want = [(None, t) for t in copies[2:]] + [(7, sentence(s, 50)) for s in (90, 91)] + [(None, "")]
+    assert sorted((t for t in got if t not in one), key=str) == sorted(want, key=str)
+
+
 def test_shingles_follow_the_words():
     for text in ["a b c d a b c", "A\tb\nc  d", "x", "", None, "é É\x0bß", "a\u00a0b c d", "word " * 5000]:
         words = lower(text).split(" ") if text and "\t" not in text and "  " not in text else None

@@ -378,11 +378,17 @@ class _Run:
 
 def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    return _joined(docs, doc_id, text, join).select("doc_id", "n_shingles", "component_id")
+    run = _linked(docs, doc_id, text, join)
+    named = run.labelled().select("node", "component", "doc")
+    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    by_node = stage(named.join(smallest, "component").select("node", "component_id"), "join-result")
+    rows = run.signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(by_node, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _joined(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """The join with the node of every row."""
+def _linked(docs: DataFrame, doc_id: str, text: str, join: Join) -> _Run:
+    """The join with all its components found."""
     run = _Run(docs, doc_id, text, join)
     run.stars()
     postings = run.postings()
@@ -392,27 +398,24 @@ def _joined(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
             break
         hot = run._mixed(hot)
     run.rest(run._mixed(postings))
-    named = run.labelled().select("node", "component", "doc")
-    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_node = stage(named.join(smallest, "component").select("node", "component_id"), "join-result")
-    rows = run.signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(by_node, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), "node")
+    return run
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """Rows of ``docs`` with all their columns: of each component the row with the smallest id.
 
-    Rows without a shingle stay; of rows equal in id and shingles one stays. Only rows with an id of a component
-    of several rows are shuffled.
+    Rows without a shingle stay; of rows equal in id and shingles one stays, and a component without any id keeps one
+    row. Only rows with an id of a component of several rows are shuffled.
     """
-    decided = stage(_joined(docs, doc_id, text, join).where("node IS NOT NULL"), "join-decided")
-    keeps = F.max(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("node")))
-    # One set per component: equal ids can come with several.
-    chosen = decided.groupBy("component_id").agg(keeps.alias("keep_node"), F.count(F.lit(1)).alias("rows"))
-    chosen = stage(chosen.where("rows > 1").select(F.col("component_id").alias("_c"), "keep_node"), "join-kept")
-    torn = decided.join(chosen, F.col("component_id").eqNullSafe(F.col("_c")))
-    verdict = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("keep_node"))
+    run = _linked(docs, doc_id, text, join)
+    labels = run.labelled().select("node", "component")
+    decided = stage(run.signed.where("n > 0").select("doc_id", "node").join(labels, "node"), "join-decided")
+    # Components go by a node, as ids can be null or come with several texts; null ids rank last.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "node"))
+    chosen = decided.groupBy("component").agg(least.alias("keep"), F.count(F.lit(1)).alias("rows"))
+    chosen = stage(chosen.where("rows > 1").select("component", "keep.id", F.col("keep.node").alias("keep_node")), "join-kept")
+    torn = decided.join(chosen, "component")
+    verdict = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("keep_node"))
     judged = stage(
         torn.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.max(verdict).alias("_stays")),
         "join-judged",
