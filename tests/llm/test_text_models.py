@@ -58,6 +58,26 @@ def test_nothing_is_found_where_the_longest_common_part_is_short():
                 assert template.name not in found
 
 
+@pytest.mark.parametrize("order", ["nen", "enn", "nne", "nenen"])
+def test_altered_notices_are_found_next_to_a_longer_excerpt(order):
+    name = max(TEMPLATES, key=lambda n: len(TEMPLATES[n].split()))
+    words = license_scan.WORDS.findall(TEMPLATES[name].lower())
+    altered = " ".join("zzz" if i % 11 == 5 else w for i, w in enumerate(words))
+    excerpt = " ".join(words[len(words) // 2 :][:40])
+    text = " ".join({"n": altered, "e": excerpt}[c] + " Some other words stand here. " for c in order)
+    found = license_scan.scan_text(text, [t for t in READY if t.name == name])
+    assert len(found) == order.count("n")
+    assert all(coverage >= 0.85 for *_, coverage in found)
+
+
+def test_many_altered_copies_are_all_found():
+    rng = np.random.default_rng(3)
+    words = license_scan.WORDS.findall(TEMPLATES["MIT"].lower())
+    copies = [" ".join(str(rng.choice(words)) if rng.random() < 0.1 else w for w in words) + " one two" for _ in range(60)]
+    found = license_scan.scan_text(" ".join(copies), [t for t in READY if t.name == "MIT"])
+    assert [start // (len(words) + 2) for start, *_ in found] == list(range(60))
+
+
 def test_longest_rising():
     rng = Random(1)
     for _ in range(50):

@@ -5,6 +5,8 @@ anchors is kept, and the gaps between neighbours are aligned in the same way; a
 longest run of words that both share. The share of a template's words that find a partner is its coverage. Anchors
 that lie further apart in the text than the template allows start a new place, so stray words elsewhere in a
 long text don't stretch a notice; a text is searched again on both sides of every notice found.
+Where the best places fail, a text is cut to the stretches that hold enough of the template's words for a notice,
+and if that leaves it whole, every place and every common run that could lie in a notice is tried, longest first.
 
 Templates are few and travel with the tasks; every text is scanned whole and alone, without a shuffle. A template is
 only aligned with a text that holds enough of its words to reach the coverage at all.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,6 +75,21 @@ def longest_run(a: Sequence[str], b: Sequence[str], box: tuple[int, int, int, in
     return [(end_a - k, end_b - k) for k in range(best - 1, -1, -1)]
 
 
+def common_runs(a: Sequence[str], b: Sequence[str], box: tuple[int, int, int, int]) -> Iterator[tuple[int, int, int]]:
+    """All (length, start in ``a``, start in ``b``) of runs of equal words that can't be made longer."""
+    a0, a1, b0, b1 = box
+    where: dict[str, list[int]] = {}
+    for i in range(a0, a1):
+        where.setdefault(a[i], []).append(i)
+    lengths: dict[int, int] = {}
+    for j in range(b0, b1 + 1):
+        grown = {i: lengths.get(i - 1, 0) + 1 for i in where.get(b[j], ())} if j < b1 else {}
+        for i, n in lengths.items():
+            if i + 1 not in grown:
+                yield n, i - n + 1, j - n
+        lengths = grown
+
+
 def fill_gap(a: Sequence[str], b: Sequence[str], box: tuple[int, int, int, int]) -> list[Match]:
     """Patience alignment of two parts, recursively."""
     found: list[Match] = []
@@ -103,42 +120,102 @@ class Template:
         """Words that may stand in a text between words that are ``gap`` apart in the template."""
         return 2 * gap + 8
 
-    def align(self, words: Sequence[str], places: Sequence[int], low: int, high: int, anchors: list[Match]) -> list[Match]:
-        """Best place along ``anchors`` with its gaps filled; ``places`` are the words' positions in the text."""
-        clusters: list[list[Match]] = []
+    def clusters(self, places: Sequence[int], anchors: list[Match]) -> list[list[Match]]:
+        """The places along ``anchors``, most anchors first; ``places`` are the words' positions in the text."""
+        found: list[list[Match]] = []
         for i, j in anchors:
-            if clusters and places[j] - places[clusters[-1][-1][1]] <= self.slack(i - clusters[-1][-1][0]):
-                clusters[-1].append((i, j))
+            if found and places[j] - places[found[-1][-1][1]] <= self.slack(i - found[-1][-1][0]):
+                found[-1].append((i, j))
             else:
-                clusters.append([(i, j)])
-        if not clusters:
-            return []
-        best = max(clusters, key=len)
+                found.append([(i, j)])
+        return sorted(found, key=len, reverse=True)
+
+    def align(self, words: Sequence[str], places: Sequence[int], low: int, high: int, best: list[Match]) -> list[Match]:
+        """The place ``best`` with its gaps filled; nothing if its words can't reach the coverage."""
         (i, j), (k, m) = best[0], best[-1]
         left = max(low, bisect_left(places, places[j] - self.slack(i)))
         right = min(high, bisect_left(places, places[m] + self.slack(len(self.words) - k)))
         edges = [(-1, left - 1), *best, (len(self.words), right)]
+        parts = ((0, i, left, j), (i, k + 1, j, m + 1), (k + 1, len(self.words), m + 1, right))
+        if sum((Counter(self.words[p:r]) & Counter(words[q:s])).total() for p, r, q, s in parts) < self.need:
+            return []
         matched = list(best)
         for (p, q), (r, s) in zip(edges, edges[1:]):
             matched += fill_gap(self.words, words, (p + 1, r, q + 1, s))
         return sorted(matched)
 
+    def core(self, matched: list[Match], places: Sequence[int]) -> list[Match]:
+        """``matched`` without ends that cost more text between words than they match, as words of a neighbouring notice do."""
+        best, top, start, score = matched, 0, 0, 0
+        for at, (i, j) in enumerate(matched):
+            if at:
+                p, q = matched[at - 1]
+                score -= max(0, places[j] - places[q] - (i - p))
+            if score < 0:
+                start, score = at, 0
+            score += 1
+            if score > top:
+                best, top = matched[start : at + 1], score
+        return best if len(best) >= self.need else matched
+
+    def stretches(self, words: Sequence[str], places: Sequence[int], low: int, high: int, density: float) -> list[tuple[int, int]]:
+        """Parts of a range outside of which no notice can lie, by a window as long as a notice can be."""
+        wide, left, held = int(len(self.words) / density), low, 0
+        seen: Counter[str] = Counter()
+        found: list[tuple[int, int]] = []
+        for j in range(low, high):
+            seen[words[j]] += 1
+            held += seen[words[j]] <= self.counts[words[j]]
+            while places[j] - places[left] >= wide:
+                held -= seen[words[left]] <= self.counts[words[left]]
+                seen[words[left]] -= 1
+                left += 1
+            if held >= self.need:
+                if found and left <= found[-1][1]:
+                    found[-1] = (found[-1][0], j + 1)
+                else:
+                    found.append((left, j + 1))
+        return found
+
+    def candidates(self, words: Sequence[str], places: Sequence[int], low: int, high: int, density: float) -> Iterator[list[Match]]:
+        """Every place in a range that a notice could be aligned from, longest first."""
+        box = (0, len(self.words), low, high)
+        yield from self.clusters(places, unique_anchors(self.words, words, box))
+        # A notice of ``need`` words is broken by words left out of it and by words put into it, at most so often.
+        breaks = len(self.words) - self.need + int(self.need / density) - self.need
+        least = -(-self.need // (breaks + 1))
+        runs = [run for run in common_runs(self.words, words, box) if run[0] >= least]
+        for n, i, j in sorted(runs, key=lambda run: (-run[0], run[2], run[1])):
+            yield from self.clusters(places, [(i + d, j + d) for d in range(n)])
+
     def notices(self, words: Sequence[str], places: Sequence[int], density: float) -> list[tuple[int, int, int]]:
         """All (start, end, matched words) in a text, of which ``words`` are those that the templates know."""
+
+        def first(tried: Iterable[list[Match]]) -> list[Match]:
+            for best in tried:
+                matched = self.core(self.align(words, places, low, high, best), places)
+                if len(matched) >= self.need and len(matched) >= density * (places[matched[-1][1]] + 1 - places[matched[0][1]]):
+                    return matched
+            return []
+
         found, parts = [], [(0, len(words))]
         while parts:
             low, high = parts.pop()
             if high - low < self.need:
                 continue
-            for find in (unique_anchors, longest_run):
-                anchors = find(self.words, words, (0, len(self.words), low, high))
-                matched = self.align(words, places, low, high, anchors)
-                if len(matched) >= self.need:
-                    start, end = places[matched[0][1]], places[matched[-1][1]] + 1
-                    if len(matched) >= density * (end - start):
-                        found.append((start, end, len(matched)))
-                        parts += [(low, matched[0][1]), (matched[-1][1] + 1, high)]
-                        break
+            box = (0, len(self.words), low, high)
+            matched = first(
+                best for find in (unique_anchors, longest_run) for best in self.clusters(places, find(self.words, words, box))[:1]
+            )
+            if not matched:
+                cut = self.stretches(words, places, low, high, density)
+                if cut != [(low, high)]:
+                    parts += cut
+                    continue
+                matched = first(self.candidates(words, places, low, high, density))
+            if matched:
+                found.append((places[matched[0][1]], places[matched[-1][1]] + 1, len(matched)))
+                parts += [(low, matched[0][1]), (matched[-1][1] + 1, high)]
         return found
 
 
