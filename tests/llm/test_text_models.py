@@ -117,6 +117,19 @@ def test_language_edges(spark):
     assert model.scores("text") == ("und", 0.0)
 
 
+@pytest.mark.parametrize("hot", range(4))
+def test_language_sample_is_distinct_and_balanced(spark, monkeypatch, hot):
+    texts = [(sentence(hot * 1000 + i, 9), k) for k, n in (("aa", 60), ("bb", 300), ("cc", 8)) for i in range(n)]
+    docs = spark.createDataFrame(texts + [texts[0]] * 5000, "text string, lang string").repartition(4)
+    staged = []
+    keep = language_id.stage
+    monkeypatch.setattr(language_id, "stage", lambda df, label: staged.append(keep(df, label)) or staged[-1])
+    language_id.fit(docs, max_training=60)
+    sample = [(r["label"], bytes(r["slots"]), bytes(r["values"])) for r in staged[0].collect()]
+    assert [sum(k == label for k, *_ in sample) for label in range(3)] == [20, 20, 8]
+    assert len(set(sample)) == len(sample)
+
+
 def test_ftrl_weights_are_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     rows = [(np.array([k * 10 + i, 500]), np.array([1.0, 1.0]), k) for k in range(3) for i in rng.integers(0, 5, 60)]

@@ -3,7 +3,7 @@
 Features are hashed 1- to 3-grams of the lower-cased letters of a text, with runs of anything else as one
 space. Document frequencies are counted over all training documents and whole texts. Weights are trained with
 follow-the-regularised-leader, per-coordinate steps and elastic-net penalties, on a sample of ``MAX_TRAINING``
-labelled documents at most, an equal share per language; a fifth of the sample is set aside to fit the
+distinct labelled texts at most, an equal share per language (one text at least); a fifth of the sample is set aside to fit the
 temperature that calibrates the scores. Only the model, whose size the number of hashed features bounds, leaves
 the executors.
 
@@ -21,13 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.llm.tables import map_batches, stage
 
 BITS = 15
-#: Bound on the labelled documents that the weights and the temperature are fitted on.
+#: Bound on the distinct labelled texts that the weights and the temperature are fitted on.
 MAX_TRAINING = 6_000
 UNDETERMINED = "und"
 _LETTERS: np.ndarray | None = None
@@ -145,8 +145,8 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_training: int = MAX_TRAINING) -> Model:
     """Learn from all rows of ``docs`` with a language: statistics from all of them, weights from the sample."""
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    by_language = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(by_language)
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    languages = sorted(texts)
     if not languages:
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), 1.0)
 
@@ -170,10 +170,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_training: i
             seen[r["slot"]] = r["n"]
     idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0
 
-    share = max_training / len(languages)
-    rates = F.create_map(*[F.lit(x) for k, n in by_language.items() for x in (k, float(min(1.0, share / n)))])
+    # Copies of a text count once, and each language has its own bound, so no text or language crowds out another.
+    share = max(1, max_training // len(languages))
+    # Enough are drawn that a language with its share of texts falls short of it by no realistic chance.
+    enough = share + 6 * share**0.5 + 10
+    rates = F.create_map(*[F.lit(x) for k, n in texts.items() for x in (k, float(min(1.0, enough / n)))])
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < rates[F.col("lang")]).limit(max_training)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "text"))
+    drawn = rows.where(draw < rates[F.col("lang")]).distinct()
+    sample = drawn.withColumn("first", first).where(F.col("first") <= share)
     index = {k: i for i, k in enumerate(languages)}
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
