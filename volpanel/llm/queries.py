@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volpanel.llm import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, token_files, url_rules, vector_graph, warc
+from volpanel.llm import (
+    exact_dedup,
+    language_id,
+    license_scan,
+    merkle,
+    mixing,
+    ngram_join,
+    packing,
+    simhash,
+    spelling,
+    token_files,
+    url_rules,
+    vector_graph,
+    warc,
+)
 from volpanel.llm.license_texts import TEMPLATES
 from volpanel.llm.tables import table
 
@@ -252,3 +266,123 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op11_simhash_bytes")
+def op11_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, of which ``hex(encode(...))`` tells two digits each."""
+    bytes_ = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    start = "4294967295::BIGINT"
+    # One entry of the table per step: eight shifts of the lowest byte.
+    return (
+        f"xor(list_reduce({bytes_}, lambda a, b: xor(a >> 8, crc_table[CAST(xor(a & 255, b) AS INT) + 1]), {start}), {start})"
+    )
+
+
+#: The table of crc32, by its rule.
+CRC_TABLE_SQL = """crc AS (
+  SELECT list(v ORDER BY b) AS crc_table FROM (
+    SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS v
+    FROM range(256) AS g(b)))"""
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+each AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS c FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {_crc32_sql("named")} AS h FROM each, crc),
+damaged AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % len(run) AS INT)) || substr(run, CAST(h % len(run) AS INT) + 2) ELSE run END AS word, c
+  FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE len(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, CAST(unnest(range(len(word))) AS INT) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION
+  SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form,
+    CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (
+  SELECT word, word AS reached, 0 AS steps FROM formed
+  UNION ALL
+  SELECT walk.word, f.form, steps + 1 FROM walk JOIN formed f ON f.word = walk.reached WHERE f.form IS NOT NULL),
+roots AS (SELECT word, last(reached ORDER BY steps) AS root FROM walk GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r ON r.word = f.word
+"""
+
+
+@register("op12_spelling_variants", SPELLING_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def _tree_sql(leaves: str, prefix: str, key: str, levels: int) -> tuple[str, str]:
+    """Common tables of a tree over ``leaves`` (key, pos, h): nodes and siblings per level; the name of the last level's nodes."""
+    sql, nodes = "", leaves
+    for level in range(levels):
+        sql += f"""
+{prefix}s{level} AS (
+  SELECT {key}, pos, h, pos // 3 AS up, count(*) OVER (PARTITION BY {key}) AS n,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {key}, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY {key}, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {nodes}),
+{prefix}{level + 1} AS (
+  SELECT {key}, up AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h
+  FROM {prefix}s{level} GROUP BY {key}, up),"""
+        nodes = f"{prefix}{level + 1}"
+    return sql, nodes
+
+
+def _merkle_sql(levels: int, top_levels: int) -> str:
+    def field(name: str, value: str | None = None) -> str:
+        value = value or f"CAST({name} AS VARCHAR)"
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    before = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower, subroots = _tree_sql("leaves", "a", "source", levels)
+    upper, roots = _tree_sql("ranked", "b", "k", top_levels)
+    joins, proof, fold = "", "''", "start"
+    for level in range(levels):
+        at = f"x{level}"
+        joins += f" JOIN as{level} {at} ON {at}.source IS NOT DISTINCT FROM d.source AND {at}.pos = d.pos // {3**level}"
+        proof += f" || CASE WHEN {at}.n > 1 THEN {at}.l || {at}.r ELSE '' END"
+        fold = f"CASE WHEN {at}.n > 1 THEN sha256({at}.l || {fold} || {at}.r) ELSE {fold} END"
+    joins += " JOIN ranked q ON q.source IS NOT DISTINCT FROM d.source"
+    for level in range(top_levels):
+        at = f"y{level}"
+        joins += f" JOIN bs{level} {at} ON {at}.pos = q.pos // {3**level}"
+        proof += f" || CASE WHEN {at}.n > 1 THEN {at}.l || {at}.r ELSE '' END"
+        fold = f"CASE WHEN {at}.n > 1 THEN sha256({at}.l || {fold} || {at}.r) ELSE {fold} END"
+    return f"""
+WITH {CRC_TABLE_SQL},
+hashed AS (
+  SELECT doc_id, source, sha256({before} || {field("text")}) AS h,
+    sha256({before} || {field("text", "CASE WHEN " + _crc32_sql("CAST(doc_id AS VARCHAR)") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS start
+  FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM hashed),{lower}
+ranked AS (SELECT 0 AS k, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, h FROM {subroots}),{upper}
+folded AS (
+  SELECT d.doc_id, d.h AS leaf, q.h AS subroot, t.h AS root, sha256({proof}) AS proof_sha256, {fold} AS folded_root
+  FROM leaves d{joins} JOIN {roots} t ON true)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+@register("op13_merkle_manifest", _merkle_sql(levels=8, top_levels=3))
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows, by their id's crc32, arrive with the line breaks of their text deleted."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    received = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), received={"text": received}).drop("path")
