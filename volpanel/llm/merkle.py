@@ -32,7 +32,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes that become one parent.
 FAN = 3
 #: Levels that are worked out in one block of ``FAN ** LEVELS`` rows.
-LEVELS = 9
+LEVELS = 6
 
 
 def encoded(value: Column) -> Column:
