@@ -230,7 +230,7 @@ def test_build_and_experiment_on_synthetic_archives(spark, tmp_path):
             rows = [r for r in rows if r["option_type"] == "C"]
         write_archive(tmp_path / "raw" / archive_name(day), rows)
     quotes = vendor.scan_archives(vendor.discover(spark, str(tmp_path / "raw"))).drop("source_file", "trade_date")
-    settings = BuildSettings(history_days=4, refine_iterations=2)
+    settings = BuildSettings(history_days=4)
     build = build_panel(quotes, settings, out=str(tmp_path / "out"))
     terms = build.forward_terms.withColumn("tau", F.datediff("expiration", "quote_date") / 365.0)
     worst = terms.select(F.max(F.abs(F.col("discount_factor") - F.exp(-0.01 * F.col("tau"))))).first()[0]

@@ -6,11 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from volpanel.plans.adapters import QUALITY_SQL, QUOTES_SQL, quote_columns, quotes
+from volpanel.plans.adapters import QUALITY_SQL, QUOTES_SQL, UNDERLYING, quote_columns, quotes
 from volpanel.plans.registry import register
-from volpanel.plans.shape import rounded
+from volpanel.plans.shape import joined, rounded
 from volpanel.session import scratch_path
-from volpanel.sources import partitions, vendor
+from volpanel.sources import archive_source, partitions, vendor
 from volpanel.streaming import ingest
 from volpanel.streaming import nodes as stream
 
@@ -195,14 +195,12 @@ def _packer():
             text = frame.to_csv(index=False)
             blob = io.BytesIO()
             with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("quotes.csv", text)
+                # ZipInfo has a constant date, so equal rows give equal bytes.
+                archive.writestr(zipfile.ZipInfo("quotes.csv"), text, zipfile.ZIP_DEFLATED)
             content = blob.getvalue()
             digest = hashlib.sha256(content).hexdigest()
             yield pd.DataFrame(
                 {
-                    "path": [f"mem:/{digest}.zip"],
-                    "trade_date": [frame["quote_date"].iloc[0]],
-                    "length": [len(content)],
                     "digest": [digest],
                     "content": [content],
                 }
@@ -211,23 +209,51 @@ def _packer():
     return pack
 
 
-def packed_quotes(spark, sf_dir):
-    """All quotes packed into zipped CSV archives, one per Arrow batch, so no archive is unbounded."""
+def archive_folder(spark, sf_dir):
+    """All quotes in real archives below a shared folder, named by month; several archives may share a month.
+
+    A name tells the content, so a task that runs again writes the same files.
+    """
+    folder = scratch_path(spark, "archives")
+    pack = _packer()
+
+    def write(frames):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        for frame in frames:
+            for month, part in frame.groupby("quote_date"):
+                for packed in pack([part]):
+                    digest, content = packed["digest"].iloc[0], packed["content"].iloc[0]
+                    system.create_dir(f"{base}/{digest[:2]}/{digest}")
+                    with system.open_output_stream(f"{base}/{digest[:2]}/{digest}/UnderlyingOptionsEODCalcs_{month}.zip") as sink:
+                        sink.write(content)
+                    yield pd.DataFrame({"month": [month], "rows": [len(part)], "bytes": [len(content)], "digest": [digest]})
+
     rows = quotes(spark, sf_dir).withColumn("delta_1545", F.when(F.col("option_type") == "C", 0.5).otherwise(-0.5))
-    return rows.select(*ARCHIVE_COLUMNS).mapInPandas(
-        _packer(), "path string, trade_date date, length bigint, digest string, content binary"
-    )
+    monthly = rows.withColumn("quote_date", F.trunc("quote_date", "month")).select(*ARCHIVE_COLUMNS)
+    dealt = monthly.repartition(16, "quote_date", F.pmod(F.col("open_interest"), F.lit(4)))
+    written = dealt.sortWithinPartitions("quote_date", *ARCHIVE_COLUMNS).mapInPandas(write, "month date, rows bigint, bytes bigint, digest string")
+    noted = scratch_path(spark, "archives-noted")
+    written.write.parquet(noted)
+    return folder, spark.read.parquet(noted)
+
+
+ARCHIVE_WINDOW = (dt.date(1996, 1, 1), dt.date(1997, 12, 1))
 
 
 @register(
     "archive_scan",
     "SRC4 SRC5",
-    "WITH" + QUOTES_SQL + """SELECT quote_date, root, option_type, CAST(count(*) AS BIGINT) AS rows, CAST(sum(trade_volume) AS BIGINT) AS trade_volume,
+    "WITH" + QUOTES_SQL + f"""SELECT {MONTH_SQL} AS quote_date, root, option_type, CAST(count(*) AS BIGINT) AS rows, CAST(sum(trade_volume) AS BIGINT) AS trade_volume,
        round(sum(bid_1545), 6) AS bid_total, round(sum(vega_1545), 6) AS vega_total, min(expiration) AS first_expiration
 FROM quotes GROUP BY 1, 2, 3""",
 )
 def archive_scan(spark, sf_dir):
-    rows = vendor.scan_archives(packed_quotes(spark, sf_dir), block_bytes=1 << 16)
+    folder, _ = archive_folder(spark, sf_dir)
+    columns = ("quote_date", "root", "option_type", "trade_volume", "bid_1545", "vega_1545", "expiration")
+    rows = archive_source.read_archives(spark, folder, columns)
     totals = rows.groupBy("quote_date", "root", "option_type").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("trade_volume").alias("trade_volume"),
@@ -238,19 +264,46 @@ def archive_scan(spark, sf_dir):
     return rounded(totals, 6, "bid_total", "vega_total")
 
 
+@register(
+    "archive_ingest",
+    "SRC5",
+    "WITH" + QUOTES_SQL + f"""SELECT {MONTH_SQL} AS trade_date, option_type, root AS option_root, CAST(count(*) AS BIGINT) AS rows,
+       round(sum(strike), 6) AS strike_total FROM quotes
+WHERE root = 'R' AND {MONTH_SQL} BETWEEN DATE '{ARCHIVE_WINDOW[0]}' AND DATE '{ARCHIVE_WINDOW[1]}' GROUP BY 1, 2, 3""",
+)
+def archive_ingest(spark, sf_dir):
+    """The archives of a window, one underlying and root; dates and codes are decided inside the source."""
+    folder, _ = archive_folder(spark, sf_dir)
+    rows = vendor.ingest_window(
+        spark, folder, *ARCHIVE_WINDOW, UNDERLYING, "R", scratch_path(spark, "ingested-window"), ("option_type", "strike")
+    )
+    totals = rows.groupBy("trade_date", "option_type", "option_root").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("strike").alias("strike_total")
+    )
+    return rounded(totals, 6, "strike_total")
+
+
 @register(
     "archive_inventory",
     "SRC3",
-    "SELECT 1 AS csv_member_count, 'quotes.csv' AS csv_member_name, true AS readable, true AS hash_matches, true AS size_matches",
+    "WITH" + QUOTES_SQL + f"""SELECT {MONTH_SQL} AS trade_date, CAST(count(*) AS BIGINT) AS rows, 'quotes.csv' AS member_names, true AS one_member_each,
+       true AS all_readable, true AS hashes_match, true AS sizes_match FROM quotes GROUP BY 1""",
 )
 def archive_inventory(spark, sf_dir):
-    """Hash and size found by the inventory against the ones noted when the archives were packed."""
-    packed = packed_quotes(spark, sf_dir)
-    listed = vendor.inventory(packed).join(packed.select(F.col("path").alias("file_path"), "digest", "length"), "file_path")
-    return listed.select(
-        "csv_member_count",
-        "csv_member_name",
-        "readable",
-        (F.col("sha256") == F.col("digest")).alias("hash_matches"),
-        (F.col("file_size") == F.col("length")).alias("size_matches"),
-    ).distinct()
+    """Per date: members, hashes and sizes of the archives against those noted when they were written, and the rows in them."""
+    folder, noted = archive_folder(spark, sf_dir)
+    files = vendor.discover(spark, folder)
+    listed = vendor.inventory(files).withColumn("digest", F.element_at(F.split("file_path", "/"), -2))
+    rows = archive_source.read_archives(spark, folder, ("source_file",)).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
+    rows = rows.select(F.element_at(F.split("source_file", "/"), -2).alias("digest"), "rows")
+    # Equal archives of two tasks are one file, so notes are made one per name.
+    named = noted.select("digest", "bytes", F.col("month").alias("trade_date")).distinct()
+    met = named.join(listed, ["digest", "trade_date"], "full").join(rows, "digest", "full")
+    return met.groupBy("trade_date").agg(
+        F.sum("rows").alias("rows"),
+        joined(F.array_sort(F.collect_set("csv_member_name"))).alias("member_names"),
+        F.coalesce(F.bool_and(F.col("csv_member_count") == 1), F.lit(False)).alias("one_member_each"),
+        F.coalesce(F.bool_and("readable"), F.lit(False)).alias("all_readable"),
+        F.coalesce(F.bool_and(F.col("sha256") == F.col("digest")), F.lit(False)).alias("hashes_match"),
+        F.coalesce(F.bool_and(F.col("file_size") == F.col("bytes")), F.lit(False)).alias("sizes_match"),
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volpanel.operators import audit
+from volpanel.sources.archive_source import read_archives
 from volpanel.sources.schema import REQUIRED_COLUMNS, quote_schema
 
 ARCHIVE_GLOB = "UnderlyingOptionsEOD*.zip"
@@ -211,6 +212,29 @@ def ingest(files: DataFrame, underlying: str, root: str) -> DataFrame:
     return kept.withColumn("option_root", F.lit(root))
 
 
+def ingest_window(
+    spark: SparkSession, path: str, start: dt.date, end: dt.date, underlying: str, root: str, out: str, columns: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Write the rows of one underlying and root from the daily archives of a window to ``out``, and read them back.
+
+    Dates choose archives and the two codes choose rows inside the source, so nothing else leaves it. The window must have daily
+    archives, and each of them at least one row of the selection.
+    """
+    files = require_daily_files(discover(spark, path).drop("content"), start, end)
+    asked = columns and tuple(dict.fromkeys(("trade_date", "underlying_symbol", "root", *columns)))
+    rows = read_archives(spark, path, asked).where(
+        F.col("trade_date").between(F.lit(start), F.lit(end))
+        & (F.col("underlying_symbol") == underlying)
+        & (F.col("root") == root)
+    )
+    rows.withColumn("option_root", F.lit(root)).write.parquet(out)
+    kept = spark.read.parquet(out)
+    missing = [r[0].isoformat() for r in dates_without_rows(files, kept).orderBy("trade_date").take(5)]
+    if missing:
+        raise ValueError(f"archives without rows of {underlying} {root}: {missing}")
+    return kept
+
+
 def dates_without_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Archive dates that contributed no row to the selection."""
     present = rows.select("trade_date").distinct()
