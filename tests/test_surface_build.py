@@ -6,7 +6,7 @@ from corpus import business_days, day_quotes, write_archive, archive_name
 from pyspark.sql import functions as F
 
 from volpanel.functions import ssvi
-from volpanel.operators import calibrate, compare, forecast, nodes, parity, score, skew, surface
+from volpanel.operators import calibrate, compare, forecast, nodes, parity, score, skew, surface, tuning
 from volpanel.plans.build import BuildSettings, ExperimentSettings, build_panel, run_experiment
 from volpanel.sources import vendor
 from volpanel.sources.schema import quote_schema
@@ -247,13 +247,22 @@ def test_build_and_experiment_on_synthetic_archives(spark, tmp_path):
     off = kept.join(index, ["option_root", "quote_date"]).where("target_date <> next_trading_date")
     assert off.count() == 0 and kept.count() > 20
 
-    models = [forecast.StateLast(), forecast.StateVar1(), forecast.DirectHistory(("state_z_000", "state_z_011"), history_days=3, block_rows=4)]
+    direct = {f"h{h}": forecast.DirectHistory(("state_z_000", "state_z_011"), history_days=h, block_rows=4) for h in (2, 3)}
+    families = [tuning.RidgeVar((0.0, 1.0)), tuning.Family("direct_history", direct)]
     tables = run_experiment(
         build,
-        ExperimentSettings(3, 6, 4, 3, bootstrap=compare.BootstrapSettings(100, 3), models=models),
+        ExperimentSettings(3, 6, 4, 3, bootstrap=compare.BootstrapSettings(100, 3), models=[forecast.StateLast()], families=families),
         out=str(tmp_path / "run"),
     )
     losses = tables.loss_panel
+    chosen = {(r.option_root, r.family): r.candidate_id for r in tables.chosen_candidates.collect()}
+    assert len(chosen) == 2 * 3 and chosen["SPX", "state_last"] == "only"
+    assert {(r.option_root, r.model_name): r.candidate_id for r in losses.collect()} == chosen
+    scores = tables.candidate_scores.collect()
+    assert len(scores) == 2 * 2 * 2
+    for root, family in chosen:
+        tried = [r for r in scores if (r.option_root, r.family) == (root, family)]
+        assert not tried or min(tried, key=lambda r: (r.mean_vega_rmse_iv, r.mean_rmse_iv)).candidate_id == chosen[root, family]
     assert losses.count() == 3 * 6 * 2
     assert losses.where("model_name = 'state_last'").agg(F.max("rmse_iv")).first()[0] < 2e-2
     assert tables.certificates.count() == 36 and tables.pricing_utility.count() == 36

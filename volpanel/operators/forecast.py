@@ -123,13 +123,17 @@ class StateVar1:
     def __init__(self, columns: tuple[str, ...] = LATENT_COLUMNS, by: tuple[str, ...] = PANEL_KEY):
         self.columns, self.by = columns, by
 
-    def coefficients(self, bucketed: DataFrame, states: DataFrame) -> DataFrame:
+    def sums(self, bucketed: DataFrame, states: DataFrame) -> DataFrame:
+        """(panel, chunk) with the sums of products over all rows before the chunk."""
         rows = gather_states(bucketed, states, self.columns, by=self.by)
         rows = gather_states(rows, states, self.columns, "target_state_row_index", "_y_", self.by)
         x = F.array(F.lit(1.0), *[F.col(c) for c in self.columns])
         xy = F.array(F.lit(1.0), *[F.col(c) for c in self.columns], *[F.col(f"_y_{c}") for c in self.columns])
         products = rows.select(*self.by, "chunk_id", outer_products(x, xy).alias("_products"))
-        sums = expanding_sums(products, "_products", self.by)
+        return expanding_sums(products, "_products", self.by)
+
+    def coefficients(self, bucketed: DataFrame, states: DataFrame) -> DataFrame:
+        sums = self.sums(bucketed, states)
         solver = _regression_solver(len(self.columns))
         return sums.select(*self.by, "chunk_id", solver(F.col("moments")).alias("coefficients"))
 

@@ -33,7 +33,7 @@ class Stages:
     """Keeps each stage as a table below ``out``, or as a reliable checkpoint when no path is given."""
 
     def __init__(self, out: str | None = None):
-        self.out, self.tables = out, {}
+        self.out, self.tables, self.history_days = out, {}, calendar.HISTORY_DAYS
 
     def keep(self, name: str, df: DataFrame, leaf: bool = False) -> DataFrame:
         """Stage a table; a leaf that no later stage reads stays lazy unless it is to be written."""
@@ -67,6 +67,7 @@ def build_panel(
     that breaks static arbitrage is an error raised by the plan.
     """
     stages = Stages(out)
+    stages.history_days = settings.history_days
     if prepared:
         contracts = stages.keep("contracts", quotes)
         raw_dates = contracts
@@ -148,12 +149,51 @@ class ExperimentSettings:
     alpha: float = 0.10
     bandwidth: int = 5
     bootstrap: object = None
+    #: Plain models, each forecasting as it is.
     models: list = field(default_factory=list)
+    #: Families whose candidates compete on the validation window first.
+    families: list = field(default_factory=list)
+
+
+def default_families(history_days: int) -> list:
+    """Persistence, autoregressions of several penalties, and history regressions of two lengths."""
+    from volpanel.operators import forecast, tuning
+
+    lengths = sorted({max(1, history_days // 2), history_days})
+    direct = {f"history={h}": forecast.DirectHistory(features.HISTORY_COLUMNS, history_days=h) for h in lengths}
+    return [tuning.single(forecast.StateLast()), tuning.RidgeVar(), tuning.Family("direct_history", direct)]
+
+
+def chosen_candidates(families: list, labelled: DataFrame, states: DataFrame, panel: DataFrame, refit_frequency: int, stages: Stages) -> DataFrame:
+    """(option_root, family, candidate_id): per panel the candidate with the best scores on the validation nodes.
+
+    All candidates of all families are fitted and scored in one job.
+    """
+    from volpanel.operators import tuning
+
+    only = tuning.only_candidates(families, labelled)
+    if all(len(f.candidate_ids()) == 1 for f in families):
+        return stages.keep("chosen_candidates", only)
+    validation = calendar.walk_forward_buckets(labelled, "validation", refit_frequency)
+    nodes.require_empty(
+        calendar.chronology_violations(calendar.chunk_windows(validation)), "training rows reach into their validation chunk"
+    )
+    tried = score.forecast_states(tuning.candidate_panel(families, validation, states).drop("chunk_id"))
+    tried = stages.keep("candidate_forecasts", tried)
+    losses = score.node_losses(score.node_forecasts(tried, panel)).withColumns(tuning.split_name())
+    checks = score.forecast_certificates(tried).withColumns(tuning.split_name())
+    ranked = score.rank_candidates(losses, checks, by=("option_root", "family"))
+    ranked = stages.keep("candidate_scores", ranked)
+    best = ranked.where("is_best").select("option_root", "family", "candidate_id")
+    return stages.keep("chosen_candidates", best.unionByName(only))
 
 
 def run_experiment(build: Stages, settings: ExperimentSettings, out: str | None = None) -> Stages:
-    """Test-window backtest of all models on common dates with every score and comparison table."""
-    from volpanel.operators import compare, forecast
+    """Test-window backtest of all families on common dates with every score and comparison table.
+
+    Families with several candidates are tuned per panel on the validation window; ``loss_panel`` names the candidate.
+    """
+    from volpanel.operators import compare, tuning
 
     stages = Stages(out)
     states, contracts, panel = build.states, build.contracts, build.nodes
@@ -166,14 +206,16 @@ def run_experiment(build: Stages, settings: ExperimentSettings, out: str | None
         calendar.chronology_violations(calendar.chunk_windows(bucketed)), "training rows reach into their chunk"
     )
 
-    models = settings.models or [forecast.StateLast(), forecast.StateVar1()]
-    raw = forecast.forecast_panel(models, bucketed, states).drop("chunk_id")
+    families = [*map(tuning.single, settings.models), *settings.families] or default_families(build.history_days)
+    chosen = chosen_candidates(families, labelled, states, panel, settings.refit_frequency, stages)
+    raw = tuning.winner_panel(families, chosen, bucketed, states).drop("chunk_id", "candidate_id")
     forecasts = stages.keep("forecasts", score.forecast_states(raw))
 
     priced_source = nodes.contracts_with_forward(contracts, build.forward_terms)
     priced_source = stages.keep("contracts_with_forward", priced_source)
     predicted = stages.keep("node_forecasts", score.node_forecasts(forecasts, panel), leaf=True)
-    losses = stages.keep("loss_panel", score.node_losses(predicted))
+    told = chosen.withColumnRenamed("family", "model_name")
+    losses = stages.keep("loss_panel", score.node_losses(predicted).join(told, ["option_root", "model_name"]))
     stages.keep("certificates", score.forecast_certificates(forecasts), leaf=True)
     priced = stages.keep("contract_forecasts", score.contract_forecasts(forecasts, priced_source), leaf=True)
     stages.keep("pricing_utility", score.pricing_utility(priced), leaf=True)

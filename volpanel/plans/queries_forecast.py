@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from volpanel.operators import forecast, score
+from volpanel.operators import forecast, score, tuning
 from volpanel.operators.features import SCALAR_COLUMNS, with_scalar_features
 from volpanel.plans.adapters import daily_states, table
 from volpanel.plans.queries_daily import SPLIT_SQL, STATE_COLUMNS, daily_chunks
@@ -113,6 +115,44 @@ def tuned_history_length(spark, sf_dir):
     return rounded(forecast.choose_candidate(losses), 4, "mean_rmse", "mean_mae")
 
 
+PENALTIES = (0.0, 0.5, 50.0)
+PENALTY_VALUES = ", ".join(f"('penalty={p:g}', CAST({p} AS DOUBLE))" for p in PENALTIES)
+
+
+def _stage_sql(stage: str) -> str:
+    """The common tables of ``forecast_sql`` up to the sums, renamed for one stage, with all candidates' forecasts."""
+    text = forecast_sql(stage).split("fitted AS (")[0]
+    chunked = text[text.index("chunked AS (") :].rstrip().rstrip(",")
+    for name in ("chunked", "starts", "pairs"):
+        chunked = re.sub(rf"\b{name}\b", f"{stage}_{name}", chunked)
+    return chunked + f""",
+{stage}_sums AS (
+  SELECT s.option_root, s.chunk_id, regr_sxx(p.y, p.x) AS sxx, regr_sxy(p.y, p.x) AS sxy, avg(p.x) AS mx, avg(p.y) AS my
+  FROM {stage}_starts s JOIN {stage}_pairs p ON p.option_root = s.option_root AND p.target_date < s.chunk_start GROUP BY 1, 2),
+{stage}_tried AS (
+  SELECT p.option_root, candidate_id, p.quote_date, p.target_date, p.chunk_id, my + sxy/(sxx + penalty)*(x - mx) AS z, x, y
+  FROM {stage}_pairs p JOIN {stage}_sums USING (option_root, chunk_id) CROSS JOIN (VALUES {PENALTY_VALUES}) v(candidate_id, penalty)
+  WHERE p.split_label = '{stage}')"""
+
+
+TUNED_SQL = "WITH" + SPLIT_SQL.split("chunked AS (")[0] + _stage_sql("validation") + ",\n" + _stage_sql("test") + """,
+means AS (SELECT option_root, candidate_id, avg(abs(z - y)) AS loss FROM validation_tried GROUP BY 1, 2),
+won AS (SELECT option_root, first(candidate_id ORDER BY loss, candidate_id) AS candidate_id FROM means GROUP BY 1)
+SELECT 'state_var1' AS model_name, option_root, candidate_id, quote_date AS forecast_origin, target_date, chunk_id, round(z, 6) AS state_z_000
+FROM test_tried JOIN won USING (option_root, candidate_id)
+UNION ALL
+SELECT 'state_last', option_root, 'only', quote_date, target_date, chunk_id, round(x, 6) FROM test_tried WHERE candidate_id = 'penalty=0'"""
+
+
+@register("tuned_backtest", "FCT5 FCT6 FCT2", TUNED_SQL)
+def tuned_backtest(spark, sf_dir):
+    """Autoregressions of three penalties compete on the validation window; each panel's winner forecasts the test window."""
+    states = daily_states(spark, sf_dir)
+    families = [tuning.single(forecast.StateLast(ONE)), tuning.RidgeVar(PENALTIES, ONE)]
+    panel = tuning.tuned_states(families, daily_chunks(spark, sf_dir, "validation"), daily_chunks(spark, sf_dir, "test"), states, ONE)
+    return rounded(panel, 6, *ONE)
+
+
 CANDIDATE_SQL = """
 WITH panel AS (
   SELECT event_type AS candidate_id, CAST(ts AS DATE) AS target_date, sqrt(avg(value*value)) AS rmse_iv, avg(value) AS vega_rmse_iv,
