@@ -1,11 +1,13 @@
+import math
 from datetime import date
 
 import numpy as np
 import pytest
 from corpus import business_days, day_quotes, write_archive, archive_name
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from volpanel.functions import ssvi
+from volpanel.functions import exact, ssvi
 from volpanel.operators import calibrate, compare, forecast, nodes, parity, score, skew, surface, tuning
 from volpanel.plans.build import BuildSettings, ExperimentSettings, build_panel, run_experiment
 from volpanel.sources import vendor
@@ -49,6 +51,45 @@ def test_refinement_never_loses_to_its_start(spark):
     assert after <= before
 
 
+def test_rounding_in_the_nodes_does_not_grow(spark):
+    """Few maturities leave several knots undetermined; nodes moved by 1e-15 must give the same state."""
+    panel = true_nodes(spark).where("tau > 0.05 AND tau < 0.6").withColumn("node_iv", F.col("node_iv") + 0.004 * F.abs("m"))
+    sign = F.when(F.xxhash64("m", "tau") % 2 == 0, 1.0).otherwise(-1.0)
+    moved = panel.withColumns({"m": F.col("m") + sign * 1e-15, "node_iv": F.col("node_iv") * (1.0 - sign * 1e-15)})
+    plain, other = [calibrate.calibrate(p).first() for p in (panel, moved)]
+    assert max(abs(plain[c] - other[c]) for c in ssvi.LATENT_COLUMNS) < 1e-11
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_forwards_do_not_depend_on_the_order_of_rows(spark, partitions):
+    rows = contract_rows(7, 9)
+    first = parity.forward_diagnostics(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    again = parity.forward_diagnostics(spark.createDataFrame(rows[::-1], SCHEMA).repartition(partitions))
+    columns = ("expiration", "discount_factor", "forward_price")
+    a, b = [sorted((tuple(r) for r in f.select(*columns).collect()), key=str) for f in (first, again)]
+    assert a == b and any(r[1] for r in a)
+    split = parity.split_forward_diagnostics(spark.createDataFrame(rows[::-1], SCHEMA).repartition(partitions))
+    assert sorted((tuple(r) for r in split.select(*columns).collect()), key=str) == a
+
+
+def test_exact_sums(spark):
+    rng = np.random.default_rng(4)
+    values = {"wide": [*(rng.normal(size=2000) * 10.0 ** rng.integers(-12, 12, size=2000))], "zero": [0.0, -0.0], "none": [None, None],
+              "odd": [float("nan"), float("inf"), 1.5], "one": [1e300, 1e300], "small": [5e-324, 1e-310]}
+    rows = [(k, None if v is None else float(v)) for k, vs in values.items() for v in vs]
+    want = {"zero": 0.0, "none": None, "odd": 1.5, "one": 2e300}
+    found = []
+    for n in (1, 7):
+        frame = spark.createDataFrame(rows if n == 1 else rows[::-1], "k string, v double").repartition(n)
+        by_group = {r.k: r.t for r in exact.group_sums(frame, ["k"], {"t": F.col("v")}).collect()}
+        by_window = {r.k: r.t for r in exact.window_sums(frame, {"t": F.col("v")}, Window.partitionBy("k")).collect()}
+        assert by_group == by_window
+        found.append(by_group)
+    assert found[0] == found[1]
+    assert {k: found[0][k] for k in want} == want
+    assert found[0]["wide"] == pytest.approx(math.fsum(values["wide"]), rel=1e-12)
+
+
 def test_initial_surface_by_hand(spark):
     panel = true_nodes(spark)
     rows = panel.collect()

@@ -136,17 +136,18 @@ def state_summary(nodes: DataFrame, by: tuple[str, ...] = ("option_root", "quote
     """Per-date summary columns of the state panel.
 
     The exact median runs over (value, count) pairs, and the distinct expiries come from a
-    pre-aggregation, so a heavy date arrives already combined.
+    pre-aggregation, so a heavy date arrives already combined. Prices are added as decimals of ten places, so their
+    average does not depend on the order of the nodes.
     """
     per_expiry = nodes.groupBy(*by, "expiration", "median_rel_spread_1545").agg(
-        F.sum("active_underlying_price_1545").alias("price_sum"),
+        F.sum(F.col("active_underlying_price_1545").try_cast("decimal(28,10)")).alias("price_sum"),
         F.count("active_underlying_price_1545").alias("price_n"),
         F.sum("trade_volume").alias("volume"),
         F.sum("open_interest").alias("interest"),
         F.count(F.lit(1)).alias("n"),
     )
     return per_expiry.groupBy(*by).agg(
-        F.try_divide(F.sum("price_sum"), F.sum("price_n")).alias("active_underlying_price_1545"),
+        F.try_divide(F.sum("price_sum").cast("double"), F.sum("price_n")).alias("active_underlying_price_1545"),
         F.sum("volume").alias("total_trade_volume"),
         F.sum("interest").alias("total_open_interest"),
         F.percentile("median_rel_spread_1545", F.lit(0.5), F.col("n")).alias("median_rel_spread_1545"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from volpanel.functions import exact
 from volpanel.functions.mathx import is_finite
 from volpanel.operators.keys import EXPIRY_KEY
 from volpanel.operators.skew import exact_median
+from volpanel.session import cut_lineage
 
 MIN_PAIRS = 3
 MAD_MULTIPLE = 5.0
@@ -39,26 +42,57 @@ def matched_only(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("call_mid").isNotNull() & F.col("put_mid").isNotNull())
 
 
-def line_moments(x: Column, y: Column, w: Column) -> dict[str, Column]:
-    """The five sums a weighted straight-line fit needs."""
-    return {"s": F.sum(w), "sx": F.sum(w * x), "sy": F.sum(w * y), "sxx": F.sum(w * x * x), "sxy": F.sum(w * x * y)}
+def weighted_sums(x: Column, y: Column, w: Column) -> dict[str, Column]:
+    """What the weighted means of a straight-line fit need."""
+    return {"s": w, "sx": w * x, "sy": w * y}
 
 
-def line_from_moments(prefix: str = "") -> tuple[Column, Column]:
-    """Intercept and slope from moment columns; null where the system is singular."""
-    s, sx, sy, sxx, sxy = [F.col(prefix + c) for c in ("s", "sx", "sy", "sxx", "sxy")]
-    determinant = s * sxx - sx * sx
-    return F.try_divide(sxx * sy - sx * sxy, determinant), F.try_divide(s * sxy - sx * sy, determinant)
+def co_moments(x: Column, y: Column, w: Column) -> dict[str, Column]:
+    """Weighted products of deviations from the means ``mx`` and ``my``."""
+    dx, dy = x - F.col("mx"), y - F.col("my")
+    return {"cxx": w * dx * dx, "cxy": w * dx * dy}
+
+
+def with_means(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({"mx": F.try_divide("sx", "s"), "my": F.try_divide("sy", "s")})
+
+
+def line_from_moments() -> tuple[Column, Column]:
+    """Intercept and slope from means and co-moments; null where the system is singular."""
+    slope = F.try_divide("cxy", "cxx")
+    return F.col("my") - slope * F.col("mx"), slope
+
+
+MOMENTS = ("s", "sx", "sy", "mx", "my", "cxx", "cxy")
+
+
+def window_line(rows: DataFrame, x: Column, y: Column, w: Column, group: WindowSpec) -> DataFrame:
+    """``rows`` with means and co-moments of their group. The sums don't depend on the order of rows."""
+    rows = with_means(exact.window_sums(rows, weighted_sums(x, y, w), group))
+    return exact.window_sums(rows, co_moments(x, y, w), group)
+
+
+def group_line(rows: DataFrame, key: list[str], x: str, y: str, w: str) -> DataFrame:
+    """One row per group with its means and co-moments, for groups of any size."""
+    columns = (F.col(x), F.col(y), F.col(w))
+    means = with_means(exact.group_sums(rows, key, weighted_sums(*columns)))
+    same = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_m.{k}")) for k in key]
+    met = rows.alias("_r").join(means.alias("_m"), same).select("_r.*", "_m.mx", "_m.my")
+    moments = exact.group_sums(met, key, co_moments(*columns))
+    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in key]
+    return means.alias("_a").join(moments.alias("_b"), same).select("_a.*", "_b.cxx", "_b.cxy")
 
 
 def weighted_line_fit(df: DataFrame, key: tuple[str, ...], x: str, y: str, w: str) -> DataFrame:
-    """Weighted least squares y = intercept + slope * x per group, as one aggregation."""
-    moments = df.groupBy(*key).agg(
-        *[c.alias(n) for n, c in line_moments(F.col(x), F.col(y), F.col(w)).items()],
-        F.count(F.lit(1)).alias("n"),
-    )
+    """Weighted least squares y = intercept + slope * x per group."""
+    keys = list(key)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     intercept, slope = line_from_moments()
-    return moments.select(*key, "n", intercept.alias("intercept"), slope.alias("slope"))
+    fitted = group_line(df.select(*keys, x, y, w), keys, x, y, w)
+    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in keys]
+    return counts.alias("_a").join(fitted.alias("_b"), same).select(
+        "_a.*", intercept.alias("intercept"), slope.alias("slope")
+    )
 
 
 def pruned_pairs(pairs: DataFrame, key: tuple[str, ...] = EXPIRY_KEY, multiple: float = MAD_MULTIPLE) -> DataFrame:
@@ -79,7 +113,8 @@ def pruned_pairs(pairs: DataFrame, key: tuple[str, ...] = EXPIRY_KEY, multiple:
         }
     ).withColumn("is_matched", F.col("y").isNotNull())
     x = F.when(F.col("is_matched"), F.col("strike"))
-    staged = staged.withColumns({n: c.over(group) for n, c in line_moments(x, F.col("y"), F.col("w")).items()})
+    w = F.when(F.col("is_matched"), F.col("w"))
+    staged = window_line(staged, x, F.col("y"), w, group)
     intercept, slope = line_from_moments()
     staged = staged.withColumns(
         {
@@ -93,7 +128,7 @@ def pruned_pairs(pairs: DataFrame, key: tuple[str, ...] = EXPIRY_KEY, multiple:
     keep = F.col("is_matched") & (
         (F.col("mad") <= 0) | F.col("mad").isNull() | (F.abs(F.col("residual")) <= multiple * F.col("mad"))
     )
-    return staged.withColumn("is_kept", F.coalesce(keep, F.lit(False))).drop("s", "sx", "sy", "sxx", "sxy", "deviation")
+    return staged.withColumn("is_kept", F.coalesce(keep, F.lit(False))).drop(*MOMENTS, "deviation")
 
 
 def with_forward(
@@ -110,12 +145,8 @@ def with_forward(
     group = Window.partitionBy(*key)
     pruned = pruned_pairs(pairs, key, multiple)
     x, y, w = [F.when(F.col("is_kept"), F.col(c)) for c in ("strike", "y", "w")]
-    staged = pruned.withColumns(
-        {
-            "kept_pairs": F.count(F.when(F.col("is_kept"), 1)).over(group),
-            **{n: c.over(group) for n, c in line_moments(x, y, w).items()},
-        }
-    )
+    staged = pruned.withColumn("kept_pairs", F.count(F.when(F.col("is_kept"), 1)).over(group))
+    staged = window_line(staged, x, y, w, group)
     added = (
         "discount_factor", "forward_price", "matched_pairs_before_prune", "matched_pairs_after_prune", "invalid_reason",
     )
@@ -169,19 +200,20 @@ def split_forward_diagnostics(
         (F.col("call_mid") - F.col("put_mid")).alias("y"),
         F.least("call_vega", "put_vega").alias("w"),
     )
-    moments = line_moments(F.col("strike"), F.col("y"), F.col("w"))
+    matched = cut_lineage(matched)
     intercept, slope = line_from_moments()
-    first = matched.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.count(F.lit(1)).alias("before"))
-    fitted = first.select(*keys, "before", intercept.alias("_a"), slope.alias("_b"))
+    first = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("before"))
+    fitted = group_line(matched, keys, "strike", "y", "w").join(first, keys)
+    fitted = cut_lineage(fitted.select(*keys, "before", intercept.alias("_a"), slope.alias("_b")))
     residual = F.col("y") - (F.col("_a") + F.col("_b") * F.col("strike"))
-    rows = matched.join(fitted, keys).withColumn("residual", residual)
+    rows = cut_lineage(matched.join(fitted, keys).withColumn("residual", residual))
     centred = rows.join(exact_median(rows, key, "residual", "_centre"), keys, "left").withColumn(
         "deviation", F.abs(F.col("residual") - F.col("_centre"))
     )
     mads = exact_median(centred, key, "deviation", "mad")
     keep = (F.col("mad") <= 0) | F.col("mad").isNull() | (F.abs("residual") <= multiple * F.col("mad"))
-    kept = rows.join(mads, keys, "left").where(keep)
-    refit = kept.groupBy(*keys).agg(*[c.alias(n) for n, c in moments.items()], F.count(F.lit(1)).alias("kept_pairs"))
+    kept = cut_lineage(rows.join(mads, keys, "left").where(keep).select(*keys, "strike", "y", "w"))
+    refit = group_line(kept, keys, "strike", "y", "w").join(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept_pairs")), keys)
     counts = (
         pairs.select(*keys).distinct()
         .join(first.select(*keys, "before"), keys, "left")
