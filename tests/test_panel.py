@@ -157,9 +157,10 @@ def test_var1_matches_least_squares_per_chunk(spark):
         assert row.target_date == START + timedelta(days=origin + 1)
 
 
-def test_direct_history_matches_ridge(spark):
+@pytest.mark.parametrize("block_rows", [1, 7, 1000])
+def test_direct_history_matches_ridge(spark, block_rows):
     rng = np.random.default_rng(5)
-    n, history, penalty = 70, 3, 2.0
+    n, history, penalties = 70, 3, (0.5, 2.0, 50.0)
     walk = np.cumsum(rng.normal(size=(n, 2)), axis=0) * 0.1
     rows = [("SPX", START + timedelta(days=i), *map(float, walk[i])) for i in range(n)]
     columns = ("state_z_000", "state_z_001")
@@ -169,25 +170,34 @@ def test_direct_history_matches_ridge(spark):
         calendar.labelled_candidates(calendar.trading_date_index(frame, states), history), states, (), history
     )
     bucketed = calendar.walk_forward_buckets(calendar.label_splits(kept, 6, 12), "test", 6)
-    model = forecast.DirectHistory(columns, columns, history, penalties=(penalty,), block_rows=7)
+    model = forecast.DirectHistory(columns, columns, history, penalties, block_rows=block_rows)
     got = {r.forecast_origin: r for r in model.fit_predict(bucketed, states).collect()}
     origins = list(range(history - 1, n - 1))
     prior = len(origins) - 12
-    fit = prior - max(1, prior // 10)
-    used = walk[: origins[fit - 1] + 1]
-    z = (walk - used.mean(axis=0)) / used.std(axis=0)
-    x = np.stack([z[o - history + 1 : o + 1].ravel() for o in origins])
     y = np.stack([walk[o + 1] for o in origins])
+
+    def ridge(design, target, penalty):
+        weights = np.diag([1e-9] + [penalty] * (design.shape[1] - 1))
+        return np.linalg.solve(design.T @ design + weights, design.T @ target)
+
     for k in range(12):
         train = prior + 6 * (k // 6)
-        design = np.column_stack([np.ones(train), x[:train]])
-        weights = np.diag([1e-9] + [penalty] * x.shape[1])
-        b = np.linalg.solve(design.T @ design + weights, design.T @ y[:train])
-        expected = np.concatenate([[1.0], x[prior + k]]) @ b
+        fit = train - max(1, train // 10)
+        used = walk[: origins[fit - 1] + 1]
+        z = (walk - used.mean(axis=0)) / used.std(axis=0)
+        x = np.stack([np.append(1.0, z[o - history + 1 : o + 1].ravel()) for o in origins])
+        held = [np.sum((y[fit:train] - x[fit:train] @ ridge(x[:fit], y[:fit], p)) ** 2) for p in penalties]
+        expected = x[prior + k] @ ridge(x[:train], y[:train], penalties[int(np.argmin(held))])
         row = got[START + timedelta(days=origins[prior + k])]
         assert np.allclose([row[c] for c in columns], expected, rtol=1e-7)
 
 
+def test_refits_need_training_rows(spark):
+    frame = dates(spark, 12).withColumn("chunk_id", F.when(F.col("quote_date") < F.lit(START + timedelta(days=5)), -1).otherwise(0))
+    with pytest.raises(Exception, match="a refit needs 6 training rows, found 5"):
+        forecast.refit_cuts(frame, ("option_root",)).collect()
+
+
 def test_holdout_split(spark):
     frame = dates(spark, 25)
     assert calendar.holdout_split(frame).where("is_holdout").count() == 2

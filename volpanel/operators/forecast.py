@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volpanel.functions.ssvi import LATENT_COLUMNS
-from volpanel.operators.calendar import PRIOR_BUCKET, gather_states, holdout_split
-from volpanel.operators.features import used_states, with_history
+from volpanel.operators.calendar import PRIOR_BUCKET, gather_states
+from volpanel.operators.features import with_history
 from volpanel.operators.keys import PANEL_KEY
+from volpanel.operators.skew import parallelism
 
 ROW_KEY = ("quote_date", "target_date", "chunk_id")
 
@@ -152,6 +153,12 @@ class StateVar1:
 
 # --- direct forecaster on history windows -----------------------------------------------------
 
+#: Fewest training rows of a refit; the last tenth of them, at least one, choose the penalty.
+MIN_TRAINING = 6
+HELD_SHARE = 10
+STD_FLOOR = 1e-6
+
+
 def _block_moments():
     def moments(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -169,13 +176,38 @@ def _block_moments():
     return moments
 
 
+def refit_cuts(bucketed: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per panel: ``chunks`` (chunk, training rows, rows before the holdout) and ``cuts``, all these row counts in order.
+
+    A refit trains on the first rows of its panel by date; its holdout is the last tenth of them.
+    """
+    counts = bucketed.groupBy(*by, "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = counts.withColumn("rows", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("chunk_id") != PRIOR_BUCKET)
+    enough = F.when(F.col("rows") >= MIN_TRAINING, F.col("rows")).otherwise(
+        F.raise_error(F.concat(F.lit(f"a refit needs {MIN_TRAINING} training rows, found "), F.col("rows").cast("string"))).cast("bigint")
+    )
+    sized = sized.withColumn("rows", enough)
+    sized = sized.withColumn("fit_rows", F.col("rows") - F.greatest(F.lit(1), F.floor(F.col("rows") / HELD_SHARE)))
+    chunks = F.array_sort(F.collect_list(F.struct("chunk_id", "rows", "fit_rows")))
+    packed = sized.groupBy(*by).agg(chunks.alias("chunks"))
+    every = F.flatten(F.transform("chunks", lambda c: F.array(c["rows"], c["fit_rows"])))
+    return packed.withColumn("cuts", F.array_sort(F.array_distinct(every)))
+
+
+def segment_of(position: Column) -> Column:
+    """Number of cuts at or before a row's position: rows of one segment belong to the same refits."""
+    return F.size(F.filter("cuts", lambda c: c <= position))
+
+
 class DirectHistory:
     """Ridge regression of the next state on the flattened window of the last ``history_days`` features.
 
-    Features are z-scored with statistics of the training part of each panel only. Per chunk the
-    last blocks of dates that hold at least a tenth of the training rows choose the ridge penalty,
-    and the model is refitted on all rows. Rows are reduced to sums of products per block of dates before anything is combined, so
-    the final solve of a panel reads one matrix per block and never the rows.
+    Every refit normalizes with the statistics of its own training rows before the holdout, chooses the penalty on its
+    holdout, the last tenth of its rows by date, and is fitted on all of them. Still each row is read once: normalizing is
+    linear, so sums of products of raw windows serve all refits. Rows are cut where a refit or its holdout begins; sums of the
+    segments (split further into blocks of ``block_rows``) run up to the sums of every refit, and each (panel, refit, penalty) is a
+    solve of its own, dealt over the tasks. Windows are taken relative to the panel's mean state, which keeps the sums small.
     """
 
     model_name = "direct_history"
@@ -191,112 +223,146 @@ class DirectHistory:
     ):
         self.feature_columns, self.state_columns = feature_columns, state_columns
         self.history_days, self.penalties, self.by, self.block_rows = history_days, penalties, by, block_rows
+        self.size = history_days * len(feature_columns) + 1
 
     def design_rows(self, bucketed: DataFrame, states: DataFrame) -> DataFrame:
-        """Feature rows with the flattened, normalized window ``_x`` and the target state ``_y``."""
-        by, prior = self.by, bucketed.where(F.col("chunk_id") == PRIOR_BUCKET)
-        fit_rows = holdout_split(prior, by).where(~F.col("is_holdout"))
-        used = used_states(states, fit_rows, self.history_days, by)
-        stats = used.groupBy(*by).agg(
-            F.array(*[F.avg(c) for c in self.feature_columns]).alias("_mean"),
-            F.array(*[F.stddev_pop(c) for c in self.feature_columns]).alias("_std"),
-        )
-        windows = with_history(states, self.feature_columns, self.history_days, by)
-        windows = windows.select(*by, F.col("state_row_index").alias("history_end_index"), "history")
+        """Feature rows with the flattened window ``_x``, relative to the panel's mean, and the target state ``_y``."""
+        by = self.by
+        mean = states.groupBy(*by).agg(F.array(*[F.avg(c) for c in self.feature_columns]).alias("_mean"))
+        windows = with_history(states, self.feature_columns, self.history_days, by).join(mean, list(by))
+        moved = F.transform("history", lambda day: F.zip_with(day, F.col("_mean"), lambda v, m: v - m))
+        windows = windows.select(*by, F.col("state_row_index").alias("history_end_index"), F.flatten(moved).alias("_x"))
         targets = states.select(
             *by,
             F.col("state_row_index").alias("target_state_row_index"),
             F.array(*[F.col(c).cast("double") for c in self.state_columns]).alias("_y"),
         )
         rows = bucketed.join(windows, [*by, "history_end_index"]).join(targets, [*by, "target_state_row_index"])
-        scaled = F.flatten(
-            F.transform(
-                "history",
-                lambda day: F.zip_with(
-                    F.zip_with(day, F.col("_mean"), lambda v, m: v - m),
-                    F.transform("_std", lambda s: F.when(s < 1e-6, 1.0).otherwise(s)),
-                    lambda v, s: v / s,
-                ),
-            )
-        )
-        return rows.join(stats, list(by)).select(*by, *ROW_KEY, scaled.alias("_x"), "_y")
+        return rows.select(*by, *ROW_KEY, "history_end_index", "_x", "_y")
 
-    def block_sums(self, design: DataFrame) -> DataFrame:
-        """Sums of products per panel, bucket and block of dates; a block holds ``block_rows`` rows."""
+    def segment_sums(self, placed: DataFrame) -> DataFrame:
+        """Sums of products per panel, segment and block of training rows."""
         by = self.by
-        order = Window.partitionBy(*by, "chunk_id").orderBy("target_date")
-        blocked = design.withColumn("block_no", F.floor((F.row_number().over(order) - 1) / self.block_rows).cast("int"))
-        columns = blocked.select(*by, "chunk_id", "block_no", "_x", "_y")
+        block = F.floor(F.col("position") / self.block_rows).cast("int")
+        trained = placed.where(F.col("segment") < F.size("cuts")).withColumn("block_no", block)
+        columns = trained.select(*by, "segment", "block_no", "_x", "_y")
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema if f.name in by)
-        return columns.groupBy(*by, "chunk_id", "block_no").applyInPandas(
-            _block_moments(),
-            f"{schema}, chunk_id int, block_no int, xx array<double>, xy array<double>, yy array<double>",
+        return columns.groupBy(*by, "segment", "block_no").applyInPandas(
+            _block_moments(), f"{schema}, segment int, block_no int, xx array<double>, xy array<double>, yy array<double>"
         )
 
-    def coefficients(self, design: DataFrame) -> DataFrame:
-        """Coefficients per (panel, chunk, penalty): solved from cumulative block sums of the panel."""
+    def segment_stats(self, placed: DataFrame, states: DataFrame) -> DataFrame:
+        """Count, mean and squared deviations, per segment, of the states that its rows' windows are the first to use."""
         by = self.by
-        size = self.history_days * len(self.feature_columns) + 1
-        outputs, penalties = len(self.state_columns), self.penalties
+        ends = placed.select(*by, F.col("history_end_index").alias("state_row_index"), "position", "segment")
+        ahead = Window.partitionBy(*by).orderBy("state_row_index").rowsBetween(0, self.history_days - 1)
+        entry = F.when(F.col("position").isNotNull(), F.struct("position", "segment"))
+        marked = states.join(ends, [*by, "state_row_index"], "left").withColumn("_first", F.min(entry).over(ahead))
+        used = marked.where(F.col("_first").isNotNull()).withColumn("segment", F.col("_first.segment"))
+        columns = [F.col(c).cast("double") for c in self.feature_columns]
+        return used.groupBy(*by, "segment").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array(*[F.avg(c) for c in columns]).alias("mean"),
+            F.array(*[F.var_pop(c) for c in columns]).alias("variance"),
+        )
 
-        def solve(frame: pd.DataFrame) -> pd.DataFrame:
-            import numpy as np
+    def refit_sums(self, bucketed: DataFrame, states: DataFrame, design: DataFrame) -> DataFrame:
+        """Per (panel, chunk): sums over its training rows and over those before the holdout, and normalization statistics.
 
-            def matrix(values, rows):
-                return np.asarray(values, dtype=float).reshape(rows, -1)
+        Running sums over segments; a panel's task sees one matrix per segment, never rows, and solves nothing.
+        """
+        by, size = list(self.by), self.size
+        cuts = refit_cuts(bucketed, self.by)
+        position = F.row_number().over(Window.partitionBy(*by).orderBy("quote_date")) - 1
+        placed = design.withColumn("position", position).join(cuts.select(*by, "cuts"), by)
+        placed = placed.withColumn("segment", segment_of(F.col("position")))
+        stats = self.segment_stats(placed, states).join(cuts, by)
 
-            def ridge(xx, xy, penalty):
-                weights = np.full(size, penalty)
-                weights[0] = 1e-9
-                return np.linalg.solve(xx + np.diag(weights), xy)
-
-            ordered = frame.sort_values(["chunk_id", "block_no"])
-            xxs = [matrix(v, size) for v in ordered["xx"]]
-            xys = [matrix(v, size) for v in ordered["xy"]]
-            yys = [np.asarray(v, dtype=float) for v in ordered["yy"]]
-            counts = [m[0, 0] for m in xxs]
-            chunks = ordered["chunk_id"].to_numpy()
+        def running(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            import numpy as np
+
+            columns = [*by, "chunk_id", "fit", "whole", "mean", "std"]
+            if not len(blocks) or not len(found):
+                return pd.DataFrame(columns=columns)
+            cut_list = list(found["cuts"].iloc[0])
+            width = len(blocks["xx"].iloc[0]) + len(blocks["xy"].iloc[0]) + len(blocks["yy"].iloc[0])
+            sums = np.zeros((len(cut_list), width))
+            for at, *parts in blocks.sort_values(["segment", "block_no"])[["segment", "xx", "xy", "yy"]].itertuples(index=False):
+                sums[at] += np.concatenate(parts)
+            upto = np.cumsum(sums, axis=0)
+            stat = {int(s): (n, np.asarray(m), np.asarray(v) * n) for s, n, m, v in found[["segment", "n", "mean", "variance"]].itertuples(index=False)}
+            merged, held = [], (0, np.zeros(1), np.zeros(1))
+            for at in range(len(cut_list)):
+                if at in stat:
+                    (n, m, q), (k, mk, qk) = held, stat[at]
+                    shift = mk - m
+                    held = (n + k, m + shift * (k / (n + k)), q + qk + shift * shift * (n * k / (n + k)))
+                merged.append(held)
+            head = blocks[by].iloc[0].tolist()
             out = []
-            for chunk in sorted(set(chunks[chunks >= 0])):
-                train = [i for i in range(len(chunks)) if chunks[i] < chunk]
-                if not train:
-                    raise ValueError("a forecast chunk has no training rows before it")
-                # The holdout is the last whole blocks that make up at least a tenth of the rows.
-                total, held, tail = sum(counts[i] for i in train), 0.0, []
-                for i in reversed(train):
-                    if held >= total / 10.0 or len(tail) + 1 >= len(train):
-                        break
-                    tail.append(i)
-                    held += counts[i]
-                xx_all, xy_all = sum(xxs[i] for i in train), sum(xys[i] for i in train)
-                best = penalties[0]
-                if tail and len(penalties) > 1:
-                    xx_held, xy_held = sum(xxs[i] for i in tail), sum(xys[i] for i in tail)
-                    yy_held = sum(yys[i] for i in tail)
-                    scores = []
-                    for penalty in penalties:
-                        b = ridge(xx_all - xx_held, xy_all - xy_held, penalty)
-                        error = yy_held - 2.0 * np.sum(b * xy_held, axis=0) + np.sum(b * (xx_held @ b), axis=0)
-                        scores.append(float(error.sum()))
-                    best = penalties[int(np.argmin(scores))]
-                b = ridge(xx_all, xy_all, best)
-                head = frame.iloc[[0]][list(by)]
-                out.append(head.assign(chunk_id=np.int32(chunk), penalty=float(best), coefficients=[b.T.ravel().tolist()]))
-            if not out:
-                return pd.DataFrame(columns=[*by, "chunk_id", "penalty", "coefficients"])
-            return pd.concat(out, ignore_index=True)
-
-        sums = self.block_sums(design)
+            for chunk in found["chunks"].iloc[0]:
+                fit, whole = cut_list.index(chunk["fit_rows"]), cut_list.index(chunk["rows"])
+                n, mean, squares = merged[fit]
+                std = np.sqrt(squares / n)
+                std = np.where(std < STD_FLOOR, 1.0, std)
+                out.append((*head, int(chunk["chunk_id"]), upto[fit].tolist(), upto[whole].tolist(), mean.tolist(), std.tolist()))
+            return pd.DataFrame(out, columns=columns)
+
+        sums = self.segment_sums(placed)
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in by)
-        return sums.groupBy(*by).applyInPandas(solve, f"{schema}, chunk_id int, penalty double, coefficients array<double>")
+        kinds = "chunk_id int, fit array<double>, whole array<double>, mean array<double>, std array<double>"
+        refits = sums.groupBy(*by).cogroup(stats.groupBy(*by)).applyInPandas(running, f"{schema}, {kinds}")
+        offset = states.groupBy(*by).agg(F.array(*[F.avg(c) for c in self.feature_columns]).alias("offset"))
+        return refits.join(offset, by)
+
+    def _solver(self):
+        size, outputs, days = self.size, len(self.state_columns), self.history_days
+
+        def solve(fit: pd.Series, whole: pd.Series, mean: pd.Series, std: pd.Series, offset: pd.Series, penalty: pd.Series) -> pd.DataFrame:
+            import numpy as np
+
+            def parts(values, turn):
+                values = np.asarray(values, dtype=float)
+                xx, xy = values[: size * size].reshape(size, size), values[size * size : size * (size + outputs)].reshape(size, outputs)
+                return turn @ xx @ turn.T, turn @ xy, values[size * (size + outputs) :]
+
+            rows = []
+            for fit_, whole_, mean_, std_, offset_, penalty_ in zip(fit, whole, mean, std, offset, penalty):
+                # Rows of the turn give a normalized column as a combination of the raw ones.
+                centre = np.tile(np.asarray(mean_) - np.asarray(offset_), days)
+                spread = np.tile(np.asarray(std_), days)
+                turn = np.zeros((size, size))
+                turn[0, 0] = 1.0
+                turn[1:, 0] = -centre / spread
+                turn[np.arange(1, size), np.arange(1, size)] = 1.0 / spread
+                weights = np.full(size, penalty_)
+                weights[0] = 1e-9
+                (xx, xy, yy), (xx_all, xy_all, yy_all) = parts(fit_, turn), parts(whole_, turn)
+                b = np.linalg.solve(xx + np.diag(weights), xy)
+                xx_held, xy_held = xx_all - xx, xy_all - xy
+                error = (yy_all - yy) - 2.0 * (b * xy_held).sum(axis=0) + (b * (xx_held @ b)).sum(axis=0)
+                final = turn.T @ np.linalg.solve(xx_all + np.diag(weights), xy_all)
+                rows.append((float(error.sum()), final.T.ravel().tolist()))
+            return pd.DataFrame(rows, columns=["error", "coefficients"])
+
+        return F.pandas_udf(solve, "error double, coefficients array<double>")
+
+    def coefficients(self, bucketed: DataFrame, states: DataFrame, design: DataFrame) -> DataFrame:
+        """(panel, chunk): the chosen penalty and its coefficients for ``_x``, output by output."""
+        keys = [*self.by, "chunk_id"]
+        options = F.array(*[F.struct(F.lit(i).alias("_at"), F.lit(float(p)).alias("penalty")) for i, p in enumerate(self.penalties)])
+        tried = self.refit_sums(bucketed, states, design).select("*", F.inline(options))
+        tried = tried.repartition(parallelism(tried), *keys, "_at")
+        solved = tried.select(*keys, "_at", "penalty", self._solver()("fit", "whole", "mean", "std", "offset", "penalty").alias("s"))
+        best = F.min_by(F.struct("penalty", "s.coefficients"), F.struct("s.error", "_at"))
+        return solved.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.penalty", "b.coefficients")
 
     def fit_predict(self, bucketed: DataFrame, states: DataFrame) -> DataFrame:
         design = self.design_rows(bucketed, states)
-        fitted = self.coefficients(design)
-        size = self.history_days * len(self.feature_columns) + 1
+        fitted = self.coefficients(bucketed, states, design)
         rows = evaluated(design).join(fitted, [*self.by, "chunk_id"])
         rows = rows.withColumn("_design", F.concat(F.array(F.lit(1.0)), F.col("_x")))
-        predicted = linear_prediction(F.col("_design"), F.col("coefficients"), size, len(self.state_columns))
+        predicted = linear_prediction(F.col("_design"), F.col("coefficients"), self.size, len(self.state_columns))
         named = rows.select(*self.by, *ROW_KEY, *[p.alias(c) for p, c in zip(predicted, self.state_columns)])
         return as_forecasts(named, self.model_name, self.state_columns, self.by)
 

@@ -94,6 +94,48 @@ def direct_models():
     return [forecast.DirectHistory(FEATURES, STATE_COLUMNS, history_days=h) for h in (10, 22)]
 
 
+DIRECT_PENALTIES = (0.1, 1.0, 10.0, 100.0)
+
+# One-day windows of two features: normalized per refit, penalty by the refit's own holdout, closed form of two unknowns.
+DIRECT_SQL = "WITH" + SPLIT_SQL + f""",
+placed AS (
+  SELECT c.option_root, c.quote_date, c.target_date, c.chunk_id, o.state_z_000 AS f0, o.state_z_001 AS f1, t.state_z_000 AS y,
+    row_number() OVER (PARTITION BY c.option_root ORDER BY c.quote_date) - 1 AS pos
+  FROM chunked c JOIN state o ON o.option_root = c.option_root AND o.state_row_index = c.history_end_index
+  JOIN state t ON t.option_root = c.option_root AND t.state_row_index = c.target_state_row_index),
+refits AS (
+  SELECT option_root, chunk_id, rows, rows - greatest(1, rows // 10) AS fit_rows
+  FROM (SELECT option_root, chunk_id, min(pos) AS rows FROM placed WHERE chunk_id >= 0 GROUP BY 1, 2)),
+stats AS (
+  SELECT r.*, avg(f0) AS m0, avg(f1) AS m1, stddev_pop(f0) AS s0, stddev_pop(f1) AS s1
+  FROM refits r JOIN placed p ON p.option_root = r.option_root AND p.pos < r.fit_rows GROUP BY ALL),
+rows_of AS (
+  SELECT s.*, pos < fit_rows AS fits, (f0 - m0)/s0 AS a, (f1 - m1)/s1 AS b, y
+  FROM stats s JOIN placed p ON p.option_root = s.option_root AND p.pos < s.rows),
+sums AS (
+  SELECT option_root, chunk_id, any_value(m0) AS m0, any_value(m1) AS m1, any_value(s0) AS s0, any_value(s1) AS s1, penalty, whole,
+    count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, sum(a*a) - count(*)*avg(a)*avg(a) + penalty AS aa, sum(b*b) - count(*)*avg(b)*avg(b) + penalty AS bb,
+    sum(a*b) - count(*)*avg(a)*avg(b) AS ab, sum(a*y) - count(*)*avg(a)*avg(y) AS ay, sum(b*y) - count(*)*avg(b)*avg(y) AS by_
+  FROM rows_of CROSS JOIN (VALUES {", ".join(f"(CAST({p} AS DOUBLE))" for p in DIRECT_PENALTIES)}) v(penalty) CROSS JOIN (VALUES (true), (false)) w(whole)
+  WHERE whole OR fits GROUP BY option_root, chunk_id, penalty, whole),
+lines AS (SELECT *, (bb*ay - ab*by_)/(aa*bb - ab*ab) AS ba, (aa*by_ - ab*ay)/(aa*bb - ab*ab) AS bb_ FROM sums),
+tried AS (
+  SELECT l.option_root, l.chunk_id, l.penalty, sum(pow(y - my - ba*(a - ma) - bb_*(b - mb), 2)) AS error
+  FROM lines l JOIN rows_of r ON r.option_root = l.option_root AND r.chunk_id = l.chunk_id AND NOT r.fits WHERE NOT whole GROUP BY 1, 2, 3),
+chosen AS (SELECT option_root, chunk_id, first(penalty ORDER BY error, penalty) AS penalty FROM tried GROUP BY 1, 2)
+SELECT 'direct_history' AS model_name, p.option_root, p.quote_date AS forecast_origin, p.target_date, p.chunk_id,
+  round(my + ba*((f0 - m0)/s0 - ma) + bb_*((f1 - m1)/s1 - mb), 5) AS state_z_000
+FROM placed p JOIN chosen USING (option_root, chunk_id) JOIN lines l ON l.option_root = p.option_root AND l.chunk_id = p.chunk_id
+  AND l.penalty = chosen.penalty AND l.whole"""
+
+
+@register("direct_two_features", "FCT3 AGG27", DIRECT_SQL)
+def direct_two_features(spark, sf_dir):
+    """Ridge forecasts of one state from one-day windows of both, with every refit's own statistics, holdout and penalty."""
+    model = forecast.DirectHistory(STATE_COLUMNS, ONE, 1, DIRECT_PENALTIES)
+    return rounded(model.fit_predict(cut_lineage(daily_chunks(spark, sf_dir)), cut_lineage(daily_states(spark, sf_dir))), 5, *ONE)
+
+
 @register("direct_forecasts", "FCT3 WIN6 AGG27")
 def direct_forecasts(spark, sf_dir):
     """Ridge forecasts from normalized ten-day windows of the two states and nine scalar features."""
