@@ -108,6 +108,15 @@ def test_mixture_edges(spark):
     )
 
 
+def test_draw_keeps_rows_that_differ_elsewhere(spark):
+    """Rows equal in id, source and text, but not in another column, are drawn each; whole copies as often as they are."""
+    schema = "doc_id long, text string, source string, extra string, tags map<string, int>"
+    rows = [(1, "a b c", "s", f"x{i}", {"k": i}) for i in range(3)] + [(2, "d", "s", "y", None)] * 4 + [(None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, schema)
+    back = [tuple(r) for r in mixing.draw(docs, entropy_share=None, max_repeats=None).collect()]
+    assert sorted(back, key=str) == sorted(rows, key=str)
+
+
 def best_fit_plainly(sizes, lengths, cost):
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bins, where = [], {}

@@ -62,12 +62,32 @@ def test_vector_edges(spark):
     assert set(got) == {0, 100, 200, 300, 2000, 2100}
     assert got[100] == list(range(101, 111)) and got[200] == list(range(100, 110))
     assert (got[2000], got[2100]) == ([2100], [2000])
-    usable = {i: np.float32(v) for i, v in copies + own}
-    assert got[0] == [i for _, i in brute(usable, [0])[0]]
+    # The repeated row of id 0 is a candidate and a query of its own, so both rows get the same answer.
+    target = np.float32(own[0][1]).astype(np.float64)
+    others = [(i, np.float32(v).astype(np.float64)) for i, v in copies + own[1:] + own[:3]]
+    want = sorted((float(np.sqrt(((v - target) ** 2).sum())), i) for i, v in others)[:10]
+    assert got[0] == [i for _, i in want for _ in range(2)] and want[0] == (0.0, 0)
     empty = spark.createDataFrame([], VECTORS)
     assert vector_graph.nearest_neighbours(empty, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("query_rows", [1, 20_000])
+def test_repeated_ids_keep_their_vectors(spark, query_rows):
+    rng = np.random.default_rng(2)
+    rows = [(i % 40, rng.normal(size=4).tolist(), "x", 7) for i in range(120)]
+    given = vector_graph.usable(spark.createDataFrame(rows, VECTORS), "vec_id", "embedding")
+    settings = vector_graph.Settings(shard_rows=50)
+    found = vector_graph.search(vector_graph.build_index(given, settings), given.where("vec_id % 20 = 0"), 10, settings, query_rows)
+    points = [(i, np.float32(v).astype(np.float64)) for i, v, *_ in rows]
+    want = []
+    for at, (q, target) in enumerate(points):
+        if q % 20 == 0:
+            near = sorted((float(np.sqrt(((v - target) ** 2).sum())), i) for k, (i, v) in enumerate(points) if k != at)[:10]
+            want += [(q, rank + 1, i) for rank, (_, i) in enumerate(near)]
+    assert len(want) == 60
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == sorted(want)
+
+
 def pages():
     big, other = "<p>é" + "x" * 1200, "y" * 1000
     return [

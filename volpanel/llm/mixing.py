@@ -156,7 +156,8 @@ def temperature_mixture(
         visits, placed["source"].eqNullSafe(visits["v_source"]) & (placed["block"] == visits["v_block"])
     )
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    in_block = Window.partitionBy("source", "epoch", "block").orderBy(order, "n_tokens")
+    ties = ["n_tokens"] if mark is None else ["n_tokens", "mark"]
+    in_block = Window.partitionBy("source", "epoch", "block").orderBy(order, *ties)
     upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         drawn.withColumn("slot", F.row_number().over(in_block))
@@ -172,9 +173,12 @@ def temperature_mixture(
 def draw(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **settings) -> DataFrame:
     """Rows of ``docs`` with all their columns, each as often as the mixture draws it.
 
-    Rows equal in id, source and text are interchangeable: one of them stands for all.
+    Rows that differ in any column are drawn as rows of their own, also where id, source and text are equal; rows equal in
+    all columns are interchangeable, so one of them stands for all of their draws.
     """
-    mark = F.xxhash64(text)
+    # Maps can't be hashed; their text can.
+    columns = [(F.col(f"`{f.name}`"), "map<" in f.dataType.simpleString()) for f in docs.schema.fields]
+    mark = F.xxhash64(*[F.to_json(F.struct(c)) if has_map else c for c, has_map in columns])
     drawn = temperature_mixture(docs, doc_id, source, text, mark=mark, **settings)
     times = stage(
         drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark")).agg(

@@ -6,12 +6,12 @@ only if no kept neighbour is much closer to the far end (by the factor ``relax``
 pruned alike when they overflow. A query is searched in every shard by beam search and
 the shards' answers are merged. Every vector is indexed. The scores are exact distances on the original vectors.
 
-Queries are compared with shards in blocks (queries x shards), so work grows with the stated number of queries.
+Queries meet the shards in blocks of bounded size (queries x shards), so work grows with the stated number of queries.
 
 Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor
 does a query meet vectors of another dimension; of equal vectors the smallest ids win; a query never finds its own
-row, but finds copies of it; rows that repeat an id are one row; an empty table gives no rows; extra columns are
-ignored.
+row, but finds copies of it; rows that repeat an id are rows of their own, as candidates and as queries, and are answered under
+the same id; vectors of any length are compared whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from volpanel.llm.tables import stage, tasks
 
-INDEX_SCHEMA = "dim int, shard bigint, vec_id bigint, vector binary, node int, neighbours binary"
+INDEX_SCHEMA = "dim int, shard bigint, row bigint, vec_id bigint, vector binary, node int, neighbours binary"
+#: Queries that one task compares with a shard, and those it advances together.
+QUERY_ROWS, TOGETHER = 20_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -40,12 +42,13 @@ class Settings:
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id, vector (doubles), dim of the vectors that take part, one row per id."""
+    """row (a number of its own), vec_id, vector (doubles), dim of the vectors that take part; written once, so that numbers stay."""
     given = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     some = F.exists("vector", lambda x: x != 0)
     kept = given.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(finite & some)
-    return kept.dropDuplicates(["vec_id"]).withColumn("dim", F.size("vector"))
+    numbered = kept.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()})
+    return stage(numbered.select("row", "vec_id", "dim", "vector"), "graph-vectors")
 
 
 def _distances(points: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -148,13 +151,14 @@ def build_graph(points: np.ndarray, settings: Settings) -> tuple[np.ndarray, int
 
 
 def build_index(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Graph index of usable vectors (vec_id, vector, dim): one row per vector with its node and edges."""
-    rows = stage(vectors.select("vec_id", "dim", "vector"), "graph-vectors")
+    """Graph index of ``usable`` vectors: one row per vector with its node and edges."""
+    rows = vectors.select("row", "vec_id", "dim", "vector")
     counts = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / settings.shard_rows)).alias("shards"))
-    dealt = rows.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("bigint"))
+    # By id and row, as one id may have many rows.
+    dealt = rows.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "row"), F.col("shards")).cast("bigint"))
 
     def graph(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("vec_id")
+        shard = shard.sort_values(["vec_id", "row"])
         full = np.stack(shard["vector"].to_numpy()).astype(np.float64)
         points, first, node = np.unique(full, axis=0, return_index=True, return_inverse=True)
         edges, entry = build_graph(points, settings)
@@ -167,6 +171,7 @@ def build_index(vectors: DataFrame, settings: Settings = Settings()) -> DataFram
             {
                 "dim": shard["dim"].to_numpy(),
                 "shard": shard["shard"].to_numpy(),
+                "row": shard["row"].to_numpy(),
                 "vec_id": shard["vec_id"].to_numpy(),
                 "vector": [v.tobytes() for v in full],
                 "node": swap[node].astype(np.int32),
@@ -175,51 +180,62 @@ def build_index(vectors: DataFrame, settings: Settings = Settings()) -> DataFram
         )
 
     # A stated number of partitions: building a graph is work, whatever the few bytes of its vectors suggest.
-    shards = dealt.select("dim", "shard", "vec_id", "vector").repartition(tasks(rows.sparkSession), "dim", "shard")
+    shards = dealt.select("dim", "shard", "row", "vec_id", "vector").repartition(tasks(rows.sparkSession), "dim", "shard")
     return stage(shards.groupBy("dim", "shard").applyInPandas(graph, INDEX_SCHEMA), "graph-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, settings: Settings = Settings()) -> DataFrame:
-    """The ``k`` nearest found per query (vec_id, vector, dim): query_id, rank, vec_id, score."""
+def search(index: DataFrame, queries: DataFrame, k: int = 10, settings: Settings = Settings(), query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The ``k`` nearest found per query (row, vec_id, vector, dim): query_id, rank, vec_id, score."""
+    blocks = max(1, -(-queries.count() // query_rows))
     shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("in_shard")).distinct()
-    asked = queries.select(F.col("vec_id").alias("query_id"), "dim", F.col("vector").alias("target")).join(shards, "dim")
+    asked = queries.select(
+        F.col("row").alias("query_row"),
+        F.col("vec_id").alias("query_id"),
+        "dim",
+        F.col("vector").alias("target"),
+        F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).cast("int").alias("in_block"),
+    ).join(shards, "dim")
+    parts = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
 
     def look(asked_: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
         if asked_.empty or part.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        part = part.sort_values(["node", "vec_id"])
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_row", "int64"), ("query_id", "int64"), ("vec_id", "int64"), ("score", "float64"))})
+        part = part.sort_values(["node", "vec_id", "row"])
         nodes, start = np.unique(part["node"].to_numpy(), return_index=True)
         stop = np.append(start[1:], len(part))
         points = np.stack([np.frombuffer(v) for v in part["vector"].iloc[start]])
         edges = np.stack([np.frombuffer(v, np.int32) for v in part["neighbours"].iloc[start]]).astype(np.int64)
-        members = part["vec_id"].to_numpy()
-        targets = np.stack(asked_["target"].to_numpy()).astype(np.float64)
-        found, _ = beam_search(points, edges, 0, targets, max(settings.width, k + 1))
+        members, rows = part["vec_id"].to_numpy(), part["row"].to_numpy()
         out = []
-        for query_id, target, met in zip(asked_["query_id"], targets, found):
-            met = met[met >= 0]
-            gap = points[met] - target
-            score = np.sqrt(np.einsum("md,md->m", gap, gap))
-            for node, value in zip(met, score):
-                ids = members[start[node] : stop[node]]
-                # Among equal vectors only the smallest ids can be in the answer.
-                out += [(query_id, i, value) for i in ids[ids != query_id][:k].tolist()]
-        return pd.DataFrame(_nearest(out, k), columns=columns)
+        for at in range(0, len(asked_), TOGETHER):
+            some = asked_.iloc[at : at + TOGETHER]
+            targets = np.stack(some["target"].to_numpy()).astype(np.float64)
+            found, _ = beam_search(points, edges, 0, targets, max(settings.width, k + 1))
+            for query_row, target, met in zip(some["query_row"], targets, found):
+                met = met[met >= 0]
+                gap = points[met] - target
+                score = np.sqrt(np.einsum("md,md->m", gap, gap))
+                for node, value in zip(met, score):
+                    ids = members[start[node] : stop[node]][rows[start[node] : stop[node]] != query_row]
+                    # Among equal vectors only the smallest ids can be in the answer.
+                    out += [(query_row, value, i) for i in ids[:k].tolist()]
+        best = pd.DataFrame(_nearest(out, k), columns=["query_row", "score", "vec_id"])
+        best["query_id"] = best["query_row"].map(dict(zip(asked_["query_row"], asked_["query_id"])))
+        return best[["query_row", "query_id", "vec_id", "score"]]
 
     answers = (
-        asked.groupBy("dim", "in_shard")
-        .cogroup(index.groupBy("dim", "shard"))
-        .applyInPandas(look, "query_id bigint, vec_id bigint, score double")
+        asked.groupBy("dim", "in_shard", "in_block")
+        .cogroup(parts.groupBy("dim", "shard", "block"))
+        .applyInPandas(look, "query_row bigint, query_id bigint, vec_id bigint, score double")
     )
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _nearest(rows: list[tuple[int, int, float]], k: int) -> list[tuple[int, int, float]]:
-    """The ``k`` best rows per query, ties to the smaller id."""
+def _nearest(rows: list[tuple[int, float, int]], k: int) -> list[tuple[int, float, int]]:
+    """The ``k`` best (query row, score, id) per query, ties to the smaller id."""
     best, last, taken = [], None, 0
-    for row in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+    for row in sorted(rows):
         taken = taken + 1 if row[0] == last else 1
         last = row[0]
         if taken <= k:
