@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from volpanel.plans.adapters import QUALITY_SQL, QUOTES_SQL, UNDERLYING, quote_columns, quotes
 from volpanel.plans.registry import register
 from volpanel.plans.shape import joined, rounded
-from volpanel.session import scratch_path
+from volpanel.session import scratch_path, set_times_by_name
 from volpanel.sources import archive_source, partitions, vendor
 from volpanel.streaming import ingest
 from volpanel.streaming import nodes as stream
@@ -76,15 +76,21 @@ unique_quotes AS (SELECT DISTINCT l_orderkey, l_linenumber, quote_date, root, ex
 """
 
 
+#: Files of the quote stream, and files that a micro-batch takes.
+ARRIVALS, PER_BATCH = 32, 4
+
+
 def quote_stream(spark, sf_dir):
-    """The quotes as a stream of one file per year in order of arrival, every row sent twice."""
+    """The quotes as a stream of files in order of their dates, every row sent twice.
+
+    One range-partitioned write; files then get times in that order, as a file stream takes the oldest first. Rows
+    without a date come first, but have no day to be a node of.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     arrivals = scratch_path(spark, "arrivals")
-    year = F.year("l_shipdate")
-    first, last = lines.select(F.min(year), F.max(year)).first()
-    for y in range(first, last + 1):
-        lines.where(year == y).coalesce(1).write.mode("append").parquet(arrivals)
-    raw = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    lines.repartitionByRange(ARRIVALS, "l_shipdate").write.parquet(arrivals)
+    set_times_by_name(spark, arrivals)
+    raw = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", PER_BATCH).parquet(arrivals)
     date = F.to_date("l_shipdate")
     rows = raw.select(
         F.timestamp_seconds(F.unix_date(date) * F.lit(86400)).alias("quote_ts"),
@@ -107,9 +113,13 @@ def streamed_nodes(spark, sf_dir):
     key = tuple(c for c in source.columns if c != "quote_ts")
     nodes = stream.streaming_nodes(source, "quote_ts", ("quote_ts", *key), "7 days")
     out, compacted = scratch_path(spark, "nodes"), scratch_path(spark, "compacted")
-    query = stream.start_node_sink(nodes, out, scratch_path(spark, "offsets"))
-    query.awaitTermination()
-    stream.require_no_late_rows(query)
+    late = stream.LateRows(spark)
+    try:
+        query = stream.start_node_sink(nodes, out, scratch_path(spark, "offsets"))
+        query.awaitTermination()
+        late.require_none(query)
+    finally:
+        late.close()
     stream.compact_versions(spark, out, compacted)
     return stream.latest_nodes(spark.read.parquet(compacted))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 NODE_GROUP = ("root", "expiration", "strike")
 
@@ -46,16 +48,54 @@ def start_node_sink(nodes: DataFrame, out: str, checkpoint: str) -> StreamingQue
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that arrived behind the watermark and were left out, over the recorded progress of a query."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries left out because they arrived behind the watermark, over every progress event.
+
+    ``recentProgress`` of a query forgets all but its newest events; a listener started before the query sees each of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._counts: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+        spark.streams.addListener(self)
+        self._spark = spark
+
+    def _end_of(self, run: str) -> threading.Event:
+        with self._lock:
+            return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        with self._lock:
+            run = str(event.progress.runId)
+            self._counts[run] = self._counts.get(run, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        self._end_of(str(event.runId)).set()
+
+    def of(self, query: StreamingQuery, wait: float = 60.0) -> int:
+        """Late rows of a query that has ended. Events come in order, so all of its progress is in when its end is."""
+        run = str(query.runId)
+        if not self._end_of(run).wait(wait):
+            raise TimeoutError("the end of the query was not reported")
+        with self._lock:
+            return self._counts.get(run, 0)
 
+    def require_none(self, query: StreamingQuery) -> None:
+        """Raise if an ended query left out late rows; they have to be brought again with a longer delay."""
+        late = self.of(query)
+        if late:
+            raise ValueError(f"{late} quotes arrived behind the watermark")
 
-def require_no_late_rows(query: StreamingQuery) -> None:
-    """Raise if a finished query left out late rows; they have to be brought again with a longer delay."""
-    late = late_rows(query)
-    if late:
-        raise ValueError(f"{late} quotes arrived behind the watermark")
+    def close(self) -> None:
+        self._spark.streams.removeListener(self)
 
 
 def compact_versions(spark: SparkSession, out: str, compacted: str, key: tuple[str, ...] = ("quote_date", *NODE_GROUP)) -> None:
