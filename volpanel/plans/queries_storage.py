@@ -10,7 +10,7 @@ from volpanel.plans.adapters import QUALITY_SQL, QUOTES_SQL, UNDERLYING, quote_c
 from volpanel.plans.registry import register
 from volpanel.plans.shape import joined, rounded
 from volpanel.session import scratch_path, set_times_by_name
-from volpanel.sources import archive_source, partitions, vendor
+from volpanel.sources import archive_source, partitions, snapshots, vendor
 from volpanel.streaming import ingest
 from volpanel.streaming import nodes as stream
 
@@ -58,6 +58,28 @@ def partition_index(spark, sf_dir):
     return partitions.partition_index(monthly_dataset(spark, sf_dir)).select("quote_date", "year", "row_count")
 
 
+@register(
+    "committed_dates",
+    "SNK1 SNK2 SRC7",
+    "WITH" + QUOTES_SQL + f""", monthly AS (SELECT * REPLACE ({MONTH_SQL} AS quote_date) FROM quotes)
+SELECT quote_date, root, CAST(count(*) AS BIGINT) AS rows, round(sum(bid_1545), 6) AS bid_total FROM monthly
+WHERE year(quote_date) <> 1996 OR root <> 'R' GROUP BY 1, 2""",
+)
+def committed_dates(spark, sf_dir):
+    """Months committed in two steps and one year of them replaced; a third writer stops before its commit and leaves no trace."""
+    path = scratch_path(spark, "snapshots")
+    rows = quotes(spark, sf_dir).withColumn("quote_date", F.trunc("quote_date", "month"))
+    early = F.year("quote_date") < 1996
+    snapshots.commit(rows.where(early), path)
+    snapshots.commit(rows.where(~early), path)
+    snapshots.commit(rows.where((F.year("quote_date") == 1996) & (F.col("root") != "R")), path)
+    snapshots.stage_rows(rows.where("root = 'A'"), path)
+    totals = snapshots.load(spark, path, verify=True).groupBy("quote_date", "root").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("bid_1545").alias("bid_total")
+    )
+    return rounded(totals, 6, "bid_total")
+
+
 @register(
     "result_files",
     "SNK4",

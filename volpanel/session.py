@@ -6,6 +6,7 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -74,6 +75,47 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    system, location = _file_system(spark, path)
+    return [str(f.getPath().getName()) for f in system.listStatus(location)] if system.exists(location) else []
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that does not exist yet, at once with its content; False if it does.
+
+    The content is written aside and moved into place by a rename that must not replace.
+    """
+    jvm = spark.sparkContext._jvm
+    system, location = _file_system(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = system.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(aside, location, options)
+        return True
+    except Py4JJavaError as failed:
+        system.delete(aside, False)
+        if "FileAlreadyExistsException" in str(failed.java_exception.toString()):
+            return False
+        raise
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """Content of a small file."""
+    system, location = _file_system(spark, path)
+    size = system.getFileStatus(location).getLen()
+    stream = system.open(location)
+    try:
+        return "".join(chr(stream.read()) for _ in range(size))
+    finally:
+        stream.close()
+
+
 def set_times_by_name(spark: SparkSession, path: str) -> None:
     """Give the files of a scratch folder modification times a second apart, in the order of their names."""
     if not path.startswith(shared_dir(spark).rstrip("/") + "/"):
