@@ -179,11 +179,12 @@ def _block_moments():
 def refit_cuts(bucketed: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Per panel: ``chunks`` (chunk, training rows, rows before the holdout) and ``cuts``, all these row counts in order.
 
-    A refit trains on the first rows of its panel by date; its holdout is the last tenth of them.
+    A refit trains on the first rows of its panel by date; its holdout is the last tenth of them. A chunk with nothing before it
+    has no refit, and so no forecasts (``calendar.chronology_violations`` reports it).
     """
     counts = bucketed.groupBy(*by, "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = counts.withColumn("rows", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("chunk_id") != PRIOR_BUCKET)
+    sized = counts.withColumn("rows", F.coalesce(F.sum("_n").over(before), F.lit(0))).where((F.col("chunk_id") != PRIOR_BUCKET) & (F.col("rows") > 0))
     enough = F.when(F.col("rows") >= MIN_TRAINING, F.col("rows")).otherwise(
         F.raise_error(F.concat(F.lit(f"a refit needs {MIN_TRAINING} training rows, found "), F.col("rows").cast("string"))).cast("bigint")
     )

@@ -14,6 +14,8 @@ from volpanel.session import cut_lineage
 
 MIN_PAIRS = 3
 MAD_MULTIPLE = 5.0
+#: Weighted squared spread, relative to the squared mean, below which all x are equal.
+SAME_X = 1e-28
 
 
 def strike_pairs(df: DataFrame, key: tuple[str, ...] = EXPIRY_KEY, strike: str = "strike") -> DataFrame:
@@ -58,8 +60,12 @@ def with_means(sums: DataFrame) -> DataFrame:
 
 
 def line_from_moments() -> tuple[Column, Column]:
-    """Intercept and slope from means and co-moments; null where the system is singular."""
-    slope = F.try_divide("cxy", "cxx")
+    """Intercept and slope from means and co-moments; null where the system is singular.
+
+    A spread within the rounding of the mean is none: deviations from it are not exactly zero where all x are equal.
+    """
+    spread = F.col("cxx") > F.lit(SAME_X) * F.col("s") * F.col("mx") * F.col("mx")
+    slope = F.when(spread, F.try_divide("cxy", "cxx"))
     return F.col("my") - slope * F.col("mx"), slope
 
 
@@ -84,14 +90,26 @@ def group_line(rows: DataFrame, key: list[str], x: str, y: str, w: str) -> DataF
 
 
 def weighted_line_fit(df: DataFrame, key: tuple[str, ...], x: str, y: str, w: str) -> DataFrame:
-    """Weighted least squares y = intercept + slope * x per group."""
-    keys = list(key)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    intercept, slope = line_from_moments()
-    fitted = group_line(df.select(*keys, x, y, w), keys, x, y, w)
-    same = [F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in keys]
-    return counts.alias("_a").join(fitted.alias("_b"), same).select(
-        "_a.*", intercept.alias("intercept"), slope.alias("slope")
+    """Weighted least squares y = intercept + slope * x per group, as one aggregation of plain sums.
+
+    Where the order of rows must not show, or x lies far from zero, ``group_line`` is the way.
+    """
+    weight, weighted = F.col(w), F.col(w) * F.col(x)
+    sums = df.groupBy(*key).agg(
+        F.sum(weight).alias("s"),
+        F.sum(weighted).alias("sx"),
+        F.sum(weight * F.col(y)).alias("sy"),
+        F.sum(weighted * F.col(x)).alias("sxx"),
+        F.sum(weighted * F.col(y)).alias("sxy"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    s, sx, sy, sxx, sxy = [F.col(c) for c in ("s", "sx", "sy", "sxx", "sxy")]
+    determinant = s * sxx - sx * sx
+    return sums.select(
+        *key,
+        "n",
+        F.try_divide(sxx * sy - sx * sxy, determinant).alias("intercept"),
+        F.try_divide(s * sxy - sx * sy, determinant).alias("slope"),
     )
 
 

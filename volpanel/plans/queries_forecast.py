@@ -183,7 +183,7 @@ won AS (SELECT option_root, first(candidate_id ORDER BY loss, candidate_id) AS c
 SELECT 'state_var1' AS model_name, option_root, candidate_id, quote_date AS forecast_origin, target_date, chunk_id, round(z, 6) AS state_z_000
 FROM test_tried JOIN won USING (option_root, candidate_id)
 UNION ALL
-SELECT 'state_last', option_root, 'only', quote_date, target_date, chunk_id, round(x, 6) FROM test_tried WHERE candidate_id = 'penalty=0'"""
+SELECT 'state_last', option_root, 'only', quote_date, target_date, chunk_id, round(x, 6) FROM test_pairs WHERE split_label = 'test'"""
 
 
 @register("tuned_backtest", "FCT5 FCT6 FCT2", TUNED_SQL)
