@@ -99,7 +99,7 @@ unique_quotes AS (SELECT DISTINCT l_orderkey, l_linenumber, quote_date, root, ex
 
 
 #: Files of the quote stream, and files that a micro-batch takes.
-ARRIVALS, PER_BATCH = 32, 4
+ARRIVALS, PER_BATCH = 32, 8
 
 
 def quote_stream(spark, sf_dir):
