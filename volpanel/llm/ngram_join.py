@@ -3,7 +3,8 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold. Shingles have one global
 order, the ones that many documents share last; two sets can only link if their prefixes in this order meet.
 
-1. Equal sets are one node. Nodes with equal prefixes and size are one group; joins run over groups.
+1. Equal sets are one node. Nodes with equal prefixes and size are one group, named by its smallest node, the pivot;
+   joins run over groups. Prefix shingles under which no two groups have sizes near enough to link are left out.
 2. Stars: every group, and every list of groups under one of the first few prefix shingles, is compared with its
    smallest member. This is linear and joins most near copies into components.
 3. Hubs: under each prefix shingle, every group outside the most frequent component is compared with a few members
@@ -15,11 +16,12 @@ Pairs inside a component need no comparison, so components are exact while a gro
 costs a few comparisons per member. Every comparison is an exact count of common shingles.
 
 The order comes from counts over all documents: shingles that recur within a batch of rows, summed, of which
-the ``HOT`` most frequent are shared with the tasks. All others follow by hash; any order gives the same links.
+at most the ``HOT`` most frequent are shared with the tasks. All others follow by hash; any order gives the same links.
 
 Defined cases: null, empty or blank text has no shingles and links with nothing; with fewer words than a
 shingle the whole sequence is one; equal rows are one node; a null id is a row of its own kind and never names a
-component unless all its rows are null; an empty table gives no rows; extra columns are ignored.
+component unless all its rows are null; an empty table gives no rows; extra columns are ignored; a very long text is
+hashed in pieces that end between words, and is one set like any other.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from volpanel.llm.components import connected_components
 from volpanel.llm.shingles import fingerprint, shingle_set
-from volpanel.llm.tables import in_slots, likely, map_batches, slot_bitmap, slot_of, stage
+from volpanel.llm.tables import SLOTS, Scratch, in_slots, likely, map_batches, slot_bitmap, slot_of, stage
 
-#: Shingles whose frequency is shared with every task: 16 bytes each.
-HOT = 1 << 16
+#: Most shingles whose frequency is shared with every task: 16 bytes each.
+HOT = 1 << 18
 #: Shingles that are counted in one go, a bound on a task's memory.
 COUNTED_AT_ONCE = 1 << 21
 #: Rows that a task turns into sets at a time.
@@ -48,6 +50,10 @@ ROWS_AT_ONCE = 500
 STARS = 4
 #: Members of the most frequent component that the others are compared with in a round, and rounds at most.
 HUBS, HUB_ROUNDS = 2, 4
+#: A round of hubs is the last one if it joins less than this share of the postings it looked at.
+HUB_SHARE = 0.01
+#: Postings of a shingle that are joined with all others of it in one task.
+BLOCK = 512
 #: Groups of one component under a shingle that make it a hub.
 HUB_GROUPS = 8
 #: Bits of a set's parity sketch, and of the folded one that travels with prefix shingles.
@@ -87,7 +93,10 @@ def may_link(m: np.ndarray, n: np.ndarray, x: list[bytes], y: list[bytes], join:
 
 
 def frequent_shingles(docs: DataFrame, text: str, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and their counts, sorted by shingle."""
+    """At most the ``HOT`` most frequent shingles and their counts, sorted by shingle.
+
+    A histogram over levels of an eighth of a doubling tells the level from which on they are few enough.
+    """
 
     def counts_of(sets: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -112,7 +121,18 @@ def frequent_shingles(docs: DataFrame, text: str, join: Join) -> tuple[np.ndarra
                 yield counts_of(sets)
 
     counted = docs.select(text).mapInArrow(repeated, "shingle bigint, n bigint")
-    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT).toPandas()
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.stage(counted.groupBy("shingle").agg(F.sum("n").alias("n")), "join-counts")
+    level = F.floor(F.log2("n") * 8)
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect()
+    held, least = 0, None
+    for row in sorted(levels, reverse=True):
+        held += row["c"]
+        if held > HOT:
+            break
+        least = row["level"]
+    top = counts.where(level >= F.lit(least)).toPandas() if least is not None else counts.limit(0).toPandas()
+    scratch.drop()
     shingles = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], top["n"].to_numpy(dtype=np.int64)[order]
@@ -128,7 +148,7 @@ def _ordered(found: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
-    """Per row: doc_id, set size, node (name of the set), group (name of prefix and size), prefix."""
+    """Per row, staged: doc_id, set size, node (name of the set), group (name of prefix and size), prefix."""
     hot, counts = frequent_shingles(docs, text, join)
     shared = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
@@ -167,52 +187,68 @@ def signatures(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    signed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         sign, f"doc_id {kind}, n bigint, node binary, prefix_name binary, parity binary, fold array<bigint>, prefix array<bigint>"
     )
+    signed = stage(signed, "join-signed")
+    shared.destroy()
+    return signed
+
+
+def _bit(place: Column) -> Column:
+    """A word of 64 bits with the one at ``place``."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))
 
 
 class _Run:
-    """One join: the tables of nodes and groups, and the components found so far."""
+    """One join: the tables of nodes and groups, and the components found so far.
+
+    Nodes go by numbers (``nid``), groups by the number of their pivot (``gid``), components by that of their smallest node.
+    """
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, join: Join):
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         self.join = join
-        self.signed = stage(signatures(docs, doc_id, text, join), "join-signed")
-        filled = self.signed.where("n > 0")
-        groups = filled.groupBy("prefix_name").agg(
-            F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("node", "fold")).alias("top")
-        ).select("prefix_name", "n", "prefix", F.col("top.node").alias("pivot"), F.col("top.fold").alias("fold"))
-        self.groups = stage(groups.withColumn("gid", F.monotonically_increasing_id()), "join-groups")
-        nodes = filled.groupBy("node", "prefix_name", "n", "parity").agg(F.min("doc_id").alias("doc"))
-        named = nodes.join(self.groups.select("prefix_name", "gid", "pivot"), "prefix_name")
-        self.nodes = stage(named.select("node", "gid", "pivot", "n", "doc", "parity"), "join-nodes")
+        self.scratch = Scratch(docs.sparkSession)
+        self.signed = signatures(docs, doc_id, text, join)
+        columns = ("prefix_name", "n", "parity", "fold", "prefix")
+        sets = self.signed.where("n > 0").groupBy("node").agg(
+            F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in columns]
+        )
+        # Numbers are fixed by being written.
+        self.known = self.scratch.stage(sets.withColumn("nid", F.monotonically_increasing_id()), "join-known")
+        pivots = self.known.groupBy("prefix_name").agg(F.min("nid").alias("gid"))
+        named = self.known.select("nid", "node", "n", "doc", "prefix_name").join(pivots, "prefix_name").drop("prefix_name")
+        self.nodes = self.scratch.stage(named, "join-nodes")
+        others = self.scratch.stage(self.nodes.where("nid <> gid").select("nid"), "join-others")
+        # Wide rows need not move where few groups have several nodes.
+        self.groups = self.known.join(others, "nid", "left_anti").select(F.col("nid").alias("gid"), "n", "fold", "prefix")
         self.components: DataFrame | None = None
         self.tested: DataFrame | None = None
 
     def labelled(self) -> DataFrame:
         """Nodes with the component they are in so far."""
         if self.components is None:
-            return self.nodes.withColumn("component", F.col("node"))
-        found = self.components.withColumnRenamed("component", "_c")
-        return self.nodes.join(found, "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
+            return self.nodes.withColumn("component", F.col("nid"))
+        found = self.components.select(F.col("node").alias("nid"), F.col("component").alias("_c"))
+        return self.nodes.join(found, "nid", "left").withColumn("component", F.coalesce("_c", "nid")).drop("_c")
 
-    def verify(self, pairs: DataFrame) -> tuple[int, int]:
+    def verify(self, pairs: DataFrame) -> int:
         """Compare pairs of nodes (a, b) with a < b that were not compared before, and join those that link.
 
-        Returns the number of pairs compared, and of links between components that were apart.
+        Returns the number of links between components that were apart.
         """
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stage(self._likely_pairs(pairs), "join-pairs")
-        compared = pairs.count()
-        if not compared:
-            return 0, 0
+        pairs = self.scratch.stage(self._likely_pairs(pairs), "join-pairs")
+        if pairs.isEmpty():
+            return 0
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = slot_bitmap(self.nodes.join(ends, "node").select("doc"), "doc")
-        shared = self.docs.sparkSession.sparkContext.broadcast(wanted)
+        used = Scratch(self.docs.sparkSession)
+        ends = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+        ends = used.stage(self.nodes.join(ends, "nid").select("nid", "node", "doc"), "join-ends")
+        shared = self.docs.sparkSession.sparkContext.broadcast(slot_bitmap(ends, "doc"))
         k = self.join.words
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +262,9 @@ class _Run:
 
         # One Python step per task: screen the texts and turn what is left into sets.
         have = self.docs.select("text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(sets, "node binary, shingles binary")
-        have = stage(have.groupBy("node").agg(F.first("shingles").alias("shingles")), "join-sets")
+        have = have.join(ends.select("node", "nid"), "node").groupBy("nid").agg(F.first("shingles").alias("shingles"))
+        have = used.stage(have, "join-sets")
+        shared.destroy()
         num, den = self.join.num, self.join.den
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,35 +276,33 @@ class _Run:
                     linked.append(den * common >= num * (len(x) + len(y) - common))
                 yield batch.loc[linked, ["a", "b"]]
 
-        left = have.select(F.col("node").alias("a"), F.col("shingles").alias("left_set"))
-        right = have.select(F.col("node").alias("b"), F.col("shingles").alias("right_set"))
-        links = pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a binary, b binary")
+        left = have.select(F.col("nid").alias("a"), F.col("shingles").alias("left_set"))
+        right = have.select(F.col("nid").alias("b"), F.col("shingles").alias("right_set"))
+        links = pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a bigint, b bigint")
         if self.components is not None:
             known = self.components
             for end in ("a", "b"):
                 at = known.select(F.col("node").alias(end), F.col("component").alias("_c"))
                 links = links.join(at, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
-        links = stage(links.where("a <> b"), "join-links")
+        links = used.stage(links.where("a <> b"), "join-links")
         joined = links.count()
-        if not joined:
-            return compared, 0
-        merged = connected_components(links)
-        if self.components is None:
-            self.components = stage(merged, "join-components")
-            return compared, joined
-        moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        old = self.components.join(moved, "component", "left").select(
-            "node", F.coalesce("_to", "component").alias("component")
-        )
-        new = merged.join(self.components.select("node"), "node", "left_anti")
-        self.components = stage(old.unionByName(new), "join-components")
-        return compared, joined
+        if joined:
+            merged = connected_components(links)
+            if self.components is not None:
+                moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+                old = self.components.join(moved, "component", "left").select(
+                    "node", F.coalesce("_to", "component").alias("component")
+                )
+                merged = old.unionByName(merged.join(self.components.select("node"), "node", "left_anti"))
+            self.components = self.scratch.stage(merged, "join-components")
+        used.drop()
+        return joined
 
     def _likely_pairs(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches allow a link; nearly all others go without a look at their sets."""
         join = self.join
         for end, size, sketch in (("a", "m", "x"), ("b", "n", "y")):
-            known = self.nodes.select(F.col("node").alias(end), F.col("n").alias(size), F.col("parity").alias(sketch))
+            known = self.known.select(F.col("nid").alias(end), F.col("n").alias(size), F.col("parity").alias(sketch))
             pairs = pairs.join(known, end)
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,19 +311,19 @@ class _Run:
                     p = p[may_link(p["m"].to_numpy(), p["n"].to_numpy(), list(p["x"]), list(p["y"]), join)]
                 yield p[["a", "b"]]
 
-        return pairs.select("a", "b", "m", "n", "x", "y").mapInPandas(compare, "a binary, b binary")
+        return pairs.select("a", "b", "m", "n", "x", "y").mapInPandas(compare, "a bigint, b bigint")
 
-    def stars(self) -> None:
+    def stars(self, postings: DataFrame) -> None:
         """Every node with the pivot of its group; every group with the smallest one under each early shingle."""
-        inside = self.nodes.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        early = self.groups.select(
-            "pivot", "n", F.explode(F.slice("prefix", 1, STARS)).alias("shingle")
-        )
-        first = early.groupBy("shingle").agg(F.min(F.struct("pivot", "n")).alias("top"))
+        inside = self.nodes.where("nid <> gid").select(F.col("gid").alias("a"), F.col("nid").alias("b"))
+        early = postings.where(F.col("pos") < STARS)
+        first = early.groupBy("shingle").agg(F.min("gid").alias("top"))
+        sizes = early.select("shingle", F.col("gid").alias("top"), F.col("n").alias("m"))
+        first = first.join(sizes, ["shingle", "top"])
         across = (
             early.join(first, "shingle")
-            .where((F.col("pivot") != F.col("top.pivot")) & self._sizes(F.col("n"), F.col("top.n")))
-            .select(F.col("top.pivot").alias("a"), F.col("pivot").alias("b"))
+            .where((F.col("gid") != F.col("top")) & self._sizes(F.col("n"), F.col("m")))
+            .select(F.col("top").alias("a"), F.col("gid").alias("b"))
         )
         self.verify(inside.unionByName(across))
 
@@ -314,39 +350,72 @@ class _Run:
     def _mixed(self, postings: DataFrame) -> DataFrame:
         """Postings of the shingles that stand under at least two components, with what is known of their groups.
 
-        ``low`` is the smallest component in a group, ``torn`` tells that it has several, ``members`` counts its sets.
+        ``low`` is the smallest component in a group, ``torn`` tells that it has several, ``members`` counts its sets,
+        ``listed`` the postings of the shingle.
         """
         spans = self.labelled().groupBy("gid").agg(
             F.min("component").alias("low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("members")
         )
-        spans = stage(spans.select("gid", "low", (F.col("low") != F.col("_high")).alias("torn"), "members"), "join-spans")
+        spans = self.scratch.stage(spans.select("gid", "low", (F.col("low") != F.col("_high")).alias("torn"), "members"), "join-spans")
         labelled = postings.select("shingle", "gid", "n", "pos").join(spans, "gid")
         mixed = labelled.groupBy("shingle").agg(
-            F.min("low").alias("_l"), F.max("low").alias("_h"), F.max("torn").alias("_t")
+            F.min("low").alias("_l"), F.max("low").alias("_h"), F.max("torn").alias("_t"), F.count(F.lit(1)).alias("listed")
         )
-        mixed = mixed.where("_t OR _l <> _h").select("shingle")
-        return stage(labelled.join(mixed, "shingle", "left_semi"), "join-mixed")
+        mixed = mixed.where("_t OR _l <> _h").select("shingle", "listed")
+        return self.scratch.stage(labelled.join(mixed, "shingle"), "join-mixed")
 
     def hot(self, postings: DataFrame) -> DataFrame:
         """Postings of the shingles under which one component has many groups."""
         crowded = postings.groupBy("shingle", "low").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HUB_GROUPS)
-        return stage(postings.join(crowded.select("shingle").distinct(), "shingle", "left_semi"), "join-hot")
+        return self.scratch.stage(postings.join(crowded.select("shingle").distinct(), "shingle", "left_semi"), "join-hot")
+
+    def _band(self, n: Column) -> Column:
+        """Sizes that leave room for the threshold are in the same band or in two next to each other, modulo 64."""
+        width = np.log(max(self.join.den / self.join.num, 1.01)) * (1 + 1e-9)
+        return F.pmod(F.floor(F.log(n) / F.lit(float(width))), F.lit(64)).cast("int")
 
     def postings(self) -> DataFrame:
-        """Prefix shingles of groups that stand under at least two components."""
-        entries = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-        repeated = stage(
-            entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("shingle"), "join-repeated"
-        )
-        # Most shingles are unique; a bitmap keeps them out of the join's shuffle.
-        near = likely(entries, F.col("shingle"), slot_bitmap(repeated, "shingle"))
-        return self._mixed(near.join(repeated, "shingle", "left_semi"))
+        """Prefix shingles of groups, those that another group of a size near enough may share.
+
+        Per shingle a word of 64 bits tells the bands with groups; a posting stays if a band next to its own has some,
+        or if any band has several. Others could only meet sets of sizes that can't link.
+        """
+        bands = self.groups.select(self._band(F.col("n")).alias("band"), F.explode("prefix").alias("shingle"))
+        one = _bit(F.col("band"))
+        seen = bands.groupBy("shingle").agg(F.bit_or(one).alias("seen"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        following = F.shiftleft("seen", 1).bitwiseOR(F.shiftrightunsigned("seen", 63))
+        near = seen.withColumn("several", F.col("c") > F.bit_count("seen")).withColumn("both", F.col("seen").bitwiseAND(following))
+        alive = self.scratch.stage(near.where("several OR both <> 0").select("shingle", "seen", "several"), "join-alive")
+        # Shingles are hashes, so their low bits are slots; a bitmap keeps most postings out of the join's shuffle.
+        slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
+        shared = self.docs.sparkSession.sparkContext.broadcast(slot_bitmap(alive, "shingle", slot))
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(2)
+                sizes = np.diff(lists.offsets.to_numpy())
+                shingles = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                hit = in_slots(pa.array(shingles & (SLOTS - 1)), shared.value)
+                gid, n = (batch.column(i).to_numpy()[row[hit]] for i in (0, 1))
+                arrays = [pa.array(v) for v in (gid, n, pos[hit].astype(np.int32), shingles[hit])]
+                yield pa.RecordBatch.from_arrays(arrays, ["gid", "n", "pos", "shingle"])
+
+        entries = self.groups.select("gid", "n", "prefix").mapInArrow(listed, "gid bigint, n bigint, pos int, shingle bigint")
+        band = self._band(F.col("n"))
+        up, down = F.pmod(band + 1, F.lit(64)), F.pmod(band + 63, F.lit(64))
+        beside = F.col("seen").bitwiseAND(_bit(up).bitwiseOR(_bit(down)))
+        kept = entries.join(alive, "shingle").where(F.col("several") | (beside != 0)).select("gid", "n", "pos", "shingle")
+        kept = self.scratch.stage(kept, "join-postings")
+        shared.destroy()
+        return kept
 
     def hubs(self, postings: DataFrame, number: int) -> bool:
         """One round against the most frequent component under each shingle; False if it joined little."""
         sizes = postings.groupBy("shingle", "low").agg(F.count(F.lit(1)).alias("c"))
         hub = sizes.groupBy("shingle").agg(F.max(F.struct("c", "low")).alias("top")).select("shingle", F.col("top.low").alias("hub"))
-        marked = stage(postings.join(hub, "shingle"), "join-hubs")
+        marked = self.scratch.stage(postings.join(hub, "shingle"), "join-hubs")
         order = F.xxhash64("gid", F.lit(number))
         chosen = marked.where("low = hub").groupBy("shingle", F.pmod(order, F.lit(HUBS)).alias("part")).agg(
             F.min(F.struct(order.alias("o"), "gid", "n", "pos")).alias("r")
@@ -354,24 +423,26 @@ class _Run:
         x = chosen.select("shingle", "r.gid", "r.n", "r.pos").alias("x")
         y = marked.where("low <> hub").alias("y")
         met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & self._reach())
-        pairs = met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
-        for gid, name in (("g", "p"), ("h", "q")):
-            pairs = pairs.join(self.groups.select(F.col("gid").alias(gid), F.col("pivot").alias(name)), gid)
-        compared, joined = self.verify(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
-        return joined > 0.01 * max(compared, 100)
+        pairs = met.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b"))
+        return self.verify(pairs) > HUB_SHARE * marked.count()
 
     def rest(self, postings: DataFrame) -> None:
-        """All pairs of members of different components in groups that pass the filters."""
+        """All pairs of members of different components in groups that pass the filters.
+
+        A shingle's postings are dealt into blocks; each block meets all postings of the shingle in a task of its own.
+        """
         sketched = postings.join(self.groups.select("gid", "fold"), "gid")
-        x, y = sketched.alias("x"), sketched.alias("y")
+        blocks = F.ceil(F.col("listed") / BLOCK)
+        x = sketched.withColumn("block", F.pmod(F.xxhash64("gid"), blocks)).alias("x")
+        y = sketched.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).alias("y")
         apart = F.col("x.torn") | F.col("y.torn") | (F.col("x.low") != F.col("y.low"))
-        met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
+        met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.gid") < F.col("y.gid"))
         pairs = x.join(y, met & apart & self._reach() & self._close()).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
-        members = stage(self.labelled().select("gid", "node", "component"), "join-members")
+        members = self.scratch.stage(self.labelled().select("gid", "nid", "component"), "join-members")
         torn = members.groupBy("gid").agg(F.min("component").alias("l"), F.max("component").alias("h_")).where("l <> h_")
         pairs = pairs.distinct().unionByName(torn.select(F.col("gid").alias("g"), F.col("gid").alias("h")))
-        p = members.select(F.col("gid").alias("g"), F.col("node").alias("p"), F.col("component").alias("c"))
-        q = members.select(F.col("gid").alias("h"), F.col("node").alias("q"), F.col("component").alias("d"))
+        p = members.select(F.col("gid").alias("g"), F.col("nid").alias("p"), F.col("component").alias("c"))
+        q = members.select(F.col("gid").alias("h"), F.col("nid").alias("q"), F.col("component").alias("d"))
         both = pairs.join(p, "g").join(q, ["h"]).where("c <> d")
         self.verify(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
 
@@ -382,6 +453,7 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = run.labelled().select("node", "component", "doc")
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_node = stage(named.join(smallest, "component").select("node", "component_id"), "join-result")
+    run.scratch.drop()
     rows = run.signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(by_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"))
@@ -390,8 +462,9 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _linked(docs: DataFrame, doc_id: str, text: str, join: Join) -> _Run:
     """The join with all its components found."""
     run = _Run(docs, doc_id, text, join)
-    run.stars()
-    postings = run.postings()
+    alive = run.postings()
+    run.stars(alive)
+    postings = run._mixed(alive)
     hot = run.hot(postings)
     for number in range(HUB_ROUNDS):
         if hot.isEmpty() or not run.hubs(hot, number):
@@ -409,20 +482,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join:
     """
     run = _linked(docs, doc_id, text, join)
     labels = run.labelled().select("node", "component")
-    decided = stage(run.signed.where("n > 0").select("doc_id", "node").join(labels, "node"), "join-decided")
+    decided = run.scratch.stage(run.signed.where("n > 0").select("doc_id", "node").join(labels, "node"), "join-decided")
     # Components go by a node, as ids can be null or come with several texts; null ids rank last.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "node"))
     chosen = decided.groupBy("component").agg(least.alias("keep"), F.count(F.lit(1)).alias("rows"))
-    chosen = stage(chosen.where("rows > 1").select("component", "keep.id", F.col("keep.node").alias("keep_node")), "join-kept")
+    chosen = run.scratch.stage(chosen.where("rows > 1").select("component", "keep.id", F.col("keep.node").alias("keep_node")), "join-kept")
     torn = decided.join(chosen, "component")
     verdict = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("keep_node"))
     judged = stage(
         torn.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.max(verdict).alias("_stays")),
         "join-judged",
     )
+    run.scratch.drop()
     bitmap = slot_bitmap(judged, "_id")
-    alone = likely(docs, F.col(doc_id), bitmap, inside=False)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    alone = likely(docs, F.col(doc_id), shared, inside=False)
     at, k, names = docs.columns.index(text), join.words, [*docs.columns, "_row_node"]
     width = len(docs.columns)
 

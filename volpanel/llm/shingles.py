@@ -18,6 +18,8 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+#: Bytes that are hashed at once, a bound on memory unless a single word is longer.
+PIECE = 1 << 16
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -40,10 +42,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
+    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a long text in pieces that end between words."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64)
+    found, at = [], 0
+    while at < len(data):
+        end, step = len(data), PIECE
+        while at + step < len(data):
+            spaces = np.flatnonzero(_IS_SPACE[data[at : at + step]])
+            if len(spaces):
+                end = at + int(spaces[-1]) + 1
+                break
+            step *= 2
+        found.append(_piece_hashes(data[at:end]))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
     edge = np.diff(np.concatenate([[True], _IS_SPACE[data], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _power_tables(len(data))

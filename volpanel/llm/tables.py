@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from volpanel.session import scratch_path
+from volpanel.session import drop_scratch, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +31,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables that go together once what was derived from them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        drop_scratch(self.spark, *self.paths)
+        self.paths = []
+
+
 def word_tokens(text: Column) -> Column:
     """Tokens of a document for budgets and packing: its words and one end marker; null counts as empty."""
     return (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) + F.lit(1)).cast("bigint")
@@ -60,9 +79,9 @@ def in_slots(slots: pa.Array, bitmap: np.ndarray) -> np.ndarray:
     return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def slot_bitmap(keys: DataFrame, key: str) -> np.ndarray:
-    """Bitmap of the hash slots that the keys fall into."""
-    slots = keys.select(slot_of(F.col(key)).alias("slot"))
+def slot_bitmap(keys: DataFrame, key: str, slot: Column | None = None) -> np.ndarray:
+    """Bitmap of the hash slots that the keys fall into; ``slot`` tells a key's slot where it isn't the usual one."""
+    slots = keys.select((slot_of(F.col(key)) if slot is None else slot).alias("slot"))
     chunks = slots.groupBy(F.expr("slot div 32768").alias("chunk")).agg(
         F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")
     )
@@ -73,13 +92,13 @@ def slot_bitmap(keys: DataFrame, key: str) -> np.ndarray:
     return bitmap
 
 
-def likely(df: DataFrame, key: Column, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
+def likely(df: DataFrame, key: Column, bitmap: np.ndarray | Broadcast, inside: bool = True) -> DataFrame:
     """Rows of ``df`` whose key falls into a slot of the bitmap: all that have one of its keys, and few others.
 
     With ``inside=False`` all other rows, which surely have none of its keys. Spares the shuffle of wide rows that a join
     would not change. The bitmap's size is fixed, so it may be shared.
     """
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    shared = bitmap if isinstance(bitmap, Broadcast) else df.sparkSession.sparkContext.broadcast(bitmap)
     names = df.columns
 
     def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
