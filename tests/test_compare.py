@@ -135,3 +135,39 @@ def test_step_matches_numpy_on_the_same_paths(spark):
     assert steps["Tmax"].p_value == pytest.approx((boot >= tmax).mean())
     assert steps["TR"].observed_statistic == pytest.approx(tr, rel=1e-9)
     assert steps["TR"].p_value == pytest.approx((bootr >= tr).mean())
+
+
+def test_draws_are_dealt_to_tasks_and_units_change_no_row(spark):
+    frame = losses(spark, AUTOCORRELATED, "x").unionByName(losses(spark, DOMINATED, "y"))
+    whole = compare.BootstrapSettings(120, 4, 5, unit_draws=1000)
+    split = compare.BootstrapSettings(120, 4, 5, unit_draws=7)
+    tables = [
+        {(r.metric, r.draw, r.model_name): r.mean_loss for r in compare.bootstrap_means(frame, s).collect()} for s in (whole, split)
+    ]
+    assert tables[0] == tables[1] and len(tables[0]) == 2 * 121 * 6 // 2
+    # Both panels are without the other's models; those have no row.
+    assert {m for p, _, m in tables[0] if p == "x"} == {"a", "b", "c"}
+    lengths = spark.createDataFrame([("m", 10)], "metric string, length bigint")
+    dealt = compare.bootstrap_paths(lengths, split)
+    assert dealt.rdd.getNumPartitions() == 18 and compare.bootstrap_paths(lengths, whole).rdd.getNumPartitions() == 8
+    busy = dealt.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert busy > 8 and dealt.exceptAll(compare.bootstrap_paths(lengths, whole)).isEmpty()
+
+
+def test_gaps_from_losses_equal_gaps_from_means(spark):
+    settings = compare.BootstrapSettings(40, 4, 5, unit_draws=9)
+    frame = losses(spark, AUTOCORRELATED, "x").unionByName(losses(spark, DOMINATED, "y"))
+    straight = compare.drawn_gaps(frame, settings, ("metric",), compare.model_names(frame))
+    regrouped = compare.draw_rows(compare.bootstrap_means(frame, settings))
+    assert straight.count() == 80 and straight.exceptAll(regrouped).isEmpty()
+
+
+def test_parts_change_no_step(spark):
+    frame = losses(spark, AUTOCORRELATED)
+    steps = [
+        sorted(compare.confidence_set_steps(frame, settings=compare.BootstrapSettings(200, 4, 5, unit_draws=u)).collect())
+        for u in (200, 11)
+    ]
+    for one, other in zip(*steps):
+        assert one.eliminated_model == other.eliminated_model and one.p_value == pytest.approx(other.p_value, abs=1e-12)
+        assert one.observed_statistic == pytest.approx(other.observed_statistic, rel=1e-12)

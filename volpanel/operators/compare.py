@@ -148,10 +148,31 @@ class BootstrapSettings:
     draws: int = 5000
     block_length: int = 10
     seed: int = 42
+    # Draws of one panel that are worked on together; a panel with more of them is dealt to several tasks.
+    unit_draws: int = 250
 
     def __post_init__(self):
-        if self.draws <= 0 or self.block_length <= 0:
-            raise ValueError("draws and block length must be positive")
+        if self.draws <= 0 or self.block_length <= 0 or self.unit_draws <= 0:
+            raise ValueError("draws, block length and draws per unit must be positive")
+
+    @property
+    def units(self) -> int:
+        return -(-self.draws // self.unit_draws)
+
+
+def deal_draws(panels: DataFrame, settings: BootstrapSettings) -> DataFrame:
+    """Panel rows once per unit of draws, spread over at least as many tasks as a panel has units.
+
+    The number of tasks is stated, so adaptive execution doesn't put the few bytes of many draws back together. A
+    panel's columns are repeated once per unit, not once per draw.
+    """
+    tasks = max(settings.units, int(panels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return panels.select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.units - 1))).alias("unit")).repartition(tasks)
+
+
+def _unit_draws(settings: BootstrapSettings) -> Column:
+    first = F.col("unit") * settings.unit_draws
+    return F.sequence(first, F.least(first + settings.unit_draws, F.lit(settings.draws)) - 1)
 
 
 def _random(kind: str, draw: Column, offset: Column, settings: BootstrapSettings) -> Column:
@@ -173,9 +194,10 @@ def bootstrap_paths(lengths: DataFrame, settings: BootstrapSettings = BootstrapS
 
     ``lengths`` gives ``length`` per panel. A new uniform start is drawn where the path starts anew; in between it
     moves on by one, modulo the length. A path is an array built inside its (panel, draw) row, so
-    the rows of this report are never shuffled.
+    the rows of this report are never shuffled; ranges of draws are dealt to tasks before.
     """
-    draws = lengths.select(*by, "length", F.explode(F.sequence(F.lit(0), F.lit(settings.draws - 1))).alias("draw"))
+    dealt = deal_draws(lengths.select(*by, "length"), settings)
+    draws = dealt.select(*by, "length", F.explode(_unit_draws(settings)).alias("draw"))
     draw, length = F.col("draw"), F.col("length")
     offsets = F.sequence(F.lit(0), (length - 1).cast("int"))
     starts = F.filter(offsets, lambda o: _fresh(draw, o, settings))
@@ -202,19 +224,14 @@ def model_names(losses: DataFrame) -> list[str]:
     return sorted(r[0] for r in losses.select("model_name").distinct().collect())
 
 
-def bootstrap_means(
-    losses: DataFrame,
-    settings: BootstrapSettings = BootstrapSettings(),
-    by: tuple[str, ...] = PANEL,
-    models: list[str] | None = None,
-) -> DataFrame:
-    """Mean loss per (panel, draw, model); draw -1 is the observed sample.
+def drawn_means(losses: DataFrame, settings: BootstrapSettings, by: tuple[str, ...], models: list[str]) -> DataFrame:
+    """One row per (panel, draw): the models' ``observed`` means and their ``means`` along the draw's path.
 
-    The aligned losses of a panel are arrays over its dates, one per model; a draw is one row that walks
-    its path over them and adds up all models in the same order, so equal series give equal means and nothing
-    of size draws x dates is shuffled. A model that lacks some dates of a panel is an error.
+    Both arrays are in the order of ``models``, null for a model that the panel is without. The aligned losses of a
+    panel are one array over its dates. It is dealt to tasks by ranges of draws; a draw is one row that walks its path and
+    adds up all models in the same order, so equal series give equal means and nothing of size draws x dates
+    is shuffled. A model that lacks some dates of a panel is an error.
     """
-    models = models or model_names(losses)
     wide = aligned_losses(losses, models, by)
     dated = wide.select(*by, *models, F.struct("target_date", F.array(*models).alias("values")).alias("entry"))
     length = F.count(F.lit(1))
@@ -223,18 +240,40 @@ def bootstrap_means(
     rows = F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["values"])
     gap = F.raise_error(F.lit("a model has no loss on some dates of its panel")).cast("array<array<double>>")
     panel = dated.groupBy(*by).agg(F.when(holes, gap).otherwise(rows).alias("rows"), length.alias("length"))
-    draws = panel.select("*", F.explode(F.sequence(F.lit(-1), F.lit(settings.draws - 1))).alias("draw"))
     draw, length = F.col("draw"), F.col("length")
-    zero = F.struct(F.lit(0).cast("bigint").alias("base"), F.array_repeat(F.lit(0.0), len(models)).alias("sums"))
+    none = F.array_repeat(F.lit(0.0), len(models))
+
+    def add(sums: Column, row: Column) -> Column:
+        return F.zip_with(sums, row, lambda x, y: x + y)
+
+    def mean(sums: Column) -> Column:
+        return F.transform(sums, lambda x: x / length)
 
     def walk(acc: Column, o: Column) -> Column:
         base = F.when(_fresh(draw, o, settings), _start(draw, o, length, settings) - o).otherwise(acc["base"])
-        base = F.when(draw < 0, F.lit(0).cast("bigint")).otherwise(base)
         row = F.element_at("rows", (F.pmod(base + o, length) + 1).cast("int"))
-        return F.struct(base.alias("base"), F.zip_with(acc["sums"], row, lambda x, y: x + y).alias("sums"))
+        return F.struct(base.alias("base"), add(acc["sums"], row).alias("sums"))
 
+    dealt = deal_draws(panel.withColumn("observed", F.aggregate("rows", none, add, mean)), settings)
+    draws = dealt.select("*", F.explode(_unit_draws(settings)).alias("draw"))
+    start = F.struct(F.lit(0).cast("bigint").alias("base"), none.alias("sums"))
     offsets = F.sequence(F.lit(0), (length - 1).cast("int"))
-    summed = draws.select(*by, "draw", F.aggregate(offsets, zero, walk, lambda acc: F.transform(acc["sums"], lambda x: x / length)).alias("means"))
+    return draws.select(*by, "draw", "observed", F.aggregate(offsets, start, walk, lambda acc: mean(acc["sums"])).alias("means"))
+
+
+def bootstrap_means(
+    losses: DataFrame,
+    settings: BootstrapSettings = BootstrapSettings(),
+    by: tuple[str, ...] = PANEL,
+    models: list[str] | None = None,
+) -> DataFrame:
+    """Mean loss per (panel, draw, model); draw -1 is the observed sample."""
+    models = models or model_names(losses)
+    drawn = drawn_means(losses, settings, by, models)
+    sample = F.struct(F.col("draw").alias("draw"), F.col("means").alias("means"))
+    observed = F.struct(F.lit(-1).alias("draw"), F.col("observed").alias("means"))
+    # The panel's first draw also carries the observed sample.
+    summed = drawn.select(*by, F.inline(F.when(F.col("draw") == 0, F.array(observed, sample)).otherwise(F.array(sample))))
     named = F.arrays_zip(F.array(*[F.lit(m) for m in models]).alias("model_name"), F.col("means").alias("mean_loss"))
     return summed.select(*by, "draw", F.inline(named)).where(F.col("mean_loss").isNotNull())
 
@@ -264,14 +303,36 @@ def draw_rows(means: DataFrame, by: tuple[str, ...] = PANEL) -> DataFrame:
     return rows.where("draw >= 0").join(observed, list(by)).select(*by, "draw", paired.alias("entries"))
 
 
-def step_items(drawn: DataFrame, active: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def drawn_gaps(losses: DataFrame, settings: BootstrapSettings, by: tuple[str, ...], models: list[str]) -> DataFrame:
+    """The rows of ``draw_rows`` straight from the losses: every draw knows the observed means, nothing is regrouped."""
+    models = sorted(models)
+    named = F.arrays_zip(F.array(*[F.lit(m) for m in models]).alias("name"), "means", "observed")
+    entries = F.transform(
+        F.filter(named, lambda e: e["means"].isNotNull()),
+        lambda e: F.struct(
+            e["name"].alias("model_name"), (e["means"] - e["observed"]).alias("gap"), e["observed"].alias("observed")
+        ),
+    )
+    return drawn_means(losses, settings, by, models).select(*by, "draw", entries.alias("entries"))
+
+
+def _part(draw: Column, parts: int) -> Column:
+    return F.pmod(draw, F.lit(parts)).cast("int")
+
+
+def _every_part(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
+
+
+def step_items(drawn: DataFrame, active: DataFrame, by: tuple[str, ...], parts: int = 1) -> DataFrame:
     """Per (panel, method, draw) the compared quantities with their observed values, in name order.
 
-    Tmax sets each active model against the average of the others, TR against every other model.
+    Tmax sets each active model against the average of the others, TR against every other model. A panel's draws meet its
+    short list of models in ``parts`` parts, so that they needn't be in one task.
     """
     key = [*by, "method"]
-    listed = active.groupBy(*key).agg(F.array_sort(F.collect_set("model_name")).alias("models"))
-    rows = drawn.join(listed, list(by)).withColumn(
+    listed = active.groupBy(*key).agg(F.array_sort(F.collect_set("model_name")).alias("models")).select("*", _every_part(parts))
+    rows = drawn.withColumn("_part", _part(F.col("draw"), parts)).join(listed, [*by, "_part"]).withColumn(
         "_e", F.filter("entries", lambda e: F.array_contains("models", e["model_name"]))
     )
     count = F.size("models").cast("double")
@@ -304,20 +365,24 @@ def step_items(drawn: DataFrame, active: DataFrame, by: tuple[str, ...]) -> Data
         )
     )
     items = F.when(F.col("method") == "Tmax", single).otherwise(pairs)
-    return rows.select(*key, "draw", "models", items.alias("items"))
+    return rows.select(*key, "_part", "draw", "models", items.alias("items"))
 
 
 def elimination_step(
-    means: DataFrame, active: DataFrame, by: tuple[str, ...] = PANEL, drawn: DataFrame | None = None
+    means: DataFrame | None,
+    active: DataFrame,
+    by: tuple[str, ...] = PANEL,
+    drawn: DataFrame | None = None,
+    parts: int = 1,
 ) -> DataFrame:
     """One step for every (panel, method): statistic, bootstrap p-value and the model to drop.
 
     ``means`` are bootstrap means with the observed sample as draw -1; ``active`` lists the models
-    still in each (panel, method). Both methods share three aggregations whose map sides combine
-    the draws.
+    still in each (panel, method); ``drawn`` are the rows made of them, if they are at hand. Both methods share three
+    aggregations whose map sides combine the draws, and joins dealt by ``parts``.
     """
     key = [*by, "method"]
-    items = step_items(drawn if drawn is not None else draw_rows(means, by), active, by)
+    items = step_items(drawn if drawn is not None else draw_rows(means, by), active, by, parts)
     one_sided = F.col("method") == "Tmax"
     spread = (
         items.select(*key, F.inline("items"))
@@ -333,7 +398,7 @@ def elimination_step(
     scaled = F.zip_with("items", "scales", lambda i, s: i["d"] / s["s"])
     boot = F.when(one_sided, F.array_max(scaled)).otherwise(F.array_max(F.transform(scaled, F.abs)))
     reached = (boot >= F.col("observed_statistic") - TIE_TOLERANCE).cast("double")
-    return items.join(summary, key).groupBy(*key).agg(
+    return items.join(summary.select("*", _every_part(parts)), [*key, "_part"]).groupBy(*key).agg(
         F.max("models").alias("models"),
         F.max("observed_statistic").alias("observed_statistic"),
         F.avg(reached).alias("p_value"),
@@ -357,14 +422,13 @@ def confidence_set_steps(
     if len(models) < 2:
         raise ValueError("a model confidence set needs at least two models")
     require_comparable(losses, by=by)
-    means = bootstrap_means(losses, settings, by, models)
-    drawn = cut_lineage(draw_rows(means, by))
+    drawn = cut_lineage(drawn_gaps(losses, settings, by, models))
     key = [*by, "method"]
     methods = F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method")
     entered = losses.select(*by, "model_name").distinct().select(*by, "model_name", methods)
     active, steps = entered, None
     for number in range(1, len(models)):
-        step = elimination_step(means, active, by, drawn).withColumn("step", F.lit(number))
+        step = elimination_step(None, active, by, drawn, settings.units).withColumn("step", F.lit(number))
         stops = F.col("p_value") > alpha
         step = cut_lineage(step.withColumn("eliminated_model", F.when(~stops, F.col("eliminated_model"))))
         steps = step if steps is None else steps.unionByName(step)
