@@ -14,7 +14,7 @@ STATED = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com
 def judged(spark, pages, labelled):
     frame = spark.createDataFrame(pages, "page_id long, url string, host string, verdict string")
     train = spark.createDataFrame(labelled, "url string, blocked boolean")
-    return url_rules.judge_urls(frame, train, STATED, min_support=0.1, min_confidence=0.6)
+    return url_rules.judge_urls(frame, train, STATED, least=4, least_share=0.1, lift=1.5)
 
 
 def test_stated_rules_and_awkward_urls(spark):
@@ -50,14 +50,42 @@ def test_rules_against_all_subsets(spark):
     train = [(f"http://h{i % 3}.example.info/p{'ab'[i % 2]}/{i}", i % 3 == 0 or i % 7 == 0) for i in range(60)]
     frame = spark.createDataFrame(train, "url string, blocked boolean")
     tokens = frame.select(url_rules.url_tokens(frame["url"]).alias("tokens"), "blocked")
-    found = {(r["pattern"], round(r["confidence"], 9)) for r in url_rules.mine_rules(tokens, "tokens", "blocked", 0.1, 0.6).collect()}
+    found = {(r["pattern"], round(r["confidence"], 9)) for r in url_rules.mine_rules(tokens, "tokens", "blocked", 4, 0.1, 1.5).collect()}
     counts = defaultdict(lambda: [0, 0])
     for r in tokens.collect():
         for mask in range(1, 1 << len(r["tokens"])):
             name = " & ".join(t for i, t in enumerate(r["tokens"]) if mask >> i & 1)
             counts[name][0] += 1
             counts[name][1] += r["blocked"]
-    assert found == {(k, round(b / n, 9)) for k, (n, b) in counts.items() if b >= 6 and b / n >= 0.6}
+    base = sum(b for _, b in train) / len(train)
+    want = {(k, round(b / n, 9)) for k, (n, b) in counts.items() if b >= 6 and b / n >= 1.5 * base}
+    assert found == want and want
+
+
+def test_few_labels_make_no_rules_and_lift_is_capped(spark):
+    def mined(train, *settings):
+        frame = spark.createDataFrame(train, "url string, blocked boolean")
+        tokens = frame.select(url_rules.url_tokens(frame["url"]).alias("tokens"), "blocked")
+        return {r["pattern"] for r in url_rules.mine_rules(tokens, "tokens", "blocked", *settings).collect()}
+
+    few = [("http://a.b.spam.info/x", True)] * 3
+    assert mined(few, 4, 0.0, 1.5) == set() and mined([], 4, 0.0, 1.5) == set()
+    # All of them are blocked: the confidence asked for is 1, not 1.5; every host label before the site is a token.
+    found = mined(few, 3, 0.0, 1.5)
+    assert {"label=a", "label=b", "site=spam.info", "host=a.b.spam.info", "path=x"} <= found and len(found) == 31
+    assert mined([(u, False) for u, _ in few], 3, 0.0, 1.5) == set()
+
+
+def test_long_urls_and_rules_under_their_rarest_token(spark):
+    long = "http://deep.spam.info/" + "1/" * 50_000 + "ads?" + "&".join(["k=" + "v" * 9] * 5_000)
+    bad = [("http://deep.spam.info/ads/1?k=1", True)] * 9
+    good = [(f"http://deep.spam.info/news/{i}?k=1", False) for i in range(30)] + [("http://other.info/ads/2?k=1", False)] * 9
+    pages = [(1, long, "", ""), (1, long, "", ""), (2, "http://deep.spam.info/news/3?k=4", "", ""), (3, "http://other.info/ads/3?k=4", "", "")]
+    found = {r["page_id"]: (r["verdict"], r["pattern"]) for r in judged(spark, pages, bad + good).collect()}
+    assert found[1][0] == "block" and {"path=ads", "site=spam.info"} & set(found[1][1].split(" & "))
+    assert found[2] == ("allow", None)
+    # "path=ads" alone has 9 of 18 blocked, above 1.5 x 9 / 48.
+    assert found[3] == ("block", "path=ads")
 
 
 def drawn_by_hand(sources, entropy_share, max_repeats):

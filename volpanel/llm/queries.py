@@ -37,7 +37,7 @@ STATED_RULES = {
     ("example.com", "/de/"): "block",
     ("org", "/fr/"): "allow",
 }
-URL_SUPPORT, URL_CONFIDENCE = 0.01, 0.5
+URL_LEAST, URL_SHARE, URL_LIFT = 4, 0.001, 1.5
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -74,10 +74,11 @@ tokens AS (
   SELECT page_id, url, host, path, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter(list_concat(
     ['host=' || host,
      'site=' || nullif(regexp_extract(host, '([^.]+\\.[^.]+)$', 1), ''),
-     CASE WHEN len(string_split(host, '.')) > 2 THEN 'label=' || string_split(host, '.')[1] END,
      'ext=' || nullif(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1), ''),
      'frag=' || nullif(regexp_extract(url, '(?s)#(.*)$', 1), '')],
     list_concat(
+      list_transform(list_filter(string_split(host, '.')[1:greatest(len(string_split(host, '.')) - 2, 0)], lambda s: s <> ''),
+        lambda s: 'label=' || s),
       list_transform(list_filter(string_split(path, '/'), lambda s: regexp_full_match(s, '[A-Za-z_-]+')), lambda s: 'path=' || s),
       list_transform(list_filter(string_split(regexp_extract(url, '(?s)\\?([^#]*)', 1), '&'), lambda s: s <> ''),
         lambda s: 'query=' || regexp_extract(s, '^([^=]*)', 1)))), lambda t: t IS NOT NULL))) END AS tokens
@@ -94,7 +95,8 @@ counted AS (
   SELECT antecedent, count(*) AS n, count(*) FILTER (WHERE blocked) AS n_bad FROM subsets GROUP BY antecedent),
 mined AS (
   SELECT antecedent, array_to_string(antecedent, ' & ') AS pattern, n_bad / n AS confidence, n_bad
-  FROM counted WHERE n_bad >= ceil({URL_SUPPORT}e0 * (SELECT count(*) FROM train)) AND n_bad / n >= {URL_CONFIDENCE}e0),
+  FROM counted, (SELECT count(*) AS total, count(*) FILTER (WHERE blocked) AS bad FROM train)
+  WHERE n_bad >= greatest({URL_LEAST}, ceil({URL_SHARE}e0 * total)) AND n_bad / n >= least(1e0, {URL_LIFT}e0 * bad / total)),
 sets AS (SELECT DISTINCT tokens FROM tokens),
 best AS (
   SELECT s.tokens, first(m.pattern ORDER BY m.confidence DESC, m.n_bad DESC, m.pattern) AS pattern
@@ -116,8 +118,9 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "pages"),
         page_labels(spark, sf_dir),
         STATED_RULES,
-        min_support=URL_SUPPORT,
-        min_confidence=URL_CONFIDENCE,
+        least=URL_LEAST,
+        least_share=URL_SHARE,
+        lift=URL_LIFT,
     )
 
 
