@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import DOC_SCHEMA, collected, components, edge_docs, edge_texts, key, lower, no_docs, rows, sentence
-from volpanel.llm import exact_dedup, fuse_filter, ngram_join
+from volpanel.llm import exact_dedup, fuse_filter, ngram_join, tables
 from volpanel.llm.shingles import shingle_set
 from volpanel.llm.tables import likely, slot_bitmap
 
@@ -41,6 +41,33 @@ def test_exact_dedup_edges(spark, stored):
     assert kept.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty()
 
 
+def test_large_batch_meets_a_small_snapshot_in_parts(spark, tmp_path):
+    ids = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    stored = ids.where("id < 50").select("sha", F.col("id").alias("doc_id"), F.col("id").alias("row"))
+    exact_dedup.write_snapshot(exact_dedup.build_snapshot(stored), str(tmp_path / "kept"))
+    snapshot = exact_dedup.read_snapshot(spark, str(tmp_path / "kept"))
+    assert snapshot.buckets == 1 and snapshot.groups.count() == 50
+    whole = exact_dedup.screen(ids, snapshot)
+    parts = exact_dedup.screen(ids, snapshot, keys_per_part=100)
+    assert whole.exceptAll(parts).isEmpty() and parts.exceptAll(whole).isEmpty()
+    assert stored.join(parts, "sha").count() == 50 and parts.count() < 80
+    with pytest.raises(Exception, match="(?i)already exists"):
+        exact_dedup.write_snapshot(snapshot, str(tmp_path / "kept"))
+
+
+def test_spread_join_is_a_left_join(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT_ROWS", 10)
+    left = spark.range(500).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.concat(F.lit("row"), F.col("id")).alias("name"),
+    )
+    right = left.where("k IS NOT NULL AND k <> 'k6'").groupBy("k").agg(F.count("*").alias("n"), F.max("name").alias("top"))
+    found = tables.spread_join(left, F.col("k"), "name", right, "k", "n").select("k", "name", "found.n", "found.top")
+    plain = left.join(right, "k", "left").select("k", "name", "n", "top")
+    assert found.exceptAll(plain).isEmpty() and found.count() == 500
+    assert tables.spread_join(left, F.col("k"), "name", right.limit(0), "k", "n").where("found IS NULL").count() == 500
+
+
 def test_keep_one_returns_whole_rows(spark):
     docs = edge_docs(spark)
     kept = exact_dedup.keep_one(docs, F.expr("doc_id % 2 = 0"))

@@ -6,11 +6,13 @@ Its distinct digests are screened by the filters; the few positives join the exa
 all groups of more than one row are compared byte by byte. Filters, buckets and digests are only ever dealt by
 bucket or digest: nothing that grows with the corpus is broadcast or collected.
 
-Copies are combined on the map side, so a text that a third of all rows share costs one row per task.
+Copies are combined on the map side, so a text that a third of all rows share costs one row per task, and the rows
+of such a text meet their group in several parts. A batch that is larger than the snapshot is screened in several parts a
+bucket, each with a copy of the bucket's filter. Snapshots can be kept: ``write_snapshot``, ``read_snapshot``.
 
 Defined cases: null text counts as empty; texts are equal when identical after lower-casing A-Z; the row with the
 largest id stays, a null id being smallest; among rows equal in id and text one stays; empty tables give no rows;
-extra columns are ignored.
+texts are hashed whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volpanel.llm import fuse_filter
-from volpanel.llm.tables import ascii_lower, likely, slot_bitmap, stage
+from volpanel.llm.tables import ascii_lower, likely, slot_bitmap, spread_join, stage
 
+KEYS_PER_BUCKET = 20_000
 FILTER_SCHEMA = "bucket bigint, seed string, segment int, segments int, prints binary"
 
 
@@ -61,7 +64,7 @@ def _key(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, 16), 16, -10).cast("bigint")
 
 
-def build_snapshot(rows: DataFrame, keys_per_bucket: int = 20_000) -> Snapshot:
+def build_snapshot(rows: DataFrame, keys_per_bucket: int = KEYS_PER_BUCKET) -> Snapshot:
     """Immutable snapshot of digest rows: exact buckets and a filter for each."""
     distinct = stage(grouped(rows).withColumn("key", _key(F.col("sha"))), "dedup-stored")
     buckets = max(1, -(-distinct.count() // keys_per_bucket))
@@ -76,11 +79,29 @@ def build_snapshot(rows: DataFrame, keys_per_bucket: int = 20_000) -> Snapshot:
     return Snapshot(groups, stage(filters, "dedup-filters"), buckets)
 
 
-def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Digests of a grouped batch that a filter of the snapshot lets through: sha, bucket."""
-    keyed = batch.select("sha", _key(F.col("sha")).alias("key")).withColumn(
-        "bucket", F.pmod("key", F.lit(snapshot.buckets)).cast("bigint")
-    )
+def write_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Keep a snapshot in a new folder. Its number of buckets is written last; without it the folder can't be read."""
+    snapshot.groups.write.parquet(f"{path}/groups")
+    snapshot.filters.write.parquet(f"{path}/filters")
+    snapshot.groups.sparkSession.range(1).select(F.lit(snapshot.buckets).alias("buckets")).write.parquet(f"{path}/buckets")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    buckets = spark.read.parquet(f"{path}/buckets").first()["buckets"]
+    return Snapshot(spark.read.parquet(f"{path}/groups"), spark.read.parquet(f"{path}/filters"), buckets)
+
+
+def screen(batch: DataFrame, snapshot: Snapshot, keys_per_part: int = KEYS_PER_BUCKET) -> DataFrame:
+    """Digests of a grouped batch that a filter of the snapshot lets through: sha, bucket.
+
+    Buckets follow the snapshot; a batch of more digests is dealt to parts of its buckets, so that no task holds
+    much more than ``keys_per_part`` of them.
+    """
+    parts = max(1, -(-batch.count() // (snapshot.buckets * keys_per_part)))
+    keyed = batch.select(
+        "sha", _key(F.col("sha")).alias("key"), F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("bigint").alias("part")
+    ).withColumn("bucket", F.pmod("key", F.lit(snapshot.buckets)).cast("bigint"))
+    filters = snapshot.filters.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
 
     def probe(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if incoming.empty or filters.empty:
@@ -90,8 +111,8 @@ def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
         return incoming.loc[hit, ["sha", "bucket"]]
 
     return (
-        keyed.groupBy("bucket")
-        .cogroup(snapshot.filters.groupBy("bucket"))
+        keyed.groupBy("bucket", "part")
+        .cogroup(filters.groupBy("bucket", "part"))
         .applyInPandas(probe, "sha string, bucket bigint")
     )
 
@@ -145,13 +166,14 @@ def _compared(docs: DataFrame, groups: DataFrame, text: str) -> DataFrame:
 def deduplicate(docs: DataFrame, stored: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, was_stored."""
     rows, groups = exact_groups(docs, stored, doc_id, text)
-    return rows.join(groups, "sha").select(
+    named = rows.withColumn("name", F.col("row").cast("string"))
+    return spread_join(named, F.col("sha"), "name", groups, "sha", "size").select(
         "doc_id",
-        F.col("keep.doc_id").alias("keep_id"),
-        F.col("size").alias("group_size"),
-        (F.col("row") == F.col("keep.row")).alias("kept"),
+        F.col("found.keep.doc_id").alias("keep_id"),
+        F.col("found.size").alias("group_size"),
+        (F.col("row") == F.col("found.keep.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        "was_stored",
+        F.col("found.was_stored").alias("was_stored"),
     )
 
 

@@ -49,6 +49,32 @@ class Scratch:
         self.paths = []
 
 
+#: A key of more rows than this is hot; its row of the other side is repeated for so many parts.
+HOT_ROWS, HOT_PARTS = 1000, 32
+
+
+def spread_join(left: DataFrame, key: Column, own: str, right: DataFrame, right_key: str, rows: str) -> DataFrame:
+    """Left join that deals a hot key's rows over several tasks; adds a struct ``found`` of the right side's columns.
+
+    ``own`` is a column of ``left`` that tells its rows apart and is no key of ``right``; ``right`` has one row per key, with
+    the number of ``rows`` that ask for it. Only hot rows of ``right`` are repeated, at most ``HOT_PARTS`` in ``HOT_ROWS`` of
+    the rows on the left. Rows that a hot key answered, and those without a key, go on under their own name.
+    """
+    names = [F.col(c) for c in right.columns]
+    hot = right.where(F.col(rows) > HOT_ROWS).select(
+        F.col(right_key).alias("_key"),
+        F.struct(*names).alias("_hot"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_PARTS - 1).cast("bigint"))).alias("_part"),
+    )
+    cold = right.where(F.col(rows) <= HOT_ROWS).select(F.col(right_key).alias("_key"), F.struct(*names).alias("_cold"))
+    asked = left.withColumn("_key", F.coalesce(key, F.col(own))).withColumn("_part", F.pmod(F.xxhash64(own), F.lit(HOT_PARTS)))
+    first = asked.join(hot, ["_key", "_part"], "left")
+    second = first.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_key")).otherwise(F.col(own)))
+    return second.join(cold, "_key", "left").select(
+        *[F.col(c) for c in left.columns], F.coalesce("_hot", "_cold").alias("found")
+    )
+
+
 def word_tokens(text: Column) -> Column:
     """Tokens of a document for budgets and packing: its words and one end marker; null counts as empty."""
     return (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) + F.lit(1)).cast("bigint")
