@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import collected, key
-from volpanel.llm import vector_graph, warc
+from volpanel.llm import tables, vector_graph, warc
 
 VECTORS = "vec_id long, embedding array<float>, dim string, shard int"
 
@@ -118,13 +118,35 @@ def test_files_are_archives(spark, tmp_path):
     for file in Path(tmp_path / "w").glob("*.gz"):
         records += warc._records(gzip.decompress(file.read_bytes()))
     assert len(records) == len(pages())
-    assert len({h["WARC-Record-ID"] for h, _ in records}) >= len(pages()) - 1
+    assert len({h["WARC-Record-ID"] for h, _ in records}) == len(pages())
     for headers, block in records:
         assert int(headers["Content-Length"]) == len(block)
         assert (headers["WARC-Type"] == "revisit") == (not block)
         assert ("WARC-Refers-To" in headers) == (headers["WARC-Type"] == "revisit")
 
 
+def test_equal_pages_have_ids_of_their_own_and_hot_responses_are_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "HOT_ROWS", 3)
+    long = "q" * 30_000
+    given = [(1, "u", "s")] * 3 + [(i % 40, "v", long) for i in range(80)] + [(100 + i // 2, "w", "r" * 1000) for i in range(4)]
+    frame = spark.createDataFrame(given, "page_id long, url string, html string").repartition(5)
+    warc.write_archives(frame, str(tmp_path / "w"))
+    records = []
+    for file in Path(tmp_path / "w").glob("*.gz"):
+        records += warc._records(gzip.decompress(file.read_bytes()))
+    ids = {h["WARC-Record-ID"]: h["WARC-Type"] for h, _ in records}
+    assert len(records) == len(ids) == len(given)
+    assert all(ids[h["WARC-Refers-To"]] == "response" for h, _ in records if h["WARC-Type"] == "revisit")
+    found = warc.read_archives(spark, str(tmp_path / "w"))
+    assert found.count() == len(given) and found.where("payload_digest IS NULL OR payload_bytes IS NULL").isEmpty()
+    assert collected(found.where("payload_bytes = 30000").groupBy("record_type", "refers_to").count(), "record_type", "refers_to", "count") == [
+        ("response", None, 1), ("revisit", 39, 79),
+    ]
+    assert collected(found.where("payload_bytes = 1000").groupBy("record_type", "refers_to").count(), "record_type", "refers_to", "count") == [
+        ("response", None, 1), ("revisit", 101, 3),
+    ]
+
+
 def test_damaged_payload_is_noticed(spark, tmp_path):
     text = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Payload-Digest: sha1:0\r\nContent-Length: 9\r\n\r\nHTTP\r\n\r\nx\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(text.encode())

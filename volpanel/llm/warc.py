@@ -6,11 +6,16 @@ carry no payload. Archives are written by Spark's own writer, one gzip file per
 committed atomically on any shared store; every header is made afresh.
 
 Reading parses each archive by Content-Length, hashes every payload, compares it with the header, and joins
-revisits to the responses they refer to for the size and digest of the full payload.
+revisits to the responses they refer to for the size and digest of the full payload; a response that very many
+revisits refer to meets them in several tasks.
+
+Every record has an id of its own: a response that others refer to is named by page, URL and digest, every other
+record also by its row.
 
 Defined cases: null html is an empty payload; a null id or URL gives a record without that header; line breaks
-in a URL are escaped; of rows that are equal in id, URL and payload one is the response; an empty
-table gives archives without records and no rows.
+in a URL are escaped; of rows that are equal in id, URL and payload one is the response, the others revisit it under
+ids of their own; payloads are written whole, however long; other columns of the pages are left out; an empty table gives
+archives without records and no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volpanel.llm.tables import stage
+from volpanel.llm.tables import spread_join, stage
 from volpanel.session import scratch_path
 
 END = "\r\n\r\n"
@@ -35,9 +40,10 @@ RECORD_SCHEMA = (
 )
 
 
-def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
-    """A name-based urn:uuid of what identifies a record."""
-    seed = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("-")), F.coalesce(url, F.lit("-")), digest))
+def _record_id(page_id: Column, url: Column, digest: Column, row: Column | None = None) -> Column:
+    """A name-based urn:uuid of what identifies a record; with ``row`` equal pages have different ones."""
+    parts = [F.coalesce(page_id.cast("string"), F.lit("-")), F.coalesce(url, F.lit("-")), digest]
+    seed = F.md5(F.concat_ws("|", *parts, *([] if row is None else [row.cast("string")])))
     return F.regexp_replace(seed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
@@ -50,6 +56,7 @@ def resolve_revisits(pages: DataFrame, page_id: str, url: str, html: str, min_by
         payload.alias("payload"),
         F.sha1(payload).alias("digest"),
         F.octet_length(payload).cast("bigint").alias("bytes"),
+        F.monotonically_increasing_id().alias("row"),
     )
     headers = records.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id", "url").agg(
         F.count(F.lit(1)).alias("rows")
@@ -71,10 +78,13 @@ def resolve_revisits(pages: DataFrame, page_id: str, url: str, html: str, min_by
     )
     top = F.col("page_id").eqNullSafe(F.col("response_id")) & F.col("url").eqNullSafe(F.col("response_url"))
     if not shared.where("response_rows > 1").isEmpty():
-        same = Window.partitionBy("digest", "page_id", "url").orderBy("bytes")
+        # Only equal rows of a response are numbered together, every other row by itself.
+        alone = F.when(F.coalesce(top, F.lit(False)), F.lit(-1)).otherwise(F.col("row"))
+        same = Window.partitionBy("digest", "page_id", "url", alone).orderBy("row")
         joined = joined.withColumn("copy", F.row_number().over(same))
         top = top & (F.col("copy") == 1)
-    return joined.withColumn("revisit", F.col("shared_digest").isNotNull() & ~top)
+    shares = F.col("shared_digest").isNotNull()
+    return joined.withColumns({"revisit": shares & ~top, "referred": shares & top})
 
 
 def record_text(records: DataFrame) -> Column:
@@ -92,10 +102,11 @@ def record_text(records: DataFrame) -> Column:
     )
     block = F.when(F.col("revisit"), F.lit("")).otherwise(http)
     only = lambda c: F.when(F.col("revisit"), c)
+    named = F.col("page_id"), F.col("url"), F.col("digest")
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("digest"))),
+        line("WARC-Record-ID", F.when(F.col("referred"), _record_id(*named)).otherwise(_record_id(*named, F.col("row")))),
         line("WARC-Date", F.lit("2000-01-01T00:00:00Z")),
         line("WARC-Target-URI", escaped(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -186,22 +197,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, target_uri, payload size and digest, record_type, refers_to (an id)."""
     files = spark.read.format("binaryFile").load(path).select("content")
     records = stage(files.mapInArrow(_parsed, RECORD_SCHEMA), "warc-records")
+    revisits = records.where("record_type = 'revisit'")
+    asked = revisits.groupBy(F.col("refers_to_record").alias("record_id")).agg(F.count(F.lit(1)).alias("revisits"))
     responses = (
         records.where("record_type = 'response'")
-        .groupBy(F.col("record_id").alias("response_record"))
-        .agg(
-            F.first("page_id").alias("response_id"),
-            F.first("payload_bytes").alias("full_bytes"),
-            F.first("payload_digest").alias("full_digest"),
-        )
+        .join(asked, "record_id")
+        .select("record_id", "page_id", "payload_bytes", "payload_digest", "revisits")
     )
-    return records.join(responses, records["refers_to_record"] == responses["response_record"], "left").select(
-        "page_id",
-        "target_uri",
-        F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "full_digest").alias("payload_digest"),
-        "record_type",
-        F.col("response_id").alias("refers_to"),
+    resolved = spread_join(revisits, F.col("refers_to_record"), "record_id", responses, "record_id", "revisits")
+    own = records.where("record_type <> 'revisit'").select(
+        "page_id", "target_uri", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to")
+    )
+    return own.unionByName(
+        resolved.select(
+            "page_id",
+            "target_uri",
+            F.col("found.payload_bytes").alias("payload_bytes"),
+            F.col("found.payload_digest").alias("payload_digest"),
+            "record_type",
+            F.col("found.page_id").alias("refers_to"),
+        )
     )
 
 
